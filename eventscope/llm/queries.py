@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import mixing, quality_rules, secrets, url_filters
+from eventscope.llm import mixing, quality_rules, secrets, sentencepiece_codec, url_filters
 from eventscope.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", F.col("day").alias("fetched_on"), "blocked", "entry", "listed_on")
 
 
+def tokenizer_model(path: str | None = None) -> bytes:
+    """The tokenizer's file (about 0.5 MB), read by the driver and sent with the tasks."""
+    with open(path or public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(read_table(spark, sf_dir, "documents"), tokenizer_model())
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -57,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op6_sentencepiece": op6_sentencepiece,
     "op8_source_mix": op8_source_mix,
 }
 
