@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventscope.sources.storage import materialize, shared_dir
+
+__all__ = ["SPACE", "WORD", "free_name", "join_small_or_large", "let", "materialize", "read_table", "shared_dir", "whole_text", "words"]
+
 #: White space as the contracts define it, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,26 +39,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session has none (tests on one machine) a temporary folder is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at files that survive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (case-insensitively): ``stem`` or ``stem_k``."""
     taken = {c.lower() for c in df.columns}
@@ -81,6 +62,3 @@ def join_small_or_large(big: DataFrame, keys: DataFrame, on: str, how: str, boun
     joined = big.join(side, big[on].eqNullSafe(side[other]), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(side[other])
 
-
-def quote_class(chars: str) -> str:
-    return "[" + re.escape(chars) + "]"

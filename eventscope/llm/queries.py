@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import mixing, quality_rules, secrets, sentencepiece_codec, url_filters
+from eventscope.llm import jaccard, mixing, quality_rules, secrets, sentencepiece_codec, url_filters
 from eventscope.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(read_table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mix": op8_source_mix,
 }
 
@@ -145,9 +150,20 @@ _MIX_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce
         (floor(rate) + (('0x' || md5(coalesce(d.doc_id::VARCHAR, 'null') || ':8')[1:13])::BIGINT::DOUBLE / 4503599627370496 < rate - floor(rate))::INT)::BIGINT AS copies
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source"""
 
+_JACCARD_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      s AS MATERIALIZED (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+              ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS k FROM w)),
+      n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      e AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+      r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+      m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+      SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
     "op2_quality_rules": _quality_sql(),
     "op4_url_filter": _URL_SQL,
+    "op7_ngram_jaccard": _JACCARD_SQL,
     "op8_source_mix": _MIX_SQL,
 }
