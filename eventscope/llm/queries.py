@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import jaccard, mixing, quality_rules, secrets, sentencepiece_codec, url_filters
+from eventscope.llm import jaccard, language_id, mixing, quality_rules, secrets, sentencepiece_codec, site_quality, toxicity, url_filters
 from eventscope.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures: the day of the fetch follows from the page's id."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
@@ -68,13 +73,34 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def sites_of(docs: DataFrame) -> DataFrame:
+    """Documents have no address: the source stands for the host, source and language for the path."""
+    return docs.withColumns({"host": F.col("source"), "path": F.concat_ws("/", "source", "lang")})
+
+
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sites_of(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    judged = site_quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_document", "site_prior", "posterior", "accepted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mix": op8_source_mix,
+    "op9_language_id": op9_language_id,
+    "op10_site_quality": op10_site_quality,
 }
 
 _SECRET_RULES = [(k, r.kind, r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES)]
