@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventscope.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "join_small_or_large", "let", "materialize", "read_table", "shared_dir", "whole_text", "words"]
+__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "read_table", "shared_dir", "whole_text", "words"]
 
 #: White space as the contracts define it, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -62,3 +63,23 @@ def join_small_or_large(big: DataFrame, keys: DataFrame, on: str, how: str, boun
     joined = big.join(side, big[on].eqNullSafe(side[other]), how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(side[other])
 
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The groups of rows that follow each other with equal keys, each as one table."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
+        start = 0
+        for k in range(batch.num_rows):
+            if at[k] != key:
+                if k > start:
+                    held.append(batch.slice(start, k - start))
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held, start = at[k], [], k
+        held.append(batch.slice(start))
+    if held:
+        yield key, pa.Table.from_batches(held)

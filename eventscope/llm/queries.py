@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import jaccard, language_id, mixing, quality_rules, secrets, sentencepiece_codec, site_quality, toxicity, url_filters
+from eventscope.llm import jaccard, language_id, mixing, near_dedup, quality_rules, secrets, sentencepiece_codec, site_quality, toxicity, url_filters
 from eventscope.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def tokenizer_model(path: str | None = None) -> bytes:
         return f.read()
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))[0]
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(read_table(spark, sf_dir, "documents"), tokenizer_model())
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_toxicity": op3_toxicity,
     "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_source_mix": op8_source_mix,
@@ -186,10 +191,18 @@ _JACCARD_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extra
       m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
       SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
 
+_EMBEDDING_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+      l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+      r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+      c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+      n AS (SELECT x, count(DISTINCT y) AS n FROM l GROUP BY x)
+      SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
     "op2_quality_rules": _quality_sql(),
     "op4_url_filter": _URL_SQL,
+    "op5_embedding_dedup": _EMBEDDING_SQL,
     "op7_ngram_jaccard": _JACCARD_SQL,
     "op8_source_mix": _MIX_SQL,
 }

@@ -1,7 +1,8 @@
 """Toxicity by cumulative-link ordinal regression.
 
 P(grade > k) = sigmoid(w . x - t_k): one weight vector serves all ordered thresholds t_1 < t_2 < ...
-The features are sparse: which words of a learned vocabulary a text holds, and their density.  The
+The features are sparse: which words and word beginnings of a learned vocabulary a text holds, and
+the density of tell-tale words.  The
 result is a distribution over grades, its expectation (the severity) and a flag.
 
 Labels only say toxic or not, so the grades of toxic training rows are thirds of the density of
@@ -11,6 +12,7 @@ tell-tale words; grade 0 is not toxic.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +29,19 @@ LEAST_ROWS, LEAST_Z = 5, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Word beginnings that are features beside whole words, by length; inflected words share them.
+STEMS = range(3, 8)
+
+
 def tokens(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def parts(word: str) -> list[str]:
+    """A word and its beginnings, marked by a star."""
+    return [word, *[f"{word[:k]}*" for k in STEMS if k < len(word)]]
+
+
 @dataclass(frozen=True)
 class Model:
     words: dict[str, int]
@@ -40,10 +51,14 @@ class Model:
 
     def row(self, text: str | None) -> tuple[list[int], float]:
         """Indices of the words held, and the density feature."""
-        all_words = tokens(text)
-        hits = [w for w in all_words if w in self.words]
-        told = sum(w in self.telling for w in hits)
-        return sorted({self.words[w] for w in hits}), float(np.log1p(1000 * told / len(all_words))) if told else 0.0
+        counts = Counter(tokens(text))
+        found: set[int] = set()
+        told = 0
+        for word, n in counts.items():
+            hits = [p for p in parts(word) if p in self.words]
+            found.update(self.words[p] for p in hits)
+            told += n * any(p in self.telling for p in hits)
+        return sorted(found), float(np.log1p(1000 * told / counts.total())) if told else 0.0
 
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for every k."""
@@ -94,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                found = sorted(set(tokens(text.as_py())))
+                found = sorted({p for w in set(tokens(text.as_py())) for p in parts(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["word", "toxic"])
 
     toxic = F.col("toxic").cast("int").alias("toxic")
@@ -132,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     return Model(words, blank.telling, weights, thresholds)
 
 
-def score(docs: DataFrame, model: Model | None, flag_at: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, flag_at: float = 0.7) -> DataFrame:
     """``doc_id, grade, severity, p_toxic, toxic`` for every row of ``docs`` (``doc_id, text``).
 
     ``severity`` is the expected grade, ``toxic`` says that P(grade > 0) reaches ``flag_at``.  A null or
