@@ -146,7 +146,7 @@ def _links(key: tuple, rows: list, percent: int) -> pa.RecordBatch:
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(100 * common.astype(np.int64) >= percent * union.astype(np.int64)), strict=True):
+    for i, j in zip(*np.nonzero((common > 0) & (100 * common.astype(np.int64) >= percent * union.astype(np.int64))), strict=True):
         i, j = int(a[i]), int(b[j])
         if root(i) != root(j):
             parent[root(i)] = root(j)
@@ -182,10 +182,13 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
 
 
 def _sets_of(text: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """``(rep, n, tokens)`` for the documents named by ``reps``, with the other columns of ``reps``."""
+    """``(rep, n, tokens)`` for the documents named by ``reps``, with the other columns of ``reps``.
+
+    Empty sets are not filtered here: such a filter would move below the join and hash every text.
+    """
     named = materialize(reps.drop("n").distinct(), "jaccard-reps").withColumnRenamed("rep", "doc_id")
     wide = join_small_or_large(text, named, "doc_id", "inner", BROADCAST_ROWS).withColumn("tokens", shingle_hashes(F.col("text"), size))
-    return wide.drop("text").withColumnRenamed("doc_id", "rep").withColumn("n", F.size("tokens")).filter("n > 0")
+    return wide.drop("text").withColumnRenamed("doc_id", "rep").withColumn("n", F.size("tokens"))
 
 
 def _compare(text: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
