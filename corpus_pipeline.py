@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventscope.llm import jaccard, mixing, secrets, sentencepiece_codec, site_quality
-from eventscope.llm.common import materialize, read_table
+from eventscope.llm.common import materialize, packed, read_table
 from eventscope.llm.queries import sites_of, tokenizer_model
 
 SEED = 8
@@ -18,8 +18,8 @@ SEED = 8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical quality classifier rejects go."""
-    judged = site_quality.classify(sites_of(docs), read_table(spark, sf_dir, "labels"))
-    return judged.filter("accepted").select(*docs.columns)
+    judged = site_quality.classify(sites_of(packed(docs, "doc_id", "text", "source", "lang")), read_table(spark, sf_dir, "labels"))
+    return judged.filter("accepted").select("__row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by placeholders; no document goes."""
-    return secrets.redact(secrets.scan(docs)).select(*docs.columns)
+    cleaned = secrets.redact(secrets.scan(packed(docs, "doc_id", "text")))
+    return cleaned.select(cleaned["__row"].withField("text", cleaned["text"]).alias("__row")).select("__row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventscope.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "read_table", "shared_dir", "whole_text", "words"]
+__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "packed", "read_table", "shared_dir", "whole_text", "words"]
 
 #: White space as the contracts define it, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -83,3 +83,11 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         held.append(batch.slice(start))
     if held:
         yield key, pa.Table.from_batches(held)
+
+
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and the whole row as ``__row``: other columns cannot clash with what an operator adds.
+
+    ``select("__row.*")`` gives the original columns back.
+    """
+    return docs.select(*needed, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))

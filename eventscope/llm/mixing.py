@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import WORD, join_small_or_large, materialize, whole_text
+from eventscope.llm.common import WORD, join_small_or_large, materialize, packed, whole_text
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -81,8 +81,8 @@ def copies(docs: DataFrame, seed: int = 8) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 8) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
-    taken = copies(docs, seed).filter("copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    taken = copies(packed(docs, "doc_id", "text", "source"), seed).filter("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("__row.*")
 
 
 def digest(docs: DataFrame, seed: int = 8) -> DataFrame:
