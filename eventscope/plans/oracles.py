@@ -1,3 +1,7 @@
 """DuckDB SQL of the registered queries."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from eventscope.plans import catalog
+
+ORACLE_SQL: dict[str, str] = dict(catalog.SQL)
