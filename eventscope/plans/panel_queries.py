@@ -348,7 +348,7 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "past_z",
     """SELECT series_id, date, round(CASE WHEN count(deposits) OVER w >= 52 THEN (deposits - avg(deposits) OVER w) / nullif(stddev_samp(deposits) OVER w, 0) END, 6) AS z,
-      round(CASE WHEN count(deposits) OVER r >= 26 THEN avg(deposits) OVER r END, 10) AS mean52,
+      round(CASE WHEN count(deposits) OVER r >= 26 THEN avg(deposits) OVER r END, 13) AS mean52,
       round(CASE WHEN count(deposits) OVER s >= 5 THEN (deposits - avg(deposits) OVER s) / nullif(stddev_pop(deposits) OVER s, 0) END, 6) AS seasonal_z FROM weekly_panel
       WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), r AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING),
         s AS (PARTITION BY series_id, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
@@ -356,8 +356,8 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def past_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = view(spark, sf_dir, "weekly_panel")
     return rounded(panel.select(
-        "series_id", "date", F.round(ts.past_z("deposits", KEYS, "date"), 6).alias("z"), F.round(ts.past_mean("deposits", KEYS, "date"), 10).alias("mean52"), F.round(ts.past_seasonal_z("deposits", KEYS, "date"), 6).alias("seasonal_z")
-    ), 10)
+        "series_id", "date", F.round(ts.past_z("deposits", KEYS, "date"), 6).alias("z"), F.round(ts.past_mean("deposits", KEYS, "date"), 13).alias("mean52"), F.round(ts.past_seasonal_z("deposits", KEYS, "date"), 6).alias("seasonal_z")
+    ), 13)
 
 
 @query(
