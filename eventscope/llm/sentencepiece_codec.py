@@ -79,26 +79,13 @@ class CharacterMap:
         return found[0], self.strings[found[1] : self.strings.index(b"\0", found[1])]
 
 
-class Codec:
-    """A model with its normalisation options."""
+class Normaliser:
+    """Normalisation as a model states it: character map, space handling and the space in front."""
 
-    def __init__(self, model: bytes):
-        import sentencepiece
-
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        spec: dict[int, int | bytes] = {}
-        trainer: dict[int, int | bytes] = {}
-        for number, value in _fields(model):
-            if number == 3:
-                spec = dict(_fields(value))
-            elif number == 2:
-                trainer = dict(_fields(value))
+    def __init__(self, spec: dict[int, int | bytes], suffix: bool = False):
         self.map = CharacterMap(spec.get(2, b""))
         self.dummy_prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        self.suffix = bool(trainer.get(24, 0))
-        pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
-        self.widths = np.array([1 if self.processor.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], dtype=np.int64)
-        self.decimal = [str(i) for i in range(len(pieces))]
+        self.suffix = suffix
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them and for their end the original byte it comes from."""
@@ -145,6 +132,19 @@ class Codec:
             align += [at] * len(space)
         return bytes(out), np.array([*align, at], dtype=np.int64)
 
+class Codec:
+    """A model and its normaliser."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        parts = {number: dict(_fields(value)) for number, value in _fields(model) if number in (2, 3)}
+        self.normaliser = Normaliser(parts.get(3, {}), bool(parts.get(2, {}).get(24, 0)))
+        pieces = [self.processor.id_to_piece(i) for i in range(self.processor.get_piece_size())]
+        self.widths = np.array([1 if self.processor.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)], dtype=np.int64)
+        self.decimal = [str(i) for i in range(len(pieces))]
+
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and their decimal form joined by commas."""
         name = self.decimal.__getitem__
@@ -152,7 +152,7 @@ class Codec:
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end byte in the original text of every piece."""
-        normal, align = self.normalise(text)
+        normal, align = self.normaliser.normalise(text)
         widths = self.widths[np.fromiter(ids, np.int32, len(ids))]
         if widths.sum() != len(normal):  # unknown pieces stand for texts of any width
             pieces = zip(ids, self.processor.encode(text, out_type=str), strict=True)
