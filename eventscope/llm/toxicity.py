@@ -15,17 +15,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventscope.llm.common import materialize
+
 #: Labelled rows that are learned from at most, and words of the vocabulary at most.
 TRAIN_ROWS, VOCABULARY = 8_000, 2_000
 GRADES = 4
-#: A word enters if it is in so many sample rows and its log-odds are so many standard errors from 0.
-LEAST_ROWS, LEAST_Z = 5, 4.0
+#: A word enters if it is in so many sample rows and its log-odds are so far above 0 that of all such
+#: words one at most would be by chance.
+LEAST_ROWS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -119,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
         return None
     t, n, at, an = F.col("t") + 0.5, F.col("n") - F.col("t") + 0.5, (totals["t"] or 0) + 1.0, totals["n"] - (totals["t"] or 0) + 1.0
     z = F.log(t / (F.lit(at) - t + 1) / (n / (F.lit(an) - n + 1))) / F.sqrt(1 / t + 1 / n)
-    telling = counted.filter(F.col("n") >= LEAST_ROWS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z)
-    chosen_words = telling.orderBy(F.abs("z").desc(), "word").limit(VOCABULARY).select("word", "z").collect()
+    tried = materialize(counted.filter(F.col("n") >= LEAST_ROWS).withColumn("z", z), "toxic-words")
+    telling = tried.filter(F.col("z") >= NormalDist().inv_cdf(1 - 1 / max(2, tried.count())))
+    chosen_words = telling.orderBy(F.col("z").desc(), "word").limit(VOCABULARY).select("word", "z").collect()
     words = {r["word"]: k for k, r in enumerate(chosen_words)}
     blank = Model(words, frozenset(r["word"] for r in chosen_words if r["z"] > 0), np.zeros(len(words) + 1), np.zeros(GRADES - 1))
 
@@ -147,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     return Model(words, blank.telling, weights, thresholds)
 
 
-def score(docs: DataFrame, model: Model | None, flag_at: float = 0.7) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, flag_at: float = 0.6) -> DataFrame:
     """``doc_id, grade, severity, p_toxic, toxic`` for every row of ``docs`` (``doc_id, text``).
 
     ``severity`` is the expected grade, ``toxic`` says that P(grade > 0) reaches ``flag_at``.  A null or
