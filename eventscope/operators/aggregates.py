@@ -188,3 +188,31 @@ def grouped_medians(df: DataFrame, sets: Sequence[Sequence[str]], value: str) ->
     columns = list(dict.fromkeys(c for s in sets for c in s))
     made = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
     return made.agg(F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def ledger_metrics(df: DataFrame, group: Sequence[str], party: str, amount: str) -> DataFrame:
+    """Breadth of a ledger: rows, parties, parties with a positive total, top-5 share (%) and Herfindahl index over all totals."""
+    totals = df.groupBy(*group, party).agg(F.sum(amount).alias("x"), F.count("*").alias("rows"))
+    ranked = totals.withColumn("__r", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("x").desc_nulls_last(), party)))
+    made = ranked.groupBy(*group).agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("parties"), F.count_if(F.col("x") > 0).alias("positive"), F.sum("x").alias("__t"),
+        F.sum(F.when(F.col("__r") <= 5, F.col("x"))).alias("__top"), F.sum(F.col("x") * F.col("x")).alias("__sq"),
+    )
+    t = F.nullif(F.col("__t"), F.lit(0.0))
+    return made.select(*group, "rows", "parties", "positive", (100 * F.try_divide(F.col("__top"), t)).alias("top5_share"), (10000 * F.try_divide(F.col("__sq"), t * t)).alias("hhi"))
+
+
+def compare_segmentations(df: DataFrame, group: Sequence[str], old: str, new: str, amount: str) -> DataFrame:
+    """Rows, share of rows and of amount (%) that a new classification moves, per group."""
+    moved = ~F.col(old).eqNullSafe(F.col(new))
+    made = df.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(moved).alias("moved"), F.sum(F.when(moved, F.col(amount)).otherwise(0.0)).alias("__m"), F.sum(amount).alias("__t"))
+    return made.select(*group, "n", "moved", (100 * F.try_divide(F.col("moved").cast("double"), F.col("n"))).alias("moved_rows"), (100 * F.try_divide(F.col("__m"), F.nullif(F.col("__t"), F.lit(0.0)))).alias("moved_amount"))
+
+
+def pivot_long(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
+    """Long to wide with stated columns, the first non-null value of each."""
+    return df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
+
+
+def unpivot_wide(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    return df.unpivot(list(keys), list(columns), "name", "value")

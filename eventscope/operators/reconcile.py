@@ -129,3 +129,15 @@ def event_study(sectors: DataFrame, events: DataFrame, months: int = 12) -> Data
         "sector", "event_key", "rel", "date", F.coalesce("quoted", F.lit(0)).alias("quoted"), (100 * F.try_divide(F.col("index"), F.nullif(base, F.lit(0.0)))).alias("rebased"),
         (F.try_divide(F.col("index"), F.nullif(top, F.lit(0.0))) - 1).alias("drawdown"), F.expm1(growth).alias("cumulative"),
     )
+
+
+def rows_at(df: DataFrame, dates: DataFrame, date: str) -> DataFrame:
+    """Rows of the listed dates."""
+    from eventscope.operators.events import small
+
+    return df.join(small(dates.select(date).distinct()), date, "left_semi")
+
+
+def join_panels(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join of two panels on their keys."""
+    return left.join(right, list(keys), "full")
