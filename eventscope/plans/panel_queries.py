@@ -225,13 +225,13 @@ def amount_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "party_profile",
     """WITH m AS (SELECT counterparty, r, row_number() OVER (PARTITION BY counterparty ORDER BY count(*) DESC, r) AS k FROM (SELECT counterparty, round(rate, 0)::INT AS r FROM ledger) GROUP BY 1,2)
-      SELECT l.counterparty, count(*) AS n, count(DISTINCT date) AS dates, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, first(m.r) AS usual_rate, round(avg((round(rate, 0) > 5)::INT::DOUBLE), 6) AS share_high
+      SELECT l.counterparty, count(*) AS n, count(DISTINCT date) AS dates, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, first(m.r) AS usual_rate, round(avg((round(rate, 0) > 5)::INT::DOUBLE), 9) AS share_high
       FROM ledger l JOIN m ON m.counterparty = l.counterparty AND m.k = 1 GROUP BY 1""",
 )
 def party_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = view(spark, sf_dir, "ledger").withColumn("r", F.round("rate", 0).cast("int"))
     return led.groupBy("counterparty").agg(
-        F.count("*").alias("n"), F.count_distinct("date").alias("dates"), ag.distinct_sorted("category").alias("categories"), F.mode("r", True).alias("usual_rate"), F.round(ag.share_where(F.col("r") > 5), 6).alias("share_high")
+        F.count("*").alias("n"), F.count_distinct("date").alias("dates"), ag.distinct_sorted("category").alias("categories"), F.mode("r", True).alias("usual_rate"), F.round(ag.share_where(F.col("r") > 5), 9).alias("share_high")
     )
 
 
