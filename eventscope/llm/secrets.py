@@ -158,28 +158,22 @@ def _spans(text: Column, rule: Rule) -> Column:
     """Array of ``(start, end)`` in code points, end exclusive, of the rule's matches from left to right."""
     pattern = F.lit(rule.pattern)
 
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
     def place(found: Column) -> Column:
-        lengths = F.transform(found, F.length)
-        gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-        values = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length)
-        total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-        inner = F.transform(
-            F.array(F.struct(lengths.alias("n"), gaps.alias("g"), values.alias("v"))),
-            lambda s: F.filter(
-                F.transform(
-                    s["n"],
-                    lambda n, i: F.struct(
-                        (total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["n"], 1, i))).alias("start"),
-                        (total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["n"], 1, i + 1))).alias("end"),
-                        (s["v"][i] >= rule.least).alias("counts"),
-                    ),
-                ),
-                lambda m: m["counts"],
-            ),
-        )
-        return F.transform(F.element_at(inner, 1), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+        """Walk over the matches: each starts after the text between it and the match before."""
+        value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
+        steps = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(value, F.length).alias("value"))
+
+        def step(state: Column, m: Column) -> Column:
+            start = state["at"] + m["gap"]
+            span = F.struct(start.alias("start"), (start + m["n"]).alias("end"))
+            kept = F.when(m["value"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
+            return F.struct((start + F.coalesce(m["n"], F.lit(0))).alias("at"), kept.alias("out"))
+
+        # the gap after the last match comes with nulls and adds no span
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
 
 
