@@ -154,7 +154,8 @@ def pct_rank_long(df: DataFrame, x: str, keys: Sequence[str], time: str, out: st
 def fold(df: DataFrame, keys: Sequence[str], time: str, x: str, start: Column, step, out: str) -> DataFrame:
     """An ordered recursion: ``step(state, value)`` gives the next state, whose field ``y`` is the result of a row.
 
-    The series of a key is folded as one array; state and history must fit one row (some million points).
+    The series of a key is folded as one array and each step copies what came before, so this is for
+    series of some ten thousand points; ``fold_long`` takes longer ones.
     """
     rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(x).alias("x"))))
     grouped = df.groupBy(*keys).agg(rows.alias("__rows"))
@@ -168,6 +169,40 @@ def fold(df: DataFrame, keys: Sequence[str], time: str, x: str, start: Column, s
     return folded.select(*keys, zipped.alias("z")).select(*keys, F.col("z.__rows.t").alias(time), F.col("z.__rows.x").alias(x), F.col("z.__ys").alias(out))
 
 
+def fold_long(df: DataFrame, keys: Sequence[str], time: str, x: str, start, step, out: str) -> DataFrame:
+    """Like ``fold`` with a Python ``step(state, value) -> (state, y)``: one pass over each series in an Arrow group."""
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    schema = StructType([*[df.schema[c] for c in (*keys, time, x)], StructField(out, DoubleType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group, state, ys = group.sort_values(time, kind="stable"), start, []
+        for v in group[x]:
+            state, y = step(state, None if pd.isna(v) else float(v))
+            ys.append(y)
+        return group.assign(**{out: pd.Series(ys, index=group.index, dtype="float64")})
+
+    return df.select(*keys, time, x).groupBy(*keys).applyInPandas(run, schema)
+
+
+def ewma_long(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float, out: str = "ewma") -> DataFrame:
+    def step(y, v):
+        y = y if v is None else v if y is None else alpha * v + (1 - alpha) * y
+        return y, y
+
+    return fold_long(df, keys, time, x, None, step, out)
+
+
+def cusum_long(df: DataFrame, keys: Sequence[str], time: str, z: str, k: float, h: float, out: str = "alert") -> DataFrame:
+    def step(c, v):
+        total = 0.0 if v is None else max(0.0, c + v - k)
+        fires = v is not None and total >= h
+        return (0.0 if fires else total), float(fires)
+
+    return fold_long(df, keys, time, z, 0.0, step, out)
+
+
 def ewma(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float, out: str = "ewma") -> DataFrame:
     """Exponentially weighted mean without adjustment; a missing value carries the state on."""
     none = F.lit(None).cast("double")

@@ -95,3 +95,10 @@ def test_step_ffill_and_suffix(spark):
 def test_persistence_needs_full_frame(spark):
     df = frame(spark, [1, 1, 0, 1]).withColumn("f", F.col("x") > 0)
     assert column(df, ts.persistence("f", ["k"], "date", 2, 3)) == [False, False, True, True]
+
+
+def test_long_folds_equal_short_ones(spark):
+    df = frame(spark, [None if i % 13 == 4 else (i * 29) % 11 for i in range(60)])
+    for short, long, args, name in ((ts.ewma, ts.ewma_long, (0.3,), "ewma"), (ts.cusum, ts.cusum_long, (4.0, 9.0), "alert")):
+        a = [r[name] for r in short(df, ["k"], "date", "x", *args).orderBy("date").collect()]
+        assert [r[name] for r in long(df, ["k"], "date", "x", *args).orderBy("date").collect()] == pytest.approx(a)
