@@ -58,7 +58,7 @@ def _uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def plan(docs: DataFrame, seed: int = 8) -> DataFrame:
+def plan(docs: DataFrame) -> DataFrame:
     """``(source, source_size, target, rate)`` for the documents' sources; written, hence fixed for the run."""
     sized = docs.select("source", size_of(whole_text()).alias("size"))
     sources = targets(materialize(source_sizes(sized), "mix-sources"))
@@ -73,7 +73,7 @@ def copies(docs: DataFrame, seed: int = 8) -> DataFrame:
     copies.  Columns of the added names are replaced.
     """
     docs = docs.drop("size", "source_size", "target", "rate", "copies")
-    rated = join_small_or_large(docs, plan(docs, seed), "source", "left", BROADCAST_SOURCES)
+    rated = join_small_or_large(docs, plan(docs), "source", "left", BROADCAST_SOURCES)
     whole = F.floor("rate")
     extra = (_uniform(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
     return rated.withColumn("size", size_of(whole_text())).withColumn("copies", whole + extra)

@@ -67,7 +67,7 @@ def measure(docs: DataFrame) -> DataFrame:
     Null and empty texts count as texts without words; ratios over nothing are 0.  Rows and other columns stay.
     """
     text = whole_text()
-    stop = rf"(?<!{WORD_CHAR})(?i:{'|'.join(sorted(dict.fromkeys(STOP_WORDS)))})(?!{WORD_CHAR})"
+    stop = rf"(?<!{WORD_CHAR})(?iu:{'|'.join(sorted(dict.fromkeys(STOP_WORDS)))})(?!{WORD_CHAR})"
 
     def of_words(w: Column) -> Column:
         return F.struct(
