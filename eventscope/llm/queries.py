@@ -91,7 +91,7 @@ def sites_of(docs: DataFrame) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sites_of(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    judged = site_quality.classify(docs, read_table(spark, sf_dir, "labels"))
+    judged = site_quality.classify(docs, read_table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("doc_id", "p_document", "site_prior", "posterior", "accepted")
 
 

@@ -87,8 +87,11 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
     return joined.select("host", "path", ((F.col("s") + path_worth * F.col("host_posterior")) / (F.col("n") + path_worth)).alias("path_posterior"), F.lit(mean).alias("global_mean"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.5) -> DataFrame:
-    """All rows and columns of ``docs`` (``doc_id, text, host, path``, any others) with ``p_document, site_prior, posterior, accepted``.
+def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs`` (``doc_id, text, host, path``, any others) with ``p_document, site_prior, posterior, accepted``.
+
+    ``keep`` names the columns of ``docs`` to return, all unless given.  Without the text among them the
+    evidence is written once; with it, texts are read twice rather than copied.
 
     Null texts count as empty, null hosts and paths are groups of their own.  Without labels of both
     classes every document is accepted with posterior 0.5.  Columns of the added names are replaced.
@@ -97,13 +100,15 @@ def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.5) -> Data
     model = train(docs, labels)
     if model is None:
         half = F.lit(0.5)
-        return docs.withColumns({"p_document": half, "site_prior": half, "posterior": half, "accepted": F.lit(True)})
+        return docs.select(*(keep or docs.columns)).withColumns({"p_document": half, "site_prior": half, "posterior": half, "accepted": F.lit(True)})
     weights, bias = model
-    kept = docs.columns
+    kept = keep or docs.columns
     made = features(docs)
     evidence = reduce(Column.__add__, [F.col(f"f_{n}") * w for n, w in zip(FEATURES, weights, strict=True)], F.lit(bias))
-    made = made.withColumn("__logit", evidence).select(*kept, "__logit", _chance(F.col("__logit")).alias("p_document"))
-    # two passes over the texts rather than one copy of them
+    needed = list(dict.fromkeys([*kept, "host", "path"]))
+    made = made.withColumn("__logit", evidence).select(*needed, "__logit", _chance(F.col("__logit")).alias("p_document"))
+    if not {"text", "__row"} & set(kept):
+        made = materialize(made, "quality-evidence")
     sites = materialize(site_posteriors(made.select("host", "path", F.col("p_document").alias("p"))), "quality-sites")
     keyed = made.withColumn("__site", F.struct("host", "path"))
     joined = join_small_or_large(keyed, sites.select(F.struct("host", "path").alias("__site"), "path_posterior", "global_mean"), "__site", "left", BROADCAST_SITES)
