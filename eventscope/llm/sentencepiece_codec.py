@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 META = "▁"
 #: Texts of one output batch.
-BATCH = 256
+BATCH = 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
