@@ -6,12 +6,17 @@ lists.  A list whose last neighbour still passes the threshold is saturated and
 at or above the threshold give components; recall is audited against exact search for a bounded set
 of queries, and while it is short, more buckets and rounds are added.
 
+A list that is saturated at its greatest length may lack links to other groups.  Such vectors are
+covered by cells of a bounded angle, and cells of different components are compared exactly wherever
+the triangle inequality leaves a link possible.
+
 Links join members of one component only, so the number of links is counted exactly by comparing
 each component block against block; no list of pairs is made.  Equal vectors are one node.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +27,12 @@ from pyspark.sql import functions as F
 from eventscope.llm.common import grouped, materialize
 from eventscope.operators.components import connected_components
 
-#: Neighbours of a list at the start, and at most after enlargement (the exact count covers the rest).
+#: Neighbours of a list at the start, and at most after enlargement (``bridge`` finds what longer lists would).
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 64
 #: Random-projection trees of a start, vectors of a bucket on average, and vectors compared at a time.
 TREES, BUCKET, BLOCK = 8, 64, 256
+#: Vectors that are covered by cells at a time, and the slack of angles against rounding.
+COVER, SLACK = 2048, 1e-6
 #: Descent rounds of a pass, passes at most, queries of the audit and the recall it asks for.
 ROUNDS, PASSES, AUDIT_QUERIES, RECALL = 2, 4, 256, 0.995
 
@@ -127,7 +134,102 @@ def _limits(lists: DataFrame, threshold: float) -> DataFrame:
     usual = F.greatest("n", F.lit(NEIGHBOURS))
     full = (F.col("n") >= NEIGHBOURS) & (F.col("last") >= threshold)
     longer = F.least(F.col("n") * 2, F.lit(MOST_NEIGHBOURS))
-    return state.select("src", F.when(full, F.greatest(longer, usual)).otherwise(usual).cast("int").alias("k"), F.when(full | (F.col("n") < NEIGHBOURS), -2.0).otherwise(F.col("last")).alias("floor"))
+    grows = full & (F.col("n") < MOST_NEIGHBOURS)
+    return state.select("src", F.when(full, F.greatest(longer, usual)).otherwise(usual).cast("int").alias("k"), F.when(grows | (F.col("n") < NEIGHBOURS), -2.0).otherwise(F.col("last")).alias("floor"))
+
+
+def saturated(lists: DataFrame, threshold: float) -> DataFrame:
+    """``rep`` of the vectors whose lists have their greatest length and lie at the threshold or above throughout."""
+    state = lists.groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("last"))
+    return state.filter((F.col("n") >= MOST_NEIGHBOURS) & (F.col("last") >= threshold)).select("rep")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Every vector with the centre (``cell``, a vector itself) that covers it and its angle to the centre."""
+    for _, table in grouped(batches, ["component", "dim", "part"]):
+        rep, x = table.column("rep").to_numpy(), _matrix(table)
+        cell, angle, rest = np.empty(len(rep), dtype=np.int64), np.zeros(len(rep)), np.arange(len(rep))
+        while len(rest):
+            sim = x[rest] @ x[rest[0]]
+            near = sim >= cosine
+            near[0] = True
+            cell[rest[near]] = rep[rest[0]]
+            angle[rest[near]] = np.arccos(np.clip(sim[near], -1, 1))
+            angle[rest[0]] = 0.0
+            rest = rest[~near]
+        kept = [table.column(c).combine_chunks() for c in ("component", "dim", "rep", "vec")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(cell), pa.array(angle)], ["component", "dim", "rep", "vec", "cell", "angle"])
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of cells of different components that may hold a link; ``direct`` where the centres have one (once for two components)."""
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    for (_, left, right), table in grouped(batches, ["dim", "left", "right"]):
+        cell, block, component = (table.column(c).to_numpy() for c in ("cell", "block", "component"))
+        radius, x = table.column("radius").to_numpy(), _matrix(table)
+        a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        if not len(a) or not len(b):
+            continue
+        for at in range(0, len(a), BLOCK):
+            some = a[at : at + BLOCK]
+            sim = x[some] @ x[b].T
+            widest = np.minimum(np.pi, reach + radius[some] + radius[b].max())
+            i, j = np.nonzero((sim >= np.cos(widest)[:, None]) & (component[some][:, None] != component[b][None, :]))
+            value, i, j = sim[i, j], some[i], b[j]
+            good = value >= np.cos(np.minimum(np.pi, reach + radius[i] + radius[j]))
+            if left == right:
+                good &= cell[i] < cell[j]
+            value, i, j = value[good], i[good], j[good]
+            direct = value >= threshold
+            _, once = np.unique(np.stack([component[i], component[j]], axis=1)[direct], axis=0, return_index=True)
+            pick = np.concatenate([np.flatnonzero(direct)[once], np.flatnonzero(~direct)])
+            out = [cell[i], cell[j], component[i], component[j], direct]
+            yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in out], ["a", "b", "src", "dst", "direct"])
+
+
+def _member_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The components of two cells, where a member of the one has a link with a member of the other."""
+    for (a, _), table in grouped(batches, ["a", "b"]):
+        first, x = table.column("cell").to_numpy() == a, _matrix(table)
+        mine, others = x[first], x[~first]
+        if any((mine[at : at + BLOCK] @ others.T >= threshold).any() for at in range(0, len(mine), BLOCK)):
+            yield pa.RecordBatch.from_arrays([pa.array([table.column(c)[0].as_py()], pa.int64()) for c in ("src", "dst")], ["src", "dst"])
+
+
+def bridge(vectors: DataFrame, component: DataFrame, among: DataFrame, threshold: float) -> DataFrame:
+    """``component`` (``rep, component``) after every link between two vectors of ``among`` (``rep``) has joined their components.
+
+    Exact: each component's vectors are covered by cells of half the threshold's angle.  Centres meet
+    block against block, and members meet where centres have no link but members may have one.
+    """
+    inside = component.unionByName(among.join(component, "rep", "left_anti").select("rep", F.col("rep").alias("component")))
+    held = materialize(vectors.select("rep", "dim", "vec").join(among, "rep").join(inside, "rep"), "vec-bridge")
+    if held.select("component").distinct().limit(2).count() < 2:
+        return component
+    sizes = held.groupBy("component").agg(F.ceil(F.count("*") / COVER).cast("int").alias("parts"))
+    dealt = held.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+    keys, cosine = ["component", "dim", "part"], math.cos(math.acos(max(-1.0, min(1.0, threshold))) / 2)
+    made = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _cells(it, cosine), "component bigint, dim int, rep bigint, vec array<double>, cell bigint, angle double")
+    covered = materialize(made, "vec-cells")
+    radii = covered.groupBy("cell").agg(F.max("angle").alias("radius"))
+    centres = covered.filter("rep = cell").select("component", "dim", "cell", "vec").join(radii, "cell")
+    blocks = covered.filter("rep = cell").groupBy("dim").agg(F.ceil(F.count("*") / COVER).cast("int").alias("blocks"))
+    placed = centres.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = paired.select("component", "dim", "cell", "radius", "block", "vec", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    keys = ["dim", "left", "right"]
+    met = paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _cell_pairs(it, threshold), "a bigint, b bigint, src bigint, dst bigint, direct boolean")
+    pairs = materialize(met, "vec-cell-pairs")
+    direct = pairs.filter("direct").select("src", "dst")
+    joined = connected_components(direct)
+    ends = [joined.select(F.col("node").alias(end), F.col("component").alias(f"{end}_now")) for end in ("src", "dst")]
+    open_pairs = pairs.filter("not direct").join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    open_pairs = open_pairs.filter(F.coalesce("src_now", "src") != F.coalesce("dst_now", "dst")).select("a", "b", "src", "dst")
+    sides = open_pairs.withColumn("cell", F.explode(F.array("a", "b"))).join(covered.select("cell", "vec"), "cell")
+    keys = ["a", "b"]
+    found = materialize(sides.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _member_links(it, threshold), "src bigint, dst bigint"), "vec-member-links")
+    merged = connected_components(direct.unionByName(found)).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return materialize(inside.join(merged, "component", "left").select("rep", F.coalesce("now", "component").alias("component")), "vec-components")
 
 
 def audit(vectors: DataFrame, component: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
@@ -195,6 +297,7 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
             lists = materialize(_best(lists.unionByName(better), limits.select("src", "k")), "vec-lists")
         near = lists.filter(F.col("sim") >= threshold)
         component = connected_components(near).withColumnRenamed("node", "rep")
+        component = bridge(vectors, component, materialize(saturated(lists, threshold), "vec-saturated"), threshold)
         recall = audit(vectors, component, threshold)
         if recall >= RECALL:
             break

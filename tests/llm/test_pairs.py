@@ -132,6 +132,27 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def tight_groups(cosines, size, dim=16, noise=0.004, seed=5):
+    """Groups of near copies around directions of one plane; neighbouring groups have the given cosines."""
+    rng, angle, rows = np.random.default_rng(seed), 0.0, []
+    for cosine in [1.0, *cosines]:
+        angle += np.arccos(cosine)
+        centre = np.zeros(dim)
+        centre[:2] = np.cos(angle), np.sin(angle)
+        rows += [(centre + rng.normal(0, noise, dim)).tolist() for _ in range(size)]
+    return list(enumerate(rows))
+
+
+def test_links_between_saturated_groups(spark):
+    # links inside a group fill every list; the last group has links with its neighbour for some members only
+    rows = tight_groups([0.93, 0.92, 0.80, 0.9], 150)
+    want, count = brute_vectors(rows)
+    got = {r["vec_id"]: r for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
+    assert set(want.values()) == {0, 450}
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items()} == count
+
+
 def test_vectors_edges(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect())
