@@ -33,8 +33,12 @@ NEIGHBOURS, MOST_NEIGHBOURS = 8, 64
 TREES, BUCKET, BLOCK = 8, 64, 256
 #: Vectors that are covered by cells at a time, and the slack of angles against rounding.
 COVER, SLACK = 2048, 1e-6
-#: Descent rounds of a pass, passes at most, queries of the audit and the recall it asks for.
-ROUNDS, PASSES, AUDIT_QUERIES, RECALL = 2, 4, 256, 0.995
+#: Descent rounds of a pass, passes at most and the recall that the audit asks for.
+ROUNDS, PASSES, RECALL = 2, 4, 0.995
+#: Queries of the audit: from all vectors, and from those outside large components.
+AUDIT_QUERIES, AUDIT_OUTSIDE = 256, 1024
+#: Trees are added to a start until a pair at the threshold has met in a bucket with this chance.
+MEET = 0.95
 
 
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
@@ -89,9 +93,19 @@ def _group_and_compare(rows: DataFrame, keys: list[str]) -> DataFrame:
     return dealt.mapInArrow(lambda it: _nearest(it, keys), "src bigint, dst bigint, sim double")
 
 
+def _bits(count: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, count) / BUCKET))))
+
+
+def starts(count: int, threshold: float) -> int:
+    """Forests of ``TREES`` trees that a pass needs: a plane parts a pair at the threshold with its angle's share of pi."""
+    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** _bits(count)
+    return 1 if together >= MEET else math.ceil(math.log(1 - MEET) / math.log(1 - together) / TREES)
+
+
 def forest_edges(vectors: DataFrame, count: int, seed: int) -> DataFrame:
     """Neighbours inside the buckets of random-projection trees.  Large buckets are dealt out by hash, differently in each tree."""
-    bits = max(0, int(np.ceil(np.log2(max(1, count) / BUCKET))))
+    bits = _bits(count)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,29 +246,45 @@ def bridge(vectors: DataFrame, component: DataFrame, among: DataFrame, threshold
     return materialize(inside.join(merged, "component", "left").select("rep", F.coalesce("now", "component").alias("component")), "vec-components")
 
 
-def audit(vectors: DataFrame, component: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the true links of a bounded set of queries (first ids by hash) that lie inside components."""
-    labelled = vectors.select("rep", "dim", "vec").join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    asked = labelled.orderBy(F.xxhash64("rep"), "rep").limit(queries).collect()
-    by_dim = {d: [r for r in asked if r["dim"] == d] for d in {r["dim"] for r in asked}}
+def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> float:
+    """Mean share of a query's true links that lie inside its component, over the queries that have links.
+
+    Every query weighs the same, whatever its number of links.  Queries are drawn by hash from all vectors
+    and, separately, from components no larger than a list, lest large groups hide the loss of small
+    ones; the lower of the two means counts.
+    """
+    sizes = component.groupBy("component").agg(F.count("*").alias("size"))
+    labelled = vectors.select("rep", "dim", "vec").join(component.join(sizes, "component"), "rep", "left")
+    labelled = labelled.withColumns({"component": F.coalesce("component", "rep"), "size": F.coalesce("size", F.lit(1))})
+    samples = [
+        labelled.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).collect(),
+        labelled.filter(F.col("size") <= MOST_NEIGHBOURS).orderBy(F.xxhash64(F.lit(1), "rep"), "rep").limit(AUDIT_OUTSIDE).collect(),
+    ]
+    asked = [(k, row) for k, sample in enumerate(samples) for row in sample]
+    by_dim = {}
+    for dim in {row["dim"] for _, row in asked}:
+        at = [n for n, (_, row) in enumerate(asked) if row["dim"] == dim]
+        q = np.array([asked[n][1]["vec"] for n in at])
+        by_dim[dim] = np.array(at), *(np.array([asked[n][1][c] for n in at]) for c in ("rep", "component")), q / np.linalg.norm(q, axis=1, keepdims=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true = found = 0
+        true, found = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=np.int64)
         for batch in batches:
             table, dims = pa.Table.from_batches([batch]), batch.column("dim").to_numpy()
-            for dim, qs in by_dim.items():
+            for dim, (at, reps, components, q) in by_dim.items():
                 part = table.filter(pa.array(dims == dim))
                 if not part.num_rows:
                     continue
-                q = np.array([r["vec"] for r in qs])
-                hit = _matrix(part) @ (q / np.linalg.norm(q, axis=1, keepdims=True)).T >= threshold
-                hit &= part.column("rep").to_numpy()[:, None] != np.array([r["rep"] for r in qs])
-                true += int(hit.sum())
-                found += int((hit & (part.column("component").to_numpy()[:, None] == np.array([r["component"] for r in qs]))).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["t", "f"])
+                hit = _matrix(part) @ q.T >= threshold
+                hit &= part.column("rep").to_numpy()[:, None] != reps
+                true[at] += hit.sum(0)
+                found[at] += (hit & (part.column("component").to_numpy()[:, None] == components)).sum(0)
+        some = np.flatnonzero(true)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(found[some])], ["query", "t", "f"])
 
-    total = labelled.mapInArrow(count, "t bigint, f bigint").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).first()
-    return total["f"] / total["t"] if total["t"] else 1.0
+    rows = labelled.select("rep", "dim", "vec", "component").mapInArrow(count, "query bigint, t bigint, f bigint").groupBy("query").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).collect()
+    shares = [[r["f"] / r["t"] for r in rows if asked[r["query"]][0] == k] for k in range(len(samples))]
+    return float(min((np.mean(share) for share in shares if share), default=1.0))
 
 
 def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
@@ -287,10 +317,11 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
     """
     members, vectors = nodes(embeddings)
     count = vectors.count()
-    lists, recall = None, 0.0
+    lists, recall, forests = None, 0.0, starts(count, threshold)
     for turn in range(PASSES):
-        fresh = forest_edges(vectors, count, seed=turn)
-        lists = materialize(_best(fresh if lists is None else lists.unionByName(fresh), None if lists is None else _limits(lists, threshold)), "vec-lists")
+        for forest in range(forests):
+            fresh = forest_edges(vectors, count, seed=turn * forests + forest)
+            lists = materialize(_best(fresh if lists is None else lists.unionByName(fresh), None if lists is None else _limits(lists, threshold)), "vec-lists")
         for _ in range(ROUNDS):
             limits = materialize(_limits(lists, threshold), "vec-limits")
             better = descend(vectors, lists, limits)

@@ -153,6 +153,22 @@ def test_links_between_saturated_groups(spark):
     assert {i: r["n_links"] for i, r in got.items()} == count
 
 
+def test_audit_sees_small_groups(spark):
+    # one group of 400 holds nearly all links; each of 30 pairs is lost
+    rng = np.random.default_rng(9)
+    hot = [(np.eye(16)[0] + rng.normal(0, 0.002, 16)).tolist() for _ in range(400)]
+    pairs = [v.tolist() for x in rng.normal(0, 1, (30, 16)) for v in (x, x + rng.normal(0, 0.02, 16))]
+    rows = [(k, 16, v) for k, v in enumerate(hot + pairs)]
+    component = spark.createDataFrame([(k, 0) for k in range(400)], "rep long, component long")
+    assert near_dedup.audit(spark.createDataFrame(rows, "rep long, dim int, vec array<double>"), component, 0.9) < 0.1
+
+
+def test_trees_grow_with_the_table():
+    met = lambda n: 1 - (1 - (1 - np.arccos(0.9) / np.pi) ** near_dedup._bits(n)) ** (near_dedup.starts(n, 0.9) * near_dedup.TREES)
+    assert all(met(n) >= 0.95 for n in (10, 5_000, 1_000_000, 10_000_000))
+    assert near_dedup.starts(1000, 0.9) == near_dedup.starts(1000, 1.0) == 1
+
+
 def test_vectors_edges(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect())
