@@ -4,7 +4,8 @@ A neighbour graph is started from random-projection buckets and refined by joini
 neighbours: around every vector its neighbours, forward and reverse, meet and improve each other's
 lists.  A list whose last neighbour still passes the threshold is saturated and is enlarged.  Edges
 at or above the threshold give components; recall is audited against exact search for a bounded set
-of queries, and while it is short, more buckets and rounds are added.
+of queries, and while it is short, more buckets and rounds are added.  Where that does not help, all
+vectors are compared exactly.
 
 A list that is saturated at its greatest length may lack links to other groups.  Such vectors are
 covered by cells of a bounded angle, and cells of different components are compared exactly wherever
@@ -16,6 +17,7 @@ each component block against block; no list of pairs is made.  Equal vectors are
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 from eventscope.llm.common import grouped, materialize
 from eventscope.operators.components import connected_components
 
+logger = logging.getLogger(__name__)
+
 #: Neighbours of a list at the start, and at most after enlargement (``bridge`` finds what longer lists would).
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 64
 #: Random-projection trees of a start, vectors of a bucket on average, and vectors compared at a time.
 TREES, BUCKET, BLOCK = 8, 64, 256
 #: Vectors that are covered by cells at a time, and the slack of angles against rounding.
 COVER, SLACK = 2048, 1e-6
-#: Descent rounds of a pass, passes at most and the recall that the audit asks for.
-ROUNDS, PASSES, RECALL = 2, 4, 0.995
+#: Rounds of a pass end when at most this share of the lists changes; passes before all vectors are compared; the recall that the audit asks for.
+SETTLED, PASSES, RECALL = 0.01, 4, 0.995
 #: Queries of the audit: from all vectors, and from those outside large components.
 AUDIT_QUERIES, AUDIT_OUTSIDE = 256, 1024
 #: Trees are added to a start until a pair at the threshold has met in a bucket with this chance.
@@ -152,6 +156,12 @@ def _limits(lists: DataFrame, threshold: float) -> DataFrame:
     return state.select("src", F.when(full, F.greatest(longer, usual)).otherwise(usual).cast("int").alias("k"), F.when(grows | (F.col("n") < NEIGHBOURS), -2.0).otherwise(F.col("last")).alias("floor"))
 
 
+def _changed(lists: DataFrame, before: DataFrame, threshold: float) -> int:
+    """Lists with a new neighbour, but for those that were saturated before: ``bridge`` is exact for these."""
+    new = lists.join(before, ["src", "dst"], "left_anti").select(F.col("src").alias("rep")).distinct()
+    return new.join(saturated(before, threshold), "rep", "left_anti").count()
+
+
 def saturated(lists: DataFrame, threshold: float) -> DataFrame:
     """``rep`` of the vectors whose lists have their greatest length and lie at the threshold or above throughout."""
     state = lists.groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("last"))
@@ -309,7 +319,7 @@ def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) ->
 
 
 def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, float]:
-    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and the audited recall.
+    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and the audited recall (1.0 after a comparison of all vectors).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other.  Repeated rows of one ``vec_id`` and vector count once
@@ -322,16 +332,22 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
         for forest in range(forests):
             fresh = forest_edges(vectors, count, seed=turn * forests + forest)
             lists = materialize(_best(fresh if lists is None else lists.unionByName(fresh), None if lists is None else _limits(lists, threshold)), "vec-lists")
-        for _ in range(ROUNDS):
+        changed = count
+        while changed > SETTLED * count:
             limits = materialize(_limits(lists, threshold), "vec-limits")
             better = descend(vectors, lists, limits)
-            lists = materialize(_best(lists.unionByName(better), limits.select("src", "k")), "vec-lists")
+            before, lists = lists, materialize(_best(lists.unionByName(better), limits.select("src", "k")), "vec-lists")
+            changed = _changed(lists, before, threshold)
         near = lists.filter(F.col("sim") >= threshold)
         component = connected_components(near).withColumnRenamed("node", "rep")
         component = bridge(vectors, component, materialize(saturated(lists, threshold), "vec-saturated"), threshold)
         recall = audit(vectors, component, threshold)
+        logger.info("near copies of %d vectors: audited recall %.4f in pass %d", count, recall, turn + 1)
         if recall >= RECALL:
             break
+    else:
+        logger.warning("near copies of %d vectors: recall %.4f is short of %.4f, comparing all vectors", count, recall, RECALL)
+        component, recall = bridge(vectors, component, vectors.select("rep"), threshold), 1.0
     links = _count_links(vectors, component, threshold)
     own = vectors.select("k1", "k2", "dim", "rep", "copies").join(component, "rep", "left").join(links, "rep", "left")
     joined = members.join(own, ["k1", "k2", "dim"], "left")

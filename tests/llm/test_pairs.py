@@ -169,6 +169,22 @@ def test_trees_grow_with_the_table():
     assert near_dedup.starts(1000, 0.9) == near_dedup.starts(1000, 1.0) == 1
 
 
+def test_short_recall_ends_in_exact_search(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = list(enumerate(v.tolist() for x in rng.normal(0, 1, (60, 16)) for v in (x, x + rng.normal(0, 0.2, 16))))
+    # a search that finds next to nothing: each bucket is dealt into parts of two, and no pass follows
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    monkeypatch.setattr(near_dedup, "PASSES", 1)
+    monkeypatch.setattr(near_dedup, "descend", lambda vectors, lists, limits: lists.limit(0))
+    want, count = brute_vectors(rows)
+    made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r for r in made.collect()}
+    assert recall == 1.0 and len(set(want.values())) < 120
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert {i: r["n_links"] for i, r in got.items()} == count
+
+
 def test_vectors_edges(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect())
