@@ -109,6 +109,21 @@ def test_path_graph_centralities(spark):
     assert {r["v"]: r["degree"] for r in graph.degree(edges, vertices, "v").collect()} == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 0}
 
 
+def test_betweenness_has_no_most_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_EDGES", 5, raising=False)
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 300, raising=False)
+    near = np.triu(np.random.default_rng(2).random((14, 14)) < 0.2, 1)
+    edges = spark.createDataFrame([(int(a), int(b), 1) for a, b in np.argwhere(near)], "src long, dst long, weight long")
+    far, paths, step = np.where(np.eye(14), 0, -1), np.eye(14), np.eye(14)
+    for k in range(1, 14):
+        step = step @ (near | near.T)
+        new = (far < 0) & (step > 0)
+        far[new], paths[new] = k, step[new]
+    through = lambda v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s in range(14) for t in range(14) if len({s, t, v}) == 3 and min(far[s, t], far[s, v], far[v, t]) > 0 and far[s, v] + far[v, t] == far[s, t])
+    got = {r["v"]: r["betweenness"] for r in graph.betweenness_centrality(edges, spark.range(14).withColumnRenamed("id", "v"), "v").collect()}
+    assert got == pytest.approx({v: through(v) / (13 * 12) for v in range(14)})
+
+
 def test_planted_step_is_found():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, 40), rng.normal(3, 0.1, 40)])
