@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables written so far, in order, and not yet released.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Only a local session without one (tests) gets a temporary folder, which goes when Python ends; on a
+    cluster a missing folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The files stay until ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written() -> int:
+    """The number of tables written and not released: a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables written after the mark ``since``, but for the last ``keep`` of them.
+
+    To be called when no result that reads them is needed any more.
+    """
+    gone = _written[since : len(_written) - keep]
+    del _written[since : len(_written) - keep]
+    for path in gone:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
