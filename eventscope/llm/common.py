@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventscope.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "packed", "read_table", "shared_dir", "whole_text", "words"]
+__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "packed", "read_table", "running", "shared_dir", "unpacked", "whole_text", "words"]
 
 #: White space as the contracts define it, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -40,6 +40,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Elements that ``running`` folds at a time.
+RUN = 64
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """The results of ``plus`` over the first 1, 2, ... elements of an array, with ``zero`` neutral.
+
+    Blocks of ``RUN`` elements are folded by themselves and then moved by what lies before them, as a fold
+    over a whole array would copy its growing result at every element.
+    """
+
+    def fold(array: Column) -> Column:
+        start = F.filter(F.array(zero), lambda _: F.lit(False))
+        return F.aggregate(array, start, lambda acc, x: F.concat(acc, F.array(plus(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x))))
+
+    def move(blocks: Column) -> Column:
+        tops = F.concat(F.array(zero), fold(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return let(tops, lambda before: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: plus(F.get(before, k), x)))))
+
+    starts = lambda v: F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+    cut = lambda v: F.transform(starts(v), lambda k: fold(F.slice(v, k * RUN + 1, F.lit(RUN))))
+    return F.when(F.size(values) > 0, let(values, lambda v: let(cut(v), move))).otherwise(F.filter(F.array(zero), lambda _: F.lit(False)))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have (case-insensitively): ``stem`` or ``stem_k``."""
     taken = {c.lower() for c in df.columns}
@@ -64,7 +88,6 @@ def join_small_or_large(big: DataFrame, keys: DataFrame, on: str, how: str, boun
     return joined if how in ("left_semi", "left_anti") else joined.drop(side[other])
 
 
-
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups of rows that follow each other with equal keys, each as one table."""
     key, held = None, []
@@ -86,8 +109,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
-    """The needed columns, and the whole row as ``__row``: other columns cannot clash with what an operator adds.
+    """The needed columns, and the whole row as one more: other columns cannot clash with what an operator adds.
 
-    ``select("__row.*")`` gives the original columns back.
+    ``unpacked`` gives the original columns back.
     """
     return docs.select(*needed, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"))
+
+
+def unpacked(made: DataFrame, **added: Column) -> DataFrame:
+    """The rows that ``packed`` packed, with columns added or replaced."""
+    row = F.col("__row")
+    fields = [f.name for f in made.schema["__row"].dataType.fields]
+    replaced = {name.lower() for name in added}
+    kept = [row.getField(f).alias(f) for f in fields if f.lower() not in replaced]
+    return made.select(*kept, *[c.alias(name) for name, c in added.items()])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import WORD, join_small_or_large, materialize, packed, whole_text
+from eventscope.llm.common import WORD, join_small_or_large, materialize, packed, unpacked, whole_text
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -82,10 +82,10 @@ def copies(docs: DataFrame, seed: int = 8) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 8) -> DataFrame:
     """The mixed corpus: the columns of ``docs``, each row as often as the mix takes it."""
     taken = copies(packed(docs, "doc_id", "text", "source"), seed).filter("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("__row.*")
+    return unpacked(taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")))
 
 
 def digest(docs: DataFrame, seed: int = 8) -> DataFrame:
-    """The contract's columns."""
+    """The contract's columns; a null text has size 0 and takes nothing, a null source is one of its own."""
     made = copies(docs, seed)
     return made.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")

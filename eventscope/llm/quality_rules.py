@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import let, whole_text, words
+from eventscope.llm.common import free_name, let, whole_text, words
 
 
 @dataclass(frozen=True)
@@ -78,20 +78,21 @@ def measure(docs: DataFrame) -> DataFrame:
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CHAR))
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    raw = docs.drop("measures").withColumn("__w", let(words(text), of_words)).withColumn("__l", of_lines)
-    symbols = F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
-    w, ln = F.col("__w"), F.col("__l")
+    docs = docs.drop("measures")
+    raw = free_name(docs, "raw_measures")
+    counted = F.struct(let(words(text), of_words).alias("w"), of_lines.alias("l"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("s"), F.regexp_count(text, F.lit(stop)).cast("long").alias("p"))
+    made = docs.withColumn(raw, counted)
+    w, ln, symbols, stops = (F.col(f"{raw}.{part}") for part in "wlsp")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    made = raw.withColumn("__s", symbols).withColumn("__p", F.regexp_count(text, F.lit(stop)).cast("long"))
     return made.withColumn(
         "measures",
         F.struct(
-            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), F.col("__s").alias("n_symbols"),
-            ln["n_lines"].alias("n_lines"), ln["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), F.col("__p").alias("n_stop_words"),
-            ratio(w["word_chars"], w["n_words"]).alias("mean_word_length"), ratio(F.col("__s"), w["n_words"]).alias("symbol_ratio"),
-            ratio(F.col("__p"), w["n_words"]).alias("stop_word_ratio"), ratio(ln["n_dup_lines"], ln["n_lines"]).alias("dup_line_ratio"),
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), symbols.alias("n_symbols"),
+            ln["n_lines"].alias("n_lines"), ln["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), stops.alias("n_stop_words"),
+            ratio(w["word_chars"], w["n_words"]).alias("mean_word_length"), ratio(symbols, w["n_words"]).alias("symbol_ratio"),
+            ratio(stops, w["n_words"]).alias("stop_word_ratio"), ratio(ln["n_dup_lines"], ln["n_lines"]).alias("dup_line_ratio"),
         ),
-    ).drop("__w", "__l", "__s", "__p")
+    ).drop(raw)
 
 
 def compile_rules(rules: tuple[Threshold, ...] = RULES, measures: str = "measures") -> dict[str, Column]:
@@ -124,6 +125,6 @@ def judge(docs: DataFrame, rules: tuple[Threshold, ...] = RULES) -> DataFrame:
 
 
 def digest(judged: DataFrame) -> DataFrame:
-    """The contract's columns from the result of ``judge``."""
+    """The contract's columns from the result of ``judge``; a null text counts as one without words and fails the base."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *[F.col(f"measures.{n}").alias(n) for n in names], "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))

@@ -21,12 +21,14 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import join_small_or_large, let, materialize, whole_text
+from eventscope.llm.common import free_name, join_small_or_large, let, materialize, running, whole_text
 
 #: At most this many alternatives are kept while a query is derived; beyond it the query is weakened.
 MAX_STRINGS = 64
 #: Candidate keys are broadcast up to this many rows (about 20 MB), else joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Code points of the pieces that a text is cut to before parts of it are taken.
+PIECE = 4_096
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,10 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
-#: Further kinds with a fixed head, which the index makes nearly free.
+#: Further kinds with a fixed head, which the index makes nearly free.  A private key runs to its END
+#: line, or over the lines of base64 that follow where there is none.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:[\x0A\x0D]+[A-Za-z0-9+/=]{16,}){1,60})?"),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -155,24 +158,20 @@ def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """Array of ``(start, end)`` in code points, end exclusive, of the rule's matches from left to right."""
-    pattern = F.lit(rule.pattern)
+    """Array of ``(start, end)`` in code points, end exclusive, of the rule's matches from left to right.
 
+    Ends are running sums of the matches' lengths and of the gaps before them, so the work grows with the
+    text and the number of matches.
+    """
+    pattern = F.lit(rule.pattern)
     none = F.array().cast("array<struct<start:int,end:int>>")
+    lengths = lambda parts: F.transform(parts, F.length)
 
     def place(found: Column) -> Column:
-        """Walk over the matches: each starts after the text between it and the match before."""
-        value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        steps = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"), F.transform(value, F.length).alias("value"))
-
-        def step(state: Column, m: Column) -> Column:
-            start = state["at"] + m["gap"]
-            span = F.struct(start.alias("start"), (start + m["n"]).alias("end"))
-            kept = F.when(m["value"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"])
-            return F.struct((start + F.coalesce(m["n"], F.lit(0))).alias("at"), kept.alias("out"))
-
-        # the gap after the last match comes with nulls and adds no span
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+        gaps = lengths(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)))
+        ends = running(F.zip_with(lengths(found), gaps, lambda n, gap: n + gap), lambda a, b: a + b, F.lit(0))
+        steps = F.arrays_zip(lengths(found).alias("n"), ends.alias("end"), lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("value"))
+        return F.transform(F.filter(steps, lambda m: m["value"] >= rule.least), lambda m: F.struct((m["end"] - m["n"]).alias("start"), m["end"].alias("end")))
 
     return let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, place(found)).otherwise(none))
 
@@ -191,21 +190,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     docs = docs.drop("secrets")
+    marks = free_name(docs, "secret_kinds")
     vocabulary = sorted({t for q in queries.values() for part in q for t in part})
     if queries:
         found = materialize(candidates(index_postings(docs, vocabulary), queries), "secret-candidates")
-        found = found.select("doc_id", F.col("kinds").alias("__kinds"))
+        found = found.select("doc_id", F.col("kinds").alias(marks))
         docs = join_small_or_large(docs, found, "doc_id", "left", BROADCAST_ROWS)
     else:
-        docs = docs.withColumn("__kinds", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn(marks, F.lit(None).cast("array<string>"))
     none = F.array().cast("array<struct<start:int,end:int>>")
     parts = []
     for k, rule in enumerate(rules):
         spans = _spans(whole_text(), rule)
         if rule.kind in queries:
-            spans = F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(none)
+            spans = F.when(F.array_contains(marks, rule.kind), spans).otherwise(none)
         parts.append(F.transform(spans, _tagged(k, rule.kind)))
-    return docs.withColumn("secrets", F.sort_array(F.concat(*parts))).drop("__kinds")
+    return docs.withColumn("secrets", F.sort_array(F.concat(*parts))).drop(marks)
 
 
 def _joined(secrets: Column) -> Column:
@@ -213,7 +213,7 @@ def _joined(secrets: Column) -> Column:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The contract's columns from the result of ``scan``."""
+    """The contract's columns from the result of ``scan``; texts without secrets, null ones too, have counts of 0 and empty spans."""
     base = [r.kind for r in BASE_RULES]
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(
@@ -230,17 +230,23 @@ def redact(scanned: DataFrame) -> DataFrame:
     Takes the result of ``scan`` and drops ``secrets``; texts without secrets stay as they are.
     """
     text = whole_text()
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(parts: Column, start: Column, end: Column) -> Column:
+        """The text from ``start`` to ``end``, out of the pieces that hold it."""
+        first = F.floor(start / PIECE).cast("int")
+        held = F.array_join(F.slice(parts, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+        return F.substring(held, start - first * PIECE + 1, end - start)
+
+    def join(parts: Column) -> Column:
+        ends = running(F.transform("secrets", lambda s: s["end"]), F.greatest, F.lit(0))
+
+        def around(after: Column) -> Column:
+            placed = F.transform("secrets", lambda s, k: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.coalesce(F.get(after, k - 1), F.lit(0)).alias("at")))
+            fresh = F.filter(placed, lambda s: s["start"] >= s["at"])
+            kept = F.array_join(F.transform(fresh, lambda s: F.concat(cut(parts, s["at"], s["start"]), F.lit("["), s["kind"], F.lit("]"))), "")
+            return F.concat(kept, cut(parts, F.element_at(after, -1), F.length(text)))
+
+        return let(ends, around)
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        cut = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], cut, F.lit("["), s["kind"], F.lit("]"))).otherwise(state["out"]).alias("out"),
-        )
-
-    cleaned = F.aggregate(
-        "secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
-        lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
-    )
-    return scanned.withColumn("text", F.when(F.size("secrets") > 0, cleaned).otherwise(F.col("text"))).drop("secrets")
+    return scanned.withColumn("text", F.when(F.size("secrets") > 0, let(pieces, join)).otherwise(F.col("text"))).drop("secrets")

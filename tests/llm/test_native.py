@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ TEXTS = [
     None, "", "nothing here", "é password = 'abcdef' ñ secret:xy token=zzzzzzz", "PASSWORD\":  \"Ab+/=._-1\"", "secret=token=abcdefgh", "secret=token: abcdefgh", "api_key=123456 apikey: 1234567 api-key=1234567",
     "AKIA" + "A" * 16 + " AKIA" + "B" * 15, "x" + "0123456789abcdef" * 2 + "g" + "f" * 23, "AKIAAKIA" + "C" * 12, "token=" + "0" * 30, "\U0001f600 secret='" + "f" * 24, "secret = abcdef" * 400, "tokentokentoken=abcdef",
     "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20,
+    "a -----BEGIN PRIVATE KEY-----\nMIIBVQIBADANBgkq+/\nhki=\n-----END PRIVATE KEY----- b", "-----BEGIN OPENSSH PRIVATE KEY-----\n" + "MIIBVQIBADANBgkq\n" * 3 + "plain words after a key without an end",
 ]
 
 
@@ -46,7 +48,7 @@ def test_secrets_equal_the_stated_rules(spark):
     want = sorted((i, len(s), hashlib.sha256(",".join(s).encode()).hexdigest()) for i, s in [(i % 15, brute_spans(t)) for i, t in enumerate(TEXTS)] + [(-1, brute_spans("token=abcdefg")), (3, brute_spans(TEXTS[3]))])
     assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_assign"] + r["n_access"] + r["n_hex"], r["base_sha256"]) for r in got) == want
     spans = {r["spans"] for r in got}
-    assert "private_key:0:31" in spans and "host_token:0:44,hex:4:44" in spans
+    assert "private_key:0:31" in spans and "private_key:2:79" in spans and "private_key:0:86" in spans and "host_token:0:44,hex:4:44" in spans
 
 
 def test_joined_candidates_give_the_same(spark, monkeypatch):
@@ -77,6 +79,39 @@ def test_queries_hold_for_every_match(spark):
         assert any(all(t in "abdefhiijkl foo_qux11" for t in part) for part in query)
 
 
+def brute_redact(text, spans):
+    out, at = "", 0
+    for start, _, kind, end in spans:
+        if start >= at:
+            out += text[at:start] + f"[{kind}]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def test_many_matches_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 50)
+    base = " ".join(["é token=abcdef", "AKIA" + "Z" * 16, "\U0001f600 secret: " + "0f" * 13, "tokentoken=" + "ab" * 20] * 120)
+    texts = [base, base + " end", "token=" + "a" * 300 + " x", "secret=abcdef", "x secret=abcdef", base[:333], None, "y" * 60]
+    docs = spark.createDataFrame([(k, t, "mine", "own") for k, t in enumerate(texts)], DOCS + ", secret_kinds string, `raw.x` string")
+    scanned = secrets.scan(docs)
+    assert scanned.columns == [*docs.columns, "secrets"]
+    got = {r["doc_id"]: r for r in scanned.collect()}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(scanned).collect()}
+    for k, t in enumerate(texts):
+        want = sorted((m.start(), n, kind, m.end()) for n, (kind, p, ok) in enumerate(STATED) for m in p.finditer(t or "") if ok(m))
+        assert [tuple(s) for s in got[k]["secrets"] if s["kind"] in dict((x, 1) for x, _, _ in STATED)] == want
+        assert clean[k] == (brute_redact(t, [tuple(s) for s in got[k]["secrets"]]) if t and got[k]["secrets"] else t)
+
+
+def test_running_sums_and_tops(spark):
+    from eventscope.llm.common import RUN, running
+
+    rows = [(list(map(int, np.random.default_rng(n).integers(0, 50, n))),) for n in (0, 1, RUN - 1, RUN, RUN + 1, 5 * RUN + 3)] + [(None,)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for r in df.select("v", running(F.col("v"), lambda a, b: a + b, F.lit(0)).alias("s"), running(F.col("v"), F.greatest, F.lit(0)).alias("m")).collect():
+        assert r["s"] == np.cumsum(r["v"] or []).tolist() and r["m"] == np.maximum.accumulate(r["v"] or [0])[: len(r["v"] or [])].tolist()
+
+
 def test_redaction_and_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a secret=abcdef b AKIA" + "Z" * 16, "own"), (2, "clean", "own"), (3, None, None)], DOCS + ", kinds string")
     got = {r["doc_id"]: r for r in secrets.redact(secrets.scan(docs)).collect()}
@@ -109,6 +144,16 @@ def test_quality_counts(spark):
     assert got == sorted([(i, brute_quality(t)) for i, t in enumerate(texts)] + [(-1, brute_quality("a b c")), (4, brute_quality("a b c"))])
 
 
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    texts = ["one two three " * 30_000, " ".join(f"w{i}" for i in range(60_000)), "x" * 300_000, "a\n" * 50_000]
+    docs = spark.createDataFrame([(k, t, "mine", 1) for k, t in enumerate(texts)], DOCS + ", raw_measures string, __w int")
+    judged = quality_rules.judge(docs)
+    assert judged.columns == [*docs.columns, "measures", "base_failed", "failed_rules", "kept"]
+    got = {r["doc_id"]: r for r in judged.collect()}
+    assert all(r["raw_measures"] == "mine" and r["__w"] == 1 for r in got.values())
+    assert [(got[k]["measures"]["n_words"], got[k]["measures"]["n_repeat_words"], got[k]["measures"]["n_dup_lines"]) for k in range(4)] == [(90_000, 90_000, 0), (60_000, 0, 0), (1, 0, 0), (50_000, 50_000, 49_999)]
+
+
 def test_quality_verdicts(spark):
     clean = " ".join(f"word{chr(97 + i % 26)}{i} the" for i in range(60))
     junk = " ".join(f"word{i}%% the##" for i in range(60))
@@ -192,6 +237,11 @@ def test_mix_targets_and_copies(spark):
     assert all(r["taken"] <= 2 * r["size"] for r in got) and sorted(map(str, got)) == sorted(map(str, mixing.digest(docs).collect()))
 
 
+def test_sizes_of_long_texts(spark):
+    docs = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "x" * 500_000, "b")], DOCS + ", source string")
+    assert sorted((r["doc_id"], r["size"]) for r in mixing.digest(docs).collect()) == [(1, 400_000), (2, 1)]
+
+
 def test_mix_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(i, "a b c", "s", "mine", 5) for i in range(20)], DOCS + ", source string, copies string, size long")
     mixed = mixing.mix(docs)
