@@ -3,8 +3,8 @@
 A logistic classifier gives each document's evidence.  Hosts and paths get posteriors from grouped
 sums of that evidence: a path's mean is shrunk toward its host's, the host's toward the global mean,
 by the ratio of variance within groups to variance between them, so that sparse sites fall back on
-what is known above them.  A document's log-odds are its evidence moved by its path's log-odds
-against the global ones.
+what is known above them.  A document's log-odds are its evidence moved by the log-odds of its path
+without the document itself against the global ones; a page alone on its site gets the global prior.
 """
 
 from __future__ import annotations
@@ -63,54 +63,61 @@ def _logit(p: Column) -> Column:
     return F.log(bounded / (1 - bounded))
 
 
-def site_posteriors(evidence: DataFrame) -> DataFrame:
-    """``(host, path, path_posterior, global_mean)`` from ``(host, path, p)``, null hosts and paths being groups of their own."""
+def site_sums(evidence: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """``(host, path, n, s, hn, hs)``: documents and evidence of each path and host, null ones being groups of their own; and the priors.
+
+    The priors are the global ``mean``, and ``host_worth`` and ``path_worth``: how many documents the prior
+    above a host or path is worth, variance inside over variance between by the method of moments.
+    """
     paths = materialize(evidence.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     whole = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("paths"), F.count("*").alias("k")).first()
     above = hosts.agg(F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("hosts"), F.count("*").alias("k")).first()
     if not whole["n"]:
-        return paths.select("host", "path", F.lit(0.5).alias("path_posterior"), F.lit(0.5).alias("global_mean"))
+        return paths.select("host", "path", "n", "s", F.lit(0.0).alias("hn"), F.lit(0.0).alias("hs")), {"mean": 0.5, "host_worth": 1.0, "path_worth": 1.0}
     mean = whole["s"] / whole["n"]
     inside = max(1e-6, (whole["q"] - whole["paths"]) / max(1.0, whole["n"] - whole["k"]))
 
-    def strength(between: float, groups: int, over: int) -> float:
-        """Rows that a prior is worth: variance inside over variance between, by the method of moments."""
+    def worth(between: float, groups: int, over: int) -> float:
         free = max(1, groups - over)
         spread = (between / free - inside) / max(1.0, whole["n"] / max(1, groups))
         return min(1e6, max(1.0, inside / spread)) if spread > 0 else 1e6
 
-    host_worth = strength(above["hosts"] - whole["s"] ** 2 / whole["n"], above["k"], 1)
-    path_worth = strength(whole["paths"] - above["hosts"], whole["k"], above["k"])
-    shrunk = hosts.select(F.col("host").alias("h"), ((F.col("hs") + host_worth * mean) / (F.col("hn") + host_worth)).alias("host_posterior"))
-    joined = paths.join(shrunk, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    return joined.select("host", "path", ((F.col("s") + path_worth * F.col("host_posterior")) / (F.col("n") + path_worth)).alias("path_posterior"), F.lit(mean).alias("global_mean"))
+    priors = {"mean": mean, "host_worth": worth(above["hosts"] - whole["s"] ** 2 / whole["n"], above["k"], 1), "path_worth": worth(whole["paths"] - above["hosts"], whole["k"], above["k"])}
+    named = hosts.withColumnRenamed("host", "h")
+    return paths.join(named, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "s", "hn", "hs"), priors
+
+
+def path_prior(p: Column, sums: Column, priors: dict[str, float]) -> Column:
+    """The posterior mean of a document's path from all other documents; ``p`` is its own evidence, ``sums`` a row of ``site_sums``."""
+    host = (sums["hs"] - p + priors["host_worth"] * priors["mean"]) / (sums["hn"] - 1 + priors["host_worth"])
+    return (sums["s"] - p + priors["path_worth"] * host) / (sums["n"] - 1 + priors["path_worth"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, accept_at: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """All rows of ``docs`` (``doc_id, text, host, path``, any others) with ``p_document, site_prior, posterior, accepted``.
 
-    ``keep`` names the columns of ``docs`` to return, all unless given.  Without the text among them the
-    evidence is written once; with it, texts are read twice rather than copied.
+    ``keep`` names the columns of ``docs`` to return, all unless given.  They are written once with the
+    evidence, so that no text is measured twice.
 
-    Null texts count as empty, null hosts and paths are groups of their own.  Without labels of both
-    classes every document is accepted with posterior 0.5.  Columns of the added names are replaced.
+    Null texts count as empty, null hosts and paths are groups of their own, repeated rows are each judged.
+    Without labels of both classes every document is accepted with posterior 0.5.  Columns of the added
+    names are replaced.
     """
     docs = docs.drop("p_document", "site_prior", "posterior", "accepted")
+    kept = [f"`{c}`" for c in keep or docs.columns]
     model = train(docs, labels)
     if model is None:
         half = F.lit(0.5)
-        return docs.select(*(keep or docs.columns)).withColumns({"p_document": half, "site_prior": half, "posterior": half, "accepted": F.lit(True)})
+        return docs.select(*kept).withColumns({"p_document": half, "site_prior": half, "posterior": half, "accepted": F.lit(True)})
     weights, bias = model
-    kept = keep or docs.columns
-    made = features(docs)
+    needed = docs.select("text", F.struct("host", "path").alias("site"), F.struct(*kept).alias("row"))
     evidence = reduce(Column.__add__, [F.col(f"f_{n}") * w for n, w in zip(FEATURES, weights, strict=True)], F.lit(bias))
-    needed = list(dict.fromkeys([*kept, "host", "path"]))
-    made = made.withColumn("__logit", evidence).select(*needed, "__logit", _chance(F.col("__logit")).alias("p_document"))
-    if not {"text", "__row"} & set(kept):
-        made = materialize(made, "quality-evidence")
-    sites = materialize(site_posteriors(made.select("host", "path", F.col("p_document").alias("p"))), "quality-sites")
-    keyed = made.withColumn("__site", F.struct("host", "path"))
-    joined = join_small_or_large(keyed, sites.select(F.struct("host", "path").alias("__site"), "path_posterior", "global_mean"), "__site", "left", BROADCAST_SITES)
-    total = F.col("__logit") + _logit(F.col("path_posterior")) - _logit(F.col("global_mean"))
-    return joined.withColumn("posterior", _chance(total)).select(*kept, "p_document", F.col("path_posterior").alias("site_prior"), "posterior", (F.col("posterior") >= accept_at).alias("accepted"))
+    made = features(needed).select("row", "site", evidence.alias("logit"))
+    made = materialize(made.withColumn("p", _chance(F.col("logit"))), "quality-evidence")
+    sums, priors = site_sums(made.select("site.host", "site.path", "p"))
+    sites = materialize(sums.select(F.struct("host", "path").alias("site"), F.struct("n", "s", "hn", "hs").alias("sums")), "quality-sites")
+    joined = join_small_or_large(made, sites, "site", "left", BROADCAST_SITES)
+    judged = joined.withColumn("prior", path_prior(F.col("p"), F.col("sums"), priors))
+    judged = judged.withColumn("posterior", _chance(F.col("logit") + _logit(F.col("prior")) - _logit(F.lit(priors["mean"]))))
+    return judged.select("row.*", F.col("p").alias("p_document"), F.col("prior").alias("site_prior"), "posterior", (F.col("posterior") >= accept_at).alias("accepted"))

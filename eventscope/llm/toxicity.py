@@ -73,42 +73,57 @@ class Model:
         return self.above(self.weights[held].sum() + density * self.weights[-1])
 
 
-def fit(x: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that maximise the penalised ordinal likelihood, by Adam.
+def fit(held: list[list[int]], density: np.ndarray, grades: np.ndarray, features: int, steps: int = 400, ridge: float = 1e-3, settled: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (``features`` words, then the density's) and thresholds that maximise the penalised ordinal likelihood, by Adam.
 
-    The gaps between thresholds are exponentials of free parameters, which keeps them in order.
+    ``held`` has the words of each row.  The gaps between thresholds are exponentials of free parameters,
+    which keeps them in order.  Steps end early once the penalised likelihood moves by less than ``settled``
+    over ten of them.
     """
-    k = GRADES - 1
-    free = np.concatenate([np.zeros(x.shape[1]), [1.0], np.zeros(k - 1)])
+    k, n, size = GRADES - 1, len(held), features + 1
+    column, row = np.array([c for h in held for c in h], dtype=np.int64), np.repeat(np.arange(n), [len(h) for h in held])
+    times = lambda w: np.bincount(row, weights=w[column], minlength=n) + density * w[-1]
+    back = lambda r: np.append(np.bincount(column, weights=r[row], minlength=features), density @ r)
+    free = np.concatenate([np.zeros(size), [1.0], np.zeros(k - 1)])
     m, v = np.zeros_like(free), np.zeros_like(free)
     sigmoid = lambda z: 1 / (1 + np.exp(np.clip(-z, -50, 50)))
-    rows = np.arange(len(x))
+    rows, before = np.arange(n), -np.inf
     for step in range(1, steps + 1):
-        w, gaps = free[: x.shape[1]], np.exp(free[x.shape[1] + 1 :])
-        t = free[x.shape[1]] + np.concatenate([[0], np.cumsum(gaps)])
-        below = np.concatenate([np.zeros((len(x), 1)), sigmoid(t - (x @ w)[:, None]), np.ones((len(x), 1))], axis=1)
+        w, gaps = free[:size], np.exp(free[size + 1 :])
+        t = free[size] + np.concatenate([[0], np.cumsum(gaps)])
+        below = np.concatenate([np.zeros((n, 1)), sigmoid(t - times(w)[:, None]), np.ones((n, 1))], axis=1)
         slope = below * (1 - below)
         chance = np.maximum(below[rows, grades + 1] - below[rows, grades], 1e-9)
+        if step % 10 == 0:
+            now = np.log(chance).mean() - ridge * (w @ w) / 2
+            if abs(now - before) < settled:
+                break
+            before = now
         up, down = slope[rows, grades + 1] / chance, slope[rows, grades] / chance
-        dt = np.zeros((len(x), k + 2))
+        dt = np.zeros((n, k + 2))
         dt[rows, grades + 1] += up
         dt[rows, grades] -= down
         dt = dt[:, 1:-1].mean(0)
-        g = np.concatenate([-(x.T @ (up - down)) / len(x), [dt.sum()], [dt[i + 1 :].sum() * gaps[i] for i in range(k - 1)]])
-        g[: x.shape[1]] -= ridge * w
+        g = np.concatenate([-back(up - down) / n, [dt.sum()], [dt[i + 1 :].sum() * gaps[i] for i in range(k - 1)]])
+        g[:size] -= ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         free = free + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return free[: x.shape[1]], free[x.shape[1]] + np.concatenate([[0], np.cumsum(np.exp(free[x.shape[1] + 1 :]))])
+    return free[:size], free[size] + np.concatenate([[0], np.cumsum(np.exp(free[size + 1 :]))])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """A model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic`` 0 or 1); None without labelled rows.
 
-    At most ``rows`` labels are used, those whose ids come first by hash.  Null labels, ids and texts are left out.
+    At most ``rows`` labels are used, those whose ids come first by hash; of several labels of an id the
+    toxic one, of several texts of an id the first by hash, so that repeated rows and their order change
+    nothing.  Null labels, ids and texts are left out.  Only words that speak for toxicity become features.
     """
     chosen = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    chosen = materialize(chosen, "toxic-labels")
+    named = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")  # ``rows`` keys at most
+    once = named.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(once, "toxic-sample")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,17 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.select("doc_id", "text", toxic).mapInArrow(rows_of, f"doc_id {kind}, toxic int, held array<int>, density double").limit(2 * rows).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["held"], r["density"]))
+    got = sample.select("doc_id", "text", toxic).mapInArrow(rows_of, f"doc_id {kind}, toxic int, held array<int>, density double").collect()
+    got = sorted(got, key=lambda r: r["doc_id"])
     if not got:
         return None
-    x = np.zeros((len(got), len(words) + 1))
-    for k, r in enumerate(got):
-        x[k, r["held"]] = 1
-        x[k, -1] = r["density"]
-    bad = np.array([bool(r["toxic"]) for r in got])
-    cuts = np.quantile(x[bad, -1], [1 / 3, 2 / 3]) if bad.any() else [0, 0]
-    weights, thresholds = fit(x, np.where(bad, 1 + np.searchsorted(cuts, x[:, -1]), 0))
+    density, bad = np.array([r["density"] for r in got]), np.array([bool(r["toxic"]) for r in got])
+    cuts = np.quantile(density[bad], [1 / 3, 2 / 3]) if bad.any() else [0, 0]
+    weights, thresholds = fit([r["held"] for r in got], density, np.where(bad, 1 + np.searchsorted(cuts, density), 0), len(words))
     return Model(words, blank.telling, weights, thresholds)
 
 
@@ -156,7 +167,9 @@ def score(docs: DataFrame, model: Model | None, flag_at: float = 0.6) -> DataFra
     """``doc_id, grade, severity, p_toxic, toxic`` for every row of ``docs`` (``doc_id, text``).
 
     ``severity`` is the expected grade, ``toxic`` says that P(grade > 0) reaches ``flag_at``.  A null or
-    empty text holds no words and gets the chances of such a text.  Without a model all is 0 and false.
+    empty text holds no words and gets the chances of such a text.  Of grades with equal chances the lowest
+    counts.  Without a model all is 0 and false.  Repeated rows are each scored, null ids too; other
+    columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """Fitted operators and codecs: toxicity, language, quality, SentencePiece."""
 
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -38,12 +40,80 @@ def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(2)
     grades = rng.integers(0, toxicity.GRADES, 400)
     x = (grades + rng.normal(0, 0.3, 400))[:, None]
-    weights, thresholds = toxicity.fit(x, grades)
+    weights, thresholds = toxicity.fit([[] for _ in grades], x[:, 0], grades, 0)
     assert weights[0] > 0 and (np.diff(thresholds) > 0).all()
     model = toxicity.Model({}, frozenset(), weights, thresholds)
     assert np.mean(model.above((x @ weights)).round().sum(1) == grades) > 0.8
 
 
+def test_sparse_fit_equals_dense_likelihood():
+    """No small move of the fitted parameters raises the penalised likelihood, taken over dense rows one by one."""
+    rng = np.random.default_rng(8)
+    held = [sorted(rng.choice(6, rng.integers(0, 4), replace=False).tolist()) for _ in range(120)]
+    density, grades = rng.random(120), rng.integers(0, toxicity.GRADES, 120)
+    weights, thresholds = toxicity.fit(held, density, grades, 6, steps=3000, settled=0)
+
+    def likelihood(w, t):
+        total = 0.0
+        for h, d, g in zip(held, density, grades, strict=True):
+            score = sum(w[k] for k in h) + d * w[-1]
+            edges = [0.0, *[1 / (1 + np.exp(score - x)) for x in t], 1.0]
+            total += np.log(edges[g + 1] - edges[g])
+        return total / len(held) - 1e-3 * (w @ w) / 2
+
+    best = likelihood(weights, thresholds)
+    for k in range(len(weights)):
+        for step in (-0.02, 0.02):
+            assert likelihood(weights + step * np.eye(len(weights))[k], thresholds) <= best + 1e-6
+    for k in range(len(thresholds)):
+        for step in (-0.02, 0.02):
+            assert likelihood(weights, thresholds + step * np.eye(len(thresholds))[k]) <= best + 1e-6
+
+
+def brute_severity(model, text):
+    """Expected grade and P(grade > 0), word by word."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    score, told = 0.0, 0
+    for word in set(words):
+        forms = [word] + [word[:k] + "*" for k in range(3, 8) if k < len(word)]
+        told += words.count(word) * any(f in model.telling for f in forms)
+    for feature in {f for w in words for f in [w] + [w[:k] + "*" for k in range(3, 8) if k < len(w)] if f in model.words}:
+        score += model.weights[model.words[feature]]
+    score += model.weights[-1] * (math.log1p(1000 * told / len(words)) if told else 0.0)
+    above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+    return sum(above), above[0]
+
+
+def test_scores_equal_brute_force(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.train(docs, labels)
+    some = docs.filter("doc_id % 7 = 0").select("doc_id", "text")
+    got = {r["doc_id"]: r for r in toxicity.score(some, model).collect()}
+    for r in some.collect():
+        severity, first = brute_severity(model, r["text"])
+        assert got[r["doc_id"]]["severity"] == pytest.approx(severity) and got[r["doc_id"]]["p_toxic"] == pytest.approx(first)
+
+
+def test_repeated_and_reordered_rows_give_the_same_model(spark, corpus):
+    docs, labels = corpus
+    labels = labels.filter("doc_id % 5 = 0")
+    once = toxicity.train(docs, labels, rows=60)
+    again = toxicity.train(docs.unionByName(docs).repartition(7), labels.unionByName(labels).repartition(3), rows=60)
+    assert once.words == again.words and (once.weights == again.weights).all() and (once.thresholds == again.thresholds).all()
+    hot = docs.filter("doc_id = 5").crossJoin(spark.range(500)).select(*docs.columns)  # one id, many times the bound
+    more = toxicity.train(docs.unionByName(hot), labels, rows=60)
+    assert more.words == once.words and (more.weights == once.weights).all()
+
+
+def test_toxicity_of_long_texts_and_other_columns(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.train(docs, labels)
+    long = "word " * 200_000
+    rows = spark.createDataFrame([(1, long + sorted(model.telling)[0].strip("*"), "mine", 5)], DOCS + ", severity string, grade int")
+    (r,) = toxicity.score(rows, model).collect()
+    assert r["severity"] == pytest.approx(brute_severity(model, long + sorted(model.telling)[0].strip("*"))[0]) and isinstance(r["severity"], float)
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "plain words"), (None, "x"), (3, "plain words")], DOCS)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -85,6 +155,49 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, only).collect()} == {"en", "und"}
 
 
+def test_letters_by_unicode_category(spark):
+    rows = [("²½", False), ("Ⅷ", False), ("\u0301\u0308", False), ("_9٣", False), ("ª", True), ("ʰ", True), ("日", True), ("\u0301a", True), ("𝒳", True)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], DOCS)
+    model = language_id.train(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour monde", "fr"), (3, "²½", "xx"), (4, "Ⅷ", "yy")], DOCS + ", lang string"))
+    assert model.languages == ("en", "fr")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert all((got[k] != "und") == letter for k, (_, letter) in enumerate(rows))
+    assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_decoding_equals_brute_force(spark, corpus):
+    docs = corpus[0].filter("doc_id % 11 = 0")
+    model = language_id.train(corpus[0])
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.collect():
+        x = language_id.features(r["text"])
+        losses = []
+        for i, _ in enumerate(model.languages):
+            loss = 0.0
+            for j in range(model.code.shape[1]):
+                loss += model.trust[i, j] * math.log1p(math.exp(-model.code[i, j] * (sum(x[k] * model.weights[k, j] for k in np.flatnonzero(x)) + model.bias[j])))
+            losses.append(loss)
+        best = min(range(len(losses)), key=lambda i: (losses[i], i))
+        assert got[r["doc_id"]]["lang_pred"] == model.languages[best]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(-4 * (v - losses[best])) for v in losses))
+
+
+def test_equal_losses_take_the_first_language():
+    code = language_id.codewords(3)
+    model = language_id.Model(("a", "b", "c"), code, np.zeros((language_id.BUCKETS, code.shape[1])), np.zeros(code.shape[1]), np.ones_like(code) / code.shape[1])
+    assert model.predict(language_id.features("text")) == (0, pytest.approx(1 / 3), True)
+
+
+def test_language_model_of_repeated_rows(spark, corpus):
+    docs = corpus[0].select("doc_id", "text", "lang")
+    once = language_id.train(docs, rows=80)
+    hot = docs.filter("doc_id = 3").crossJoin(spark.range(400)).select(*docs.columns)
+    again = language_id.train(docs.unionByName(docs).unionByName(hot).repartition(6), rows=80)
+    assert once.languages == again.languages and (once.weights == again.weights).all()
+    clash = corpus[0].limit(5).withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit("x"))
+    assert "mine" not in {r["lang_pred"] for r in language_id.predict(clash, once).collect()}
+
+
 def test_windows_do_not_change_features(monkeypatch):
     text = "Été! " + "abc déf gh" * 50
     whole = language_id.features(text)
@@ -112,13 +225,52 @@ def test_quality_on_labelled_rows(spark, corpus):
     assert judged.count() == docs.count()
 
 
-def test_posteriors_shrink_sparse_sites(spark):
+def test_priors_shrink_sparse_sites(spark):
     rows = [("big", "big/a", 0.9)] * 200 + [("big", "big/b", 0.8)] * 200 + [("bad", "bad/a", 0.1)] * 200 + [("one", "one/a", 0.0)] + [(None, None, 0.5)] * 3
     rows = [(h, p, v + 0.05 * (-1) ** i if 0 < v < 1 else v) for i, (h, p, v) in enumerate(rows)]
-    got = {r["path"]: r for r in site_quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-    mean = got["big/a"]["global_mean"]
-    assert abs(got["big/a"]["path_posterior"] - 0.9) < 0.02 and abs(got["bad/a"]["path_posterior"] - 0.1) < 0.02
-    assert 0.0 < got["one/a"]["path_posterior"] < mean and len(got) == 5
+    sums, priors = site_quality.site_sums(spark.createDataFrame(rows, "host string, path string, p double"))
+    row = F.struct("n", "s", "hn", "hs")
+    got = {r["path"]: r["prior"] for r in sums.withColumn("row", row).withColumn("prior", site_quality.path_prior(F.col("s") / F.col("n"), F.col("row"), priors)).collect()}
+    assert abs(got["big/a"] - 0.9) < 0.02 and abs(got["bad/a"] - 0.1) < 0.02 and len(got) == 5
+    assert got["one/a"] == pytest.approx(priors["mean"])  # alone on its site: its own evidence is no prior
+
+
+def test_classification_equals_brute_force(spark, corpus):
+    docs, labels = corpus
+    docs = queries.sites_of(docs).filter("doc_id % 4 = 1").withColumn("site_prior", F.lit("mine")).withColumn("row", F.lit(7)).withColumn("logit", F.lit(None))
+    rows = site_quality.classify(docs.unionByName(docs.limit(3)), labels).collect()
+    evidence = {}
+    for r in rows:
+        evidence.setdefault(r["host"], {}).setdefault(r["path"], []).append(r["p_document"])
+    every = [p for paths in evidence.values() for ps in paths.values() for p in ps]
+    n, mean = len(every), sum(every) / len(every)
+    hosts = {h: [p for ps in paths.values() for p in ps] for h, paths in evidence.items()}
+    paths = [ps for held in evidence.values() for ps in held.values()]
+    inside = max(1e-6, sum(sum(p * p for p in ps) - sum(ps) ** 2 / len(ps) for ps in paths) / max(1, n - len(paths)))
+
+    def worth(between, groups, over):
+        spread = (between / max(1, groups - over) - inside) / max(1, n / groups)
+        return min(1e6, max(1.0, inside / spread)) if spread > 0 else 1e6
+
+    squares = lambda groups: sum(sum(g) ** 2 / len(g) for g in groups)
+    host_worth = worth(squares(hosts.values()) - n * mean**2, len(hosts), 1)
+    path_worth = worth(squares(paths) - squares(hosts.values()), len(paths), len(hosts))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in rows:
+        p, host, path = r["p_document"], hosts[r["host"]], evidence[r["host"]][r["path"]]
+        above = (sum(host) - p + host_worth * mean) / (len(host) - 1 + host_worth)
+        prior = (sum(path) - p + path_worth * above) / (len(path) - 1 + path_worth)
+        assert r["site_prior"] == pytest.approx(prior, rel=1e-6)
+        moved = logit(p) + logit(prior) - logit(mean)
+        assert r["posterior"] == pytest.approx(1 / (1 + math.exp(-moved)), rel=1e-3, abs=1e-6) and r["accepted"] == (r["posterior"] >= 0.5)
+    assert all(r["row"] == 7 and r["logit"] is None for r in rows) and len(rows) == docs.count() + 3
+
+
+def test_quality_of_long_texts(spark, corpus):
+    docs, labels = corpus
+    long = spark.createDataFrame([(-1, "some words of a long text " * 40_000, "h", "h/p"), (-1, "x" * 1_000_000, None, None)], DOCS + ", host string, path string")
+    judged = site_quality.classify(queries.sites_of(docs).select("doc_id", "text", "host", "path").unionByName(long), labels, keep=["doc_id", "host"])
+    assert judged.columns[:2] == ["doc_id", "host"] and judged.filter("doc_id = -1 and accepted is not null").count() == 2
 
 
 def test_quality_edges(spark):
@@ -154,6 +306,12 @@ def test_round_trip_and_spans(spark, model):
                 assert raw[b:e].decode().replace(" ", "▁") == (piece[1:] if b == 0 and piece.startswith("▁") and raw[b:e].decode().replace(" ", "▁") != piece else piece)
 
 
+def test_encoding_keeps_other_columns(spark, model):
+    docs = spark.createDataFrame([(1, "a b c", "mine"), (1, "a b c", "mine")], DOCS + ", ids string")
+    assert [r["n_tokens"] for r in sentencepiece_codec.digest(docs, model).collect()] == [len(sentencepiece.SentencePieceProcessor(model_proto=model).encode("a b c"))] * 2
+    assert [r["n_tokens"] for r in sentencepiece_codec.encode(docs, model).collect()] == [len(sentencepiece.SentencePieceProcessor(model_proto=model).encode("a b c"))] * 2
+
+
 def test_digest_equals_encode(spark, model):
     import hashlib
 
