@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from eventscope.llm import jaccard, mixing, secrets, sentencepiece_codec, site_quality
-from eventscope.llm.common import materialize, packed, read_table
+from eventscope.llm.common import materialize, packed, read_table, unpacked
 from eventscope.llm.queries import sites_of, tokenizer_model
+from eventscope.sources.storage import release, written
 
 SEED = 8
 
@@ -19,7 +20,7 @@ SEED = 8
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical quality classifier rejects go."""
     judged = site_quality.classify(sites_of(packed(docs, "doc_id", "text", "source", "lang")), read_table(spark, sf_dir, "labels"))
-    return judged.filter("accepted").select("__row.*")
+    return unpacked(judged.filter("accepted"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are replaced by placeholders; no document goes."""
     cleaned = secrets.redact(secrets.scan(packed(docs, "doc_id", "text")))
-    return cleaned.select(cleaned["__row"].withField("text", cleaned["text"]).alias("__row")).select("__row.*")
+    return unpacked(cleaned, text=cleaned["text"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, mark = read_table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+        release(spark, mark, keep=1)  # all but this stage's result
     return docs
