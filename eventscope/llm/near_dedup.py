@@ -2,10 +2,13 @@
 
 A neighbour graph is started from random-projection buckets and refined by joining neighbours of
 neighbours: around every vector its neighbours, forward and reverse, meet and improve each other's
-lists.  A list whose last neighbour still passes the threshold is saturated and is enlarged.  Edges
-at or above the threshold give components; recall is audited against exact search for a bounded set
-of queries, and while it is short, more buckets and rounds are added.  Where that does not help, all
-vectors are compared exactly.
+lists.  A list whose last neighbour still passes the threshold is saturated and is enlarged.  Rounds
+end when few lists gain a neighbour at the threshold.  Edges at or above the threshold give
+components.
+
+Recall is audited against exact search for a bounded set of queries; links that the audit finds and
+the graph missed are added.  While recall is short, more buckets and rounds are added, and where that
+does not help, all vectors are compared exactly.
 
 A list that is saturated at its greatest length may lack links to other groups.  Such vectors are
 covered by cells of a bounded angle, and cells of different components are compared exactly wherever
@@ -34,20 +37,23 @@ logger = logging.getLogger(__name__)
 #: Neighbours of a list at the start, and at most after enlargement (``bridge`` finds what longer lists would).
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 64
 #: Random-projection trees of a start, vectors of a bucket on average, and vectors compared at a time.
-TREES, BUCKET, BLOCK = 8, 64, 256
-#: Vectors that are covered by cells at a time, and the slack of angles against rounding.
-COVER, SLACK = 2048, 1e-6
-#: Rounds of a pass end when at most this share of the lists changes; passes before all vectors are compared; the recall that the audit asks for.
-SETTLED, PASSES, RECALL = 0.01, 4, 0.995
-#: Queries of the audit: from all vectors, and from those outside large components.
-AUDIT_QUERIES, AUDIT_OUTSIDE = 256, 1024
+TREES, BUCKET, BLOCK = 16, 64, 256
+#: Vectors that are covered by cells or counted block against block at a time, and the slack of angles against rounding.
+COVER, COUNTED, SLACK = 2048, 1024, 1e-6
+#: Rounds of a pass end when at most this share of the lists gains a neighbour at the threshold; passes
+#: before all vectors are compared; the recall that the audit asks for.
+SETTLED, PASSES, RECALL = 0.005, 4, 0.995
+#: Queries of the audit: from all vectors, and from those outside large components; bytes of their vectors at most.
+AUDIT_QUERIES, AUDIT_OUTSIDE, AUDIT_BYTES = 512, 16_384, 16 << 20
 #: Trees are added to a start until a pair at the threshold has met in a bucket with this chance.
 MEET = 0.95
 
 
 def _matrix(table: pa.Table, name: str = "vec") -> np.ndarray:
+    """The vectors scaled to length 1, by their greatest component first, so that no square leaves the range of doubles."""
     lists = table.column(name).combine_chunks()
     x = np.asarray(lists.flatten(), dtype=np.float64).reshape(len(lists), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -62,14 +68,24 @@ def nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(keyed.drop("vec"), "vec-members"), materialize(made, "vec-nodes")
 
 
-def _best(edges: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """The nearest neighbours of each list: ``(src, dst, sim)``; ``limits`` (``src, k``) overrides the usual length."""
-    order = Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    unique = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    if limits is not None:
-        unique = unique.join(limits, "src", "left")
-    most = F.coalesce("k", F.lit(NEIGHBOURS)) if limits is not None else F.lit(NEIGHBOURS)
-    return unique.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("src", "dst", "sim")
+def _best(edges: DataFrame, threshold: float) -> DataFrame:
+    """The nearest neighbours of each list: ``(src, dst, sim, place, k, floor, full)``.
+
+    A list keeps as many as the ``k`` that its earlier rows carry, ``NEIGHBOURS`` without any.  ``k`` and
+    ``floor`` of the result hold for the next round: a saturated list (full, and all at the threshold or
+    above) is doubled, and only neighbours above ``floor`` can improve it.  ``full`` says that it is
+    saturated at its greatest length.
+    """
+    unique = edges.repartition("src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("k").alias("k"))
+    of, order = Window.partitionBy("src"), Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
+    held = unique.withColumns({"place": F.row_number().over(order), "k": F.coalesce(F.max("k").over(of), F.lit(NEIGHBOURS))}).filter("place <= k")
+    n, last = F.count("*").over(of).cast("int"), F.min("sim").over(of)
+    held = held.withColumns({"n": n, "last": last})
+    n, last = F.col("n"), F.col("last")
+    grown = (n >= NEIGHBOURS) & (last >= threshold)
+    longer = F.when(grown, F.least(n * 2, F.lit(MOST_NEIGHBOURS))).otherwise(F.greatest(n, F.lit(NEIGHBOURS)))
+    open_ = (grown & (n < MOST_NEIGHBOURS)) | (n < NEIGHBOURS)
+    return held.select("src", "dst", "sim", "place", longer.cast("int").alias("k"), F.when(open_, -2.0).otherwise(last).alias("floor"), (grown & (n >= MOST_NEIGHBOURS)).alias("full"))
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -131,41 +147,31 @@ def forest_edges(vectors: DataFrame, count: int, seed: int) -> DataFrame:
     return _group_and_compare(rows, ["tree", "dim", "code", "part"])
 
 
-def descend(vectors: DataFrame, lists: DataFrame, limits: DataFrame) -> DataFrame:
+def descend(vectors: DataFrame, lists: DataFrame) -> DataFrame:
     """One round: the neighbours of each vector, forward and reverse, are compared with each other.
 
-    ``limits`` has ``(src, k, floor)``.  Around a vector with many reverse neighbours they meet in
-    parts dealt by hash.
+    Around a vector with many reverse neighbours they meet in parts dealt by hash.
     """
     near = lists.select(F.col("src").alias("pivot"), F.col("dst").alias("rep"))
-    both = near.unionByName(near.select(F.col("rep").alias("pivot"), F.col("pivot").alias("rep"))).distinct()
+    both = near.unionByName(near.select(F.col("rep").alias("pivot"), F.col("pivot").alias("rep")))  # what comes twice counts once when compared
     sizes = both.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = both.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("rep", "pivot"), F.col("parts")).cast("int")).drop("parts")
-    own = vectors.select("rep", "vec").join(limits.withColumnRenamed("src", "rep"), "rep", "left")
+    limits = lists.filter("place = 1").select(F.col("src").alias("rep"), "k", "floor")
+    own = vectors.select("rep", "vec").join(limits, "rep", "left")
     own = own.withColumns({"k": F.coalesce("k", F.lit(NEIGHBOURS)), "floor": F.coalesce("floor", F.lit(-2.0))})
     return _group_and_compare(placed.join(own, "rep"), ["pivot", "part"])
 
 
-def _limits(lists: DataFrame, threshold: float) -> DataFrame:
-    """``(src, k, floor)``: saturated lists (all at the threshold or above, and full) are doubled."""
-    state = lists.groupBy("src").agg(F.count("*").cast("int").alias("n"), F.min("sim").alias("last"))
-    usual = F.greatest("n", F.lit(NEIGHBOURS))
-    full = (F.col("n") >= NEIGHBOURS) & (F.col("last") >= threshold)
-    longer = F.least(F.col("n") * 2, F.lit(MOST_NEIGHBOURS))
-    grows = full & (F.col("n") < MOST_NEIGHBOURS)
-    return state.select("src", F.when(full, F.greatest(longer, usual)).otherwise(usual).cast("int").alias("k"), F.when(grows | (F.col("n") < NEIGHBOURS), -2.0).otherwise(F.col("last")).alias("floor"))
-
-
-def _changed(lists: DataFrame, before: DataFrame, threshold: float) -> int:
-    """Lists with a new neighbour, but for those that were saturated before: ``bridge`` is exact for these."""
-    new = lists.join(before, ["src", "dst"], "left_anti").select(F.col("src").alias("rep")).distinct()
-    return new.join(saturated(before, threshold), "rep", "left_anti").count()
+def _gained(lists: DataFrame, before: DataFrame, threshold: float) -> int:
+    """Lists with a new neighbour at the threshold, but for those that were full before: ``bridge`` is exact for these."""
+    near = lists.filter(F.col("sim") >= threshold).select("src", "dst")
+    new = near.join(before.filter(F.col("sim") >= threshold).select("src", "dst"), ["src", "dst"], "left_anti").select(F.col("src").alias("rep")).distinct()
+    return new.join(saturated(before), "rep", "left_anti").count()
 
 
-def saturated(lists: DataFrame, threshold: float) -> DataFrame:
+def saturated(lists: DataFrame) -> DataFrame:
     """``rep`` of the vectors whose lists have their greatest length and lie at the threshold or above throughout."""
-    state = lists.groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("n"), F.min("sim").alias("last"))
-    return state.filter((F.col("n") >= MOST_NEIGHBOURS) & (F.col("last") >= threshold)).select("rep")
+    return lists.filter("place = 1 and full").select(F.col("src").alias("rep"))
 
 
 def _cells(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
@@ -256,45 +262,68 @@ def bridge(vectors: DataFrame, component: DataFrame, among: DataFrame, threshold
     return materialize(inside.join(merged, "component", "left").select("rep", F.coalesce("now", "component").alias("component")), "vec-components")
 
 
-def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> float:
-    """Mean share of a query's true links that lie inside its component, over the queries that have links.
+def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> tuple[float, DataFrame, int]:
+    """The mean share of a query's true links inside its component, over the queries that have links; the links missed; the number of queries.
 
     Every query weighs the same, whatever its number of links.  Queries are drawn by hash from all vectors
-    and, separately, from components no larger than a list, lest large groups hide the loss of small
-    ones; the lower of the two means counts.
+    and, separately and many more, from components no larger than a list, lest large groups hide the loss
+    of small ones; the lower of the two means counts.  Missed links come as pairs of components ``(src, dst)``.
     """
     sizes = component.groupBy("component").agg(F.count("*").alias("size"))
     labelled = vectors.select("rep", "dim", "vec").join(component.join(sizes, "component"), "rep", "left")
-    labelled = labelled.withColumns({"component": F.coalesce("component", "rep"), "size": F.coalesce("size", F.lit(1))})
+    labelled = materialize(labelled.withColumns({"component": F.coalesce("component", "rep"), "size": F.coalesce("size", F.lit(1))}), "vec-labelled")
+    widest = labelled.agg(F.max("dim")).first()[0] or 1
+    outside = min(AUDIT_OUTSIDE, max(AUDIT_QUERIES, AUDIT_BYTES // (8 * widest)))
     samples = [
-        labelled.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).collect(),
-        labelled.filter(F.col("size") <= MOST_NEIGHBOURS).orderBy(F.xxhash64(F.lit(1), "rep"), "rep").limit(AUDIT_OUTSIDE).collect(),
+        labelled.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).toArrow(),
+        labelled.filter(F.col("size") <= MOST_NEIGHBOURS).orderBy(F.xxhash64(F.lit(1), "rep"), "rep").limit(outside).toArrow(),
     ]
-    asked = [(k, row) for k, sample in enumerate(samples) for row in sample]
-    by_dim = {}
-    for dim in {row["dim"] for _, row in asked}:
-        at = [n for n, (_, row) in enumerate(asked) if row["dim"] == dim]
-        q = np.array([asked[n][1]["vec"] for n in at])
-        by_dim[dim] = np.array(at), *(np.array([asked[n][1][c] for n in at]) for c in ("rep", "component")), q / np.linalg.norm(q, axis=1, keepdims=True)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        true, found = np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=np.int64)
+    first, asked = samples[0].num_rows, pa.concat_tables(samples)
+    by_dim, dims = {}, asked.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        part = asked.take(pa.array(at))
+        by_dim[int(dim)] = at, part.column("rep").to_numpy(), part.column("component").to_numpy(), _matrix(part)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true, found = np.zeros(len(dims), dtype=np.int64), np.zeros(len(dims), dtype=np.int64)
         for batch in batches:
-            table, dims = pa.Table.from_batches([batch]), batch.column("dim").to_numpy()
-            for dim, (at, reps, components, q) in by_dim.items():
-                part = table.filter(pa.array(dims == dim))
-                if not part.num_rows:
-                    continue
-                hit = _matrix(part) @ q.T >= threshold
-                hit &= part.column("rep").to_numpy()[:, None] != reps
-                true[at] += hit.sum(0)
-                found[at] += (hit & (part.column("component").to_numpy()[:, None] == components)).sum(0)
+            for start in range(0, batch.num_rows, BLOCK):
+                table = pa.Table.from_batches([batch.slice(start, BLOCK)])
+                held = table.column("dim").to_numpy()
+                for dim, (at, reps, components, q) in by_dim.items():
+                    part = table.filter(pa.array(held == dim))
+                    if not part.num_rows:
+                        continue
+                    i, j = np.nonzero(_matrix(part) @ q.T >= threshold)
+                    other = part.column("rep").to_numpy()[i] != reps[j]
+                    i, j = i[other], j[other]
+                    mine = part.column("component").to_numpy()[i]
+                    same = mine == components[j]
+                    true += np.bincount(at[j], minlength=len(dims))
+                    found += np.bincount(at[j[same]], minlength=len(dims))
+                    lost = np.unique(np.stack([mine[~same], components[j[~same]]], axis=1), axis=0)
+                    if len(lost):
+                        blank = pa.array([None] * len(lost), pa.int64())
+                        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(lost[:, 0]), pa.array(lost[:, 1])], ["query", "t", "f", "src", "dst"])
         some = np.flatnonzero(true)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(found[some])], ["query", "t", "f"])
+        blank = pa.array([None] * len(some), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(found[some]), blank, blank], ["query", "t", "f", "src", "dst"])
+
+    told = materialize(labelled.select("rep", "dim", "vec", "component").mapInArrow(compare, "query bigint, t bigint, f bigint, src bigint, dst bigint"), "vec-audit")
+    rows = told.filter("query is not null").groupBy("query").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).toArrow()
+    share, query = rows.column("f").to_numpy() / rows.column("t").to_numpy(), rows.column("query").to_numpy()
+    means = [float(np.mean(part)) for part in (share[query < first], share[query >= first]) if len(part)]
+    logger.info("audit: %d of %d queries have links, mean shares %s", len(share), len(dims), means)
+    return min(means, default=1.0), told.filter("src is not null").select("src", "dst").distinct(), len(np.unique(asked.column("rep").to_numpy()))
 
-    rows = labelled.select("rep", "dim", "vec", "component").mapInArrow(count, "query bigint, t bigint, f bigint").groupBy("query").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).collect()
-    shares = [[r["f"] / r["t"] for r in rows if asked[r["query"]][0] == k] for k in range(len(samples))]
-    return float(min((np.mean(share) for share in shares if share), default=1.0))
+
+def _merged(component: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``component`` (``rep, component``) after the components of each pair have become one; lone vectors are their own."""
+    joined = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    alone = joined.join(component.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("rep"), F.col("now").alias("component"))
+    moved = component.join(joined, "component", "left").select("rep", F.coalesce("now", "component").alias("component"))
+    return materialize(moved.unionByName(alone), "vec-components")
 
 
 def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
@@ -309,7 +338,7 @@ def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) ->
             out = [(rep[a], hit @ copies[b])] + ([(rep[b], hit.T @ copies[a])] if left != right else [])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r for r, _ in out])), pa.array(np.concatenate([c for _, c in out]))], ["rep", "links"])
 
-    sizes = component.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = component.groupBy("component").agg(F.ceil(F.count("*") / COUNTED).cast("int").alias("blocks"))
     dealt = component.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     held = vectors.select("rep", "dim", "copies", "vec").join(dealt, "rep")
     paired = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -319,30 +348,37 @@ def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) ->
 
 
 def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, float]:
-    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and the audited recall (1.0 after a comparison of all vectors).
+    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and the audited recall.
+
+    The recall is that of the last pass before the audit's own links were added, and 1.0 where all vectors
+    were compared.  While it is below ``RECALL``, up to ``PASSES`` passes add buckets and rounds; then all
+    vectors are compared.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other.  Repeated rows of one ``vec_id`` and vector count once
-    as a partner; a null ``vec_id`` has no component and is not kept.
+    as a partner; a null ``vec_id`` has no component and is not kept.  Other columns are not looked at.
     """
     members, vectors = nodes(embeddings)
     count = vectors.count()
     lists, recall, forests = None, 0.0, starts(count, threshold)
     for turn in range(PASSES):
         for forest in range(forests):
-            fresh = forest_edges(vectors, count, seed=turn * forests + forest)
-            lists = materialize(_best(fresh if lists is None else lists.unionByName(fresh), None if lists is None else _limits(lists, threshold)), "vec-lists")
-        changed = count
-        while changed > SETTLED * count:
-            limits = materialize(_limits(lists, threshold), "vec-limits")
-            better = descend(vectors, lists, limits)
-            before, lists = lists, materialize(_best(lists.unionByName(better), limits.select("src", "k")), "vec-lists")
-            changed = _changed(lists, before, threshold)
+            fresh = forest_edges(vectors, count, seed=turn * forests + forest).withColumn("k", F.lit(None).cast("int"))
+            lists = materialize(_best(fresh if lists is None else lists.select("src", "dst", "sim", "k").unionByName(fresh), threshold), "vec-lists")
+        gained = count
+        while gained > SETTLED * count:
+            better = descend(vectors, lists).withColumn("k", F.lit(None).cast("int"))
+            before, lists = lists, materialize(_best(lists.select("src", "dst", "sim", "k").unionByName(better), threshold), "vec-lists")
+            gained = _gained(lists, before, threshold)
         near = lists.filter(F.col("sim") >= threshold)
         component = connected_components(near).withColumnRenamed("node", "rep")
-        component = bridge(vectors, component, materialize(saturated(lists, threshold), "vec-saturated"), threshold)
-        recall = audit(vectors, component, threshold)
-        logger.info("near copies of %d vectors: audited recall %.4f in pass %d", count, recall, turn + 1)
+        component = bridge(vectors, component, materialize(saturated(lists), "vec-saturated"), threshold)
+        recall, missed, queries = audit(vectors, component, threshold)
+        logger.info("near copies of %d vectors: audited recall %.4f over %d queries in pass %d", count, recall, queries, turn + 1)
+        if not missed.isEmpty():
+            component = _merged(component, missed)
+        if queries == count:  # every vector was compared with every other
+            recall = 1.0
         if recall >= RECALL:
             break
     else:
@@ -350,8 +386,9 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
         component, recall = bridge(vectors, component, vectors.select("rep"), threshold), 1.0
     links = _count_links(vectors, component, threshold)
     own = vectors.select("k1", "k2", "dim", "rep", "copies").join(component, "rep", "left").join(links, "rep", "left")
-    joined = members.join(own, ["k1", "k2", "dim"], "left")
+    found = members.filter("k1 is not null").join(own, ["k1", "k2", "dim"], "left")
     n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)))
     component_id = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
-    made = joined.select("vec_id", n_links.cast("long").alias("n_links"), component_id.alias("component_id"))
-    return made.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall
+    made = found.select("vec_id", n_links.cast("long").alias("n_links"), component_id.alias("component_id"))
+    unusable = members.filter("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return made.unionByName(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall

@@ -62,7 +62,8 @@ def tokenizer_model(path: str | None = None) -> bytes:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.link(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))[0]
+    found, recall = near_dedup.link(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumn("recall", F.lit(recall))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,7 +197,7 @@ _EMBEDDING_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::
       r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
       c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
       n AS (SELECT x, count(DISTINCT y) AS n FROM l GROUP BY x)
-      SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+      SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept, 1.0::DOUBLE AS recall FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
