@@ -11,19 +11,28 @@ lists still must match:
   l - h tokens or more in short lists.  If that is 1 at least, the document is settled: its partners
   are found in short lists alone, and only pairs that share the required number are kept.
 * The others go on to the next level: among themselves, with a longer prefix and more required matches.
-* What no level settles (near copies in large families) is tied together by one star per list.
+* What no level settles (near copies in large families, and texts that are mostly passages of many
+  others) orders its whole set by rising frequency.  Any order of tokens will do for the least prefix,
+  so only documents that share one of their rarest tokens are tied together, by one star per list.
 
 Candidates make families, and each family is compared exactly in blocks of bounded size; a block
-returns a spanning forest of its links, never all pairs.  Exact copies are one set from the start.
+returns a spanning forest of its links, never all pairs.  Documents meet only where their sizes allow a
+link.  In a large family each document is first compared with a few centres; those that link with one
+are of its component already and need no comparison with each other, so that a family of near copies
+costs its size, not its square.  Exact copies are one set from the start.
+
+Tokens that a sample shows to be very frequent are dealt out by document, not by token alone, and count as
+long lists.  Which tokens these are changes the work, never the result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventscope.llm.common import join_small_or_large, let, materialize, whole_text, words
@@ -33,10 +42,14 @@ from eventscope.operators.components import connected_components
 LONG_LIST = 64
 #: Extra prefix tokens by level, as a share of the set; the last level takes whole sets.
 LEVELS = (0.05, 0.3, 1.0)
-#: Documents of one side of a block, and columns of its matrix at a time.
-BLOCK, COLUMNS = 256, 16_384
-#: Keys are broadcast up to this many rows, else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Documents and tokens of one side of a block on average, and columns of its matrix at a time.
+BLOCK, BLOCK_TOKENS, COLUMNS = 256, 1_000_000, 16_384
+#: Families of more documents have centres, so many for each class of sizes.
+LARGE_FAMILY, CENTRES = 1_024, 16
+#: Sets in the sample that shows very frequent tokens, sets of it that hold one at least, such tokens at most, and parts they are dealt to.
+HOT_SAMPLE, HOT_LEAST, HOT_TOKENS, HOT_PARTS = 50_000, 50, 100_000, 64
+#: Keys are broadcast up to this many rows (about 16 MB), else joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -66,11 +79,22 @@ def _prefix_size(n: Column, percent: int, share: float) -> Column:
     return n - _least_overlap(n, percent) + _extra(n, percent, share)
 
 
-def _level(prefixes: DataFrame, percent: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hot_tokens(sets: DataFrame, key: str) -> DataFrame:
+    """``(token, hot)`` of the most frequent prefix tokens in a sample of sets, dealt by their ``key``; a bounded table."""
+    share = min(1.0, HOT_SAMPLE / max(1, sets.count()))
+    sample = sets.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < max(1, int(share * 1_000_000))).dropDuplicates([key])
+    counted = sample.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT_LEAST)
+    return materialize(counted.orderBy(F.col("c").desc(), "token").limit(HOT_TOKENS).select("token", F.lit(True).alias("hot")), "jaccard-hot")
+
+
+def _level(prefixes: DataFrame, hot: DataFrame, percent: int, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One level over ``(rep, n, prefix)``: candidate pairs, unsettled ``rep``s, and postings of shared tokens."""
-    held = prefixes.select("rep", "n", F.explode("prefix").alias("token")).repartition("token")
-    counted = held.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = materialize(held.join(counted.hint("shuffle_hash"), "token"), "jaccard-postings")
+    held = prefixes.select("rep", "n", F.explode("prefix").alias("token")).join(F.broadcast(hot), "token", "left")  # HOT_TOKENS rows at most
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(HOT_PARTS)).cast("int")).otherwise(0)
+    held = held.withColumn("part", part).repartition("token", "part")
+    counted = held.groupBy("token", "part").agg(F.count("*").alias("df"), F.max("hot").alias("any_hot")).filter("df > 1 or any_hot").drop("any_hot")
+    joined = held.join(counted.hint("shuffle_hash"), ["token", "part"])
+    shared = materialize(joined.select("token", "rep", "n", F.when(F.col("hot"), F.lit(2**62)).otherwise(F.col("df")).alias("df")), "jaccard-postings")
     long = shared.groupBy("rep", "n").agg(F.count_if(F.col("df") > LONG_LIST).cast("int").alias("h"))
     # a partner has percent % of the tokens at least; its l counts if it is smaller
     sure = _extra(_least_overlap(F.col("n"), percent), percent, share)
@@ -94,11 +118,18 @@ def _level(prefixes: DataFrame, percent: int, share: float) -> tuple[DataFrame,
     return materialize(pairs.select("x", "y"), "jaccard-pairs"), state.filter(~F.col("settled")).select("rep", "n"), shared
 
 
-def _stars(shared: DataFrame, left: DataFrame) -> DataFrame:
-    """Edges from the first unsettled document of each list to its others."""
-    held = shared.join(left, ["rep", "n"], "left_semi").select("token", "rep")
-    first = held.groupBy("token").agg(F.min("rep").alias("x"))
-    return held.join(first, "token").filter("x < rep").select("x", F.col("rep").alias("y")).distinct()
+def _stars(shared: DataFrame, left: DataFrame, percent: int) -> DataFrame:
+    """Edges from the first to the other unsettled documents of each list, over the least prefixes by rising frequency.
+
+    ``shared`` has the whole sets but for tokens of one document, which are the rarest of all.
+    """
+    held = shared.join(left, ["rep", "n"], "left_semi")
+    of = Window.partitionBy("rep", "n")  # a document's own tokens
+    placed = held.withColumns({"place": F.row_number().over(of.orderBy("df", "token")), "m": F.count("*").over(of)})
+    alone = F.col("n") - F.col("m")
+    prefix = placed.filter(F.col("place") + alone <= F.col("n") - _least_overlap(F.col("n"), percent) + 1).select("token", "rep")
+    first = prefix.groupBy("token").agg(F.min("rep").alias("x"))
+    return prefix.join(first, "token").filter("x < rep").select("x", F.col("rep").alias("y")).distinct()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -108,7 +139,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         sets = batch.column("tokens")
         values, offsets = np.asarray(sets.values), np.asarray(sets.offsets)
         keys = list(zip(*[batch.column(c).to_pylist() for c in ("family", "left", "right")], strict=True))
-        for k, (rep, side) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+        for k, (rep, side) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("mine").to_pylist(), strict=True)):
             if keys[k] != key:
                 if rows:
                     yield _links(key, rows, percent)
@@ -163,20 +194,21 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     )
     members = materialize(hashed, "jaccard-sets")
     classes = members.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    prefixes = classes.select("rep", "n", "prefix")
+    prefixes, hot = classes.select("rep", "n", "prefix"), _hot_tokens(members.filter("n > 0"), "k1")
     edges = None
     for k, share in enumerate(LEVELS):
-        pairs, left, shared = _level(prefixes, percent, share)
+        pairs, left, shared = _level(prefixes, hot, percent, share)
         edges = pairs if edges is None else edges.unionByName(pairs)
         last = k + 1 == len(LEVELS)
         if last or left.isEmpty():
             break
         prefixes = materialize(_sets_of(text, left, size).withColumn("prefix", F.slice("tokens", 1, _prefix_size(F.col("n"), percent, LEVELS[k + 1]))).drop("tokens"), "jaccard-prefixes")
+        hot = _hot_tokens(prefixes, "rep")
     if last:
-        edges = edges.unionByName(_stars(shared, left))
+        edges = edges.unionByName(_stars(shared, left, percent))
     family = connected_components(edges, "x", "y").withColumnsRenamed({"node": "rep", "component": "family"})
-    links = materialize(_compare(text, materialize(family, "jaccard-families"), size, percent), "jaccard-links")
-    component = connected_components(links).withColumnsRenamed({"node": "rep"})
+    family = materialize(_sets_of(text, family, size), "jaccard-families")
+    component = connected_components(_compare(family, percent)).withColumnsRenamed({"node": "rep"})
     found = members.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     return members.drop("prefix"), found.join(component, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
 
@@ -191,19 +223,57 @@ def _sets_of(text: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return wide.drop("text").withColumnRenamed("doc_id", "rep").withColumn("n", F.size("tokens"))
 
 
-def _compare(text: DataFrame, family: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links inside families, compared block against block."""
-    sizes = family.groupBy("family").agg(F.count("*").alias("m"))
-    slots = family.join(sizes, "family").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    # hash-dealt blocks hold BLOCK documents on average
-    dealt = slots.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("rep", "family", "block", "blocks")
-    held = _sets_of(text, dealt, size)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = held.withColumn("other", other).select(
-        "rep", "block", "tokens", "family", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")
-    )
-    sorted_ = paired.repartition("family", "left", "right").sortWithinPartitions("family", "left", "right")
-    return sorted_.mapInArrow(lambda it: _blocks(it, percent), "src bigint, dst bigint")
+def _dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (``family, bucket, grp, ...``) with a ``block`` each, and the number of blocks of each ``family, bucket, grp``."""
+    keys = ["family", "bucket", "grp"]
+    enough = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)
+    sizes = materialize(docs.groupBy(*keys).agg(F.ceil(enough).cast("int").alias("blocks")), "jaccard-blocks")
+    dealt = docs.join(sizes, keys)  # blocks are dealt by hash and hold BLOCK documents on average
+    return dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks"), sizes
+
+
+_NAME = ("bucket", "grp", "block")
+
+
+def _met(rows: DataFrame, percent: int) -> DataFrame:
+    """Links inside each ``family, left, right`` of ``rows`` between documents whose block ``mine`` is the one or the other."""
+    keys = ["family", "left", "right"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _blocks(it, percent), "src bigint, dst bigint")
+
+
+def _centre_links(docs: DataFrame, percent: int) -> DataFrame:
+    """Links of each document with the centres of its family and bucket: the ``CENTRES`` first by hash."""
+    dealt, sizes = _dealt(docs)
+    order = Window.partitionBy("family", "bucket").orderBy(F.xxhash64("rep"), "rep")
+    centres = docs.select("family", "bucket", "rep").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= CENTRES).select("rep")
+    named = materialize(centres, "jaccard-centres")
+    sent = join_small_or_large(docs, named, "rep", "left_semi", BROADCAST_ROWS).join(sizes, ["family", "bucket", "grp"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    block = F.concat_ws(":", "bucket", "block")
+    rows = [side.select("family", "rep", "tokens", block.alias("left"), F.lit("centres").alias("right"), mine.alias("mine")) for side, mine in ((dealt, block), (sent, F.lit("centres")))]
+    return _met(rows[0].unionByName(rows[1]), percent)
+
+
+def _compare(family: DataFrame, percent: int) -> DataFrame:
+    """Spanning links of the families in ``(rep, family, n, tokens)``, compared block against block.
+
+    A large family is split by size: two sets link only in the same or the next bucket.  Documents of one
+    ``grp`` are of one component through links with centres; -1 stands for none.
+    """
+    m = family.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    large = (F.col("m") > LARGE_FAMILY) | (F.col("all") > 4 * BLOCK_TOKENS)
+    width = F.lit(math.log(100 / percent) * 1.001) if percent < 100 else F.lit(1e-3)
+    docs = family.join(m, "family").withColumn("bucket", F.when(large, F.floor(F.log("n") / width)).otherwise(-1).cast("int")).drop("m", "all")
+    centred = materialize(_centre_links(docs.filter("bucket >= 0").withColumn("grp", F.lit(-1).cast("long")), percent), "jaccard-centred")
+    grouped = connected_components(centred).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    docs = docs.join(grouped, "rep", "left").withColumn("grp", F.coalesce("grp", F.lit(-1).cast("long")))
+    dealt, sizes = _dealt(docs)
+    others = sizes.select("family", *[F.col(c).alias(f"other_{c}") for c in ("bucket", "grp", "blocks")])
+    known = (F.col("grp") == F.col("other_grp")) & (F.col("grp") >= 0)
+    pairs = sizes.drop("blocks").join(others, "family").filter((F.abs(F.col("bucket") - F.col("other_bucket")) <= 1) & ~known)
+    wide = dealt.join(pairs, ["family", "bucket", "grp"]).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    mine, other = F.concat_ws(":", *_NAME), F.concat_ws(":", *[f"other_{c}" for c in _NAME])
+    rows = wide.select("family", "rep", "tokens", F.least(mine, other).alias("left"), F.greatest(mine, other).alias("right"), mine.alias("mine"))
+    return centred.unionByName(materialize(_met(rows, percent), "jaccard-links"))
 
 
 def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

@@ -71,10 +71,13 @@ def family_rows(seed=1, families=12, unique=60):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("long_list", "size", "percent"), [(64, 4, 85), (4, 4, 85), (1, 5, 80)])
-def test_components_equal_brute_force(spark, monkeypatch, long_list, size, percent):
+@pytest.mark.parametrize(("long_list", "size", "percent", "large", "hot"), [(64, 4, 85, 1024, 50), (4, 4, 85, 8, 10), (1, 5, 80, 4, 2)])
+def test_components_equal_brute_force(spark, monkeypatch, long_list, size, percent, large, hot):
     monkeypatch.setattr(jaccard, "LONG_LIST", long_list)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "LARGE_FAMILY", large)
+    monkeypatch.setattr(jaccard, "CENTRES", 2)
+    monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
     rows = family_rows() + [(5000, None), (5001, ""), (5002, "One two"), (5003, "one TWO"), (5004, "one"), (5005, " ")]
     want, sets = brute_components(rows, size, percent)
     got = jaccard.components(spark.createDataFrame(rows, DOCS), size, percent).collect()
@@ -82,6 +85,32 @@ def test_components_equal_brute_force(spark, monkeypatch, long_list, size, perce
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(s[0]) for i, s in sets.items()}
 
 
+def test_common_passages_tie_nothing_together(spark, monkeypatch):
+    """Texts that are mostly one passage of all, but differ in the rest, are candidates of few others."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(120)]
+    rows = [(k, " ".join(passage + [word() for _ in range(30)])) for k in range(1500)]
+    rows += [(2000 + k, rows[k][1] + " one") for k in range(5)]
+    seen = []
+    compare = jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda family, percent: seen.append(family.count()) or compare(family, percent))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {k: k - 2000 if k >= 2000 else k for k, _ in rows}
+    assert seen == [10]
+
+
+def test_long_texts(spark):
+    rng = random.Random(7)
+    long = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    other = list(long)
+    for k in range(0, 60_000, 500):
+        other[k] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:40_000])), (4, "x" * 500_000)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1][0] == len(shingles(rows[0][1], 4))
+
+
 def test_repeated_ids_null_ids_and_empty_tables(spark):
     text = "a b c d e f g h i j"
     rows = [(1, text), (1, text), (2, "other words that are not the same at all"), (2, text), (None, text), (3, None)]
@@ -160,7 +189,8 @@ def test_audit_sees_small_groups(spark):
     pairs = [v.tolist() for x in rng.normal(0, 1, (30, 16)) for v in (x, x + rng.normal(0, 0.02, 16))]
     rows = [(k, 16, v) for k, v in enumerate(hot + pairs)]
     component = spark.createDataFrame([(k, 0) for k in range(400)], "rep long, component long")
-    assert near_dedup.audit(spark.createDataFrame(rows, "rep long, dim int, vec array<double>"), component, 0.9) < 0.1
+    recall, missed, _ = near_dedup.audit(spark.createDataFrame(rows, "rep long, dim int, vec array<double>"), component, 0.9)
+    assert recall < 0.1 and missed.count() >= 30
 
 
 def test_trees_grow_with_the_table():
@@ -176,7 +206,9 @@ def test_short_recall_ends_in_exact_search(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     monkeypatch.setattr(near_dedup, "TREES", 1)
     monkeypatch.setattr(near_dedup, "PASSES", 1)
-    monkeypatch.setattr(near_dedup, "descend", lambda vectors, lists, limits: lists.limit(0))
+    monkeypatch.setattr(near_dedup, "AUDIT_QUERIES", 16)
+    monkeypatch.setattr(near_dedup, "AUDIT_OUTSIDE", 16)
+    monkeypatch.setattr(near_dedup, "descend", lambda vectors, lists: lists.select("src", "dst", "sim").limit(0))
     want, count = brute_vectors(rows)
     made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {r["vec_id"]: r for r in made.collect()}
@@ -185,6 +217,38 @@ def test_short_recall_ends_in_exact_search(spark, monkeypatch):
     assert {i: r["n_links"] for i, r in got.items()} == count
 
 
+def test_links_among_many_unlinked_vectors(spark):
+    # few vectors have a link, so that a small audit would meet none
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 1, (8_000, 14))
+    x[:40] = x[40:80] + rng.normal(0, 0.1, (40, 14))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    count = (unit @ unit.T >= 0.9).sum(1) - 1
+    made, recall = near_dedup.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r["n_links"] for r in made.collect()}
+    assert recall >= near_dedup.RECALL and sum(count > 0) > 80
+    assert sum(got[k] > 0 for k in got) == sum(count > 0)
+
+
+def test_passes_follow_a_short_first_pass(spark, monkeypatch, caplog):
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(v.tolist() for x in rng.normal(0, 1, (300, 24)) for v in (x, x + rng.normal(0, 0.25, 24))))
+    for name, value in {"BLOCK": 4, "BUCKET": 4, "TREES": 1, "MEET": 0.05, "NEIGHBOURS": 2, "AUDIT_QUERIES": 64, "AUDIT_OUTSIDE": 128}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    want, count = brute_vectors(rows)
+    with caplog.at_level("INFO", logger=near_dedup.logger.name):
+        made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert "in pass 2" in caplog.text and recall >= near_dedup.RECALL
+    got = {r["vec_id"]: r for r in made.collect()}
+    assert np.mean([got[i]["n_links"] == n for i, n in count.items() if n]) >= 0.9
+
+
+def test_very_long_and_very_short_vectors(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1e-200, -2e-200]), (4, [1e308, 1e308])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 1)}
+
+
 def test_vectors_edges(spark):
     rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None)]
     got = sorted((str(r["vec_id"]), r["n_links"], r["kept"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect())
