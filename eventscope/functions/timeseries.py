@@ -7,12 +7,18 @@ values are nulls; a spread of zero gives null, never infinity.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 Name = str | Column
+#: ``step(state, values) -> (state, results)``; the state is None before the first row of a series.
+Step = Callable[[Any, tuple], tuple[Any, tuple]]
 
 
 def series(keys: Sequence[str], time: str) -> WindowSpec:
@@ -63,18 +69,6 @@ def past_seasonal_z(x: Name, keys: Sequence[str], time: str, min_periods: int =
     return F.when(F.count(v).over(w) >= min_periods, z)
 
 
-def past_pct_rank(x: Name, keys: Sequence[str], time: str, min_periods: int = 52) -> Column:
-    """Share (in %) of strictly earlier values at or below the current one.
-
-    Needs ``min_periods`` earlier rows and as many earlier non-null values.  The earlier values of a row
-    are collected, so series should have some thousands of rows at most; ``pct_rank_long`` has no such limit.
-    """
-    w, v = past(keys, time), _col(x)
-    earlier = F.collect_list(v).over(w)
-    enough = (F.row_number().over(series(keys, time)) > min_periods) & (F.size(earlier) >= min_periods) & v.isNotNull()
-    return F.when(enough, F.zip_with(F.array(v), F.array(earlier), lambda a, h: F.size(F.filter(h, lambda e: e <= a)) * 100.0 / F.size(h))[0])
-
-
 def robust_z(df: DataFrame, x: str, keys: Sequence[str], time: str, rows: int = 52, min_periods: int = 26, out: str = "robust_z") -> DataFrame:
     """Distance from the rolling median in rolling MADs (times 1.4826), where each row's deviation is from its own median."""
     w = series(keys, time).rowsBetween(-(rows - 1), 0)
@@ -115,7 +109,8 @@ def step_change(x: Name, keys: Sequence[str], time: str) -> Column:
 
 
 def suffix_min(x: Name, keys: Sequence[str], time: str) -> Column:
-    return F.min(_col(x)).over(series(keys, time).rowsBetween(0, Window.unboundedFollowing))
+    """Smallest value from the row on: a running minimum over the series read backwards."""
+    return F.min(_col(x)).over(Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, 0))
 
 
 def gap_days(keys: Sequence[str], time: str) -> Column:
@@ -127,102 +122,99 @@ def week_ending_sunday(date: Name) -> Column:
     return F.next_day(F.date_sub(_col(date), 1), "Sun")
 
 
-def pct_rank_long(df: DataFrame, x: str, keys: Sequence[str], time: str, out: str, min_periods: int = 52) -> DataFrame:
-    """``past_pct_rank`` for long series: one sorted buffer per series in an Arrow group."""
-    import bisect
+def fold(df: DataFrame, keys: Sequence[str], time: str, inputs: Sequence[str], start: Callable[[], Any], step: Step, out: Sequence[str]) -> DataFrame:
+    """``df`` with the results of an ordered recursion: ``step(state, values) -> (state, results)`` on each row of a series.
 
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField(out, DoubleType())])
-
-    def rank(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(time, kind="stable")
-        seen: list[float] = []
-        ranks = []
-        for place, value in enumerate(group[x]):
-            known = not pd.isna(value)
-            enough = known and place >= min_periods and len(seen) >= min_periods
-            ranks.append(100.0 * bisect.bisect_right(seen, value) / len(seen) if enough else None)
-            if known:
-                bisect.insort(seen, value)
-        return group.assign(**{out: pd.Series(ranks, index=group.index, dtype="float64")})
-
-    return df.groupBy(*keys).applyInPandas(rank, schema)
+    Rows are sorted by key and time within partitions and go through in Arrow batches with the state of the
+    running series, so a series of any length takes the memory of one batch (and of its state); its rows
+    follow each other in one task, as a recursion asks.  Missing values, NaN too, come as None.
+    """
+    schema = StructType([*[f for f in df.schema.fields if f.name not in out], *[StructField(o, DoubleType()) for o in out]])
+    kept = [f.name for f in schema.fields[: -len(out)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            ids = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
+            values = zip(*[[None if v is None or v != v else v for v in batch.column(c).to_pylist()] for c in inputs], strict=True)
+            results = []
+            for key, row in zip(ids, values, strict=True):
+                if key != last:
+                    last, state = key, start()
+                state, made = step(state, row)
+                results.append(made)
+            columns = zip(*results, strict=True) if results else [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c, pa.float64()) for c in columns]], [*kept, *out])
+
+    dealt = df.select(*kept)
+    dealt = dealt.repartition(*keys) if keys else dealt.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, time).mapInArrow(run, schema)
+
+
+def ewma_step(alpha: float) -> Step:
+    def step(y: float | None, row: tuple) -> tuple[float | None, tuple]:
+        (v,) = row
+        y = y if v is None else v if y is None else alpha * v + (1 - alpha) * y
+        return y, (y,)
 
+    return step
 
-def fold(df: DataFrame, keys: Sequence[str], time: str, x: str, start: Column, step, out: str) -> DataFrame:
-    """An ordered recursion: ``step(state, value)`` gives the next state, whose field ``y`` is the result of a row.
 
-    The series of a key is folded as one array and each step copies what came before, so this is for
-    series of some ten thousand points; ``fold_long`` takes longer ones.
-    """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(x).alias("x"))))
-    grouped = df.groupBy(*keys).agg(rows.alias("__rows"))
-    state = F.struct(start.alias("s"), F.array().cast("array<double>").alias("ys"))
+def cusum_step(k: float, h: float) -> Step:
+    def step(total: float | None, row: tuple) -> tuple[float, tuple]:
+        (v,) = row
+        total = 0.0 if v is None else max(0.0, (total or 0.0) + v - k)
+        fires = v is not None and total >= h
+        return (0.0 if fires else total), (float(fires),)
 
-    def merge(acc: Column, row: Column) -> Column:
-        return F.zip_with(F.array(step(acc["s"], row["x"])), F.array(acc["ys"]), lambda s, ys: F.struct(s.alias("s"), F.concat(ys, F.array(s["y"])).alias("ys")))[0]
+    return step
 
-    folded = grouped.withColumn("__ys", F.aggregate("__rows", state, merge, lambda acc: acc["ys"]))
-    zipped = F.explode(F.arrays_zip(F.col("__rows"), F.col("__ys")))
-    return folded.select(*keys, zipped.alias("z")).select(*keys, F.col("z.__rows.t").alias(time), F.col("z.__rows.x").alias(x), F.col("z.__ys").alias(out))
 
+def rank_step(min_periods: int) -> Step:
+    def step(state: tuple[int, list] | None, row: tuple) -> tuple[tuple[int, list], tuple]:
+        place, seen = state or (0, [])
+        (v,) = row
+        enough = v is not None and place >= min_periods and len(seen) >= min_periods
+        rank = 100.0 * bisect_right(seen, v) / len(seen) if enough else None
+        if v is not None:
+            insort(seen, v)
+        return (place + 1, seen), (rank,)
 
-def fold_long(df: DataFrame, keys: Sequence[str], time: str, x: str, start, step, out: str) -> DataFrame:
-    """Like ``fold`` with a Python ``step(state, value) -> (state, y)``: one pass over each series in an Arrow group."""
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    return step
 
-    schema = StructType([*[df.schema[c] for c in (*keys, time, x)], StructField(out, DoubleType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group, state, ys = group.sort_values(time, kind="stable"), start, []
-        for v in group[x]:
-            state, y = step(state, None if pd.isna(v) else float(v))
-            ys.append(y)
-        return group.assign(**{out: pd.Series(ys, index=group.index, dtype="float64")})
+def side_by_side(steps: Sequence[Step]) -> Step:
+    """One step that runs several, each on its own input, in one pass."""
 
-    return df.select(*keys, time, x).groupBy(*keys).applyInPandas(run, schema)
+    def step(states: tuple | None, row: tuple) -> tuple[tuple, tuple]:
+        done = [s(state, (v,)) for s, state, v in zip(steps, states or [None] * len(steps), row, strict=True)]
+        return tuple(d[0] for d in done), tuple(d[1][0] for d in done)
 
+    return step
 
-def ewma_long(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float, out: str = "ewma") -> DataFrame:
-    def step(y, v):
-        y = y if v is None else v if y is None else alpha * v + (1 - alpha) * y
-        return y, y
 
-    return fold_long(df, keys, time, x, None, step, out)
+def fold_each(df: DataFrame, keys: Sequence[str], time: str, made: dict[str, tuple[str, Step]]) -> DataFrame:
+    """``df`` with one column per entry ``out: (input, step)``, all in one pass over the series."""
+    return fold(df, keys, time, [x for x, _ in made.values()], lambda: None, side_by_side([s for _, s in made.values()]), list(made))
 
 
-def cusum_long(df: DataFrame, keys: Sequence[str], time: str, z: str, k: float, h: float, out: str = "alert") -> DataFrame:
-    def step(c, v):
-        total = 0.0 if v is None else max(0.0, c + v - k)
-        fires = v is not None and total >= h
-        return (0.0 if fires else total), float(fires)
+def past_pct_rank(df: DataFrame, x: str, keys: Sequence[str], time: str, min_periods: int = 52, out: str = "pct_rank") -> DataFrame:
+    """Add the share (in %) of strictly earlier values at or below the current one.
 
-    return fold_long(df, keys, time, z, 0.0, step, out)
+    Needs ``min_periods`` earlier rows and as many earlier non-null values.  The earlier values of a series
+    are kept in order in the memory of its task (8 bytes each).
+    """
+    return fold_each(df, keys, time, {out: (x, rank_step(min_periods))})
 
 
 def ewma(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float, out: str = "ewma") -> DataFrame:
-    """Exponentially weighted mean without adjustment; a missing value carries the state on."""
-    none = F.lit(None).cast("double")
-
-    def step(s: Column, v: Column) -> Column:
-        return F.struct(F.when(v.isNull(), s["y"]).when(s["y"].isNull(), v).otherwise(alpha * v + (1 - alpha) * s["y"]).alias("y"))
-
-    return fold(df, keys, time, x, F.struct(none.alias("y")), step, out)
+    """Add the exponentially weighted mean without adjustment; a missing value carries the state on."""
+    return fold_each(df, keys, time, {out: (x, ewma_step(alpha))})
 
 
 def cusum(df: DataFrame, keys: Sequence[str], time: str, z: str, k: float, h: float, out: str = "alert") -> DataFrame:
-    """Upper CUSUM of a score: fires (1.0) when the sum reaches ``h`` and starts anew; a missing score starts it anew too."""
-    zero = F.lit(0.0)
-
-    def step(s: Column, v: Column) -> Column:
-        total = F.greatest(zero, s["c"] + v - k)
-        fires = F.coalesce(total >= h, F.lit(False))
-        return F.struct(F.when(v.isNull() | fires, zero).otherwise(total).alias("c"), F.when(fires, 1.0).otherwise(0.0).alias("y"))
-
-    return fold(df, keys, time, z, F.struct(zero.alias("c"), zero.alias("y")), step, out)
+    """Add the upper CUSUM of a score: fires (1.0) when the sum reaches ``h`` and starts anew; a missing score starts it anew too."""
+    return fold_each(df, keys, time, {out: (z, cusum_step(k, h))})
 
 
 def yoy(df: DataFrame, keys: Sequence[str], year: str, columns: Sequence[str], diffs: Sequence[str] = ()) -> DataFrame:

@@ -72,30 +72,33 @@ def distinct_sorted(column: str, separator: str = ",") -> Column:
     return F.array_join(F.array_sort(F.collect_set(column)), separator)
 
 
-def channel_score(df: DataFrame, event: str, party: str, amount: str, date: str, weights: dict[str, float]) -> DataFrame:
-    """Composite score of each party from early, recurrent, cross-event, large and central activity, each between 0 and 1.
+# The weights of the parts of the channel score.
+CHANNEL_WEIGHTS = {"early": 0.20, "recurrence": 0.15, "cross_event": 0.15, "scale": 0.15, "role": 0.15, "centrality": 0.20}
 
-    early: share of events in which the party is among the first quarter of days; recurrence: rows
-    against the busiest party's; cross_event: other events joined of those there are; scale: some event
-    total reaches the 75th percentile of single amounts; centrality: total against the largest.
+
+def channel_score(df: DataFrame, event: str, party: str, amount: str, date: str, official: str, category: str, roles: Sequence[str], weights: dict[str, float] | None = None) -> DataFrame:
+    """Composite score of each party from early, recurrent, cross-event, large, intermediary and central activity, each between 0 and 1.
+
+    early: 1 with a row before some event's official date; recurrence: rows against the busiest party's;
+    cross_event: other events joined of those there are; scale: 1 if some event total exceeds the 75th
+    percentile of the event's single amounts; role: 1 if the party's most frequent category (the first by
+    name on ties) is one of ``roles``; centrality: total against the largest.
     """
-    first = df.groupBy(event, party).agg(F.min(date).alias("first"), F.sum(amount).alias("total"), F.count("*").alias("n"))
-    quarter = first.groupBy(event).agg(F.percentile(F.unix_date("first"), F.lit(0.25)).alias("q"))
+    first = df.groupBy(event, party).agg(F.max((F.col(date) < F.col(official)).cast("double")).alias("early"), F.sum(amount).alias("total"), F.count("*").alias("n"))
     cut = df.groupBy(event).agg(F.percentile(amount, F.lit(0.75)).alias("cut"))
-    marked = first.join(quarter, event).join(cut, event)
-    per = marked.groupBy(party).agg(
-        F.avg((F.unix_date("first") <= F.col("q")).cast("double")).alias("early"), F.sum("n").alias("n"), F.count("*").alias("events"),
-        F.max((F.col("total") >= F.col("cut")).cast("double")).alias("scale"), F.sum("total").alias("total"),
+    per = first.join(cut, event).groupBy(party).agg(
+        F.max("early").alias("early"), F.sum("n").alias("n"), F.count("*").alias("events"), F.max((F.col("total") > F.col("cut")).cast("double")).alias("scale"), F.sum("total").alias("total"),
     )
+    usual = df.groupBy(party).agg(F.mode(category, True).isin(*roles).cast("double").alias("role"))
     tops = per.agg(F.max("n").alias("__n"), F.max("total").alias("__t"))
     count = df.agg(F.count_distinct(event).alias("__e"))
-    joined = per.crossJoin(F.broadcast(tops)).crossJoin(F.broadcast(count))  # one row each
+    joined = per.join(usual, party).crossJoin(F.broadcast(tops)).crossJoin(F.broadcast(count))  # one row each
     parts = joined.withColumns({
         "recurrence": F.try_divide(F.col("n").cast("double"), F.col("__n")), "cross_event": F.coalesce(F.try_divide((F.col("events") - 1).cast("double"), F.nullif(F.col("__e") - 1, F.lit(0))), F.lit(0.0)),
-        "centrality": F.try_divide("total", "__t"),
+        "role": F.coalesce("role", F.lit(0.0)), "centrality": F.try_divide("total", "__t"),
     })
-    score = reduce(Column.__add__, [F.col(name) * w for name, w in weights.items()])
-    return parts.select(party, "early", "recurrence", "cross_event", "scale", "centrality", score.alias("score"))
+    score = reduce(Column.__add__, [F.col(name) * w for name, w in (weights or CHANNEL_WEIGHTS).items()])
+    return parts.select(party, "early", "recurrence", "cross_event", "scale", "role", "centrality", score.alias("score"))
 
 
 def scorecard(df: DataFrame, rules: Sequence[tuple[str, str, float, float, bool]]) -> DataFrame:
@@ -169,12 +172,16 @@ def appearance_matrix(df: DataFrame, actor: str, event: str, values: Sequence[st
     return df.groupBy(actor).agg(*[F.max((F.col(event) == v).cast("int")).alias(f"in_{str(v).lower()}") for v in values])
 
 
-def pre_event_return(panel: DataFrame, events: DataFrame, keys: Sequence[str], date: str, value: str, days: int) -> DataFrame:
-    """First and last value of the days before each acute start, the return in %, and a verdict."""
+def pre_event_return(panel: DataFrame, events: DataFrame, keys: Sequence[str], date: str, value: str, days: int, declining: str | None = None) -> DataFrame:
+    """First and last value of the days before each acute start, the return in %, the mean share declining, and a verdict.
+
+    ``declining`` names a column with the share of members that fell; without it that mean is left out.
+    """
     from eventscope.operators.events import window_join
 
     held = window_join(panel.filter(F.col(value).isNotNull()), events, date, F.date_sub("acute_start", days), F.date_sub("acute_start", 1))
-    made = held.groupBy(*keys, "event_key").agg(F.min_by(value, date).alias("first"), F.max_by(value, date).alias("last"), F.count("*").alias("n"))
+    more = [F.avg(declining).alias("mean_declining")] if declining else []
+    made = held.groupBy(*keys, "event_key").agg(F.min_by(value, date).alias("first"), F.max_by(value, date).alias("last"), F.count("*").alias("n"), *more)
     made = made.withColumn("return_pct", 100 * (F.try_divide("last", F.nullif(F.col("first"), F.lit(0.0))) - 1))
     return made.withColumn("verdict", F.when(F.col("return_pct").isNull(), "no data").when(F.col("return_pct") <= -5, "fell before").when(F.col("return_pct") >= 5, "rose before").otherwise("flat"))
 
@@ -202,13 +209,26 @@ def ledger_metrics(df: DataFrame, group: Sequence[str], party: str, amount: str)
     return made.select(*group, "rows", "parties", "positive", (100 * F.try_divide(F.col("__top"), t)).alias("top5_share"), (10000 * F.try_divide(F.col("__sq"), t * t)).alias("hhi"))
 
 
-def compare_segmentations(df: DataFrame, group: Sequence[str], old: str, new: str, amount: str) -> DataFrame:
+def moved_between(df: DataFrame, group: Sequence[str], old: str, new: str, amount: str) -> DataFrame:
     """Rows, share of rows and of amount (%) that a new classification moves, per group."""
     moved = ~F.col(old).eqNullSafe(F.col(new))
     made = df.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(moved).alias("moved"), F.sum(F.when(moved, F.col(amount)).otherwise(0.0)).alias("__m"), F.sum(amount).alias("__t"))
     return made.select(*group, "n", "moved", (100 * F.try_divide(F.col("moved").cast("double"), F.col("n"))).alias("moved_rows"), (100 * F.try_divide(F.col("__m"), F.nullif(F.col("__t"), F.lit(0.0)))).alias("moved_amount"))
 
 
+def compare_segmentations(df: DataFrame, group: Sequence[str], parties: tuple[str, str], categories: tuple[str, str], amount: str, values: Sequence[str]) -> DataFrame:
+    """Old against new naming and classification per group: parties, those merged, concentration, shares of the listed categories, and what moved.
+
+    ``parties`` and ``categories`` name the old and the new column; columns of the result end in ``_old`` and ``_new``.
+    """
+    out = moved_between(df, group, *categories, amount)
+    for end, party, category in zip(("old", "new"), parties, categories, strict=True):
+        known = concentration(df, group, party, amount, tops=(5,)).select(*group, F.col("n_parties").alias(f"n_parties_{end}"), F.col("top5_share").alias(f"top5_share_{end}"), F.col("hhi").alias(f"hhi_{end}"))
+        shares = category_share(df, group, category, amount, values)
+        out = out.join(known, list(group), "left").join(shares.withColumnsRenamed({c: f"{c}_{end}" for c in shares.columns if c not in group}), list(group), "left")
+    return out.withColumn("n_merged", F.col("n_parties_old") - F.col("n_parties_new"))
+
+
 def pivot_long(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence[str]) -> DataFrame:
     """Long to wide with stated columns, the first non-null value of each."""
     return df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))

@@ -82,3 +82,11 @@ def clock_offsets(df: DataFrame, columns: Sequence[str], day0: str, tight: int =
     offsets = [F.col(f"{c}_offset") for c in columns]
     spread = F.greatest(*offsets) - F.least(*offsets) if len(offsets) > 1 else F.lit(0)
     return made.withColumn("spread", spread).withColumn("tight", F.coalesce(spread <= tight, F.lit(False)))
+
+
+def paired(df: DataFrame, key: str, first: str, second: str, columns: Sequence[str]) -> DataFrame:
+    """Two subjects side by side: ``(measure, first, second, difference)`` for numeric columns of their rows."""
+    entries = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.filter(F.col(key).isin(first, second)).select(key, F.inline(entries))
+    of = lambda k: F.max(F.when(F.col(key) == k, F.col("v")))
+    return long.groupBy("measure").agg(of(first).alias("first"), of(second).alias("second")).withColumn("difference", F.col("second") - F.col("first"))

@@ -14,9 +14,18 @@ from pyspark.sql.types import DoubleType
 from eventscope.operators.components import connected_components
 from eventscope.sources.storage import materialize
 
-# What is replaced in lower-case names, in order, and the legal suffixes that are dropped.
-REPLACED = (("and", "&"), ("messrs\\.?", ""), ("m/s", ""), ("mess", ""), ("mr\\.?", ""), ("commercial", "commerc"), ("discount", "disc"), ("corporation", "corp"))
-SUFFIXES = ("the", "co", "coy", "company", "cmpy", "limited", "ltd", "brothers", "bros", "brs", "sons", "son", "inc", "incorporated")
+# What is replaced in lower-case names, in order, and the words that are dropped.
+REPLACED = (
+    (r"\band\b", "&"),
+    (r"messrs\.?", ""),
+    (r"\bm/s\b", ""),
+    (r"\bmess\b", ""),
+    (r"\bmr\.?\b", ""),
+    (r"\bcommercial\b", "commerc"),
+    (r"\bdiscount\b", "disc"),
+    (r"\bcorporation\b", "corp"),
+)
+DROPPED = r"\b(the|co|coy|company|cmpy|limited|ltd|brothers|bros|brs|sons|son|inc|incorporated|& co|&co)\b"
 
 
 def title_case(text: Column) -> Column:
@@ -35,9 +44,9 @@ def clean_name(name: Column) -> Column:
 def normalize_name(name: Column) -> Column:
     """Lower case without punctuation (but ``&``), spelling variants unified, legal suffixes dropped."""
     s = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}_\s&]", " ")
-    for word, put in REPLACED:
-        s = F.regexp_replace(s, rf"\b{word}" + ("" if word.endswith("?") else r"\b"), put)
-    s = F.regexp_replace(s, rf"\b(?:{'|'.join(SUFFIXES)})\b", " ")
+    for pattern, put in REPLACED:
+        s = F.regexp_replace(s, f"(?U){pattern}", put)
+    s = F.regexp_replace(s, f"(?U){DROPPED}", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
@@ -128,6 +137,16 @@ def classify_first(name: Column, rules: Sequence[Rule], default: str = "other",
     return chain.otherwise(default)
 
 
+def classify_ordered(name: Column, rules: Sequence[Rule], default: str = "unknown", sure: float = 0.2) -> Column:
+    """``(label, confidence)`` of the first rule that fits, whose weight is the confidence; ``default`` without one, and with 0 for no name."""
+    lower = F.lower(F.coalesce(name, F.lit("")))
+    pair = lambda label, weight: F.struct(F.lit(label).alias("label"), F.lit(float(weight)).alias("confidence"))
+    chain = F.when(F.trim(lower) == "", pair(default, 0.0))
+    for r in rules:
+        chain = chain.when(lower.rlike(r.pattern), pair(r.label, r.weight))
+    return chain.otherwise(pair(default, sure))
+
+
 def classify_weighted(df: DataFrame, name: str, rules: Sequence[Rule], curated: Sequence[Rule] = (), honorifics: Sequence[str] = (), person: str = "individual_or_partnership") -> DataFrame:
     """Add ``label, confidence, reason, evidence, review``.
 

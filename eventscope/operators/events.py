@@ -7,12 +7,15 @@ that is broadcast; larger tables of centres meet the data through an equal month
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Event tables up to this many rows are broadcast.
 BROADCAST_EVENTS = 10_000
+#: Days of a span in which ``asof_join`` merges both sides at once.
+ASOF_DAYS = 366
 
 
 def small(events: DataFrame) -> DataFrame:
@@ -70,23 +73,35 @@ def label_within(df: DataFrame, events: DataFrame, weeks: int, date: str = "date
 def asof_join(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (), value: str = "value", direction: str = "nearest") -> DataFrame:
     """``left`` with the ``value`` of ``right`` at the last date before or on, the first on or after, or the nearest date.
 
-    At equal distance the later date counts.  Both sides are merged by key and date, so the work is one
-    sort per key.  Repeated dates of ``right`` give one of their values, the greatest.
+    At equal distance the later date counts.  Repeated dates of ``right`` give one of their values, the
+    greatest.  Both sides are merged by key and span of ``ASOF_DAYS`` days and sorted once in each
+    direction; what lies beyond a span comes from a table of the spans' first and last points.  So a long
+    key, or no key at all, is many tasks.
     """
     back, ahead = direction in ("backward", "nearest"), direction in ("forward", "nearest")
-    points = right.groupBy(*keys, on).agg(F.max(value).alias("__v")).select(*keys, on, F.struct(F.col(on).alias("d"), F.col("__v").alias("v")).alias("__r"), F.lit(None).alias("__l"))
-    rows = left.select(*keys, on, F.lit(None).alias("__r"), F.struct(*left.columns).alias("__l"))
+    span = F.floor(F.unix_date(on) / F.lit(ASOF_DAYS)).cast("int").alias("__span")
+    none = F.lit(None)
+    points = right.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.max(value).alias("__v")).select(*keys, on, span, F.struct(F.col(on).alias("d"), F.col("__v").alias("v")).alias("__r"), none.alias("__l"))
+    rows = left.select(*keys, on, span, none.alias("__r"), F.struct(*left.columns).alias("__l"))
     both = rows.unionByName(points)
-    w = Window.partitionBy(*keys).orderBy(on)
-    before = F.last("__r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) if back else None
-    after = F.first("__r", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)) if ahead else None
+    place = [*keys, "__span"]
+    spans = both.groupBy(*place).agg(F.min("__r").alias("__first"), F.max("__r").alias("__last"))
+    of = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(place)], F.last("__last", ignorenulls=True).over(of(F.col("__span"))).alias("__cb"), F.last("__first", ignorenulls=True).over(of(F.col("__span").desc())).alias("__ca"))
+    inside = lambda order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*place).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    if back:
+        both = both.withColumn("__b", inside(F.col(on)))
+    if ahead:
+        both = both.withColumn("__a", inside(F.col(on).desc()))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(place)])
+    both = both.filter("__l is not null").join(carried, same, "left")
+    before, after = F.coalesce("__b", "__cb") if back else none, F.coalesce("__a", "__ca") if ahead else none
     if direction == "nearest":
-        both = both.withColumn("__b", before).withColumn("__a", after)
-        gap_b, gap_a = F.datediff(on, F.col("__b.d")), F.datediff(F.col("__a.d"), on)
-        taken = F.when(F.col("__a").isNull() | (gap_b < gap_a), F.col("__b")).otherwise(F.col("__a"))
+        gap_b, gap_a = F.datediff(on, before["d"]), F.datediff(after["d"], on)
+        taken = F.when(after.isNull() | (gap_b < gap_a), before).otherwise(after)
     else:
         taken = before if back else after
-    return both.withColumn("__t", taken).filter("__l is not null").select("__l.*", F.col("__t.v").alias(value))
+    return both.select("__l", taken.alias("__t")).select("__l.*", F.col("__t.v").alias(value))
 
 
 def interval_lookup(df: DataFrame, intervals: DataFrame, date: str, lo: str, hi: str, name: str) -> DataFrame:
@@ -103,10 +118,18 @@ def last_in_interval(df: DataFrame, intervals: DataFrame, date: str, lo: str, hi
 
 
 def nearest_event(df: DataFrame, events: DataFrame, date: str = "date", peak: str = "acute_peak") -> DataFrame:
-    """``df`` with ``nearest_event`` and ``gap_days`` (row minus peak); the first key on ties."""
-    days = df.select(F.col(date).alias("__d")).distinct().crossJoin(F.broadcast(small(events).select("event_key", peak)))
-    gap = F.datediff("__d", peak)
-    near = days.groupBy("__d").agg(F.min_by(F.struct("event_key", gap.alias("gap")), F.struct(F.abs(gap), "event_key")).alias("m"))
+    """``df`` with ``nearest_event`` and ``gap_days`` (row minus peak); the first key on ties.
+
+    The nearest peak of each distinct date comes from an as-of join, so no date meets every event.
+    """
+    days = df.select(F.col(date).alias("__d")).distinct()
+    peaks = events.filter(F.col(peak).isNotNull()).groupBy(F.col(peak).alias("__d")).agg(F.min("event_key").alias("event_key"))
+    sides = [asof_join(days, peaks.select("__d", F.struct("__d", "event_key").alias("m")), "__d", (), "m", way) for way in ("backward", "forward")]
+    met = sides[0].withColumnRenamed("m", "b").join(sides[1].withColumnRenamed("m", "a"), "__d")
+    gap = lambda m: F.datediff("__d", m["__d"])
+    closest = F.least(*[F.struct(F.abs(gap(m)).alias("far"), m["event_key"].alias("event_key"), gap(m).alias("gap")) for m in (F.col("b"), F.col("a"))])
+    only = F.when(F.col("a").isNull(), F.struct(F.abs(gap(F.col("b"))).alias("far"), F.col("b.event_key").alias("event_key"), gap(F.col("b")).alias("gap"))).when(F.col("b").isNull(), F.struct(F.abs(gap(F.col("a"))).alias("far"), F.col("a.event_key").alias("event_key"), gap(F.col("a")).alias("gap"))).otherwise(closest)
+    near = met.select("__d", only.alias("m"))
     return df.join(near, df[date] == near["__d"], "left").select(*df.columns, F.col("m.event_key").alias("nearest_event"), F.col("m.gap").alias("gap_days"))
 
 
@@ -143,45 +166,66 @@ def rebase(df: DataFrame, keys: Sequence[str], value: str, base: Column, mode: s
 
 
 def variant_grid(events: DataFrame, variants: DataFrame) -> DataFrame:
-    """Every event under every variant (``variant, shift_start, shift_end`` in days): both tables are small."""
-    grid = small(events).crossJoin(F.broadcast(variants))
-    return grid.withColumn("acute_start", F.date_add("acute_start", F.col("shift_start"))).withColumn("acute_end", F.date_add("acute_end", F.col("shift_end")))
-
+    """Every event under every variant (``variant, baseline_days, widen_days``): the days before the acute start, and the acute window widened (or narrowed) at both ends.
 
-def event_metrics(panel: DataFrame, events: DataFrame, keys: Sequence[str], level: str, stock: str, date: str = "date") -> DataFrame:
-    """Per key and event: means before, extremes within, ratios, and days to the peak, to the first rise and to recovery.
-
-    ``level`` is the series that rises (lending), ``stock`` the one that falls (reserve).  One pass gives
-    everything up to the peak; days after the peak need the peak and hence a second aggregation over the
-    same phases.  Empty phases give nulls.
+    Both are dimensions; their product is broadcast later only if it is small.
+    """
+    grid = events.crossJoin(small(variants))
+    made = grid.withColumns({
+        "base_start": F.date_sub("acute_start", F.col("baseline_days")), "base_end": F.date_sub("acute_start", 1),
+        "wide_start": F.date_sub("acute_start", F.col("widen_days")), "wide_end": F.date_add("acute_end", F.col("widen_days")),
+    })
+    return made
+
+
+def event_metrics(panel: DataFrame, events: DataFrame, keys: Sequence[str], level: str, stock: str, rate: str, size: str, date: str = "date") -> DataFrame:
+    """Per key and event: means before, extremes within, ratios, and days to the peak, the first rise and recovery.
+
+    ``level`` is the series that rises (lending), ``stock`` the one that falls (reserve), ``rate`` a price and
+    ``size`` the total that the level is a share of.  The rise is the first acute date with a rate above the
+    last one before; recovery and normalisation are the first dates from the peak on at which the stock
+    reaches, or the level falls to, its mean before.  Rows of a key and event are shuffled once: what later
+    steps compare with is a window over the same partition.  Empty phases give nulls.
     """
     ids = [*keys, "event_key"]
     tagged = tag_phase(panel, events, date)
     pre, acute = F.col("phase") == "pre", F.col("phase") == "acute"
-    base = tagged.groupBy(*ids).agg(
-        F.avg(F.when(pre, F.col(level))).alias("pre_level"), F.avg(F.when(pre, F.col(stock))).alias("pre_stock"),
-        F.max(F.when(acute, F.col(level))).alias("acute_level"), F.min(F.when(acute, F.col(stock))).alias("acute_stock"),
-        F.min_by(date, F.when(acute & F.col(level).isNotNull(), F.struct(-F.col(level), F.col(date)))).alias("peak_date"),
-        F.max_by(level, F.when(pre & F.col(level).isNotNull(), F.col(date))).alias("last_pre"), F.first("acute_start").alias("acute_start"),
+    w = Window.partitionBy(*ids)
+    known = {
+        "pre_level": F.avg(F.when(pre, F.col(level))), "pre_stock": F.avg(F.when(pre, F.col(stock))), "pre_rate": F.avg(F.when(pre, F.col(rate))),
+        "last_rate": F.max_by(rate, F.when(pre, F.col(date))), "peak_date": F.min_by(date, F.when(acute & F.col(level).isNotNull(), F.struct(-F.col(level), F.col(date)))),
+    }
+    marked = tagged.select(*ids, date, level, stock, rate, size, "acute_start", acute.alias("acute"), *[c.over(w).alias(n) for n, c in known.items()])
+    first = lambda when: F.min(F.when(when, F.col(date)))
+    after = F.col(date) >= F.col("peak_date")
+    made = marked.groupBy(*ids).agg(
+        *[F.first(n).alias(n) for n in known], F.first("acute_start").alias("acute_start"), F.max(F.when(F.col("acute"), F.col(level))).alias("acute_level"),
+        F.min(F.when(F.col("acute"), F.col(stock))).alias("acute_stock"), F.max(F.when(F.col("acute"), F.col(rate))).alias("acute_rate"), F.max(F.when(F.col("acute"), F.col(size))).alias("acute_size"),
+        first(F.col("acute") & (F.col(rate) > F.col("last_rate"))).alias("rise_date"), first(after & (F.col(stock) >= F.col("pre_stock"))).alias("recovery_date"), first(after & (F.col(level) <= F.col("pre_level"))).alias("normal_date"),
     )
-    after = tagged.join(base.select(*ids, "peak_date", "last_pre", "pre_level"), ids).groupBy(*ids).agg(
-        F.min(F.when(~pre & (F.col(level) > F.col("last_pre")), F.col(date))).alias("rise_date"),
-        F.min(F.when((F.col(date) > F.col("peak_date")) & (F.col(level) <= F.col("pre_level")), F.col(date))).alias("normal_date"),
-    )
-    return base.join(after, ids, "left").select(
-        *ids, "pre_level", "acute_level", F.try_divide("acute_level", "pre_level").alias("scale_ratio"),
-        (100 * F.try_divide(F.col("pre_stock") - F.col("acute_stock"), F.col("pre_stock"))).alias("stock_loss_pct"),
+    return made.select(
+        *ids, "pre_level", "pre_stock", "pre_rate", "acute_level", "acute_stock", "acute_rate", F.try_divide("acute_level", "pre_level").alias("scale_ratio"), F.try_divide("acute_level", "acute_size").alias("size_share"),
+        (100 * F.try_divide(F.col("pre_stock") - F.col("acute_stock"), F.col("pre_stock"))).alias("stock_loss_pct"), (F.col("acute_rate") - F.col("pre_rate")).alias("rate_change"),
         F.datediff("peak_date", "acute_start").alias("days_to_peak"), F.datediff("rise_date", "acute_start").alias("days_to_rise"),
-        F.datediff("normal_date", "peak_date").alias("days_to_normal"),
+        F.datediff("recovery_date", "peak_date").alias("days_to_recovery"), F.datediff("normal_date", "peak_date").alias("days_to_normal"),
     )
 
 
-def sensitivity(panel: DataFrame, events: DataFrame, variants: DataFrame, keys: Sequence[str], level: str, date: str = "date") -> DataFrame:
-    """A few event metrics under every variant of the windows, in one range join."""
+def sensitivity(panel: DataFrame, events: DataFrame, variants: DataFrame, keys: Sequence[str], level: str, rate: str, date: str = "date") -> DataFrame:
+    """Eight event metrics under every variant of the windows, in one range join and one shuffle; days count from the unchanged acute start."""
+    ids = [*keys, "event_key", "variant"]
     grid = variant_grid(events, variants)
-    tagged = tag_phase(panel, grid, date)
-    pre, acute = F.col("phase") == "pre", F.col("phase") == "acute"
-    made = tagged.groupBy(*keys, "event_key", "variant").agg(
-        F.avg(F.when(pre, F.col(level))).alias("pre_level"), F.max(F.when(acute, F.col(level))).alias("acute_level"), F.count_if(acute).alias("acute_rows")
-    )
-    return made.withColumn("scale_ratio", F.try_divide("acute_level", "pre_level"))
+    joined = window_join(panel, grid, date, F.least("base_start", "wide_start"), F.greatest("base_end", "wide_end"))
+    pre, acute = F.col(date).between(F.col("base_start"), F.col("base_end")), F.col(date).between(F.col("wide_start"), F.col("wide_end"))
+    last = F.max_by(rate, F.when(pre, F.col(date))).over(Window.partitionBy(*ids))
+    marked = joined.select(*ids, date, level, rate, "acute_start", pre.alias("pre"), acute.alias("acute"), last.alias("last_rate"))
+    inside = lambda c, flag: F.when(F.col(flag), F.col(c))
+    made = marked.groupBy(*ids).agg(
+        F.avg(inside(level, "pre")).alias("pre_level"), F.avg(inside(rate, "pre")).alias("pre_rate"), F.max(inside(level, "acute")).alias("acute_level"), F.max(inside(rate, "acute")).alias("acute_rate"),
+        F.min_by(date, F.when(F.col("acute") & F.col(level).isNotNull(), F.struct(-F.col(level), F.col(date)))).alias("peak_date"),
+        F.min(F.when(F.col("acute") & (F.col(rate) > F.col("last_rate")), F.col(date))).alias("rise_date"), F.first("acute_start").alias("acute_start"),
+    )
+    return made.select(
+        *ids, "pre_level", "pre_rate", "acute_level", "acute_rate", F.try_divide("acute_level", "pre_level").alias("scale_ratio"), (F.col("acute_rate") - F.col("pre_rate")).alias("rate_change"),
+        F.datediff("peak_date", "acute_start").alias("days_to_peak"), F.datediff("rise_date", "acute_start").alias("days_to_rise"),
+    )

@@ -57,13 +57,13 @@ def _path_lengths(nodes: list[list[float]], x: np.ndarray) -> np.ndarray:
     return depth + np.array([_average_path(s) for s in tree[at, 4]])
 
 
-def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 400, sample: int = 256, seed: int = 42) -> tuple[list, int]:
+def fit_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 400, sample: int = 512, seed: int = 42) -> tuple[list, int]:
     """Isolation trees, each grown in a task from its own seeded sample of about ``sample`` complete rows."""
     held = df.dropna(subset=list(features)).select(key, *features)
     n = held.count()
     share = min(1.0, sample / n) if n else 0.0
-    cut = int(share * 1_000_000)
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(1_000_000)) < cut)
+    range_, cut = 1 << 62, int(share * (1 << 62))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(range_)) < F.lit(cut))
     rows = held.withColumn("tree", F.explode(drawn))
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +96,7 @@ def score_forest(df: DataFrame, forest: tuple[list, int], features: Sequence[str
     return scored.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
-def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 400, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+def isolation_forest(df: DataFrame, key: str, features: Sequence[str], trees: int = 400, sample: int = 512, contamination: float = 0.05, seed: int = 42) -> DataFrame:
     """Add ``raw_score``, ``score`` scaled to [0, 1] and ``anomaly``, true for the share ``contamination`` of highest scores."""
     scored = materialize(score_forest(df, fit_forest(df, key, features, trees, sample, seed), features), "forest-scores")
     stats = scored.agg(F.min("raw_score").alias("lo"), F.max("raw_score").alias("hi"), F.percentile("raw_score", F.lit(1 - contamination)).alias("cut"))
@@ -140,44 +140,68 @@ def anomaly_overlap(df: DataFrame, events: DataFrame, date: str, score: str, fla
     return made.withColumn("days_to_peak", F.datediff("acute_peak", "first_flag")).drop("acute_peak")
 
 
-def loeo_logistic(df: DataFrame, events: DataFrame, date: str, features: Sequence[str], weeks: int = 8, c: float = 1.0, alerts_per_decade: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """Leave one event out: ``(scores, coefficients)`` of an L2 logistic model per held-out event.
+def loeo_logistic(
+    df: DataFrame, events: DataFrame, date: str, features: Sequence[str], horizons: Sequence[int] = (8, 12), keep: Sequence[str] = (), weeks: int = 26, post_weeks: int = 12, c: float = 1.0, alerts_per_decade: float = 10.0
+) -> tuple[DataFrame, DataFrame]:
+    """Leave one event out: ``(scores, coefficients)`` of an L2 logistic model per horizon and held-out event.
 
-    Rows without a missing feature are standardised by the training fold; classes weigh the same; rows
-    between an acute start and twelve weeks after the peak are left out; the fold's own rows are those
-    nearest to its event.  The threshold allows ``alerts_per_decade`` in the fold's quiet training rows.
+    Eligible rows have every feature and lie outside of the spans from each acute start to ``post_weeks`` after
+    the peak.  A fold trains on all of them but those of the ``weeks`` before its event's peak, with the label
+    that some peak follows within the horizon; features are standardised by the training rows and classes weigh
+    the same.  All eligible rows are scored.  The threshold allows ``alerts_per_decade`` over the scored rows
+    that precede no peak within the horizon (0.5 without any).  Folds without both classes have no scores.
+
+    ``scores`` is ``(horizon, fold, <keep>, date, label, score, threshold, alert)``, ``coefficients``
+    ``(horizon, fold, feature, coefficient)``.  Events and horizons are a handful; each fold is fitted by
+    Spark over all rows.
     """
-    held = ev.label_within(ev.exclude_post(df.dropna(subset=list(features)), events, 12, date), events, weeks, date)
-    held = materialize(ev.nearest_event(held, events, date), "loeo-rows")
+    spark, others = df.sparkSession, [k for k in keep if k != date]
+    eligible = ev.exclude_post(df.dropna(subset=list(features)), events, post_weeks, date).select(*others, date, *features)
+    peaks = {r["event_key"]: r["acute_peak"] for r in events.orderBy("event_key").collect()}
+    for h in horizons:
+        eligible = ev.label_within(eligible, events, h, date, f"label_{h}")
+    held = materialize(eligible, "loeo-rows")
+    test = {key: F.col(date).between(F.date_sub(F.lit(peak), 7 * weeks), F.date_sub(F.lit(peak), 1)) for key, peak in peaks.items()}
+    folds = [(f"{k}_{h}", key, h) for k, key in enumerate(peaks) for h in horizons]
+    stats = held.agg(*[
+        agg.alias(f"{name}_{fold}")
+        for fold, key, h in folds
+        for name, agg in {
+            "n": F.count_if(~test[key]), "pos": F.count_if(~test[key] & F.col(f"label_{h}")),
+            **{f"m{i}": F.avg(F.when(~test[key], F.col(f))) for i, f in enumerate(features)}, **{f"s{i}": F.stddev_pop(F.when(~test[key], F.col(f))) for i, f in enumerate(features)},
+        }.items()
+    ]).first()
+    probability = vector_to_array("probability")[1]
     scores, coefficients = [], []
-    for key in [r[0] for r in events.select("event_key").orderBy("event_key").collect()]:  # a handful of folds
-        train = held.filter(F.col("nearest_event") != key)
-        stats = train.agg(F.count("*").alias("n"), F.count_if("label").alias("pos"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-        if not stats["pos"] or stats["pos"] == stats["n"]:
+    for fold, key, h in folds:
+        n, pos = stats[f"n_{fold}"], stats[f"pos_{fold}"]
+        if not pos or pos == n:
             continue
-        scaled = {f"z_{f}": (F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] or 1.0) for f in features}
-        weight = F.when(F.col("label"), stats["n"] / (2.0 * stats["pos"])).otherwise(stats["n"] / (2.0 * (stats["n"] - stats["pos"])))
-        assemble = VectorAssembler(inputCols=list(scaled), outputCol="x")
-        ready = assemble.transform(train.withColumns(scaled).withColumn("w", weight).withColumn("y", F.col("label").cast("double")))
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (c * stats["n"]), elasticNetParam=0.0, standardization=False, maxIter=200).fit(ready)
-        probability = vector_to_array("probability")[1]
-        quiet = model.transform(ready.filter(~F.col("label"))).agg(F.percentile(probability, F.lit(1 - alerts_per_decade / 520))).first()[0]
-        cut = 0.5 if quiet is None else quiet
-        own = model.transform(assemble.transform(held.filter(F.col("nearest_event") == key).withColumns(scaled)))
-        scores.append(own.select(*df.columns, "label", F.lit(key).alias("fold"), probability.alias("score"), F.lit(float(cut)).alias("threshold"), (probability > cut).alias("alert")))
-        coefficients += [(key, f, float(v)) for f, v in zip(features, model.coefficients, strict=True)]
-    spark = df.sparkSession
-    table = spark.createDataFrame(coefficients, "fold string, feature string, coefficient double")
-    return (reduce(DataFrame.unionByName, scores) if scores else df.limit(0).withColumns({"label": F.lit(False), "fold": F.lit(""), "score": F.lit(0.0), "threshold": F.lit(0.5), "alert": F.lit(False)})), table
-
-
-def fold_summary(scores: DataFrame, events: DataFrame, date: str, weeks: int = 8) -> DataFrame:
-    """Per fold over the weeks before its event: alerts, first alert, fractional lead in weeks, highest and mean score."""
+        scaled = {f"z{i}": (F.col(f) - stats[f"m{i}_{fold}"]) / (stats[f"s{i}_{fold}"] or 1.0) for i, f in enumerate(features)}
+        label = F.col(f"label_{h}")
+        weight = F.when(label, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos)))
+        ready = VectorAssembler(inputCols=list(scaled), outputCol="x").transform(held.withColumns(scaled).withColumns({"w": weight, "y": label.cast("double"), "tested": test[key]}))
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200).fit(ready.filter("not tested"))
+        risk = model.transform(ready).select(*others, date, label.alias("label"), probability.alias("score"))
+        scores.append(risk.select(F.lit(h).alias("horizon"), F.lit(key).alias("fold"), "*"))
+        coefficients += [(h, key, f, float(v)) for f, v in zip(features, model.coefficients, strict=True)]
+    table = spark.createDataFrame(coefficients, "horizon int, fold string, feature string, coefficient double")
+    if not scores:
+        return held.limit(0).select(F.lit(0).alias("horizon"), F.lit("").alias("fold"), *others, date, F.lit(False).alias("label"), *[F.lit(0.0).alias(k) for k in ("score", "threshold")], F.lit(False).alias("alert")), table
+    every = materialize(reduce(DataFrame.unionByName, scores), "loeo-scores")
+    cuts = every.filter("not label").groupBy("horizon", "fold").agg(F.percentile("score", F.lit(1 - alerts_per_decade / 520)).alias("threshold"))  # a row precedes a peak if and only if it is labelled
+    joined = every.join(ev.small(cuts), ["horizon", "fold"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return joined.withColumn("alert", F.col("score") >= F.col("threshold")), table
+
+
+def fold_summary(scores: DataFrame, events: DataFrame, date: str, weeks: int = 26) -> DataFrame:
+    """Per horizon and fold over the weeks before its event: alerts, first alert, fractional lead in weeks, highest and mean score."""
     held = ev.pre_window(scores, events, weeks, date).filter(F.col("event_key") == F.col("fold"))
-    made = held.groupBy("fold", "acute_peak").agg(F.count_if("alert").alias("n_alerts"), F.min(F.when(F.col("alert"), F.col(date))).alias("first_alert"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
-    return made.withColumn("lead_weeks", F.datediff("acute_peak", "first_alert") / 7.0).withColumn("detected", F.col("n_alerts") > 0).drop("acute_peak")
+    made = held.groupBy("horizon", "fold", "acute_peak").agg(F.count_if("alert").alias("n_alerts"), F.min(F.when(F.col("alert"), F.col(date))).alias("first_alert"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"), F.first("threshold").alias("threshold"))
+    quiet = scores.groupBy("horizon", "fold").agg((520 * F.avg(F.when(~F.col("label"), F.col("alert").cast("double")))).alias("false_alarms"))
+    return made.join(quiet, ["horizon", "fold"]).withColumn("lead_weeks", F.datediff("acute_peak", "first_alert") / 7.0).withColumn("detected", F.col("n_alerts") > 0).drop("acute_peak")
 
 
 def coefficient_summary(coefficients: DataFrame) -> DataFrame:
-    made = coefficients.groupBy("feature").agg(F.avg("coefficient").alias("mean"), F.stddev_samp("coefficient").alias("std"), F.min("coefficient").alias("min"), F.max("coefficient").alias("max"))
-    return made.orderBy(F.abs("mean").desc(), "feature")
+    made = coefficients.groupBy("horizon", "feature").agg(F.avg("coefficient").alias("mean"), F.stddev_samp("coefficient").alias("std"), F.min("coefficient").alias("min"), F.max("coefficient").alias("max"))
+    return made.orderBy("horizon", F.abs("mean").desc(), "feature")

@@ -84,7 +84,9 @@ def annual_context(panel: DataFrame, events: DataFrame, keys: Sequence[str], yea
     from eventscope.functions.timeseries import yoy
 
     grown = yoy(panel, keys, year, levels)
-    spots = panel.select(*keys).distinct().crossJoin(F.broadcast(events.select("event_key", F.year("acute_peak").alias(year))))
+    from eventscope.operators.events import small
+
+    spots = panel.select(*keys).distinct().crossJoin(small(events.select("event_key", F.year("acute_peak").alias(year))))
     joined = spots.join(grown.withColumn("__in", F.lit(True)), [*keys, year], "left")
     return joined.withColumn("status", F.when(F.col("__in"), "covered").otherwise("outside")).drop("__in")
 
@@ -118,7 +120,9 @@ def event_study(sectors: DataFrame, events: DataFrame, months: int = 12) -> Data
     """
     axis = events.select("event_key", "acute_peak", F.explode(F.sequence(F.lit(-months), F.lit(months))).alias("rel"))
     axis = axis.withColumn("date", F.last_day(F.add_months("acute_peak", F.col("rel")))).drop("acute_peak")
-    spine = sectors.select("sector").distinct().crossJoin(F.broadcast(axis))  # a fixed number of months per event
+    from eventscope.operators.events import small
+
+    spine = sectors.select("sector").distinct().crossJoin(small(axis))  # a fixed number of months per event
     joined = spine.join(sectors.select("sector", "date", "index", "quoted", "mean_return"), ["sector", "date"], "left")
     w = Window.partitionBy("sector", "event_key").orderBy("rel")
     filled = joined.withColumn("index", F.last("index", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -126,11 +130,31 @@ def event_study(sectors: DataFrame, events: DataFrame, months: int = 12) -> Data
     top = F.max("index").over(w.rowsBetween(Window.unboundedPreceding, 0))
     growth = F.sum(F.when(F.col("rel") >= 0, F.log1p(F.coalesce("mean_return", F.lit(0.0)))).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return filled.select(
-        "sector", "event_key", "rel", "date", F.coalesce("quoted", F.lit(0)).alias("quoted"), (100 * F.try_divide(F.col("index"), F.nullif(base, F.lit(0.0)))).alias("rebased"),
+        "sector", "event_key", "rel", "date", F.coalesce("quoted", F.lit(0)).alias("quoted"), "index", (100 * F.try_divide(F.col("index"), F.nullif(base, F.lit(0.0)))).alias("rebased"),
         (F.try_divide(F.col("index"), F.nullif(top, F.lit(0.0))) - 1).alias("drawdown"), F.expm1(growth).alias("cumulative"),
     )
 
 
+def event_study_summary(study: DataFrame, sectors: DataFrame) -> DataFrame:
+    """Per sector and event of an ``event_study``: the event month, returns around it, the deepest drawdown and the range of the window.
+
+    ``quote_index`` is the number of quoted securities against the window's first month (100); ``base_index`` in
+    ``low`` and ``high`` is the index against that month.  Returns of three months are cumulated over months with a
+    mean return: from two before to the event, and from the event to two after; null without any.
+    """
+    start = F.min_by(F.struct("quoted", "index"), F.col("rel"))
+    held = study.join(sectors.select("sector", "date", "mean_return", "share_declining"), ["sector", "date"], "left")
+    first = held.groupBy("sector", "event_key").agg(start.alias("start"))
+    grown = held.join(first, ["sector", "event_key"])
+    at = lambda c: F.max(F.when(F.col("rel") == 0, F.col(c)))
+    total = lambda lo, hi: F.expm1(F.sum(F.when(F.col("rel").between(lo, hi), F.log1p("mean_return"))))
+    based = 100 * F.try_divide(F.col("index"), F.nullif(F.col("start.index"), F.lit(0.0)))
+    return grown.groupBy("sector", "event_key").agg(
+        at("quoted").alias("quoted"), (100 * F.try_divide(at("quoted").cast("double"), F.nullif(F.first("start.quoted"), F.lit(0)))).alias("quote_index"), at("mean_return").alias("mean_return"), at("share_declining").alias("share_declining"),
+        total(0, 2).alias("return_after"), total(-2, 0).alias("return_before"), F.min("drawdown").alias("max_drawdown"), F.min(based).alias("low"), F.max(based).alias("high"),
+    )
+
+
 def rows_at(df: DataFrame, dates: DataFrame, date: str) -> DataFrame:
     """Rows of the listed dates."""
     from eventscope.operators.events import small

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from eventscope.functions import timeseries as ts
@@ -30,13 +31,79 @@ def build_features(panel: DataFrame, keys: Sequence[str], time: str, spec: Spec,
     return panel.withColumns(made)
 
 
-def warning_index(feats: DataFrame, keys: Sequence[str], time: str, components: dict[str, int], seasonal: bool = False, min_periods: int = 52) -> DataFrame:
-    """Signed past z-scores of the components (``<c>_z``), their mean ``index`` and its past percentile ``score``."""
-    z = ts.past_seasonal_z if seasonal else ts.past_z
-    periods = 5 if seasonal else min_periods
-    scored = feats.withColumns({f"{c}_z": z(c, keys, time, periods) * sign for c, sign in components.items()})
-    indexed = scored.withColumn("index", row_mean(*[F.col(f"{c}_z") for c in components]))
-    return indexed.withColumn("score", ts.past_pct_rank("index", keys, time, min_periods))
+def warning_index(feats: DataFrame, keys: Sequence[str], time: str, components: dict[str, int], plain: dict[str, int] | None = None, seasonal: bool = False, min_periods: int = 52, prefix: str = "") -> DataFrame:
+    """Add signed past z-scores of the components (``<c>_z``), their mean ``index`` and its past percentile ``score``.
+
+    ``plain`` names columns that enter the mean with their sign as they are.  With ``seasonal`` the scores are
+    taken within calendar months of earlier years.  ``prefix`` goes before all names that are added.
+    """
+    z, periods = (ts.past_seasonal_z, 5) if seasonal else (ts.past_z, min_periods)
+    scored = feats.withColumns({f"{prefix}{c}_z": z(c, keys, time, periods) * sign for c, sign in components.items()})
+    parts = [F.col(f"{prefix}{c}_z") for c in components] + [F.col(c) * sign for c, sign in (plain or {}).items()]
+    # nine decimals, so that equal weeks rank equal whatever the order of sums
+    indexed = scored.withColumn(f"{prefix}index", F.round(row_mean(*parts), 9))
+    return ts.past_pct_rank(indexed, f"{prefix}index", keys, time, min_periods, f"{prefix}score")
+
+
+@dataclass(frozen=True)
+class AlertRule:
+    """An alert rule over a score or an index: ``kind`` is threshold, persistence, ewma or cusum."""
+
+    name: str
+    kind: str
+    column: str
+    params: tuple[float, ...]
+
+
+# The menu of rules that is backtested.
+MENU = (
+    AlertRule("threshold_80", "threshold", "score", (80,)),
+    AlertRule("threshold_90", "threshold", "score", (90,)),
+    AlertRule("threshold_95", "threshold", "score", (95,)),
+    AlertRule("persistence_2of4_80", "persistence", "score", (2, 4, 80)),
+    AlertRule("persistence_3of6_80", "persistence", "score", (3, 6, 80)),
+    AlertRule("persistence_6of12_80", "persistence", "score", (6, 12, 80)),
+    AlertRule("ewma_0.2_2sigma", "ewma", "index", (0.2, 2.0)),
+    AlertRule("ewma_0.1_2sigma", "ewma", "index", (0.1, 2.0)),
+    AlertRule("cusum_0.5_5", "cusum", "index", (0.5, 5.0)),
+    AlertRule("cusum_0.25_4", "cusum", "index", (0.25, 4.0)),
+    AlertRule("threshold_seasonal_80", "threshold", "seasonal_score", (80,)),
+    AlertRule("persistence_3of6_seasonal_80", "persistence", "seasonal_score", (3, 6, 80)),
+)
+
+
+def menu_alerts(scored: DataFrame, keys: Sequence[str], time: str, menu: Sequence[AlertRule] = MENU, min_periods: int = 52) -> DataFrame:
+    """Alerts of all rules of a menu as ``(keys, time, rule, alert)``.
+
+    All recursions go over the series in one pass: smoothed means of the ``ewma`` rules, and CUSUMs of the
+    columns scored against their own past.  The rest are window expressions.
+    """
+    w = ts.past(keys, time)
+    used = list(dict.fromkeys(r.column for r in menu))
+    made = scored.select(*keys, time, *used)
+    made = made.withColumns({f"{c}_past_z": ts.past_z(c, keys, time, min_periods) for c in {r.column for r in menu if r.kind == "cusum"}})
+    steps = {f"r{k}": (r.column, ts.ewma_step(r.params[0])) for k, r in enumerate(menu) if r.kind == "ewma"}
+    steps |= {f"r{k}": (f"{r.column}_past_z", ts.cusum_step(*r.params)) for k, r in enumerate(menu) if r.kind == "cusum"}
+    if steps:
+        made = ts.fold_each(made, keys, time, steps)
+    flags, hot = {}, {}
+    for k, r in enumerate(menu):
+        if r.kind == "threshold":
+            flags[r.name] = threshold_rule(r.column, r.params[0])
+        elif r.kind == "persistence":
+            hot[f"h{k}"] = threshold_rule(r.column, r.params[2])
+            flags[r.name] = ts.persistence(f"h{k}", keys, time, int(r.params[0]), int(r.params[1]))
+        elif r.kind == "ewma":
+            flags[r.name] = above_own_past(f"r{k}", w, r.params[1], min_periods)
+        else:
+            flags[r.name] = F.col(f"r{k}") == 1
+    return long_alerts(made.withColumns(hot) if hot else made, keys, time, flags)
+
+
+def above_own_past(x: str, earlier: WindowSpec, sigmas: float, min_periods: int) -> Column:
+    """Whether a value exceeds the mean of its earlier ones by so many of their deviations."""
+    high = F.col(x) > F.avg(x).over(earlier) + sigmas * F.stddev_samp(x).over(earlier)
+    return F.coalesce((F.count(x).over(earlier) >= min_periods) & high, F.lit(False))
 
 
 def threshold_rule(score: str, at: float) -> Column:
@@ -46,16 +113,14 @@ def threshold_rule(score: str, at: float) -> Column:
 def ewma_rule(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float = 0.2, sigmas: float = 2.0, min_periods: int = 52) -> DataFrame:
     """Add ``ewma`` and ``alert``: the mean exceeds its own past mean by so many past deviations."""
     smooth = ts.ewma(df.select(*keys, time, x), keys, time, x, alpha)
-    w = ts.past(keys, time)
-    high = F.col("ewma") > F.avg("ewma").over(w) + sigmas * F.stddev_samp("ewma").over(w)
-    return smooth.withColumn("alert", F.coalesce((F.count("ewma").over(w) >= min_periods) & high, F.lit(False)))
+    return smooth.withColumn("alert", above_own_past("ewma", ts.past(keys, time), sigmas, min_periods))
 
 
 def long_alerts(df: DataFrame, keys: Sequence[str], time: str, rules: dict[str, Column]) -> DataFrame:
     """Alerts of several rules over the same columns as ``(keys, time, rule, alert)``."""
-    entries = F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("alert")) for n, c in rules.items()])
-    staged = df.withColumn("__rules", entries)
-    return staged.select(*keys, time, F.inline("__rules"))
+    staged = df.select(*keys, time, *[F.coalesce(c, F.lit(False)).alias(f"a{k}") for k, c in enumerate(rules.values())])
+    entries = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"a{k}").alias("alert")) for k, n in enumerate(rules)])
+    return staged.select(*keys, time, F.inline(entries))
 
 
 def backtest(alerts: DataFrame, events: DataFrame, keys: Sequence[str], time: str, horizons: Sequence[int]) -> DataFrame:
@@ -71,6 +136,12 @@ def detection(alerts: DataFrame, events: DataFrame, weeks: int, time: str, group
     return made.withColumn("lead_weeks", F.floor(F.datediff("acute_peak", "first_alert") / 7).cast("int")).withColumn("detected", F.col("n_alerts") > 0).drop("acute_peak")
 
 
+def lead_summary(found: DataFrame, group: Sequence[str] = ("rule",)) -> DataFrame:
+    """Per rule, from ``detection``: events, detected ones, and the median lead in weeks over these."""
+    made = found.groupBy(*group).agg(F.count("*").alias("events"), F.count_if("detected").alias("detected"), F.percentile(F.when(F.col("detected"), F.col("lead_weeks")), F.lit(0.5)).alias("median_lead"))
+    return made
+
+
 def quiet_rate(alerts: DataFrame, events: DataFrame, time: str, days: int = 365, group: Sequence[str] = ("rule",)) -> DataFrame:
     """False alarms per decade and year in weeks far from every peak."""
     return false_alarm_rate(ev.quiet(alerts, events, days, time), list(group), "alert")
@@ -84,10 +155,10 @@ def rate_signal(rate: DataFrame, events: DataFrame, value: str = "rate", date: s
     the first rise within 90 days of the peak.  Events without observations have no row.
     """
     held = ev.window_join(rate, events, date, F.date_sub("acute_peak", before), F.date_add("acute_peak", after)).select("event_key", "acute_peak", date, value)
-    w = Window.partitionBy("event_key").orderBy(date)
+    w, back = Window.partitionBy("event_key").orderBy(date), Window.partitionBy("event_key").orderBy(F.col(date).desc())
     peaks = held.groupBy("event_key").agg(F.max_by(date, F.struct(F.col(value), -F.unix_date(date))).alias("peak_date"), F.max(value).alias("peak_value"), F.min_by(value, date).alias("baseline"))
     upto = held.join(peaks, "event_key").filter(F.col(date) <= F.col("peak_date"))
-    marked = upto.withColumn("up", F.col(value) > F.lag(value).over(w)).withColumn("floor", F.min(value).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    marked = upto.withColumn("up", F.col(value) > F.lag(value).over(w)).withColumn("floor", F.min(value).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     sustained = F.col("up") & (F.col("floor") >= F.col(value))
     made = marked.groupBy("event_key").agg(
         F.min(F.when(sustained, F.col(date))).alias("sustained_start"), F.min(F.when(F.col("up") & (F.datediff("peak_date", date) <= 90), F.col(date))).alias("run_up_start"),

@@ -13,6 +13,7 @@ from eventscope.plans.fixtures import table, view
 from eventscope.plans.panel_queries import KEYS, rounded
 from eventscope.plans.registry import query
 from eventscope.sources import readers
+from eventscope.sources.storage import materialize
 from eventscope.streaming import online
 
 # ---- documents ------------------------------------------------------------------------------
@@ -215,6 +216,11 @@ def sector_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.withColumn("index", F.round("index", 4)))
 
 
+def _sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sector panel, written once for the queries that read it several times."""
+    return materialize(reconcile.sector_panel(reconcile.security_panel(view(spark, sf_dir, "quotes"))), "sector-panel")
+
+
 @query(
     "event_study",
     f"""WITH {_SECTORS}, ax AS (SELECT event_key, r::INT AS rel, last_day((acute_peak + to_months(r::INT))::DATE) AS date FROM events_dim, range(-12, 13) t(r)),
@@ -224,8 +230,24 @@ def sector_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(exp(sum(CASE WHEN rel >= 0 THEN ln(1 + coalesce(mean_return, 0)) ELSE 0 END) OVER w) - 1, 6) AS cumulative FROM f WINDOW w AS (PARTITION BY sector, event_key ORDER BY rel ROWS UNBOUNDED PRECEDING)""",
 )
 def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sectors = reconcile.sector_panel(reconcile.security_panel(view(spark, sf_dir, "quotes")))
-    return rounded(reconcile.event_study(sectors, view(spark, sf_dir, "events_dim")).withColumn("rebased", F.round("rebased", 4)))
+    made = reconcile.event_study(_sectors(spark, sf_dir), view(spark, sf_dir, "events_dim")).drop("index")
+    return rounded(made.withColumn("rebased", F.round("rebased", 4)))
+
+
+@query(
+    "event_study_summary",
+    f"""WITH {_SECTORS}, ax AS (SELECT event_key, r::INT AS rel, last_day((acute_peak + to_months(r::INT))::DATE) AS date FROM events_dim, range(-12, 13) t(r)),
+      j AS (SELECT s.sector, ax.event_key, ax.rel, ax.date, coalesce(si.quoted, 0) AS quoted, si.mean_return, si.share_declining, si.idx FROM (SELECT DISTINCT sector FROM si) s CROSS JOIN ax LEFT JOIN si ON si.sector = s.sector AND si.date = ax.date),
+      f AS (SELECT *, last_value(idx IGNORE NULLS) OVER (PARTITION BY sector, event_key ORDER BY rel ROWS UNBOUNDED PRECEDING) AS i2 FROM j),
+      g AS (SELECT *, i2 / nullif(max(i2) OVER (PARTITION BY sector, event_key ORDER BY rel ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd, first_value(i2) OVER (PARTITION BY sector, event_key ORDER BY rel) AS i0, first_value(quoted) OVER (PARTITION BY sector, event_key ORDER BY rel) AS q0 FROM f)
+      SELECT sector, event_key, max(quoted) FILTER (rel = 0) AS quoted, round(100.0 * max(quoted) FILTER (rel = 0) / nullif(first(q0), 0), 6) AS quote_index, round(max(mean_return) FILTER (rel = 0), 6) AS mean_return, round(max(share_declining) FILTER (rel = 0), 6) AS share_declining,
+        round(exp(sum(ln(1 + mean_return)) FILTER (rel BETWEEN 0 AND 2)) - 1, 6) AS return_after, round(exp(sum(ln(1 + mean_return)) FILTER (rel BETWEEN -2 AND 0)) - 1, 6) AS return_before, round(min(dd), 6) AS max_drawdown,
+        round(min(100 * i2 / nullif(i0, 0)), 4) AS low, round(max(100 * i2 / nullif(i0, 0)), 4) AS high FROM g GROUP BY 1,2""",
+)
+def event_study_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sectors = _sectors(spark, sf_dir)
+    made = reconcile.event_study_summary(reconcile.event_study(sectors, view(spark, sf_dir, "events_dim")), sectors)
+    return rounded(made.withColumns({c: F.round(c, 4) for c in ("low", "high")}))
 
 
 @query(
@@ -258,11 +280,10 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "raw_names").select("name_id", entities.clean_name(F.col("name_raw")).alias("name"))
 
 
-_NORMAL = "lower(trim(name_raw))"
-_NORMAL = f"regexp_replace({_NORMAL}, '[^\\pL\\pN_\\s&]', ' ', 'g')"
-for _word, _put in entities.REPLACED:
-    _NORMAL = f"regexp_replace({_NORMAL}, '\\b{_word}{'' if _word.endswith('?') else chr(92) + 'b'}', '{_put}', 'g')"
-_NORMAL = f"trim(regexp_replace(regexp_replace({_NORMAL}, '\\b(?:{'|'.join(entities.SUFFIXES)})\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+# word by word, unlike the operator's patterns
+_NORMAL = """array_to_string(list_transform(list_filter(regexp_split_to_array(trim(replace(regexp_replace(lower(name_raw), '[^a-z0-9_\\s&]', ' ', 'g'), 'messrs', '')), '\\s+'),
+  lambda w: w NOT IN ('', 'mess', 'mr', 'the', 'co', 'coy', 'company', 'cmpy', 'limited', 'ltd', 'brothers', 'bros', 'brs', 'sons', 'son', 'inc', 'incorporated')),
+  lambda w: CASE w WHEN 'and' THEN '&' WHEN 'commercial' THEN 'commerc' WHEN 'discount' THEN 'disc' WHEN 'corporation' THEN 'corp' ELSE w END), ' ')"""
 
 
 @query("normalize_names", f"WITH n AS (SELECT name_id, {_NORMAL} AS normal FROM raw_names) SELECT name_id, normal, CASE WHEN split_part(normal, ' ', 1) <> '' THEN left(split_part(normal, ' ', 1), 5) END AS block FROM n")
@@ -290,6 +311,15 @@ def classify_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "raw_names").select("name_id", entities.classify_first(F.col("name_raw"), NAME_RULES).alias("label"))
 
 
+@query(
+    "classify_ordered",
+    "SELECT name_id, CASE WHEN trim(coalesce(name_raw, '')) = '' THEN 'unknown' " + " ".join(f"WHEN regexp_matches(lower(name_raw), '{r.pattern}') THEN '{r.label}'" for r in NAME_RULES) + " ELSE 'unknown' END AS label, CASE WHEN trim(coalesce(name_raw, '')) = '' THEN 0 "
+    + " ".join(f"WHEN regexp_matches(lower(name_raw), '{r.pattern}') THEN {r.weight}" for r in NAME_RULES) + " ELSE 0.2 END::DOUBLE AS confidence FROM raw_names",
+)
+def classify_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "raw_names").select("name_id", entities.classify_ordered(F.col("name_raw"), NAME_RULES).alias("c")).select("name_id", "c.*")
+
+
 @query(
     "classify_weighted",
     f"""WITH r AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{r.pattern}', '{r.label}', {r.weight}::DOUBLE, '{r.term}')" for k, r in enumerate(NAME_RULES))}) t(k, pattern, label, w, term)),
@@ -437,12 +467,27 @@ def flow_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.flow_sequence(steps, chain)
 
 
-@query("clock_offsets", "SELECT event_key, (acute_start - acute_peak)::INT AS acute_start_offset, (acute_end - acute_peak)::INT AS acute_end_offset, (acute_end - acute_start)::INT AS spread, acute_end - acute_start <= 60 AS tight FROM events_dim JOIN (SELECT DISTINCT event_key FROM ledger JOIN events_dim ON date BETWEEN pre_start AND post_end) l USING (event_key)")
+@query(
+    "clock_offsets",
+    f"""WITH {_TIMELINE} SELECT event_key, (first_week - acute_peak)::INT AS first_week_offset, (peak_week - acute_peak)::INT AS peak_week_offset, (ledger_start - acute_peak)::INT AS ledger_start_offset,
+      (greatest(first_week, peak_week, ledger_start) - least(first_week, peak_week, ledger_start))::INT AS spread, coalesce(greatest(first_week, peak_week, ledger_start) - least(first_week, peak_week, ledger_start) <= 60, false) AS tight FROM tl JOIN events_dim USING (event_key)""",
+)
 def clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = view(spark, sf_dir, "events_dim")
-    seen = ev.window_join(view(spark, sf_dir, "ledger"), events).select("event_key").distinct()
-    made = chains.clock_offsets(events.join(seen, "event_key", "left_semi"), ["acute_start", "acute_end"], "acute_peak", 60)
-    return made.select("event_key", "acute_start_offset", "acute_end_offset", "spread", "tight")
+    clocks = _timeline(spark, sf_dir).join(ev.small(view(spark, sf_dir, "events_dim").select("event_key", "acute_peak")), "event_key")
+    made = chains.clock_offsets(clocks, ["first_week", "peak_week", "ledger_start"], "acute_peak", 60)
+    return made.select("event_key", "first_week_offset", "peak_week_offset", "ledger_start_offset", "spread", "tight")
+
+
+@query(
+    "paired_comparison",
+    f"""WITH {_TIMELINE}, c AS (SELECT event_key, (acute_peak - first_week)::DOUBLE AS first_week_lead, (acute_peak - peak_week)::DOUBLE AS peak_week_lead, n::DOUBLE AS n FROM tl JOIN events_dim USING (event_key) WHERE event_key IN ('E1', 'E3')),
+      u AS (SELECT event_key, 'first_week_lead' AS measure, first_week_lead AS v FROM c UNION ALL SELECT event_key, 'peak_week_lead', peak_week_lead FROM c UNION ALL SELECT event_key, 'n', n FROM c)
+      SELECT measure, max(v) FILTER (event_key = 'E1') AS first, max(v) FILTER (event_key = 'E3') AS second, max(v) FILTER (event_key = 'E3') - max(v) FILTER (event_key = 'E1') AS difference FROM u GROUP BY 1""",
+)
+def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timeline = _timeline(spark, sf_dir)
+    clocks = chains.clock_table(view(spark, sf_dir, "events_dim"), timeline, ["first_week", "peak_week"], "acute_peak").join(timeline.select("event_key", "n"), "event_key")
+    return chains.paired(clocks, "event_key", "E1", "E3", ["first_week_lead", "peak_week_lead", "n"])
 
 
 # ---- models and streams (no SQL equivalent) -----------------------------------------------------
@@ -455,41 +500,45 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = models.isolation_forest(_model_rows(spark, sf_dir), "row_id", ["deposits", "d4", "r4"], trees=100)
+    made = models.isolation_forest(_model_rows(spark, sf_dir), "row_id", ["deposits", "d4", "r4"])
     return made.select("series_id", "date", "raw_score", "score", "anomaly")
 
 
 @query("anomaly_overlap")
 def anomaly_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = models.isolation_forest(_model_rows(spark, sf_dir), "row_id", ["deposits", "d4", "r4"], trees=100)
+    made = models.isolation_forest(_model_rows(spark, sf_dir), "row_id", ["deposits", "d4", "r4"])
     return models.anomaly_overlap(made, view(spark, sf_dir, "events_dim"), "date", "score", "anomaly")
 
 
 @query("loeo_logistic")
 def loeo_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores, _ = models.loeo_logistic(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date", ["d4", "r4", "z"])
-    return models.fold_summary(scores, view(spark, sf_dir, "events_dim"), "date")
+    events = view(spark, sf_dir, "events_dim")
+    scores, _ = models.loeo_logistic(_model_rows(spark, sf_dir), events, "date", ["d4", "r4", "z"], keep=KEYS)
+    return models.fold_summary(scores, events, "date")
 
 
 @query("change_points")
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = changepoint.change_points(view(spark, sf_dir, "weekly_panel"), KEYS, "date", "deposits", penalty=1.0, jump=5)
+    points = changepoint.change_points(view(spark, sf_dir, "weekly_panel"), KEYS, "date", "deposits", penalty=1.0)
     return changepoint.events_near(points, view(spark, sf_dir, "events_dim"), KEYS, "date")
 
 
-@query("profile_orders", "SELECT 'o_orderkey' AS \"column\", count(o_orderkey) AS filled, min(o_orderkey)::VARCHAR AS low, max(o_orderkey)::VARCHAR AS high FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey), min(o_custkey)::VARCHAR, max(o_custkey)::VARCHAR FROM orders UNION ALL SELECT 'o_orderstatus', count(o_orderstatus), min(o_orderstatus), max(o_orderstatus) FROM orders")
+_ORDERS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
+
+
+@query("profile_orders", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count({c}) AS filled, count(DISTINCT {c}) AS \"distinct\", min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM orders" for c, t in _ORDERS))
 def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.profile(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select("column", "filled", "low", "high")
+    return readers.profile(table(spark, sf_dir, "orders"), exact=True)
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events in order of time, in bounded micro-batches."""
+    return online.replay(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "events")
 
 
 @query("stream_weekly_counts", "SELECT event_type, date_trunc('week', ts) AS week_start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1,2")
 def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = online.drain(online.weekly_counts(_event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value"), "complete", "weekly")
+    made = online.drain(online.weekly_counts(_event_stream(spark, sf_dir), "ts", "event_type", "value"), "complete", "weekly")
     return made.select("event_type", F.col("week_start").cast("timestamp_ntz").alias("week_start"), "n", F.round("total", 2).alias("total"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from eventscope.operators import events as ev
 from eventscope.operators import rules as ru
 from eventscope.plans.corpus_queries import NAME_RULES, _event_stream, _gate, _model_rows
 from eventscope.plans.fixtures import table, view
-from eventscope.plans.panel_queries import KEYS, _event_ledger, rounded
+from eventscope.plans.panel_queries import KEYS, _event_ledger, _money, rounded
 from eventscope.plans.registry import query
 from eventscope.sources import readers
+from eventscope.sources.storage import extract, shared_dir
 from eventscope.streaming import online
 
 _IN_EVENTS = "(SELECT l.*, event_key FROM ledger l JOIN events_dim ON date BETWEEN acute_start AND acute_end)"
@@ -32,8 +35,8 @@ _IN_EVENTS = "(SELECT l.*, event_key FROM ledger l JOIN events_dim ON date BETWE
 )
 def scalar_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     lending, reserve, deposits = F.col("lending"), F.col("reserve"), F.col("deposits")
-    return view(spark, sf_dir, "weekly_panel").select(
-        "series_id", "date", F.round(fc.sum_nullable(lending, reserve), 8).alias("total"), F.round(F.try_divide(lending, F.nullif(deposits, F.lit(0.0))), 6).alias("ratio"), F.round(fc.row_mean(lending, reserve), 10).alias("mean2"),
+    return readers.add_ratios(view(spark, sf_dir, "weekly_panel"), {"ratio": ("lending", "deposits")}).select(
+        "series_id", "date", F.round(fc.sum_nullable(lending, reserve), 8).alias("total"), F.round("ratio", 6).alias("ratio"), F.round(fc.row_mean(lending, reserve), 10).alias("mean2"),
         F.round(fc.clip(deposits, 0.5, 1.0), 8).alias("clipped"), F.round(fc.null_outside(fc.finite(deposits), 0.5, 1.0), 8).alias("inside"), fc.complete("lending", "reserve").alias("complete"),
         fc.row_argmax({"lending": lending, "reserve": reserve}).alias("top"), fc.transaction_type(lending, reserve).alias("kind"), fc.flag_contains(F.col("series_id"), "B.I").alias("flagged"),
     )
@@ -95,14 +98,22 @@ def ledger_breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ag.ledger_metrics(_event_ledger(spark, sf_dir), ["event_key"], "counterparty", "total_amount"))
 
 
+def _segmentation_sql(end: str, party: str, category: str) -> str:
+    return f"""t_{end} AS (SELECT event_key, {party} AS p, sum(x) AS x FROM s GROUP BY ALL HAVING sum(x) > 0), r_{end} AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY x DESC, p) AS k FROM t_{end}),
+      c_{end} AS (SELECT event_key, count(*) AS n_parties_{end}, round(100*sum(x) FILTER (k <= 5)/nullif(sum(x), 0), 6) AS top5_share_{end}, round(10000*sum(x*x)/nullif(sum(x)*sum(x), 0), 6) AS hhi_{end} FROM r_{end} GROUP BY 1),
+      h_{end} AS (SELECT event_key, {', '.join(f"round(100*coalesce(sum(x) FILTER ({category} = '{v}'), 0)/nullif(sum(x), 0), 6) AS share_{v.lower()}_{end}" for v in ('ASIA', 'EUROPE'))} FROM s GROUP BY 1)"""
+
+
 @query(
     "compare_segmentations",
-    f"""WITH s AS (SELECT event_key, category AS old, CASE WHEN rate > 5 THEN 'ASIA' ELSE category END AS new, total_amount AS x FROM {_IN_EVENTS}) SELECT event_key, count(*) AS n, count(*) FILTER (old <> new) AS moved, round(100.0*count(*) FILTER (old <> new)/count(*), 6) AS moved_rows,
-      round(100*coalesce(sum(x) FILTER (old <> new), 0)/nullif(sum(x), 0), 6) AS moved_amount FROM s GROUP BY 1""",
+    f"""WITH s AS (SELECT event_key, counterparty AS op, left(counterparty, length(counterparty) - 1) AS np, category AS oc, CASE WHEN rate > 5 THEN 'ASIA' ELSE category END AS nc, total_amount AS x FROM {_IN_EVENTS}),
+      m AS (SELECT event_key, count(*) AS n, count(*) FILTER (oc <> nc) AS moved, round(100.0*count(*) FILTER (oc <> nc)/count(*), 6) AS moved_rows, round(100*coalesce(sum(x) FILTER (oc <> nc), 0)/nullif(sum(x), 0), 6) AS moved_amount FROM s GROUP BY 1),
+      {_segmentation_sql('old', 'op', 'oc')}, {_segmentation_sql('new', 'np', 'nc')}
+      SELECT *, n_parties_old - n_parties_new AS n_merged FROM m LEFT JOIN c_old USING (event_key) LEFT JOIN c_new USING (event_key) LEFT JOIN h_old USING (event_key) LEFT JOIN h_new USING (event_key)""",
 )
 def compare_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _event_ledger(spark, sf_dir).withColumn("new", F.when(F.col("rate") > 5, "ASIA").otherwise(F.col("category")))
-    return rounded(ag.compare_segmentations(held, ["event_key"], "category", "new", "total_amount"))
+    held = _event_ledger(spark, sf_dir).withColumns({"merged": F.expr("left(counterparty, length(counterparty) - 1)"), "new": F.when(F.col("rate") > 5, "ASIA").otherwise(F.col("category"))})
+    return rounded(ag.compare_segmentations(held, ["event_key"], ("counterparty", "merged"), ("category", "new"), "total_amount", ("ASIA", "EUROPE")))
 
 
 @query("pivot_shares", f"SELECT event_key, {', '.join(f'''count(*) FILTER (category='{r}') AS \"{r}\"''' for r in ('ASIA', 'EUROPE'))} FROM {_IN_EVENTS} GROUP BY 1 HAVING count(*) FILTER (category = 'ASIA') > 0 AND count(*) FILTER (category = 'EUROPE') > 0")
@@ -111,9 +122,10 @@ def pivot_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.pivot_long(long, ["event_key"], "category", "n", ["ASIA", "EUROPE"])
 
 
-@query("unpivot_events", "SELECT event_key, name, value FROM (SELECT event_key, acute_start, acute_peak, acute_end FROM events_dim JOIN (SELECT DISTINCT 1 FROM orders) ON true) UNPIVOT (value FOR name IN (acute_start, acute_peak, acute_end))")
-def unpivot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.unpivot_wide(view(spark, sf_dir, "events_dim"), ["event_key"], ["acute_start", "acute_peak", "acute_end"])
+@query("unpivot_panel", "SELECT series_id, date, name, round(value, 8) AS value FROM weekly_panel UNPIVOT INCLUDE NULLS (value FOR name IN (lending, reserve, deposits))")
+def unpivot_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = ag.unpivot_wide(view(spark, sf_dir, "weekly_panel"), ["series_id", "date"], ["lending", "reserve", "deposits"])
+    return long.withColumn("value", F.round("value", 8))
 
 
 _RULE = "CASE " + " ".join(f"WHEN regexp_matches(lower(name_raw), '{r.pattern}') THEN '{r.label}'" for r in NAME_RULES) + " ELSE 'other' END"
@@ -146,7 +158,7 @@ def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("placebo_sampled")
 def placebo_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate, events = view(spark, sf_dir, "daily_rate"), view(spark, sf_dir, "events_dim")
-    centers = placebo.placebo_centers(rate.agg(F.min("date").alias("lo"), F.max("date").alias("hi")), events, 365, 90, n=100)
+    centers = placebo.placebo_centers(rate.agg(F.min("date").alias("lo"), F.max("date").alias("hi")), events, 365, 90, n=1000)
     return placebo.false_positive_rate(placebo.placebo_windows(rate, centers, 42, {"m": F.max("rate")}), "m", 5.0)
 
 
@@ -155,19 +167,19 @@ def anomaly_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
     for c in ("deposits", "reserve"):
         rows = ts.robust_z(rows, c, KEYS, "date", out=f"{c}_rz")
-    made = models.isolation_forest(rows, "row_id", ["deposits", "d4", "r4"], trees=50)
+    made = models.isolation_forest(rows, "row_id", ["deposits", "d4", "r4"])
     return models.anomaly_scores(made, ["deposits_rz", "reserve_rz"], "score", "anomaly").select("series_id", "date", "score", "max_abs_z", "dominant", "z_flag", "both")
 
 
 @query("isolation_backtest")
 def isolation_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = models.isolation_backtest(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "row_id", "date", ["deposits", "d4", "r4"], trees=50)
+    made = models.isolation_backtest(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "row_id", "date", ["deposits", "d4", "r4"])
     return made.groupBy("event_key", "series_id").agg(F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
 
 
 @query("coefficient_summary")
 def coefficient_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.coefficient_summary(models.loeo_logistic(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date", ["d4", "r4", "z"])[1])
+    return models.coefficient_summary(models.loeo_logistic(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date", ["d4", "r4", "z"], keep=KEYS)[1])
 
 
 @query(
@@ -189,7 +201,98 @@ def stream_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "alert")
 
 
-@query("stream_first_mentions", "SELECT DISTINCT user_id FROM events WHERE value >= 10 AND event_type <> 'error'")
+@query("stream_first_mentions", r"""SELECT title FROM articles WHERE ocr_quality_mean >= 0.7 AND word_count >= 40 AND regexp_matches(lower(coalesce(text, '')), 'licen[cs]e') AND title IS NOT NULL GROUP BY 1""")
 def stream_first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return online.drain(online.first_mentions(stream, F.col("event_type") != "error", F.col("value") >= 10, "user_id", "ts", "400 days").select("user_id"), "append", "mentions")
+    articles = view(spark, sf_dir, "articles").withColumn("ts", F.col("date").cast("timestamp")).filter("title is not null")
+    hit = F.lower(F.coalesce("text", F.lit(""))).rlike("licen[cs]e")
+    return online.drain(online.first_mentions(online.replay(articles, "ts", "articles"), _gate(), hit, "title", "ts", "800 days").select("title"), "append", "mentions")
+
+
+_LATE, _SECOND = "user_id % 50 = 7", "user_id % 50 = 8"
+
+
+@query(
+    "stream_late_rows",
+    f"""WITH w AS (SELECT *, {_LATE} AS late, {_SECOND} AS second, date_trunc('week', ts) AS week_start FROM events), m AS (SELECT max(ts) FILTER (NOT late AND NOT second) - INTERVAL 2 DAY AS first, max(ts) - INTERVAL 2 DAY AS last FROM w)
+      SELECT event_type, week_start, count(*) AS n, round(sum(value), 2) AS total FROM w, m WHERE (NOT late OR week_start + INTERVAL 7 DAY > first) AND week_start + INTERVAL 7 DAY <= last GROUP BY 1,2""",
+)
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some users' rows arrive after all others: those of closed weeks are dropped, and only closed weeks are given out.
+
+    A batch's rows are held against the watermark that the batch before started with, hence three parts.
+    """
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = online.replay_parts([events.filter(f"NOT ({_LATE}) AND NOT ({_SECOND})"), events.filter(_SECOND), events.filter(_LATE)], "late-events")
+    made = online.drain(online.weekly_counts(stream, "ts", "event_type", "value"), "append", "late")
+    return made.select("event_type", F.col("week_start").cast("timestamp_ntz").alias("week_start"), "n", F.round("total", 2).alias("total"))
+
+
+# ---- readers over files that are derived from the tables --------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("read_panel", "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN NOT isnan(l_discount) THEN l_discount END AS l_discount FROM lineitem")
+def read_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.read_panel(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("read_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment, c_acctbal FROM customer")
+def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as gzipped CSV and read with a stated schema, keys as text, and some columns only."""
+    path, source = _folder(spark, "customers"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    source.write.option("header", True).option("compression", "gzip").csv(path)
+    return readers.read_csv(spark, path, "c_custkey string, c_name string, c_mktsegment string, c_acctbal double", ["c_custkey", "c_mktsegment", "c_acctbal"])
+
+
+@query("read_csv_with_preamble", "SELECT date, rate FROM daily_rate")
+def read_csv_with_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates below a title and a header line, one file per year."""
+    path = _folder(spark, "rates")
+    rows = view(spark, sf_dir, "daily_rate").select(F.year("date").alias("y"), F.concat_ws(",", F.date_format("date", "d MMM yyyy"), F.col("rate").cast("string")).alias("value"), F.lit(2).alias("part"))
+    heads = rows.select("y").distinct().select("y", F.explode(F.array(F.struct(F.lit("Rates, DATED").alias("value"), F.lit(0).alias("part")), F.struct(F.lit("DATE,RATE").alias("value"), F.lit(1).alias("part")))).alias("h")).select("y", "h.*")
+    heads.unionByName(rows).repartition("y").sortWithinPartitions("y", "part").select("y", "value").write.partitionBy("y").text(path)
+    read = readers.read_csv_with_preamble(spark, path, "DATE,", "date string, rate double")
+    return read.select(fc.to_date_lenient(F.col("date")).alias("date"), "rate")
+
+
+@query("shaped_columns", "SELECT o_orderdate::DATE AS day, o_totalprice AS price FROM orders")
+def shaped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a sheet with headings among its rows: columns by position, dated rows, columns by a word of the header."""
+    sheet = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("c0"), F.col("o_totalprice").alias("c1"))
+    notes = sheet.groupBy(F.substring("c0", 1, 4).alias("c0")).agg(F.max("c1").alias("c1")).withColumn("c0", F.concat(F.lit("Year "), F.col("c0")))
+    named = readers.project_by_position(sheet.unionByName(notes), {0: "Date of order", 1: "Total Price (gbp)"})
+    dated = readers.keep_dated_rows(named, "Date of order")
+    picked = readers.select_by_header_keyword(dated, {"day": "date", "price": "price", "absent": "interest"})
+    return picked.withColumn("day", F.to_date("day"))
+
+
+@query("lenient_dates", "SELECT DISTINCT o_orderdate::DATE AS date, o_orderdate::DATE AS parsed FROM orders")
+def lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date")).distinct()
+    written = F.regexp_replace(F.date_format("date", "d MMM yyyy"), "Sep ", "Sept ")
+    return days.select("date", fc.to_date_lenient(written).alias("parsed"))
+
+
+@query("epoch_units", "SELECT user_id, ts, 'us' AS unit FROM events")
+def epoch_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    unit, read = readers.infer_epoch_unit(raw, "ts", (1990, 2035))
+    return read.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(unit).alias("unit"))
+
+
+@query("filter_country", "SELECT country, year, round(gdp, 2) AS gdp FROM annual_panel WHERE country = 'ASIA'")
+def filter_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money(readers.filter_country(view(spark, sf_dir, "annual_panel"), "Asia", "AS"), "gdp").select("country", "year", "gdp")
+
+
+@query("window_extract", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-07-01' AND DATE '1996-09-30'")
+def window_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window's rows, extracted once; the second call finds the extract."""
+    path = _folder(spark, "extract")
+    found = readers.scan_windows(spark, f"{sf_dir}/orders.parquet", [("1996-07-01", "1996-09-30")], ["o_orderkey", "o_orderdate"], "o_orderdate")
+    dated = found.select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+    extract(dated, path)
+    return extract(dated, path)

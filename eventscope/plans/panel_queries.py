@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from eventscope.operators import events as ev
 from eventscope.operators import rules as ru
 from eventscope.plans.fixtures import table, view
 from eventscope.plans.registry import query
+from eventscope.sources import readers
+from eventscope.sources.storage import materialize
 
 KEYS = ["series_id"]
 
@@ -27,22 +31,32 @@ _TAGGED = """tg AS (SELECT p.*, e.event_key, e.acute_start, e.acute_peak, CASE W
   WHEN date > acute_end AND date <= post_end THEN 'post' END AS phase FROM weekly_panel p JOIN events_dim e ON date BETWEEN pre_start AND post_end)"""
 
 
+_PANEL = """pz AS (SELECT *, reserve / nullif(deposits, 0) AS rr, CASE WHEN lending IS NULL AND reserve IS NULL AND deposits IS NULL THEN NULL ELSE coalesce(lending, 0) + coalesce(reserve, 0) + coalesce(deposits, 0) END AS size FROM weekly_panel)"""
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly panel with the ratio that serves as a rate, and the total."""
+    made = readers.add_ratios(view(spark, sf_dir, "weekly_panel"), {"rr": ("reserve", "deposits")})
+    return made.withColumn("size", fc.sum_nullable(F.col("lending"), F.col("reserve"), F.col("deposits")))
+
+
 @query(
     "event_metrics",
-    f"""WITH {_TAGGED},
-    b AS (SELECT series_id, event_key, avg(lending) FILTER (phase='pre') AS pre_level, avg(reserve) FILTER (phase='pre') AS pre_stock, max(lending) FILTER (phase='acute') AS acute_level,
-      min(reserve) FILTER (phase='acute') AS acute_stock, first(acute_start) AS acute_start, arg_max(lending, date) FILTER (phase='pre' AND lending IS NOT NULL) AS last_pre FROM tg GROUP BY 1,2),
+    f"""WITH {_PANEL}, {_TAGGED.replace("FROM weekly_panel p", "FROM pz p")},
+    b AS (SELECT series_id, event_key, avg(lending) FILTER (phase='pre') AS pre_level, avg(reserve) FILTER (phase='pre') AS pre_stock, avg(rr) FILTER (phase='pre') AS pre_rate, max(lending) FILTER (phase='acute') AS acute_level,
+      min(reserve) FILTER (phase='acute') AS acute_stock, max(rr) FILTER (phase='acute') AS acute_rate, max(size) FILTER (phase='acute') AS acute_size, first(acute_start) AS acute_start, max(date) FILTER (phase='pre') AS last_pre FROM tg GROUP BY 1,2),
+    lr AS (SELECT b.series_id, b.event_key, rr AS last_rate FROM b JOIN pz p ON p.series_id = b.series_id AND p.date = b.last_pre),
     pk AS (SELECT tg.series_id, tg.event_key, min(date) AS peak_date FROM tg JOIN b USING (series_id, event_key) WHERE phase='acute' AND lending = acute_level GROUP BY 1,2),
-    a AS (SELECT tg.series_id, tg.event_key, min(date) FILTER (phase <> 'pre' AND lending > last_pre) AS rise_date, min(date) FILTER (date > peak_date AND lending <= pre_level) AS normal_date
-      FROM tg JOIN b USING (series_id, event_key) LEFT JOIN pk USING (series_id, event_key) GROUP BY 1,2)
-    SELECT series_id, event_key, round(pre_level,6) AS pre_level, round(acute_level,6) AS acute_level, round(acute_level/nullif(pre_level,0),6) AS scale_ratio,
-      round(100*(pre_stock-acute_stock)/nullif(pre_stock,0),6) AS stock_loss_pct, peak_date - acute_start AS days_to_peak, rise_date - acute_start AS days_to_rise, normal_date - peak_date AS days_to_normal
+    a AS (SELECT tg.series_id, tg.event_key, min(date) FILTER (phase = 'acute' AND rr > last_rate) AS rise_date, min(date) FILTER (date >= peak_date AND reserve >= pre_stock) AS recovery_date, min(date) FILTER (date >= peak_date AND lending <= pre_level) AS normal_date
+      FROM tg JOIN b USING (series_id, event_key) LEFT JOIN pk USING (series_id, event_key) LEFT JOIN lr USING (series_id, event_key) GROUP BY 1,2)
+    SELECT series_id, event_key, round(pre_level,6) AS pre_level, round(pre_stock,6) AS pre_stock, round(pre_rate,6) AS pre_rate, round(acute_level,6) AS acute_level, round(acute_stock,6) AS acute_stock, round(acute_rate,6) AS acute_rate,
+      round(acute_level/nullif(pre_level,0),6) AS scale_ratio, round(acute_level/nullif(acute_size,0),6) AS size_share, round(100*(pre_stock-acute_stock)/nullif(pre_stock,0),6) AS stock_loss_pct, round(acute_rate-pre_rate,6) AS rate_change,
+      peak_date - acute_start AS days_to_peak, rise_date - acute_start AS days_to_rise, recovery_date - peak_date AS days_to_recovery, normal_date - peak_date AS days_to_normal
     FROM b LEFT JOIN pk USING (series_id, event_key) LEFT JOIN a USING (series_id, event_key)""",
 )
 def event_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, events = view(spark, sf_dir, "weekly_panel"), view(spark, sf_dir, "events_dim")
-    made = rounded(ev.event_metrics(panel, events, KEYS, "lending", "reserve"))
-    return made.withColumns({c: F.col(c).cast("long") for c in ("days_to_peak", "days_to_rise", "days_to_normal")})
+    made = rounded(ev.event_metrics(_panel(spark, sf_dir), view(spark, sf_dir, "events_dim"), KEYS, "lending", "reserve", "rr", "size"))
+    return made.withColumns({c: F.col(c).cast("long") for c in ("days_to_peak", "days_to_rise", "days_to_recovery", "days_to_normal")})
 
 
 @query(
@@ -77,7 +91,8 @@ def window_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT DISTINCT series_id, date FROM weekly_panel) p JOIN daily_rate r ON abs(p.date - r.date) <= 400) SELECT series_id, date, rate FROM c WHERE k = 1""",
 )
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rate = view(spark, sf_dir, "daily_rate").crossJoin(F.broadcast(view(spark, sf_dir, "weekly_panel").select("series_id").distinct()))
+    # every series meets the same rates: one row per date and series of a handful
+    rate = view(spark, sf_dir, "daily_rate").crossJoin(ev.small(view(spark, sf_dir, "weekly_panel").select("series_id").distinct()))
     return ev.asof_join(view(spark, sf_dir, "weekly_panel").select("series_id", "date"), rate, "date", KEYS, "rate")
 
 
@@ -137,19 +152,25 @@ def event_time_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("series_id", "event_key", "rel", "deposits_index"))
 
 
-_VARIANTS = "(VALUES ('base', 0, 0), ('early', -14, 0), ('late', 0, 14), ('wide', -14, 14), ('narrow', 14, -14), ('shift', 7, 7)) AS v(variant, shift_start, shift_end)"
+# Days before the acute start that make the baseline, and days by which the acute window widens at both ends.
+_VARIANTS = "(VALUES ('baseline', 360, 0), ('short baseline', 180, 0), ('plus 2 weeks', 360, 14), ('minus 2 weeks', 360, -14), ('plus 4 weeks', 360, 28), ('minus 4 weeks', 360, -28)) AS v(variant, baseline_days, widen_days)"
 
 
 @query(
     "sensitivity_grid",
-    f"""WITH g AS (SELECT event_key, variant, pre_start, acute_start + shift_start AS a, acute_end + shift_end AS z, post_end FROM events_dim, {_VARIANTS}),
-      t AS (SELECT series_id, event_key, variant, avg(lending) FILTER (date < a) AS pre_level, max(lending) FILTER (date BETWEEN a AND z) AS acute_level, count(*) FILTER (date BETWEEN a AND z) AS acute_rows
-        FROM weekly_panel JOIN g ON date BETWEEN pre_start AND post_end GROUP BY 1,2,3)
-      SELECT series_id, event_key, variant, round(pre_level, 6) AS pre_level, round(acute_level, 6) AS acute_level, acute_rows, round(acute_level / nullif(pre_level, 0), 6) AS scale_ratio FROM t""",
+    f"""WITH {_PANEL}, g AS (SELECT event_key, variant, acute_start, acute_start - baseline_days AS bs, acute_start - 1 AS be, acute_start - widen_days AS ws, acute_end + widen_days AS we FROM events_dim, {_VARIANTS}),
+      j AS (SELECT series_id, event_key, variant, acute_start, date, lending, rr, date BETWEEN bs AND be AS pre, date BETWEEN ws AND we AS ac FROM pz JOIN g ON date BETWEEN least(bs, ws) AND greatest(be, we)),
+      b AS (SELECT series_id, event_key, variant, avg(lending) FILTER (pre) AS pre_level, avg(rr) FILTER (pre) AS pre_rate, max(lending) FILTER (ac) AS acute_level, max(rr) FILTER (ac) AS acute_rate, max(date) FILTER (pre) AS last_pre FROM j GROUP BY 1,2,3),
+      lr AS (SELECT b.series_id, b.event_key, b.variant, rr AS last_rate FROM b JOIN pz p ON p.series_id = b.series_id AND p.date = b.last_pre),
+      d AS (SELECT j.series_id, j.event_key, j.variant, min(date) FILTER (ac AND lending = acute_level) - first(acute_start) AS days_to_peak, min(date) FILTER (ac AND rr > last_rate) - first(acute_start) AS days_to_rise
+        FROM j JOIN b USING (series_id, event_key, variant) LEFT JOIN lr USING (series_id, event_key, variant) GROUP BY 1,2,3)
+      SELECT series_id, event_key, variant, round(pre_level, 6) AS pre_level, round(pre_rate, 6) AS pre_rate, round(acute_level, 6) AS acute_level, round(acute_rate, 6) AS acute_rate, round(acute_level / nullif(pre_level, 0), 6) AS scale_ratio,
+        round(acute_rate - pre_rate, 6) AS rate_change, days_to_peak, days_to_rise FROM b JOIN d USING (series_id, event_key, variant)""",
 )
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     variants = spark.sql(f"SELECT * FROM {_VARIANTS}")
-    return rounded(ev.sensitivity(view(spark, sf_dir, "weekly_panel"), view(spark, sf_dir, "events_dim"), variants, KEYS, "lending"))
+    made = rounded(ev.sensitivity(_panel(spark, sf_dir), view(spark, sf_dir, "events_dim"), variants, KEYS, "lending", "rr"))
+    return made.withColumns({c: F.col(c).cast("long") for c in ("days_to_peak", "days_to_rise")})
 
 
 # ---- concentration, shares, lead and lag ------------------------------------------------------
@@ -235,18 +256,22 @@ def party_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ROLES = ("ASIA", "EUROPE")
+
+
 @query(
     "channel_score",
-    f"""WITH e AS {_IN_EVENTS}, f AS (SELECT event_key, counterparty, min(date) AS first, sum(total_amount) AS total, count(*) AS n FROM e GROUP BY 1,2),
-      q AS (SELECT event_key, quantile_cont(first - DATE '1970-01-01', 0.25) AS q FROM f GROUP BY 1), c AS (SELECT event_key, quantile_cont(total_amount, 0.75) AS cut FROM e GROUP BY 1),
-      p AS (SELECT counterparty, avg((first - DATE '1970-01-01' <= q)::INT::DOUBLE) AS early, sum(n) AS n, count(*) AS events, max((total >= cut)::INT::DOUBLE) AS scale, sum(total) AS total FROM f JOIN q USING (event_key) JOIN c USING (event_key) GROUP BY 1),
-      s AS (SELECT counterparty, early, n::DOUBLE / max(n) OVER () AS recurrence, coalesce((events - 1)::DOUBLE / nullif((SELECT count(DISTINCT event_key) FROM e) - 1, 0), 0) AS cross_event, scale, total / max(total) OVER () AS centrality FROM p)
-      SELECT counterparty, round(early, 6) AS early, round(recurrence, 6) AS recurrence, round(cross_event, 6) AS cross_event, round(scale, 6) AS scale, round(centrality, 6) AS centrality,
-        round(0.25*early + 0.2*recurrence + 0.2*cross_event + 0.15*scale + 0.2*centrality, 6) AS score FROM s""",
+    f"""WITH e AS (SELECT l.*, event_key, acute_peak FROM ledger l JOIN events_dim ON date BETWEEN acute_start AND acute_end),
+      f AS (SELECT event_key, counterparty, max((date < acute_peak)::INT::DOUBLE) AS early, sum(total_amount) AS total, count(*) AS n FROM e GROUP BY 1,2), c AS (SELECT event_key, quantile_cont(total_amount, 0.75) AS cut FROM e GROUP BY 1),
+      p AS (SELECT counterparty, max(early) AS early, sum(n) AS n, count(*) AS events, max((total > cut)::INT::DOUBLE) AS scale, sum(total) AS total FROM f JOIN c USING (event_key) GROUP BY 1),
+      u AS (SELECT counterparty, category, row_number() OVER (PARTITION BY counterparty ORDER BY count(*) DESC, category) AS k FROM e GROUP BY 1,2),
+      s AS (SELECT p.counterparty, early, n::DOUBLE / max(n) OVER () AS recurrence, coalesce((events - 1)::DOUBLE / nullif((SELECT count(DISTINCT event_key) FROM e) - 1, 0), 0) AS cross_event, scale, (category IN {ROLES})::INT::DOUBLE AS role,
+        total / max(total) OVER () AS centrality FROM p JOIN u ON u.counterparty = p.counterparty AND k = 1)
+      SELECT counterparty, round(early, 6) AS early, round(recurrence, 6) AS recurrence, round(cross_event, 6) AS cross_event, round(scale, 6) AS scale, round(role, 6) AS role, round(centrality, 6) AS centrality,
+        round(0.2*early + 0.15*recurrence + 0.15*cross_event + 0.15*scale + 0.15*role + 0.2*centrality, 6) AS score FROM s""",
 )
 def channel_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = {"early": 0.25, "recurrence": 0.2, "cross_event": 0.2, "scale": 0.15, "centrality": 0.2}
-    return rounded(ag.channel_score(_event_ledger(spark, sf_dir), "event_key", "counterparty", "total_amount", "date", weights))
+    return rounded(ag.channel_score(_event_ledger(spark, sf_dir), "event_key", "counterparty", "total_amount", "date", "acute_peak", "category", ROLES))
 
 
 @query(
@@ -257,7 +282,7 @@ def channel_score(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT series_id, event_key, scale, cushion, scale + cushion AS score FROM s""",
 )
 def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = ev.event_metrics(view(spark, sf_dir, "weekly_panel"), view(spark, sf_dir, "events_dim"), KEYS, "lending", "reserve")
+    metrics = ev.event_metrics(_panel(spark, sf_dir), view(spark, sf_dir, "events_dim"), KEYS, "lending", "reserve", "rr", "size")
     made = ag.scorecard(metrics, [("scale", "scale_ratio", 2.0, 1.5, True), ("cushion", "stock_loss_pct", 20.0, 40.0, False)])
     return made.select("series_id", "event_key", "scale", "cushion", "score")
 
@@ -307,12 +332,14 @@ def appearance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pre_event_return",
-    """WITH h AS (SELECT series_id, event_key, date, deposits AS v FROM weekly_panel JOIN events_dim ON date BETWEEN acute_start - 180 AND acute_start - 1 WHERE deposits IS NOT NULL),
-      a AS (SELECT series_id, event_key, arg_min(v, date) AS first, arg_max(v, date) AS last, count(*) AS n FROM h GROUP BY 1,2), r AS (SELECT *, 100*(last/nullif(first, 0)-1) AS return_pct FROM a)
-      SELECT series_id, event_key, round(first, 6) AS first, round(last, 6) AS last, n, round(return_pct, 6) AS return_pct, CASE WHEN return_pct IS NULL THEN 'no data' WHEN return_pct <= -5 THEN 'fell before' WHEN return_pct >= 5 THEN 'rose before' ELSE 'flat' END AS verdict FROM r""",
+    """WITH d AS (SELECT series_id, date, deposits AS v, (deposits < lag(deposits) OVER (PARTITION BY series_id ORDER BY date))::INT::DOUBLE AS fell FROM weekly_panel),
+      h AS (SELECT series_id, event_key, date, v, fell FROM d JOIN events_dim ON date BETWEEN acute_start - 180 AND acute_start - 1 WHERE v IS NOT NULL),
+      a AS (SELECT series_id, event_key, arg_min(v, date) AS first, arg_max(v, date) AS last, count(*) AS n, avg(fell) AS mean_declining FROM h GROUP BY 1,2), r AS (SELECT *, 100*(last/nullif(first, 0)-1) AS return_pct FROM a)
+      SELECT series_id, event_key, round(first, 6) AS first, round(last, 6) AS last, n, round(mean_declining, 6) AS mean_declining, round(return_pct, 6) AS return_pct, CASE WHEN return_pct IS NULL THEN 'no data' WHEN return_pct <= -5 THEN 'fell before' WHEN return_pct >= 5 THEN 'rose before' ELSE 'flat' END AS verdict FROM r""",
 )
 def pre_event_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ag.pre_event_return(view(spark, sf_dir, "weekly_panel"), view(spark, sf_dir, "events_dim"), KEYS, "date", "deposits", 180))
+    panel = view(spark, sf_dir, "weekly_panel").withColumn("fell", (ts.diff("deposits", KEYS, "date") < 0).cast("double"))
+    return rounded(ag.pre_event_return(panel, view(spark, sf_dir, "events_dim"), KEYS, "date", "deposits", 180, "fell"))
 
 
 @query(
@@ -367,7 +394,7 @@ def past_z(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM n a LEFT JOIN n b ON a.series_id = b.series_id AND b.i < a.i GROUP BY a.series_id, a.date, a.i, a.deposits""",
 )
 def past_pct_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(view(spark, sf_dir, "weekly_panel").select("series_id", "date", ts.past_pct_rank("deposits", KEYS, "date").alias("pct_rank")))
+    return rounded(ts.past_pct_rank(view(spark, sf_dir, "weekly_panel").select("series_id", "date", "deposits"), "deposits", KEYS, "date").drop("deposits"))
 
 
 @query(
@@ -411,7 +438,7 @@ def ewma_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cusum_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rounded(view(spark, sf_dir, "weekly_panel").select("series_id", "date", ts.past_z("deposits", KEYS, "date").alias("z")))
-    return ts.cusum(scored, KEYS, "date", "z", 0.5, 3.0)
+    return ts.cusum(scored, KEYS, "date", "z", 0.5, 3.0).select("series_id", "date", "z", "alert")
 
 
 @query(
@@ -473,38 +500,72 @@ def top_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- rules ----------------------------------------------------------------------------------
 
-_INDEX = """zs AS (SELECT series_id, date, (CASE WHEN count(deposits) OVER w >= 52 THEN (deposits - avg(deposits) OVER w) / nullif(stddev_samp(deposits) OVER w, 0) END) AS dz,
-    -(CASE WHEN count(reserve) OVER w >= 52 THEN (reserve - avg(reserve) OVER w) / nullif(stddev_samp(reserve) OVER w, 0) END) AS rz FROM weekly_panel WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-  ix AS (SELECT *, round((coalesce(dz, 0) + coalesce(rz, 0)) / nullif((dz IS NOT NULL)::INT + (rz IS NOT NULL)::INT, 0), 9) AS idx, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM zs),
-  sc AS (SELECT a.series_id, a.date, a.dz, a.rz, a.idx, CASE WHEN a.i > 52 AND count(b.idx) >= 52 AND a.idx IS NOT NULL THEN 100.0 * count(*) FILTER (b.idx <= a.idx) / count(b.idx) END AS score
-    FROM ix a LEFT JOIN ix b ON a.series_id = b.series_id AND b.i < a.i GROUP BY a.series_id, a.date, a.dz, a.rz, a.idx, a.i)"""
+def _past_z_sql(x: str, w: str, least: int, spread: str) -> str:
+    return f"CASE WHEN count({x}) OVER {w} >= {least} THEN ({x} - avg({x}) OVER {w}) / nullif({spread}({x}) OVER {w}, 0) END"
+
+
+def _mean_sql(*parts: str) -> str:
+    return f"round(({' + '.join(f'coalesce({p}, 0)' for p in parts)}) / nullif({' + '.join(f'({p} IS NOT NULL)::INT' for p in parts)}, 0), 9)"
+
+
+def _rank_sql(x: str) -> str:
+    return f"CASE WHEN a.i > 52 AND count(b.{x}) >= 52 AND a.{x} IS NOT NULL THEN 100.0 * count(*) FILTER (b.{x} <= a.{x}) / count(b.{x}) END"
+
+
+#: The stress index of the panel: past scores of deposits and (negative) reserves and their changes over 8 weeks; and by season.
+_INDEX = f"""zs AS (SELECT series_id, date, {_past_z_sql('deposits', 'w', 52, 'stddev_samp')} AS dz, -({_past_z_sql('reserve', 'w', 52, 'stddev_samp')}) AS rz, deposits / nullif(lag(deposits, 8) OVER o, 0) - 1 AS dp, -(reserve / nullif(lag(reserve, 8) OVER o, 0) - 1) AS rp,
+    {_past_z_sql('deposits', 's', 5, 'stddev_pop')} AS sdz, -({_past_z_sql('reserve', 's', 5, 'stddev_pop')}) AS srz FROM weekly_panel WINDOW o AS (PARTITION BY series_id ORDER BY date),
+    w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY series_id, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  ix AS (SELECT *, {_mean_sql('dz', 'rz', 'dp', 'rp')} AS idx, {_mean_sql('sdz', 'srz')} AS sidx, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i FROM zs),
+  sc AS (SELECT a.series_id, a.date, a.i, a.dz, a.rz, a.sdz, a.srz, a.idx, a.sidx, {_rank_sql('idx')} AS score, {_rank_sql('sidx')} AS sscore FROM ix a LEFT JOIN ix b ON a.series_id = b.series_id AND b.i < a.i GROUP BY ALL)""".replace("GROUP BY ALL", "GROUP BY a.series_id, a.date, a.i, a.dz, a.rz, a.sdz, a.srz, a.idx, a.sidx")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = view(spark, sf_dir, "weekly_panel")
-    scored = panel.withColumns({"dz": ts.past_z("deposits", KEYS, "date"), "rz": -ts.past_z("reserve", KEYS, "date")})
-    indexed = scored.withColumn("idx", F.round(fc.row_mean(F.col("dz"), F.col("rz")), 9))
-    return indexed.withColumn("score", ts.past_pct_rank("idx", KEYS, "date")).select("series_id", "date", "dz", "rz", "idx", "score")
+    feats = ru.build_features(view(spark, sf_dir, "weekly_panel"), KEYS, "date", [("deposits_p8", "deposits", "pct", 8), ("reserve_p8", "reserve", "pct", 8)])
+    scored = ru.warning_index(feats, KEYS, "date", {"deposits": 1, "reserve": -1}, {"deposits_p8": 1, "reserve_p8": -1})
+    return ru.warning_index(scored, KEYS, "date", {"deposits": 1, "reserve": -1}, seasonal=True, prefix="seasonal_")
 
 
-@query("warning_index", f"WITH {_INDEX} SELECT series_id, date, round(dz, 6) AS dz, round(rz, 6) AS rz, round(idx, 6) AS idx, round(score, 6) AS score FROM sc")
+@query(
+    "warning_index",
+    f"""WITH {_INDEX} SELECT series_id, date, round(dz, 6) AS deposits_z, round(rz, 6) AS reserve_z, idx AS \"index\", round(score, 6) AS score,
+      round(sdz, 6) AS seasonal_deposits_z, round(srz, 6) AS seasonal_reserve_z, sidx AS seasonal_index, round(sscore, 6) AS seasonal_score FROM sc""",
+)
 def warning_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_scored(spark, sf_dir))
+    names = [f"{p}{c}" for p in ("", "seasonal_") for c in ("deposits_z", "reserve_z", "index", "score")]
+    made = _scored(spark, sf_dir).select("series_id", "date", *[c if c.endswith("index") else F.round(c, 6).alias(c) for c in names])
+    return rounded(made, 9)
+
+
+def _persistence_sql(rule: str, score: str, k: int, n: int) -> str:
+    frame = f"(PARTITION BY series_id ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"SELECT series_id, date, '{rule}' AS rule, count(*) OVER {frame} = {n} AND sum(coalesce({score} >= 80, false)::INT) OVER {frame} >= {k} AS alert FROM sc"
 
 
-_ALERTS = f"""{_INDEX}, al AS (SELECT series_id, date, 'at80' AS rule, coalesce(score >= 80, false) AS alert FROM sc UNION ALL SELECT series_id, date, 'at95', coalesce(score >= 95, false) FROM sc
-  UNION ALL SELECT series_id, date, '2of4', count(*) OVER w = 4 AND sum(coalesce(score >= 80, false)::INT) OVER w >= 2 FROM sc WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""
+def _ewma_sql(rule: str, x: str) -> str:
+    return f"SELECT series_id, date, '{rule}', coalesce(count({x}) OVER w >= 52 AND {x} > avg({x}) OVER w + 2 * stddev_samp({x}) OVER w, false) FROM fo WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+_SMOOTH = "CASE WHEN n.idx IS NULL THEN fo.{e} WHEN fo.{e} IS NULL THEN n.idx ELSE {a} * n.idx + {b} * fo.{e} END"
+_SUM = "greatest(0, fo.{c} + n.cz - {k})"
+_ALERTS = f"""{_INDEX}, cz AS (SELECT *, {_past_z_sql('idx', 'w', 52, 'stddev_samp')} AS cz FROM sc WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  fo AS (SELECT series_id, date, i, idx AS e2, idx AS e1, 0.0::DOUBLE AS c5, 0.0::DOUBLE AS c4, false AS f5, false AS f4 FROM cz WHERE i = 1
+    UNION ALL SELECT n.series_id, n.date, n.i, {_SMOOTH.format(e='e2', a=0.2, b=0.8)}, {_SMOOTH.format(e='e1', a=0.1, b=0.9)}, CASE WHEN n.cz IS NULL OR {_SUM.format(c='c5', k=0.5)} >= 5 THEN 0 ELSE {_SUM.format(c='c5', k=0.5)} END,
+      CASE WHEN n.cz IS NULL OR {_SUM.format(c='c4', k=0.25)} >= 4 THEN 0 ELSE {_SUM.format(c='c4', k=0.25)} END, n.cz IS NOT NULL AND {_SUM.format(c='c5', k=0.5)} >= 5, n.cz IS NOT NULL AND {_SUM.format(c='c4', k=0.25)} >= 4
+    FROM fo JOIN cz n ON n.series_id = fo.series_id AND n.i = fo.i + 1),
+  al AS ({' UNION ALL '.join([*[f"SELECT series_id, date, 'threshold_{t}' AS rule, coalesce(score >= {t}, false) AS alert FROM sc" for t in (80, 90, 95)], _persistence_sql('persistence_2of4_80', 'score', 2, 4), _persistence_sql('persistence_3of6_80', 'score', 3, 6),
+    _persistence_sql('persistence_6of12_80', 'score', 6, 12), _ewma_sql('ewma_0.2_2sigma', 'e2'), _ewma_sql('ewma_0.1_2sigma', 'e1'), "SELECT series_id, date, 'cusum_0.5_5', f5 FROM fo", "SELECT series_id, date, 'cusum_0.25_4', f4 FROM fo",
+    "SELECT series_id, date, 'threshold_seasonal_80', coalesce(sscore >= 80, false) FROM sc", _persistence_sql('persistence_3of6_seasonal_80', 'sscore', 3, 6)])})"""
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
-    flagged = scored.withColumn("hot", ru.threshold_rule("score", 80.0)).withColumn("p", ts.persistence("hot", KEYS, "date", 2, 4))
-    return ru.long_alerts(flagged, KEYS, "date", {"at80": F.col("hot"), "at95": ru.threshold_rule("score", 95.0), "2of4": F.col("p")})
+    """Alerts of all twelve rules, written once for the evaluations that read them several times."""
+    return materialize(ru.menu_alerts(_scored(spark, sf_dir), KEYS, "date"), "rule-alerts")
 
 
 @query(
     "rule_evaluation",
-    f"""WITH {_ALERTS}, lb AS (SELECT al.*, h AS horizon, EXISTS (SELECT 1 FROM events_dim WHERE acute_peak > date AND acute_peak <= date + 7*h) AS y FROM al, (VALUES (4), (8), (12)) v(h)),
+    f"""WITH RECURSIVE {_ALERTS}, lb AS (SELECT al.*, h AS horizon, EXISTS (SELECT 1 FROM events_dim WHERE acute_peak > date AND acute_peak <= date + 7*h) AS y FROM al, (VALUES (4), (8), (12)) v(h)),
       c AS (SELECT rule, horizon, count(*) FILTER (alert AND y) AS tp, count(*) FILTER (alert AND NOT y) AS fp, count(*) FILTER (NOT alert AND y) AS fn, count(*) FILTER (NOT alert AND NOT y) AS tn FROM lb GROUP BY 1,2)
       SELECT rule, horizon, tp, fp, fn, tn, round(tp::DOUBLE/nullif(tp+fp, 0), 6) AS precision, round(tp::DOUBLE/nullif(tp+fn, 0), 6) AS recall, round(2.0*tp::DOUBLE/nullif(2*tp+fp+fn, 0), 6) AS f1 FROM c""",
 )
@@ -514,16 +575,28 @@ def rule_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rule_detection",
-    f"""WITH {_ALERTS}, h AS (SELECT rule, event_key, acute_peak, date, alert FROM al JOIN events_dim ON date BETWEEN acute_peak - 84 AND acute_peak - 1), g AS (SELECT rule, event_key, acute_peak, count(*) FILTER (alert) AS n_alerts, min(date) FILTER (alert) AS first_alert FROM h GROUP BY 1,2,3)
+    f"""WITH RECURSIVE {_ALERTS}, h AS (SELECT rule, event_key, acute_peak, date, alert FROM al JOIN events_dim ON date BETWEEN acute_peak - 84 AND acute_peak - 1), g AS (SELECT rule, event_key, acute_peak, count(*) FILTER (alert) AS n_alerts, min(date) FILTER (alert) AS first_alert FROM h GROUP BY 1,2,3)
       SELECT rule, event_key, n_alerts, first_alert, floor((acute_peak - first_alert) / 7.0)::INT AS lead_weeks, n_alerts > 0 AS detected FROM g""",
 )
 def rule_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.detection(_alerts(spark, sf_dir), view(spark, sf_dir, "events_dim"), 12, "date")
 
 
+@query(
+    "rule_leads",
+    f"""WITH RECURSIVE {_ALERTS}, h AS (SELECT rule, event_key, acute_peak, date, alert, h AS horizon FROM al, (VALUES (4), (8), (12)) v(h), events_dim WHERE date BETWEEN acute_peak - 7*h AND acute_peak - 1),
+      g AS (SELECT rule, horizon, event_key, floor((first(acute_peak) - min(date) FILTER (alert)) / 7.0) AS lead, count(*) FILTER (alert) > 0 AS detected FROM h GROUP BY 1,2,3)
+      SELECT rule, horizon, count(*) AS events, count(*) FILTER (detected) AS detected, quantile_cont(lead, 0.5)::DOUBLE AS median_lead FROM g GROUP BY 1,2""",
+)
+def rule_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    alerts, events = _alerts(spark, sf_dir), view(spark, sf_dir, "events_dim")
+    parts = [ru.lead_summary(ru.detection(alerts, events, h, "date")).withColumn("horizon", F.lit(h)) for h in (4, 8, 12)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "false_alarm_rate",
-    f"""WITH {_ALERTS} SELECT rule, count(*) AS weeks, round(520*avg(alert::INT::DOUBLE), 6) AS per_decade, round(52*avg(alert::INT::DOUBLE), 6) AS per_year FROM al WHERE NOT EXISTS (SELECT 1 FROM events_dim WHERE date BETWEEN acute_peak - 365 AND acute_peak + 365) GROUP BY 1""",
+    f"""WITH RECURSIVE {_ALERTS} SELECT rule, count(*) AS weeks, round(520*avg(alert::INT::DOUBLE), 6) AS per_decade, round(52*avg(alert::INT::DOUBLE), 6) AS per_year FROM al WHERE NOT EXISTS (SELECT 1 FROM events_dim WHERE date BETWEEN acute_peak - 365 AND acute_peak + 365) GROUP BY 1""",
 )
 def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ru.quiet_rate(_alerts(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date"))
@@ -532,10 +605,10 @@ def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "warning_summary",
     f"""WITH {_INDEX}, h AS (SELECT sc.*, event_key, acute_peak FROM sc JOIN events_dim ON date BETWEEN acute_peak - 84 AND acute_peak - 1), g AS (SELECT series_id, event_key, acute_peak, max(score) AS m, min(date) FILTER (score >= 80) AS f, round(avg(dz), 9) AS dz, round(avg(rz), 9) AS rz FROM h GROUP BY 1,2,3)
-      SELECT series_id, event_key, round(m, 6) AS max_score, f AS first_high, floor((acute_peak - f) / 7.0)::INT AS weeks_before, CASE WHEN dz IS NULL AND rz IS NULL THEN '' WHEN rz IS NULL THEN 'dz' WHEN dz IS NULL THEN 'rz' WHEN dz >= rz THEN 'dz, rz' ELSE 'rz, dz' END AS top_components FROM g""",
+      SELECT series_id, event_key, round(m, 6) AS max_score, f AS first_high, floor((acute_peak - f) / 7.0)::INT AS weeks_before, CASE WHEN dz IS NULL AND rz IS NULL THEN '' WHEN rz IS NULL THEN 'deposits_z' WHEN dz IS NULL THEN 'reserve_z' WHEN dz >= rz THEN 'deposits_z, reserve_z' ELSE 'reserve_z, deposits_z' END AS top_components FROM g""",
 )
 def warning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ru.warning_summary(_scored(spark, sf_dir), view(spark, sf_dir, "events_dim"), KEYS, "date", "score", ["dz", "rz"]))
+    return rounded(ru.warning_summary(_scored(spark, sf_dir), view(spark, sf_dir, "events_dim"), KEYS, "date", "score", ["deposits_z", "reserve_z"]))
 
 
 @query(

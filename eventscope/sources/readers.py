@@ -24,15 +24,21 @@ def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
 
 
 def read_csv_with_preamble(spark: SparkSession, path: str, marker: str, schema: str) -> DataFrame:
-    """CSV rows after the header line that starts with ``marker``; what stands above is dropped, file by file."""
+    """CSV rows after the header line that starts with ``marker``; what stands above is dropped, file by file.
+
+    The table of headers has a row per file; Spark broadcasts it while it is small.
+    """
     lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("at", F.monotonically_increasing_id())
     heads = lines.filter(F.col("value").startswith(marker)).groupBy("file").agg(F.min("at").alias("head"))
-    body = lines.join(F.broadcast(heads), "file").filter((F.col("at") > F.col("head")) & (F.trim("value") != ""))
+    body = lines.join(heads, "file").filter((F.col("at") > F.col("head")) & (F.trim("value") != ""))
     return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
 
 
 def scan_windows(spark: SparkSession, path: str, windows: Sequence[tuple[str, str]], columns: Sequence[str], date: str = "date") -> DataFrame:
-    """Some columns of a sharded Parquet table within any of several date ranges; the ranges reach the scan. Corrupt shards are skipped."""
+    """Some columns of a sharded Parquet table within any of several date ranges; the ranges reach the scan.
+
+    Spark skips corrupt shards and logs each in the executor's log (``Skipped the rest of the content in the corrupted file``).
+    """
     df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
     kind = df.schema[date].dataType
     inside = reduce(Column.__or__, [F.col(date).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind)) for lo, hi in windows])
@@ -55,6 +61,11 @@ def select_by_header_keyword(df: DataFrame, keywords: dict[str, str]) -> DataFra
     return df.select(*[F.col(f"`{c}`").alias(n) for n, c in found.items() if c])
 
 
+def add_ratios(df: DataFrame, ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add one quotient per entry ``name: (above, below)``; null over zero or without a value."""
+    return df.withColumns({n: F.try_divide(F.col(a).cast("double"), F.nullif(F.col(b).cast("double"), F.lit(0.0))) for n, (a, b) in ratios.items()})
+
+
 UNITS = {"us": F.timestamp_micros, "ms": F.timestamp_millis, "s": F.timestamp_seconds}
 
 
@@ -88,11 +99,13 @@ def filter_country(df: DataFrame, name: str, code: str, by_name: str = "country"
     return df.filter(F.upper(by_code) == code.upper()).orderBy(order)
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """``(column, type, filled, distinct, low, high)`` in one pass; distinct counts are approximate."""
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """``(column, type, filled, distinct, low, high)`` in one pass; distinct counts are approximate unless ``exact``, which shuffles every column."""
     simple = [(c, t) for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
-    parts = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.count(c).alias("filled"), F.approx_count_distinct(c).alias("distinct"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")) for c, t in simple]
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    counts = df.agg(*[a.alias(f"{n}{k}") for k, (c, _) in enumerate(simple) for n, a in (("f", F.count(F.col(f"`{c}`"))), ("d", distinct(F.col(f"`{c}`"))), ("l", F.min(F.col(f"`{c}`")).cast("string")), ("h", F.max(F.col(f"`{c}`")).cast("string")))])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), *[F.col(f"{n}{k}").alias(name) for n, name in (("f", "filled"), ("d", "distinct"), ("l", "low"), ("h", "high"))]) for k, (c, t) in enumerate(simple)]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:

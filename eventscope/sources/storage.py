@@ -41,6 +41,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extract(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, written from ``df`` only if it is not complete there yet.
+
+    Spark leaves ``_SUCCESS`` when a write is done; what a failed write left is overwritten.  An extract is kept,
+    ``release`` does not touch it.
+    """
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def written() -> int:
     """The number of tables written and not released: a mark for ``release``."""
     return len(_written)

@@ -1,13 +1,16 @@
 """Streaming counterparts: windowed aggregates, and scores and alerts with state per key.
 
 Each gives on a stream what its batch twin gives on the whole table, provided that rows of a key
-arrive in order across micro-batches.
+arrive in order across micro-batches; ``replay`` makes such a stream of a table.  A row of a key that
+arrives after later ones is taken after them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,13 +97,33 @@ def first_mentions(stream: DataFrame, gate: Column, hit: Column, marker: str, ts
     return stream.filter(gate & hit).withWatermark(ts, late).dropDuplicatesWithinWatermark([marker])
 
 
+def replay_parts(parts: Sequence[DataFrame], name: str, files: int = 4) -> DataFrame:
+    """A stream of the rows of ``parts``, one micro-batch each, from files in the shared folder."""
+    spark = parts[0].sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for k, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{path}/part={k}")
+    source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
+    return source.parquet(path)
+
+
+def replay(df: DataFrame, ts: str, name: str, batches: int = 4, files: int = 4) -> DataFrame:
+    """A stream of a table in order of time: spans that hold about as many rows each, one micro-batch each.
+
+    With enough batches no micro-batch holds more of a key than a task can take.
+    """
+    shares = F.array(*[F.lit(k / batches) for k in range(1, batches)])
+    cuts = df.agg(F.percentile_approx(F.unix_micros(ts), shares, F.lit(1000)).alias("c")).first()["c"] or []
+    bounds, at = [None, *sorted(set(cuts)), None], F.unix_micros(ts)
+    inside = [reduce(Column.__and__, [at > lo if lo is not None else F.lit(True), at <= hi if hi is not None else F.lit(True)]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    return replay_parts([df.filter(c) for c in inside], name, files)
+
+
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Process everything that is there now and return the result as a table in the shared folder.
 
     In complete mode the last batch is the result, in append mode all batches together.
     """
-    import uuid
-
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if mode == "complete":

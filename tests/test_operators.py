@@ -32,11 +32,97 @@ def test_asof_ties_and_directions(spark):
 
 def test_event_metrics_without_a_pre_window(spark):
     panel = spark.createDataFrame([("a", d("2000-03-05"), 5.0, 2.0), ("a", d("2000-03-12"), 5.0, 1.0)], "k string, date date, l double, r double")
-    row = events.event_metrics(panel, dim(spark), ["k"], "l", "r").first()
+    row = events.event_metrics(panel.withColumns({"p": F.col("r"), "s": F.col("l") * 2}), dim(spark), ["k"], "l", "r", "p", "s").first()
+    assert row["size_share"] == 0.5 and row["rate_change"] is None and row["days_to_recovery"] is None
     assert row["pre_level"] is None and row["scale_ratio"] is None and row["days_to_rise"] is None
     assert row["days_to_peak"] == 4  # the earliest of equal maxima
 
 
+def test_asof_join_over_spans_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(events, "ASOF_DAYS", 5)
+    day = dt.date(2000, 1, 1)
+    left = [(k, day + dt.timedelta(n)) for k in ("a", "b", None) for n in range(0, 90, 4)]
+    right = [(k, day + dt.timedelta(n), float(n)) for k, ns in (("a", (3, 4, 30, 31, 77)), (None, (50,))) for n in ns]
+    for way in ("nearest", "backward", "forward"):
+        made = events.asof_join(spark.createDataFrame(left, "k string, date date"), spark.createDataFrame(right, "k string, date date, v double"), "date", ["k"], "v", way)
+        got = {(r["k"], r["date"]): r["v"] for r in made.collect()}
+        assert len(got) == len(left)
+        for k, at in left:
+            near = [(abs((x - at).days), -(x - at).days, v) for j, x, v in right if j == k and (way != "backward" or x <= at) and (way != "forward" or x >= at)]
+            assert got[k, at] == (min(near)[2] if near else None)
+
+
+def test_nearest_event_over_many_events(spark):
+    days = spark.createDataFrame([(d("2000-01-01"),), (d("2000-01-06"),), (d("2000-02-01"),), (d("1990-01-01"),)], "date date")
+    peaks = spark.createDataFrame([("x", d("2000-01-04")), ("b", d("2000-01-08")), ("a", d("2000-01-08"))], "event_key string, acute_peak date")
+    got = {r["date"].isoformat(): (r["nearest_event"], r["gap_days"]) for r in events.nearest_event(days, peaks).collect()}
+    assert got == {"2000-01-01": ("x", -3), "2000-01-06": ("a", -2), "2000-02-01": ("a", 24), "1990-01-01": ("x", -3655)}
+
+
+def test_names_keep_words_that_begin_like_dropped_ones(spark):
+    names = ["Mrs Jones", "Mrinal Sen", "Mr. Smith & Co.", "Messrs. A and B", "Messina Bros", "mess & sons", "Theodor Cole", "Commercial Discount Corporation", "Étude Mr Été", None, "Smith& Co"]
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "i int, n string")
+    got = [r[0] for r in df.orderBy("i").select(entities.normalize_name(F.col("n"))).collect()]
+    assert got == ["mrs jones", "mrinal sen", "smith &", "a & b", "messina", "&", "theodor cole", "commerc disc corp", "étude été", "", "smith"]
+
+
+def test_ordered_classifier_gives_confidence(spark):
+    rules = [entities.Rule("gurney", "broker", 0.85), entities.Rule("bank", "bank", 0.4)]
+    df = spark.createDataFrame([("Gurney Bank",), ("A Bank",), ("Smith",), ("  ",), (None,)], "n string")
+    got = [tuple(r[0]) for r in df.select(entities.classify_ordered(F.col("n"), rules)).collect()]
+    assert got == [("broker", 0.85), ("bank", 0.4), ("unknown", 0.2), ("unknown", 0.0), ("unknown", 0.0)]
+
+
+def test_leave_one_event_out_equals_a_direct_fit(spark):
+    """The coefficients of each fold make the gradient of its own penalised likelihood vanish."""
+    from eventscope.operators import models
+
+    rng = np.random.default_rng(1)
+    peaks = [d("2001-03-01"), d("2003-03-01"), d("2005-03-01")]
+    span = lambda p: (f"E{p.year}", p - dt.timedelta(400), p - dt.timedelta(20), p, p + dt.timedelta(20), p + dt.timedelta(300))
+    table = spark.createDataFrame([span(p) for p in peaks], "event_key string, pre_start date, acute_start date, acute_peak date, acute_end date, post_end date")
+    weeks = [d("2000-01-02") + dt.timedelta(7 * k) for k in range(330)]
+    near = lambda t, h: any(t < p <= t + dt.timedelta(7 * h) for p in peaks)
+    rows = [(t, float(rng.normal(near(t, 8), 1)), float(rng.normal()) if k % 50 else None) for k, t in enumerate(weeks)]
+    scores, coefficients = models.loeo_logistic(spark.createDataFrame(rows, "date date, a double, b double"), table, "date", ["a", "b"])
+    eligible = [(t, a, b) for t, a, b in rows if b is not None and not any(p - dt.timedelta(20) <= t <= p + dt.timedelta(84) for p in peaks)]
+    got = scores.collect()
+    assert len(got) == 6 * len(eligible)
+    held = {(r["horizon"], r["fold"], r["feature"]): r["coefficient"] for r in coefficients.collect()}
+    for h in (8, 12):
+        for p in peaks:
+            train = np.array([(a, b, near(t, h)) for t, a, b in eligible if not p - dt.timedelta(182) <= t <= p - dt.timedelta(1)], dtype=float)
+            x, y = (train[:, :2] - train[:, :2].mean(0)) / train[:, :2].std(0), train[:, 2]
+            mine = {r["date"]: r for r in got if r["horizon"] == h and r["fold"] == f"E{p.year}"}
+            beta = np.array([held[h, f"E{p.year}", f] for f in "ab"])
+            risk = np.array([mine[t]["score"] for t, a, b in eligible if not p - dt.timedelta(182) <= t <= p - dt.timedelta(1)])
+            weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+            assert np.abs(x.T @ (weight * (risk - y)) + beta).max() < 0.5 and abs((weight * (risk - y)).sum()) < 0.5
+            quiet = [r["score"] for t, r in mine.items() if not near(t, h)]
+            assert next(iter(mine.values()))["threshold"] == pytest.approx(np.quantile(quiet, 1 - 10 / 520))
+            assert all(r["alert"] == (r["score"] >= r["threshold"]) for r in mine.values())
+
+
+def test_extract_is_written_once(spark, tmp_path):
+    from eventscope.sources import storage
+
+    path = str(tmp_path / "extract")
+    assert storage.extract(spark.range(3), path).count() == 3
+    assert storage.extract(spark.range(9), path).count() == 3
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    first = spark.createDataFrame([("k", start + dt.timedelta(days=n), 1.0) for n in range(60)], "k string, ts timestamp, x double")
+    late = spark.createDataFrame([("k", start + dt.timedelta(days=n), 100.0) for n in (1, 58)], "k string, ts timestamp, x double")
+    more = spark.createDataFrame([("k", start + dt.timedelta(days=59), 1.0)], "k string, ts timestamp, x double")
+    counts = online.weekly_counts(online.replay_parts([first, more, late], "late-test", 1), "ts", "k", "x")
+    query = counts.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert online.dropped_late(query) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).filter("total > 99").count() == 0  # the week of day 58 is still open
+
+
 def test_count_within_keeps_empty_centers(spark):
     centers = spark.createDataFrame([(d("2000-01-01"),), (d("2005-01-01"),)], "center date")
     points = spark.createDataFrame([(d("2000-01-04"),), (d("1999-12-29"),), (d("2000-01-05"),)], "date date")

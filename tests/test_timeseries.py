@@ -19,6 +19,10 @@ def column(df, expr):
     return [r[0] for r in df.select("date", expr.alias("y")).orderBy("date").select("y").collect()]
 
 
+def ranked(df):
+    return [r["pct_rank"] for r in ts.past_pct_rank(df, "x", ["k"], "date").orderBy("date").collect()]
+
+
 def test_diff_and_delay(spark):
     df = frame(spark, [1, 2, 4, 7])
     assert column(df, ts.diff("x", ["k"], "date", 1)) == [None, 1, 2, 3]
@@ -39,23 +43,30 @@ def test_past_z_needs_periods_and_spread(spark):
 def test_rank_gates_and_nulls(spark):
     values = [float(i) for i in range(60)]
     values[3] = values[10] = None
-    ranks = column(frame(spark, values), ts.past_pct_rank("x", ["k"], "date"))
+    ranks = ranked(frame(spark, values))
     assert ranks[53] is None and ranks[54] == 100.0  # 52 earlier values are there from place 54
     assert all(r is None or 0 <= r <= 100 for r in ranks)
 
 
-def test_long_rank_equals_window_rank(spark):
-    df = frame(spark, [(i * 37) % 23 if i % 9 else None for i in range(90)])
-    long = ts.pct_rank_long(df, "x", ["k"], "date", "y").orderBy("date").select("y").collect()
-    short = column(df, ts.past_pct_rank("x", ["k"], "date"))
-    assert [r[0] for r in long] == pytest.approx(short)
+def test_rank_equals_brute_force_over_several_series(spark):
+    values = {k: [(i * m) % 23 if i % 9 else None for i in range(90)] for k, m in (("a", 37), ("b", 5))}
+    df = frame(spark, values["a"]).unionByName(frame(spark, values["b"], "b")).withColumn("other", F.lit("kept")).repartition(3)
+    got = ts.past_pct_rank(df, "x", ["k"], "date", 10, "y").orderBy("k", "date").collect()
+    assert all(r["other"] == "kept" for r in got)
+    for k, series in values.items():
+        want = []
+        for i, v in enumerate(series):
+            seen = [e for e in series[:i] if e is not None]
+            want.append(100 * sum(e <= v for e in seen) / len(seen) if v is not None and i >= 10 and len(seen) >= 10 else None)
+        assert [r["y"] for r in got if r["k"] == k] == pytest.approx(want)
 
 
 def test_past_features_do_not_look_ahead(spark):
     base = [float((i * 31) % 17) for i in range(80)]
     other = base[:60] + [999.0] * 20
-    for f in (ts.past_z, ts.past_mean, ts.past_pct_rank):
+    for f in (ts.past_z, ts.past_mean):
         assert column(frame(spark, base), f("x", ["k"], "date"))[:60] == column(frame(spark, other), f("x", ["k"], "date"))[:60]
+    assert ranked(frame(spark, base))[:60] == ranked(frame(spark, other))[:60]
 
 
 def test_constant_series_has_no_robust_z(spark):
@@ -97,8 +108,28 @@ def test_persistence_needs_full_frame(spark):
     assert column(df, ts.persistence("f", ["k"], "date", 2, 3)) == [False, False, True, True]
 
 
-def test_long_folds_equal_short_ones(spark):
-    df = frame(spark, [None if i % 13 == 4 else (i * 29) % 11 for i in range(60)])
-    for short, long, args, name in ((ts.ewma, ts.ewma_long, (0.3,), "ewma"), (ts.cusum, ts.cusum_long, (4.0, 9.0), "alert")):
-        a = [r[name] for r in short(df, ["k"], "date", "x", *args).orderBy("date").collect()]
-        assert [r[name] for r in long(df, ["k"], "date", "x", *args).orderBy("date").collect()] == pytest.approx(a)
+def test_folds_side_by_side_over_batches(spark):
+    """Several recursions in one pass, with series that go over Arrow batches and partitions."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        values = {k: [None if i % 13 == 4 else float((i * m) % 11) for i in range(60)] for k, m in (("a", 29), ("b", 7), (None, 3))}
+        df = None
+        for k, v in values.items():
+            df = frame(spark, v, k) if df is None else df.unionByName(frame(spark, v, k))
+        made = ts.fold_each(df, ["k"], "date", {"e": ("x", ts.ewma_step(0.3)), "c": ("x", ts.cusum_step(4.0, 9.0))}).orderBy("date").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, series in values.items():
+        y, total, want = None, 0.0, []
+        for v in series:
+            y = y if v is None else v if y is None else 0.3 * v + 0.7 * y
+            total = 0.0 if v is None else max(0.0, total + v - 4)
+            want.append((y, float(total >= 9)))
+            total = 0.0 if total >= 9 else total
+        assert [(r["e"], r["c"]) for r in made if r["k"] == k] == [(None if e is None else pytest.approx(e), c) for e, c in want]
+
+
+def test_folds_without_keys_or_rows(spark):
+    df = frame(spark, [1, 3])
+    assert [r["ewma"] for r in ts.ewma(df, [], "date", "x", 0.5).orderBy("date").collect()] == [1.0, 2.0]
+    assert ts.ewma(df.limit(0), ["k"], "date", "x", 0.5).collect() == []
