@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventscope.sources.storage import materialize, shared_dir
 
-__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_small_or_large", "let", "materialize", "packed", "read_table", "running", "shared_dir", "unpacked", "whole_text", "words"]
+__all__ = ["SPACE", "WORD", "free_name", "grouped", "join_classes", "join_small_or_large", "let", "materialize", "packed", "read_table", "running", "shared_dir", "unpacked", "whole_text", "words"]
 
 #: White space as the contracts define it, and a word: a longest run of anything else.
 SPACE = r"[\x20\x09-\x0D]"
@@ -88,6 +88,22 @@ def join_small_or_large(big: DataFrame, keys: DataFrame, on: str, how: str, boun
     return joined if how in ("left_semi", "left_anti") else joined.drop(side[other])
 
 
+#: Classes with more members are frequent, and so many of them at most are broadcast.
+FREQUENT, FREQUENT_CLASSES = 256, 10_000
+
+
+def join_classes(members: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Left join of ``members`` to their ``classes`` (a written table with the number of members in ``size``) on keys that are not null.
+
+    The most frequent classes, a bounded number, are broadcast; the rest is shuffled.  So a class with a third of
+    all members is no task of its own.
+    """
+    often = materialize(classes.filter(F.col(size) > FREQUENT).orderBy(F.col(size).desc(), *keys).limit(FREQUENT_CLASSES), "frequent-classes")
+    marks = F.broadcast(often.select(*keys))
+    rest = members.join(marks, keys, "left_anti").join(classes.join(marks, keys, "left_anti"), keys, "left")
+    return members.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups of rows that follow each other with equal keys, each as one table."""
     key, held = None, []

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import join_small_or_large, let, materialize, whole_text, words
+from eventscope.llm.common import join_classes, join_small_or_large, let, materialize, whole_text, words
 from eventscope.operators.components import connected_components
 
 #: Lists of more documents are not searched for pairs.
@@ -186,7 +186,7 @@ def _links(key: tuple, rows: list, percent: int) -> pa.RecordBatch:
 
 
 def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n, k1, k2)`` of every row, and ``(n, k1, k2, component)`` of every set."""
+    """``(doc_id, n, k1, k2)`` of every row, and ``(n, k1, k2, copies, component)`` of every set that is not empty."""
     text = docs.select("doc_id", whole_text().alias("text"))
     hashed = text.select("doc_id", shingle_hashes(F.col("text"), size).alias("s")).select(
         "doc_id", F.size("s").alias("n"), F.xxhash64("s").alias("k1"), F.xxhash64(F.lit(size), F.reverse("s")).alias("k2"),
@@ -209,8 +209,9 @@ def link_classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, D
     family = connected_components(edges, "x", "y").withColumnsRenamed({"node": "rep", "component": "family"})
     family = materialize(_sets_of(text, family, size), "jaccard-families")
     component = connected_components(_compare(family, percent)).withColumnsRenamed({"node": "rep"})
-    found = members.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"))
-    return members.drop("prefix"), found.join(component, "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component"))
+    found = members.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = found.join(component, "rep", "left").select("n", "k1", "k2", "copies", F.coalesce("component", "rep").alias("component"))
+    return members.drop("prefix"), materialize(classes, "jaccard-classes")
 
 
 def _sets_of(text: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -285,7 +286,8 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     has no component and links with nothing.
     """
     members, classes = link_classes(docs, size, percent)
-    joined = members.join(classes, ["n", "k1", "k2"], "left")
+    joined = join_classes(members.filter("n > 0"), classes, ["n", "k1", "k2"], "copies").drop("copies")
+    joined = joined.unionByName(members.filter("n = 0").withColumn("component", F.col("doc_id")))
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventscope.llm.common import grouped, materialize
+from eventscope.llm.common import grouped, join_classes, materialize
 from eventscope.operators.components import connected_components
 
 logger = logging.getLogger(__name__)
@@ -71,21 +71,20 @@ def nodes(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _best(edges: DataFrame, threshold: float) -> DataFrame:
     """The nearest neighbours of each list: ``(src, dst, sim, place, k, floor, full)``.
 
-    A list keeps as many as the ``k`` that its earlier rows carry, ``NEIGHBOURS`` without any.  ``k`` and
-    ``floor`` of the result hold for the next round: a saturated list (full, and all at the threshold or
-    above) is doubled, and only neighbours above ``floor`` can improve it.  ``full`` says that it is
-    saturated at its greatest length.
+    A list has ``NEIGHBOURS`` places, and a saturated one, whose neighbours are all at the threshold or above,
+    up to ``MOST_NEIGHBOURS``.  ``k`` and ``floor`` say for the next round how many neighbours a comparison may
+    give it and above what similarity they improve it; ``full`` that it is saturated at its greatest length.
     """
-    unique = edges.repartition("src").groupBy("src", "dst").agg(F.max("sim").alias("sim"), F.max("k").alias("k"))
+    unique = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     of, order = Window.partitionBy("src"), Window.partitionBy("src").orderBy(F.col("sim").desc(), "dst")
-    held = unique.withColumns({"place": F.row_number().over(order), "k": F.coalesce(F.max("k").over(of), F.lit(NEIGHBOURS))}).filter("place <= k")
-    n, last = F.count("*").over(of).cast("int"), F.min("sim").over(of)
-    held = held.withColumns({"n": n, "last": last})
+    most = unique.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MOST_NEIGHBOURS)
+    held = most.filter((F.col("place") <= NEIGHBOURS) | (F.col("sim") >= threshold))
+    held = held.withColumns({"n": F.count("*").over(of), "last": F.min("sim").over(of)})
     n, last = F.col("n"), F.col("last")
     grown = (n >= NEIGHBOURS) & (last >= threshold)
-    longer = F.when(grown, F.least(n * 2, F.lit(MOST_NEIGHBOURS))).otherwise(F.greatest(n, F.lit(NEIGHBOURS)))
-    open_ = (grown & (n < MOST_NEIGHBOURS)) | (n < NEIGHBOURS)
-    return held.select("src", "dst", "sim", "place", longer.cast("int").alias("k"), F.when(open_, -2.0).otherwise(last).alias("floor"), (grown & (n >= MOST_NEIGHBOURS)).alias("full"))
+    full = grown & (n >= MOST_NEIGHBOURS)
+    floor = F.when(n < NEIGHBOURS, -2.0).when(grown & ~full, float(np.nextafter(threshold, -2))).otherwise(last)
+    return held.select("src", "dst", "sim", "place", F.when(grown, MOST_NEIGHBOURS).otherwise(NEIGHBOURS).alias("k"), floor.alias("floor"), full.alias("full"))
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -363,12 +362,12 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
     lists, recall, forests = None, 0.0, starts(count, threshold)
     for turn in range(PASSES):
         for forest in range(forests):
-            fresh = forest_edges(vectors, count, seed=turn * forests + forest).withColumn("k", F.lit(None).cast("int"))
-            lists = materialize(_best(fresh if lists is None else lists.select("src", "dst", "sim", "k").unionByName(fresh), threshold), "vec-lists")
+            fresh = forest_edges(vectors, count, seed=turn * forests + forest)
+            lists = materialize(_best(fresh if lists is None else lists.select("src", "dst", "sim").unionByName(fresh), threshold), "vec-lists")
         gained = count
         while gained > SETTLED * count:
-            better = descend(vectors, lists).withColumn("k", F.lit(None).cast("int"))
-            before, lists = lists, materialize(_best(lists.select("src", "dst", "sim", "k").unionByName(better), threshold), "vec-lists")
+            better = descend(vectors, lists)
+            before, lists = lists, materialize(_best(lists.select("src", "dst", "sim").unionByName(better), threshold), "vec-lists")
             gained = _gained(lists, before, threshold)
         near = lists.filter(F.col("sim") >= threshold)
         component = connected_components(near).withColumnRenamed("node", "rep")
@@ -385,8 +384,8 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
         logger.warning("near copies of %d vectors: recall %.4f is short of %.4f, comparing all vectors", count, recall, RECALL)
         component, recall = bridge(vectors, component, vectors.select("rep"), threshold), 1.0
     links = _count_links(vectors, component, threshold)
-    own = vectors.select("k1", "k2", "dim", "rep", "copies").join(component, "rep", "left").join(links, "rep", "left")
-    found = members.filter("k1 is not null").join(own, ["k1", "k2", "dim"], "left")
+    own = materialize(vectors.select("k1", "k2", "dim", "rep", "copies").join(component, "rep", "left").join(links, "rep", "left"), "vec-own")
+    found = join_classes(members.filter("k1 is not null"), own, ["k1", "k2", "dim"], "copies")
     n_links = F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)))
     component_id = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     made = found.select("vec_id", n_links.cast("long").alias("n_links"), component_id.alias("component_id"))

@@ -111,6 +111,19 @@ def test_long_texts(spark):
     assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4} and got[1][0] == len(shingles(rows[0][1], 4))
 
 
+def test_frequent_copies_are_not_shuffled_together(spark, monkeypatch):
+    from eventscope.llm import common
+
+    monkeypatch.setattr(common, "FREQUENT", 3)
+    rows = [(k, "the same words in every one of these rows" if k % 2 else "") for k in range(40)] + [(50 + k, "others that two rows have") for k in range(2)] + [(None, "the same words in every one of these rows")]
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard.components(spark.createDataFrame(rows, DOCS)).collect()]
+    assert sorted(got, key=str) == sorted([(i, None if i is None else 50 if i >= 50 else 1 if i % 2 else i) for i, _ in rows], key=str)
+    vectors = [(k, [1.0, 0.0] if k % 2 else [float(k), 1.0 + k]) for k in range(20)] + [(30, None)]
+    want, count = brute_vectors(vectors)
+    got = {r["vec_id"]: r for r in near_dedup.link(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))[0].collect()}
+    assert {i: (r["component_id"], r["n_links"]) for i, r in got.items()} == {i: (want[i], count[i]) for i in want}
+
+
 def test_repeated_ids_null_ids_and_empty_tables(spark):
     text = "a b c d e f g h i j"
     rows = [(1, text), (1, text), (2, "other words that are not the same at all"), (2, text), (None, text), (3, None)]
