@@ -92,7 +92,10 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similarity_pairs(names: DataFrame, threshold: float = 88.0) -> DataFrame:
-    """Pairs of distinct normalised names of one block at or above the threshold: ``(a, b, score)`` with a < b."""
+    """Pairs of distinct normalised names of one block at or above the threshold: ``(a, b, score)`` with a < b.
+
+    All names of a block meet, so the work is the square of the largest block of distinct names.
+    """
     keyed = names.select("normal").filter("normal <> ''").distinct().withColumn("block", block_key(F.col("normal")))
     left, right = keyed.select("block", F.col("normal").alias("a")), keyed.select("block", F.col("normal").alias("b"))
     near = left.join(right, "block").filter("a < b").select("a", "b")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def parse_json_lenient(text: Column, schema: str) -> Column:
-    """A struct from JSON that may be fenced or wrapped in prose: code fences go, then the widest ``{...}`` is read; null if none parses."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"```(?:json)?", "")
+    """A struct from JSON that may be fenced or wrapped in prose: code fences go, then the widest ``{...}`` is read.
+
+    What does not parse gives nulls and the text itself in ``_bad``, which is null for a good record; null text gives null.
+    """
+    bare = F.regexp_replace(text, r"```(?:json)?", "")
     block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(block != "", F.from_json(block, schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return F.from_json(F.when(block != "", block).otherwise(text), schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
 
 
 def flatten_records(df: DataFrame, array: str, keep: Sequence[str]) -> DataFrame:

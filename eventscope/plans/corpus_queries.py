@@ -362,10 +362,10 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_summary",
     f"""WITH {_EDGES}, b AS (SELECT src AS v, weight FROM ed UNION ALL SELECT dst, weight FROM ed), d AS (SELECT institution, coalesce(sum(b.weight), 0) AS w FROM (SELECT DISTINCT institution FROM membership) m LEFT JOIN b ON b.v = m.institution GROUP BY 1)
-      SELECT count(*) AS nodes, (SELECT count(*) FROM ed) AS edges, round(2.0*(SELECT count(*) FROM ed)/nullif(count(*)*(count(*)-1), 0), 6) AS density, arg_max(institution, w) FILTER (w = (SELECT max(w) FROM d)) AS top FROM (SELECT * FROM d ORDER BY w DESC, institution)""",
+      SELECT count(*) AS nodes, (SELECT count(*) FROM ed) AS edges, round(2.0*(SELECT count(*) FROM ed)/nullif(count(*)*(count(*)-1), 0), 6) AS density, arg_max(institution, w) FILTER (w = (SELECT max(w) FROM d)) AS top, round(avg((institution LIKE '%1')::INT::DOUBLE), 6) AS type_share FROM (SELECT * FROM d ORDER BY w DESC, institution)""",
 )
 def graph_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(graph.graph_summary(*_edges(spark, sf_dir), "institution"))
+    return rounded(graph.graph_summary(*_edges(spark, sf_dir), "institution", F.col("institution").endswith("1")))
 
 
 @query("eigenvector_centrality")
@@ -551,6 +551,12 @@ def stream_past_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "value", F.round("z", 6).alias("z"))
 
 
-@query("stream_cusum")
+@query(
+    "stream_cusum",
+    """WITH RECURSIVE n AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+      c AS (SELECT user_id, ts, value, i, CASE WHEN value IS NULL OR greatest(0, value - 20) >= 60 THEN 0 ELSE greatest(0, value - 20) END::DOUBLE AS s, value IS NOT NULL AND greatest(0, value - 20) >= 60 AS f FROM n WHERE i = 1
+        UNION ALL SELECT n.user_id, n.ts, n.value, n.i, CASE WHEN n.value IS NULL OR greatest(0, c.s + n.value - 20) >= 60 THEN 0 ELSE greatest(0, c.s + n.value - 20) END, n.value IS NOT NULL AND greatest(0, c.s + n.value - 20) >= 60 FROM c JOIN n ON n.user_id = c.user_id AND n.i = c.i + 1)
+      SELECT user_id, ts, value, f::INT::DOUBLE AS alert FROM c""",
+)
 def stream_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return online.drain(online.cusum(_event_stream(spark, sf_dir), "user_id", "ts", "value", 20.0, 60.0), "append", "cusum")
+    return online.drain(online.cusum(_event_stream(spark, sf_dir), "user_id", "ts", "value", 20.0, 60.0), "append", "cusum").withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -248,6 +248,8 @@ def test_lenient_json(spark):
     rows = [('```json\n{"a": 1}\n```',), ('here: {"a": 2} end',), ('{"a": ',), (None,)]
     got = spark.createDataFrame(rows, "t string").select(reconcile.parse_json_lenient(F.col("t"), "a int").alias("r")).select("r.a").collect()
     assert [r[0] for r in got] == [1, 2, None, None]
+    bad = spark.createDataFrame(rows, "t string").select(reconcile.parse_json_lenient(F.col("t"), "a int").alias("r")).select("r._bad").collect()
+    assert [r[0] for r in bad] == [None, None, '{"a": ', None]
 
 
 def test_match_tuple_clause_and_null_text(spark):
