@@ -44,8 +44,8 @@ LONG_LIST = 64
 LEVELS = (0.05, 0.3, 1.0)
 #: Documents and tokens of one side of a block on average, and columns of its matrix at a time.
 BLOCK, BLOCK_TOKENS, COLUMNS = 256, 1_000_000, 16_384
-#: Families of more documents have centres, so many for each class of sizes.
-LARGE_FAMILY, CENTRES = 1_024, 16
+#: Families of more documents or tokens are split and have centres, so many for each class of sizes.
+LARGE_FAMILY, LARGE_TOKENS, CENTRES = 512, 2_000_000, 16
 #: Sets in the sample that shows very frequent tokens, sets of it that hold one at least, such tokens at most, and parts they are dealt to.
 HOT_SAMPLE, HOT_LEAST, HOT_TOKENS, HOT_PARTS = 50_000, 50, 100_000, 64
 #: Keys are broadcast up to this many rows (about 16 MB), else joined by shuffle.
@@ -254,17 +254,15 @@ def _centre_links(docs: DataFrame, percent: int) -> DataFrame:
     return _met(rows[0].unionByName(rows[1]), percent)
 
 
-def _compare(family: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of the families in ``(rep, family, n, tokens)``, compared block against block.
+def _split(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links with centres in large families ``(rep, family, n, tokens)``, and the rows to compare block against block.
 
-    A large family is split by size: two sets link only in the same or the next bucket.  Documents of one
-    ``grp`` are of one component through links with centres; -1 stands for none.
+    Two sets link only in the same or the next ``bucket`` of sizes.  Documents of one ``grp`` are of one
+    component through links with centres; -1 stands for none.
     """
-    m = family.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    large = (F.col("m") > LARGE_FAMILY) | (F.col("all") > 4 * BLOCK_TOKENS)
-    width = F.lit(math.log(100 / percent) * 1.001) if percent < 100 else F.lit(1e-3)
-    docs = family.join(m, "family").withColumn("bucket", F.when(large, F.floor(F.log("n") / width)).otherwise(-1).cast("int")).drop("m", "all")
-    centred = materialize(_centre_links(docs.filter("bucket >= 0").withColumn("grp", F.lit(-1).cast("long")), percent), "jaccard-centred")
+    width = math.log(100 / percent) * 1.001 if percent < 100 else 1e-3
+    docs = docs.withColumn("bucket", F.floor(F.log("n") / width).cast("int"))
+    centred = materialize(_centre_links(docs.withColumn("grp", F.lit(-1).cast("long")), percent), "jaccard-centred")
     grouped = connected_components(centred).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     docs = docs.join(grouped, "rep", "left").withColumn("grp", F.coalesce("grp", F.lit(-1).cast("long")))
     dealt, sizes = _dealt(docs)
@@ -273,8 +271,20 @@ def _compare(family: DataFrame, percent: int) -> DataFrame:
     pairs = sizes.drop("blocks").join(others, "family").filter((F.abs(F.col("bucket") - F.col("other_bucket")) <= 1) & ~known)
     wide = dealt.join(pairs, ["family", "bucket", "grp"]).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
     mine, other = F.concat_ws(":", *_NAME), F.concat_ws(":", *[f"other_{c}" for c in _NAME])
-    rows = wide.select("family", "rep", "tokens", F.least(mine, other).alias("left"), F.greatest(mine, other).alias("right"), mine.alias("mine"))
-    return centred.unionByName(materialize(_met(rows, percent), "jaccard-links"))
+    return centred, wide.select("family", "rep", "tokens", F.least(mine, other).alias("left"), F.greatest(mine, other).alias("right"), mine.alias("mine"))
+
+
+def _compare(family: DataFrame, percent: int) -> DataFrame:
+    """Spanning links of the families in ``(rep, family, n, tokens)``: each small one in one block, large ones split."""
+    held = family.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    large = materialize(held.filter((F.col("m") > LARGE_FAMILY) | (F.col("all") > LARGE_TOKENS)).select("family", F.lit(True).alias("large")), "jaccard-large")
+    marked = join_small_or_large(family, large, "family", "left", BROADCAST_ROWS)
+    whole = F.lit("")
+    rows = marked.filter("large is null").select("family", "rep", "tokens", whole.alias("left"), whole.alias("right"), whole.alias("mine"))
+    if large.isEmpty():
+        return materialize(_met(rows, percent), "jaccard-links")
+    centred, split = _split(marked.filter("large").drop("large"), percent)
+    return centred.unionByName(materialize(_met(rows.unionByName(split), percent), "jaccard-links"))
 
 
 def components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
