@@ -320,19 +320,33 @@ def classify_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "raw_names").select("name_id", entities.classify_ordered(F.col("name_raw"), NAME_RULES).alias("c")).select("name_id", "c.*")
 
 
-@query(
-    "classify_weighted",
-    f"""WITH r AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{r.pattern}', '{r.label}', {r.weight}::DOUBLE, '{r.term}')" for k, r in enumerate(NAME_RULES))}) t(k, pattern, label, w, term)),
+_WEIGHTED = f"""WITH r AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{r.pattern}', '{r.label}', {r.weight}::DOUBLE, '{r.term}')" for k, r in enumerate(NAME_RULES))}) t(k, pattern, label, w, term)),
       h AS (SELECT name_id, arg_max(label, w - k*1e-6) AS label, max(w) AS w, count(*) AS n, count(DISTINCT label) AS labels, string_agg(DISTINCT term, ',' ORDER BY term) AS evidence FROM raw_names JOIN r ON regexp_matches(lower(name_raw), pattern) GROUP BY 1),
       b AS (SELECT name_id, len(list_filter(regexp_split_to_array(name_raw, '\\s+'), lambda x: x <> '')) BETWEEN 2 AND 4 AND NOT regexp_matches(name_raw, '\\d') AS bare FROM raw_names)
       SELECT b.name_id, CASE WHEN h.n > 0 THEN h.label WHEN bare THEN 'individual_or_partnership' ELSE 'unknown' END AS label, CASE WHEN h.n > 0 THEN round(least(w + 0.05*(n-1), 0.95), 2) WHEN bare THEN 0.55 ELSE 0 END::DOUBLE AS confidence,
-        coalesce(h.evidence, '') AS evidence, CASE WHEN h.n > 0 THEN labels > 1 AND w < 0.7 ELSE true END AS review FROM b LEFT JOIN h USING (name_id)""",
-)
+        coalesce(h.evidence, '') AS evidence, CASE WHEN h.n > 0 THEN labels > 1 AND w < 0.7 ELSE true END AS review FROM b LEFT JOIN h USING (name_id)"""
+
+
+@query("classify_weighted", _WEIGHTED)
 def classify_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = entities.classify_weighted(view(spark, sf_dir, "raw_names"), "name_raw", NAME_RULES)
     return made.select("name_id", "label", "confidence", F.array_join("evidence", ",").alias("evidence"), "review")
 
 
+CURATED = (entities.Rule("brand#55", "house", 0.95, "brand 55"), entities.Rule("brand#5", "agent", 0.95, "brand 5"))
+
+
+@query(
+    "classify_curated",
+    f"""WITH w AS ({_WEIGHTED}), n AS (SELECT name_id, lower(name_raw) AS l FROM raw_names), c AS (SELECT name_id, regexp_matches(l, 'brand#55') AS a, regexp_matches(l, 'brand#5') AS b, regexp_matches(l, 'messrs') AS p FROM n)
+      SELECT name_id, CASE WHEN a THEN 'house' WHEN b THEN 'agent' WHEN p THEN 'individual_or_partnership' ELSE label END AS label, CASE WHEN b THEN 0.95 WHEN p THEN 0.7 ELSE confidence END::DOUBLE AS confidence,
+        CASE WHEN a THEN 'brand 55' WHEN b THEN 'brand 5' WHEN p THEN 'honorific' ELSE evidence END AS evidence, CASE WHEN b OR p THEN false ELSE review END AS review FROM w JOIN c USING (name_id)""",
+)
+def classify_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = entities.classify_weighted(view(spark, sf_dir, "raw_names"), "name_raw", NAME_RULES, CURATED, ("messrs",))
+    return made.select("name_id", "label", "confidence", F.array_join("evidence", ",").alias("evidence"), "review")
+
+
 @query("validation_sample")
 def validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = ev.window_join(view(spark, sf_dir, "ledger"), view(spark, sf_dir, "events_dim"), "date", F.col("acute_start"), F.col("acute_end")).withColumn("confidence", F.col("rate") / 10)

@@ -30,7 +30,7 @@ _IN_EVENTS = "(SELECT l.*, event_key FROM ledger l JOIN events_dim ON date BETWE
       round((coalesce(lending, 0) + coalesce(reserve, 0)) / nullif((lending IS NOT NULL)::INT + (reserve IS NOT NULL)::INT, 0), 10) AS mean2, CASE WHEN deposits IS NOT NULL THEN round(greatest(0.5, least(1.0, deposits)), 8) END AS clipped,
       round(CASE WHEN deposits BETWEEN 0.5 AND 1 THEN deposits END, 8) AS inside, lending IS NOT NULL AND reserve IS NOT NULL AS complete,
       CASE WHEN lending IS NULL AND reserve IS NULL THEN NULL WHEN reserve IS NULL OR lending >= reserve THEN 'lending' ELSE 'reserve' END AS top,
-      CASE WHEN coalesce(lending, 0) > 0 AND coalesce(reserve, 0) > 0 THEN 'discount+advance' WHEN coalesce(lending, 0) > 0 THEN 'discount' WHEN coalesce(reserve, 0) > 0 THEN 'advance' ELSE 'other' END AS kind, coalesce(regexp_matches(series_id, 'B.I'), false) AS flagged
+      CASE WHEN coalesce(lending, 0) > 0 AND coalesce(reserve, 0) > 0 THEN 'discount+advance' WHEN coalesce(lending, 0) > 0 THEN 'discount' WHEN coalesce(reserve, 0) > 0 THEN 'advance' ELSE 'other' END AS kind, coalesce(regexp_matches(series_id, 'B.I'), false) AS flagged, round(greatest(abs(lending), abs(reserve)), 8) AS max_abs
     FROM weekly_panel""",
 )
 def scalar_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,7 @@ def scalar_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "series_id", "date", F.round(fc.sum_nullable(lending, reserve), 8).alias("total"), F.round("ratio", 6).alias("ratio"), F.round(fc.row_mean(lending, reserve), 10).alias("mean2"),
         F.round(fc.clip(deposits, 0.5, 1.0), 8).alias("clipped"), F.round(fc.null_outside(fc.finite(deposits), 0.5, 1.0), 8).alias("inside"), fc.complete("lending", "reserve").alias("complete"),
         fc.row_argmax({"lending": lending, "reserve": reserve}).alias("top"), fc.transaction_type(lending, reserve).alias("kind"), fc.flag_contains(F.col("series_id"), "B.I").alias("flagged"),
+        F.round(fc.row_max_abs(lending, reserve), 8).alias("max_abs"),
     )
 
 

@@ -105,6 +105,12 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.asof_join(left, view(spark, sf_dir, "daily_rate"), "date", (), "rate", "backward")
 
 
+@query("asof_forward", """WITH l AS (SELECT CAST(date AS DATE) + 3 AS date, count(*) AS n FROM ledger GROUP BY 1) SELECT l.date, l.n, r.rate FROM l ASOF LEFT JOIN daily_rate r ON l.date <= r.date""")
+def asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = view(spark, sf_dir, "ledger").groupBy(F.date_add("date", 3).alias("date")).agg(F.count("*").alias("n"))
+    return ev.asof_join(left, view(spark, sf_dir, "daily_rate"), "date", (), "rate", "forward")
+
+
 @query(
     "nearest_event",
     """WITH d AS (SELECT DISTINCT date FROM weekly_panel), c AS (SELECT d.date, event_key, (d.date - acute_peak)::INT AS gap, row_number() OVER (PARTITION BY d.date ORDER BY abs(d.date - acute_peak), event_key) AS k FROM d, events_dim)
@@ -152,6 +158,19 @@ def event_time_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("series_id", "event_key", "rel", "deposits_index"))
 
 
+@query(
+    "event_time_deviation",
+    """WITH t AS (SELECT series_id, event_key, date, (year(date) - year(acute_peak)) * 12 + month(date) - month(acute_peak) AS month, (date - acute_peak)::INT AS day, deposits FROM weekly_panel JOIN events_dim ON date BETWEEN pre_start AND post_end),
+      b AS (SELECT *, avg(deposits) FILTER (month BETWEEN -6 AND -1) OVER (PARTITION BY series_id, event_key) AS base FROM t)
+      SELECT series_id, event_key, month::INT AS month, day, round(deposits - base, 12) AS deposits_deviation FROM b""",
+)
+def event_time_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel, events = view(spark, sf_dir, "weekly_panel"), view(spark, sf_dir, "events_dim")
+    timed = ev.event_time(panel, events, "month").withColumn("day", F.datediff("date", "acute_peak"))
+    made = ev.rebase(timed.withColumnRenamed("rel", "month"), ["series_id", "event_key"], "deposits", F.col("month").between(-6, -1), "deviation")
+    return rounded(made.select("series_id", "event_key", F.col("month").cast("int").alias("month"), "day", "deposits_deviation"), 12)
+
+
 # Days before the acute start that make the baseline, and days by which the acute window widens at both ends.
 _VARIANTS = "(VALUES ('baseline', 360, 0), ('short baseline', 180, 0), ('plus 2 weeks', 360, 14), ('minus 2 weeks', 360, -14), ('plus 4 weeks', 360, 28), ('minus 4 weeks', 360, -28)) AS v(variant, baseline_days, widen_days)"
 

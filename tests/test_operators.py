@@ -103,6 +103,25 @@ def test_leave_one_event_out_equals_a_direct_fit(spark):
             assert all(r["alert"] == (r["score"] >= r["threshold"]) for r in mine.values())
 
 
+def test_union_fills_absent_columns(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, a string"), spark.createDataFrame([(2, 3.0)], "k int, b double")
+    assert sorted(map(tuple, readers.union_sources(a, b).select("k", "a", "b").collect())) == [(1, "x", None), (2, None, 3.0)]
+
+
+def test_validation_sample_strata(spark):
+    rows = [(f"n{k}", f"E{k % 3}", float(k), 0.3 if k % 5 == 0 else 0.9) for k in range(60)] + [("n59", "E0", 1000.0, 0.9)]
+    df = spark.createDataFrame(rows, "name string, event string, amount double, sure double")
+    got = [tuple(r) for r in entities.validation_sample(df, "name", "event", "amount", "sure", (5, 4, 6)).collect()]
+    totals = {}
+    for n, _, a, _ in rows:
+        totals[n] = totals.get(n, 0) + a
+    by = lambda s: [n for n, stratum, _ in got if stratum == s]
+    assert by("top_by_volume") == sorted(totals, key=lambda n: (-totals[n], n))[:5]
+    assert all(len(set(by(f"random_E{e}"))) == 4 and all((n, f"E{e}") in {(r[0], r[1]) for r in rows} for n in by(f"random_E{e}")) for e in range(3))
+    assert len(by("low_confidence")) == 6 and all(int(n[1:]) % 5 == 0 for n in by("low_confidence"))
+    assert all(t == totals[n] for n, _, t in got) and len(got) == len({g[:2] for g in got})
+
+
 def test_extract_is_written_once(spark, tmp_path):
     from eventscope.sources import storage
 
