@@ -142,62 +142,6 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     return fit(np.array([np.frombuffer(r[2], np.float32) for r in got], dtype=np.float64), [r[0] for r in got]) if got else None
 
 
-def predict(self, x: np.ndarray) -> tuple[int, float, bool]:
-        """Index of the language, its score from 0 to 1, and whether it is ambiguous."""
-        if len(self.languages) == 1:
-            return 0, 1.0, False
-        loss = (self.trust * np.logaddexp(0, -self.code * (x @ self.weights + self.bias))).sum(1)
-        chance = np.exp(-4 * (loss - loss.min()))
-        chance /= chance.sum()
-        order = np.argsort(loss, kind="stable")
-        return int(order[0]), float(chance[order[0]]), bool(loss[order[1]] - loss[order[0]] < self.margin)
-
-
-def fit(x: np.ndarray, labels: list[str], steps: int = 200) -> Model:
-    """Fit all bits at once by full-batch Adam on the logistic loss."""
-    languages = tuple(sorted(set(labels)))
-    code = codewords(len(languages))
-    if len(languages) < 2:
-        return Model(languages, code, np.zeros((BUCKETS, 1)), np.zeros(1), np.ones((len(languages), 1)))
-    index = np.array([languages.index(v) for v in labels])
-    y = code[index]
-    balance = (len(index) / len(languages) / np.bincount(index))[index][:, None]
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
-    m = [np.zeros_like(w), np.zeros_like(b)]
-    v = [np.zeros_like(w), np.zeros_like(b)]
-    for step in range(1, steps + 1):
-        g = -y * balance / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) / len(x)
-        for k, (p, grad) in enumerate(((w, x.T @ g + 1e-5 * w), (b, g.sum(0)))):
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.99 * v[k] + 0.01 * grad**2
-            p -= 0.3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-    right = np.sign(x @ w + b) == y
-    trust = np.array([right[index == i].mean(0) for i in range(len(languages))]) + 1e-6
-    return Model(languages, code, w, b, trust / trust.sum(1, keepdims=True))
-
-
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from ``(doc_id, text, lang)``; None if there is nothing to learn from.
-
-    Rows with a null text or language, or without a letter, are not learned from.  At most ``rows``
-    rows are used: those whose ids come first by hash.
-    """
-    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    usable = usable.withColumn("order", F.xxhash64("doc_id"))
-    last = labelled.filter("lang is not null").select(F.xxhash64("doc_id").alias("order")).orderBy("order").limit(rows).agg(F.max("order")).first()[0]
-    if last is None:
-        return None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [features(t).astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("order"), pa.array(made, pa.binary())], ["lang", "order", "x"])
-
-    sample = usable.filter(F.col("order") <= last).select("text", "lang", "order").mapInArrow(run, "lang string, order bigint, x binary")
-    got = sorted(map(tuple, sample.limit(2 * rows).collect()), key=lambda r: (r[1], r[0], r[2]))[:rows]
-    return fit(np.array([np.frombuffer(r[2], np.float32) for r in got], dtype=np.float64), [r[0] for r in got]) if got else None
-
-
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score, ambiguous`` for every row of ``docs`` (``doc_id, text``).
 
