@@ -19,7 +19,7 @@ SEED = 8
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical quality classifier rejects go."""
-    judged = site_quality.classify(sites_of(packed(docs, "doc_id", "text", "source", "lang")), read_table(spark, sf_dir, "labels"))
+    judged = site_quality.classify(sites_of(packed(docs, "doc_id", "text", "source", "lang")), read_table(spark, sf_dir, "labels"), keep=["__row"])
     return unpacked(judged.filter("accepted"))
 
 
