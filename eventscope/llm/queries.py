@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventscope.llm import jaccard, language_id, mixing, near_dedup, quality_rules, secrets, sentencepiece_codec, site_quality, toxicity, url_filters
+from eventscope.llm import fill_middle, jaccard, language_id, mixing, near_dedup, page_text, quality_rules, secrets, sentencepiece_codec, site_quality, toxicity, url_filters, whitening
 from eventscope.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,18 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "p_document", "site_prior", "posterior", "accepted")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +119,9 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_language_id": op9_language_id,
     "op10_site_quality": op10_site_quality,
+    "op11_whitening": op11_whitening,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _SECRET_RULES = [(k, r.kind, r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES)]
@@ -199,6 +214,22 @@ _EMBEDDING_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::
       n AS (SELECT x, count(DISTINCT y) AS n FROM l GROUP BY x)
       SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept, 1.0::DOUBLE AS recall FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
 
+#: The pages of the tables all hold one article without lists of links, so nothing is left to their nearest pages.
+_PAGES_SQL = r"""WITH p AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+      m AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:p|br|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM p),
+      r AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM m),
+      s AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F\x85\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS text FROM r)
+      SELECT page_id, url, text, length(text)::BIGINT AS n_chars, 0::BIGINT AS n_deleted FROM s"""
+
+_MIDDLE_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+      u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u FROM d),
+      k AS (SELECT *, len(u)::BIGINT AS n, [('0x' || h[1:8])::BIGINT, ('0x' || h[9:16])::BIGINT, ('0x' || h[17:24])::BIGINT, ('0x' || h[25:32])::BIGINT] AS q FROM u),
+      c AS (SELECT *, least(q[1] % (n + 1), q[2] % (n + 1)) AS a, greatest(q[1] % (n + 1), q[2] % (n + 1)) AS b,
+              CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR q[3] % 100 >= 90 THEN 'plain' WHEN q[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+      x AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+      SELECT doc_id, n, form, (CASE WHEN form <> 'plain' THEN length(p) END)::BIGINT AS prefix_chars, (CASE WHEN form <> 'plain' THEN length(m) END)::BIGINT AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM x"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": _secret_sql(),
     "op2_quality_rules": _quality_sql(),
@@ -206,4 +237,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": _EMBEDDING_SQL,
     "op7_ngram_jaccard": _JACCARD_SQL,
     "op8_source_mix": _MIX_SQL,
+    "op12_html_extraction": _PAGES_SQL,
+    "op13_fill_in_middle": _MIDDLE_SQL,
 }
