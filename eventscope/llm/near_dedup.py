@@ -6,9 +6,9 @@ lists.  A list whose last neighbour still passes the threshold is saturated and
 end when few lists gain a neighbour at the threshold.  Edges at or above the threshold give
 components.
 
-Recall is audited against exact search for a bounded set of queries; links that the audit finds and
-the graph missed are added.  While recall is short, more buckets and rounds are added, and where that
-does not help, all vectors are compared exactly.
+Recall is audited against exact search for a bounded set of queries, others in every pass; links that an audit
+finds and the graph missed are kept from then on.  While recall is short, more buckets and rounds are added,
+and where that does not help, all vectors are compared exactly.
 
 A list that is saturated at its greatest length may lack links to other groups.  Such vectors are
 covered by cells of a bounded angle, and cells of different components are compared exactly wherever
@@ -23,6 +23,7 @@ from __future__ import annotations
 import logging
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -261,12 +262,13 @@ def bridge(vectors: DataFrame, component: DataFrame, among: DataFrame, threshold
     return materialize(inside.join(merged, "component", "left").select("rep", F.coalesce("now", "component").alias("component")), "vec-components")
 
 
-def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> tuple[float, DataFrame, int]:
+def audit(vectors: DataFrame, component: DataFrame, threshold: float, seed: int = 0) -> tuple[float, DataFrame, int]:
     """The mean share of a query's true links inside its component, over the queries that have links; the links missed; the number of queries.
 
-    Every query weighs the same, whatever its number of links.  Queries are drawn by hash from all vectors
-    and, separately and many more, from components no larger than a list, lest large groups hide the loss
-    of small ones; the lower of the two means counts.  Missed links come as pairs of components ``(src, dst)``.
+    Every query weighs the same, whatever its number of links.  Queries are drawn by a seeded hash from all
+    vectors and, separately and many more, from components no larger than a list, lest large groups hide the
+    loss of small ones; the lower of the two means counts.  Missed links come as pairs of vectors
+    ``(src, dst, sim)``, one for each query and component in a block of rows.
     """
     sizes = component.groupBy("component").agg(F.count("*").alias("size"))
     labelled = vectors.select("rep", "dim", "vec").join(component.join(sizes, "component"), "rep", "left")
@@ -274,8 +276,8 @@ def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> tuple[f
     widest = labelled.agg(F.max("dim")).first()[0] or 1
     outside = min(AUDIT_OUTSIDE, max(AUDIT_QUERIES, AUDIT_BYTES // (8 * widest)))
     samples = [
-        labelled.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT_QUERIES).toArrow(),
-        labelled.filter(F.col("size") <= MOST_NEIGHBOURS).orderBy(F.xxhash64(F.lit(1), "rep"), "rep").limit(outside).toArrow(),
+        labelled.orderBy(F.xxhash64(F.lit(2 * seed), "rep"), "rep").limit(AUDIT_QUERIES).toArrow(),
+        labelled.filter(F.col("size") <= MOST_NEIGHBOURS).orderBy(F.xxhash64(F.lit(2 * seed + 1), "rep"), "rep").limit(outside).toArrow(),
     ]
     first, asked = samples[0].num_rows, pa.concat_tables(samples)
     by_dim, dims = {}, asked.column("dim").to_numpy()
@@ -294,32 +296,38 @@ def audit(vectors: DataFrame, component: DataFrame, threshold: float) -> tuple[f
                     part = table.filter(pa.array(held == dim))
                     if not part.num_rows:
                         continue
-                    i, j = np.nonzero(_matrix(part) @ q.T >= threshold)
-                    other = part.column("rep").to_numpy()[i] != reps[j]
+                    sim, mine_reps = _matrix(part) @ q.T, part.column("rep").to_numpy()
+                    i, j = np.nonzero(sim >= threshold)
+                    other = mine_reps[i] != reps[j]
                     i, j = i[other], j[other]
                     mine = part.column("component").to_numpy()[i]
                     same = mine == components[j]
                     true += np.bincount(at[j], minlength=len(dims))
                     found += np.bincount(at[j[same]], minlength=len(dims))
-                    lost = np.unique(np.stack([mine[~same], components[j[~same]]], axis=1), axis=0)
+                    _, lost = np.unique(np.stack([mine[~same], j[~same]], axis=1), axis=0, return_index=True)
                     if len(lost):
+                        i, j = i[~same][lost], j[~same][lost]
                         blank = pa.array([None] * len(lost), pa.int64())
-                        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(lost[:, 0]), pa.array(lost[:, 1])], ["query", "t", "f", "src", "dst"])
+                        yield pa.RecordBatch.from_arrays([blank, blank, blank, pa.array(mine_reps[i]), pa.array(reps[j]), pa.array(sim[i, j])], ["query", "t", "f", "src", "dst", "sim"])
         some = np.flatnonzero(true)
         blank = pa.array([None] * len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(found[some]), blank, blank], ["query", "t", "f", "src", "dst"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(true[some]), pa.array(found[some]), blank, blank, blank.cast(pa.float64())], ["query", "t", "f", "src", "dst", "sim"])
 
-    told = materialize(labelled.select("rep", "dim", "vec", "component").mapInArrow(compare, "query bigint, t bigint, f bigint, src bigint, dst bigint"), "vec-audit")
+    told = materialize(labelled.select("rep", "dim", "vec", "component").mapInArrow(compare, "query bigint, t bigint, f bigint, src bigint, dst bigint, sim double"), "vec-audit")
     rows = told.filter("query is not null").groupBy("query").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).toArrow()
     share, query = rows.column("f").to_numpy() / rows.column("t").to_numpy(), rows.column("query").to_numpy()
     means = [float(np.mean(part)) for part in (share[query < first], share[query >= first]) if len(part)]
     logger.info("audit: %d of %d queries have links, mean shares %s", len(share), len(dims), means)
-    return min(means, default=1.0), told.filter("src is not null").select("src", "dst").distinct(), len(np.unique(asked.column("rep").to_numpy()))
+    return min(means, default=1.0), told.filter("src is not null").select("src", "dst", "sim").distinct(), len(np.unique(asked.column("rep").to_numpy()))
 
 
-def _merged(component: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``component`` (``rep, component``) after the components of each pair have become one; lone vectors are their own."""
-    joined = connected_components(pairs).select(F.col("node").alias("component"), F.col("component").alias("now"))
+def _merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """``component`` (``rep, component``) after each link (``src, dst``) has made one of its ends' components; lone vectors are their own."""
+    ends = links
+    for end in ("src", "dst"):
+        known = component.select(F.col("rep").alias(end), F.col("component").alias(f"{end}_c"))
+        ends = ends.join(known, end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
+    joined = connected_components(ends.select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst"))).select(F.col("node").alias("component"), F.col("component").alias("now"))
     alone = joined.join(component.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("rep"), F.col("now").alias("component"))
     moved = component.join(joined, "component", "left").select("rep", F.coalesce("now", "component").alias("component"))
     return materialize(moved.unionByName(alone), "vec-components")
@@ -346,12 +354,13 @@ def _count_links(vectors: DataFrame, component: DataFrame, threshold: float) ->
     return paired.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(count, "rep bigint, links bigint").groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, float]:
-    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and the audited recall.
+def link(embeddings: DataFrame, threshold: float = 0.9, keep_missed: bool = True) -> tuple[DataFrame, dict[str, float | int]]:
+    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings`` (``vec_id, embedding``), and what the last audit said.
 
-    The recall is that of the last pass before the audit's own links were added, and 1.0 where all vectors
-    were compared.  While it is below ``RECALL``, up to ``PASSES`` passes add buckets and rounds; then all
-    vectors are compared.
+    That is ``recall``, the share of true links that the graph had found by itself, ``n_queries``, the vectors
+    whose links were sought among all others, and ``passes``.  While the recall is below ``RECALL``, up to
+    ``PASSES`` passes add buckets and rounds; then all vectors are compared, and ``n_queries`` is their number.
+    Links that audits find stay in the graph, unless ``keep_missed`` is false (to look at the graph alone).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
     vectors of different lengths with each other.  Repeated rows of one ``vec_id`` and vector count once
@@ -359,30 +368,33 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
     """
     members, vectors = nodes(embeddings)
     count = vectors.count()
-    lists, recall, forests = None, 0.0, starts(count, threshold)
+    lists, extra, forests = None, None, starts(count, threshold)
     for turn in range(PASSES):
         for forest in range(forests):
+            known = [x.select("src", "dst", "sim") for x in (lists, extra) if x is not None]
             fresh = forest_edges(vectors, count, seed=turn * forests + forest)
-            lists = materialize(_best(fresh if lists is None else lists.select("src", "dst", "sim").unionByName(fresh), threshold), "vec-lists")
+            lists = materialize(_best(reduce(DataFrame.unionByName, known, fresh), threshold), "vec-lists")
         gained = count
         while gained > SETTLED * count:
             better = descend(vectors, lists)
             before, lists = lists, materialize(_best(lists.select("src", "dst", "sim").unionByName(better), threshold), "vec-lists")
             gained = _gained(lists, before, threshold)
-        near = lists.filter(F.col("sim") >= threshold)
+        near = lists.filter(F.col("sim") >= threshold).select("src", "dst")
+        near = near if extra is None else near.unionByName(extra.select("src", "dst"))
         component = connected_components(near).withColumnRenamed("node", "rep")
         component = bridge(vectors, component, materialize(saturated(lists), "vec-saturated"), threshold)
-        recall, missed, queries = audit(vectors, component, threshold)
+        recall, missed, queries = audit(vectors, component, threshold, turn)
         logger.info("near copies of %d vectors: audited recall %.4f over %d queries in pass %d", count, recall, queries, turn + 1)
-        if not missed.isEmpty():
+        if keep_missed and not missed.isEmpty():
             component = _merged(component, missed)
-        if queries == count:  # every vector was compared with every other
-            recall = 1.0
-        if recall >= RECALL:
+            both = missed.unionByName(missed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
+            extra = materialize(both if extra is None else both.unionByName(extra), "vec-missed")
+        if recall >= RECALL or queries == count or not keep_missed and turn + 1 == PASSES:  # with all asked, all links are known
             break
     else:
         logger.warning("near copies of %d vectors: recall %.4f is short of %.4f, comparing all vectors", count, recall, RECALL)
-        component, recall = bridge(vectors, component, vectors.select("rep"), threshold), 1.0
+        component, queries = bridge(vectors, component, vectors.select("rep"), threshold), count
+    told = {"recall": recall, "n_queries": queries, "passes": turn + 1}
     links = _count_links(vectors, component, threshold)
     own = materialize(vectors.select("k1", "k2", "dim", "rep", "copies").join(component, "rep", "left").join(links, "rep", "left"), "vec-own")
     found = join_classes(members.filter("k1 is not null"), own, ["k1", "k2", "dim"], "copies")
@@ -390,4 +402,4 @@ def link(embeddings: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, floa
     component_id = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "rep", "vec_id"))
     made = found.select("vec_id", n_links.cast("long").alias("n_links"), component_id.alias("component_id"))
     unusable = members.filter("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return made.unionByName(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), recall
+    return made.unionByName(unusable).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), told

@@ -62,8 +62,8 @@ def tokenizer_model(path: str | None = None) -> bytes:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, recall = near_dedup.link(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return found.withColumn("recall", F.lit(recall))
+    found, told = near_dedup.link(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumns({"recall": F.lit(float(told["recall"])), "n_queries": F.lit(told["n_queries"]).cast("long")})
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,17 +207,18 @@ _JACCARD_SQL = r"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extra
       m AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
       SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
 
+#: On tables as small as those that SQL is held against, every vector is a query of the audit, and the graph has every link.
 _EMBEDDING_SQL = """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
       l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
       r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
       c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
       n AS (SELECT x, count(DISTINCT y) AS n FROM l GROUP BY x)
-      SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept, 1.0::DOUBLE AS recall FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
+      SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept, 1.0::DOUBLE AS recall, (SELECT count(DISTINCT e) FROM v)::BIGINT AS n_queries FROM v JOIN c ON c.x = v.vec_id LEFT JOIN n ON n.x = v.vec_id"""
 
 #: The pages of the tables all hold one article without lists of links, so nothing is left to their nearest pages.
 _PAGES_SQL = r"""WITH p AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
       m AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(?:p|br|h1)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM p),
-      r AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM m),
+      r AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS t FROM m),
       s AS (SELECT page_id, url, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F\x85\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS text FROM r)
       SELECT page_id, url, text, length(text)::BIGINT AS n_chars, 0::BIGINT AS n_deleted FROM s"""
 

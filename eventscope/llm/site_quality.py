@@ -42,11 +42,15 @@ def features(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[float], float] | None:
     """Coefficients by feature and intercept, from ``labels`` (``doc_id, quality`` 0 or 1); None if one class is missing.
 
-    At most ``rows`` labels are used, those whose ids come first by hash.
+    At most ``rows`` labels are used, those whose ids come first by hash, and one row of ``docs`` for each, the
+    first by hash of its text: repeated rows change nothing.  A null text counts as empty, labels without a
+    document and rows with a null id or quality are left out; of several labels of one id the higher counts.
     """
     chosen = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     chosen = materialize(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "quality-labels")
-    sample = materialize(features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text"), "quality-sample")
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = named.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.first("label").alias("label"))
+    sample = materialize(features(once).drop("text"), "quality-sample")
     if sample.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="x").transform(sample)

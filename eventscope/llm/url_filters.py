@@ -4,9 +4,9 @@ A block list is a log of dated events: an entry (a domain) is added or removed o
 becomes validity intervals, and every capture is judged by the entries active on the day it was
 fetched: an as-of join on domain suffix and day.
 
-Captures are reduced to distinct (host, day) before they meet the list, and intervals are dealt to
-buckets of days, so that neither a host with a third of all captures nor an entry with a long
-history makes one large group.
+Captures are reduced to distinct (host, day), and distinct hosts to those of their suffixes that the list
+names, before days are looked at; intervals are dealt to buckets of days.  So neither a host with a third of
+all captures, nor an ending that all hosts share, nor an entry with a long history makes one large group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventscope.llm.common import free_name, join_small_or_large, materialize
+
 BUCKET_DAYS = 32
+#: The list's distinct entries are broadcast up to this many, else joined by shuffle.
+BROADCAST_ENTRIES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -38,26 +42,36 @@ def list_intervals(events: DataFrame) -> DataFrame:
     return states.withColumn("valid_to", F.lead("day").over(order)).filter("listed").select("entry", F.col("day").alias("valid_from"), "valid_to")
 
 
-def suffixes(host: Column) -> Column:
-    """A host and its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+def labels_of(name: Column) -> Column:
+    return F.split(name, r"\.")
+
+
+def suffixes(host: Column, lengths: Column) -> Column:
+    """Of a host and its parent domains those with one of so many labels; a long host is cut nowhere else."""
+    names = labels_of(host)
+    held = F.filter(lengths, lambda n: n <= F.size(names))
+    return F.transform(held, lambda n: F.array_join(F.slice(names, -n, n), "."))
 
 
 def verdicts(captures: DataFrame, events: DataFrame) -> DataFrame:
     """For distinct ``(host, day)`` of ``captures``: the longest active entry and since when, where there is one."""
-    probes = captures.select("host", "day").filter("host is not null and day is not null").distinct()
+    probes = materialize(captures.select("host", "day").filter("host is not null and day is not null").distinct(), "list-probes")
+    intervals = materialize(list_intervals(events), "list-intervals")
+    entries = materialize(intervals.select(F.col("entry").alias("suffix")).distinct(), "list-entries")
+    lengths = entries.agg(F.collect_set(F.size(labels_of(F.col("suffix")))).alias("lengths"))
     bucket = lambda c: F.floor(F.unix_date(c) / F.lit(BUCKET_DAYS)).cast("int")
     last = probes.agg(F.max("day").alias("last"))
     spans = (
-        list_intervals(events)
-        .crossJoin(F.broadcast(last))  # one row
+        intervals.crossJoin(F.broadcast(last))  # one row
         .filter(F.col("valid_from") <= F.col("last"))
         .withColumn("__to", F.least(F.coalesce(F.date_sub("valid_to", 1), F.col("last")), F.col("last")))
         .withColumn("bucket", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(F.col("__to")))))
         .select("entry", "bucket", "valid_from", "valid_to")
     )
-    asked = probes.withColumn("suffix", F.explode(suffixes(F.col("host")))).withColumn("__bucket", bucket(F.col("day")))
+    hosts = probes.select("host").distinct().crossJoin(F.broadcast(lengths))  # one row
+    named = hosts.select("host", F.explode(suffixes(F.col("host"), F.col("lengths"))).alias("suffix"))
+    listed = join_small_or_large(named, entries, "suffix", "left_semi", BROADCAST_ENTRIES)
+    asked = probes.join(listed, "host").withColumn("__bucket", bucket(F.col("day")))
     active = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     hits = asked.join(spans, (F.col("suffix") == F.col("entry")) & (F.col("__bucket") == F.col("bucket")) & active)
     best = hits.groupBy("host", "day").agg(F.max(F.struct(F.length("entry").alias("n"), "entry", "valid_from")).alias("m"))
@@ -69,9 +83,10 @@ def judge(captures: DataFrame, events: DataFrame) -> DataFrame:
 
     A capture is blocked if an entry equal to its host or to a parent domain is active on its day.
     Captures without a host or a day are not blocked.  Repeated rows are each judged; columns of the
-    added names are replaced.
+    added names are replaced.  A host of any length is cut into as many endings as the list has lengths of entries.
     """
     made = captures.drop("host", "blocked", "entry", "listed_on").withColumn("host", host_of(F.col("url")))
-    found = verdicts(made, events).withColumnsRenamed({"host": "__host", "day": "__day"})
-    joined = made.join(found, (F.col("host") == F.col("__host")) & (F.col("day") == F.col("__day")), "left")
-    return joined.drop("__host", "__day").withColumn("blocked", F.col("entry").isNotNull())
+    host, day = free_name(made, "other_host"), free_name(made, "other_day")
+    found = verdicts(made, events).withColumnsRenamed({"host": host, "day": day})
+    joined = made.join(found, (made["host"] == found[host]) & (made["day"] == found[day]), "left")
+    return joined.drop(host, day).withColumn("blocked", F.col("entry").isNotNull())

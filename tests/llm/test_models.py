@@ -225,6 +225,31 @@ def test_quality_on_labelled_rows(spark, corpus):
     assert judged.count() == docs.count()
 
 
+def test_quality_model_of_repeated_rows(spark, corpus):
+    docs, labels = corpus
+    some = docs.join(labels.filter("quality is not null").orderBy("doc_id").limit(60).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    first = some.orderBy("doc_id").limit(1)
+    often = some.unionByName(first.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("k")).repartition(7)
+    plain, repeated = site_quality.train(some, labels), site_quality.train(often, labels.unionByName(labels))
+    assert repeated[0] == pytest.approx(plain[0], rel=1e-6) and repeated[1] == pytest.approx(plain[1], rel=1e-6)
+    assert site_quality.train(some.withColumn("text", F.lit(None).cast("string")), labels) is not None
+
+
+def test_sites_decide_where_evidence_is_weak(spark, monkeypatch):
+    """A middling document goes with its site; a page alone on a site goes by itself."""
+    text = lambda p: " ".join(["w"] * int(100 * p))
+    rows = [(k, text(0.95), "good", "good/a") for k in range(60)] + [(100 + k, text(0.05), "bad", "bad/a") for k in range(60)]
+    rows += [(1000, text(0.45), "good", "good/a"), (1001, text(0.55), "bad", "bad/a"), (1002, text(0.45), "lone", "lone/a"), (1003, text(0.55), "only", "only/a"), (1004, text(0.45), "good", "good/new"), (1005, text(0.55), "bad", "bad/new")]
+    monkeypatch.setattr(site_quality, "FEATURES", ("share",))
+    monkeypatch.setattr(site_quality, "features", lambda docs: docs.withColumn("f_share", F.size(F.split("text", " ")) / 100.0 - 0.5))
+    monkeypatch.setattr(site_quality, "train", lambda docs, labels: ([6.0], 0.0))
+    docs = spark.createDataFrame(rows, DOCS + ", host string, path string")
+    judged = {r["doc_id"]: (r["p_document"] >= 0.5, r["accepted"]) for r in site_quality.classify(docs, docs.limit(0)).collect()}
+    assert judged[1000] == (False, True) and judged[1001] == (True, False)  # moved by their sites
+    assert judged[1002] == (False, False) and judged[1003] == (True, True)  # alone: their own evidence
+    assert judged[1004] == (False, True) and judged[1005] == (True, False)  # a sparse path falls back on its host
+
+
 def test_priors_shrink_sparse_sites(spark):
     rows = [("big", "big/a", 0.9)] * 200 + [("big", "big/b", 0.8)] * 200 + [("bad", "bad/a", 0.1)] * 200 + [("one", "one/a", 0.0)] + [(None, None, 0.5)] * 3
     rows = [(h, p, v + 0.05 * (-1) ** i if 0 < v < 1 else v) for i, (h, p, v) in enumerate(rows)]

@@ -198,6 +198,28 @@ def test_url_filter_against_brute_force(spark):
         assert got[k] == want, (k, u, on)
 
 
+def test_url_filter_with_clashing_columns_and_repeated_rows(spark):
+    day = dt.date(2024, 1, 9)
+    rows = [(1, "http://a.bad.com/x", day), (1, "http://a.bad.com/x", day), (2, "http://good.com/", day)]
+    names = ("__host", "__day", "other_host", "OTHER_DAY", "suffix", "bucket", "valid_from", "lengths", "host")
+    captures = spark.createDataFrame(rows, "page_id long, url string, day date").withColumns({c: F.lit("mine") for c in names})
+    listed = spark.createDataFrame([("bad.com", dt.date(2024, 1, 1), "add")], "entry string, day date, action string")
+    got = url_filters.judge(captures, listed)
+    assert sorted((r["page_id"], r["host"], r["blocked"]) for r in got.collect()) == [(1, "a.bad.com", True)] * 2 + [(2, "good.com", False)]
+    assert set(captures.columns) <= set(got.columns) and got.filter("__host = 'mine' and __day = 'mine' and other_host = 'mine'").count() == 3
+
+
+def test_url_filter_of_long_hosts(spark, monkeypatch):
+    day, deep = dt.date(2024, 1, 9), ".".join(["x"] * 10_000)
+    rows = [(1, f"http://{deep}.bad.com/", day), (2, f"http://{deep}.com/", day), (3, "http://" + "y" * 100_000 + ".org/", day), (4, f"http://{'a.' * 300}long.net", day)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, day date")
+    listed = spark.createDataFrame([(e, dt.date(2024, 1, 1), "add") for e in ("bad.com", "y" * 100_000 + ".org", "a." * 200 + "long.net")], "entry string, day date, action string")
+    want = [(1, True), (2, False), (3, True), (4, True)]
+    assert sorted((r["page_id"], r["blocked"]) for r in url_filters.judge(captures, listed).collect()) == want
+    monkeypatch.setattr(url_filters, "BROADCAST_ENTRIES", 0)
+    assert sorted((r["page_id"], r["blocked"]) for r in url_filters.judge(captures, listed).collect()) == want
+
+
 def test_url_filter_without_events_or_captures(spark):
     captures = spark.createDataFrame([(1, "http://a.b/", dt.date(2024, 1, 1))], "page_id long, url string, day date")
     listed = spark.createDataFrame([], "entry string, day date, action string")

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 
 import corpus_pipeline
@@ -166,9 +167,9 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     rows += [rows[0]] * 30 + [[2 * x for x in rows[0]], [0.0] * 16, [], None, [1.0] * 15 + [None], [float("nan")] * 16, [float("inf")] * 16, [1.0] * 8, [1.0] * 8]
     rows = list(enumerate(rows))
     want, count = brute_vectors(rows)
-    made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {r["vec_id"]: r for r in made.collect()}
-    assert recall >= 0.99 and len(got) == len(rows)
+    assert told["recall"] >= 0.99 and len(got) == len(rows)
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_links"] for i, r in got.items()} == count
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
@@ -223,9 +224,9 @@ def test_short_recall_ends_in_exact_search(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "AUDIT_OUTSIDE", 16)
     monkeypatch.setattr(near_dedup, "descend", lambda vectors, lists: lists.select("src", "dst", "sim").limit(0))
     want, count = brute_vectors(rows)
-    made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = {r["vec_id"]: r for r in made.collect()}
-    assert recall == 1.0 and len(set(want.values())) < 120
+    assert told["recall"] < near_dedup.RECALL and told["n_queries"] == 120 and len(set(want.values())) < 120
     assert {i: r["component_id"] for i, r in got.items()} == want
     assert {i: r["n_links"] for i, r in got.items()} == count
 
@@ -237,9 +238,9 @@ def test_links_among_many_unlinked_vectors(spark):
     x[:40] = x[40:80] + rng.normal(0, 0.1, (40, 14))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     count = (unit @ unit.T >= 0.9).sum(1) - 1
-    made, recall = near_dedup.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    made, told = near_dedup.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
     got = {r["vec_id"]: r["n_links"] for r in made.collect()}
-    assert recall >= near_dedup.RECALL and sum(count > 0) > 80
+    assert told["recall"] >= near_dedup.RECALL and sum(count > 0) > 80
     assert sum(got[k] > 0 for k in got) == sum(count > 0)
 
 
@@ -250,12 +251,49 @@ def test_passes_follow_a_short_first_pass(spark, monkeypatch, caplog):
         monkeypatch.setattr(near_dedup, name, value)
     want, count = brute_vectors(rows)
     with caplog.at_level("INFO", logger=near_dedup.logger.name):
-        made, recall = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert "in pass 2" in caplog.text and recall >= near_dedup.RECALL
+        made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert "in pass 2" in caplog.text and told["recall"] >= near_dedup.RECALL and told["passes"] >= 2
     got = {r["vec_id"]: r for r in made.collect()}
     assert np.mean([got[i]["n_links"] == n for i, n in count.items() if n]) >= 0.9
 
 
+def test_the_graph_without_the_links_of_its_audit(spark):
+    rng = np.random.default_rng(11)
+    rows = list(enumerate(v.tolist() for x in rng.normal(0, 1, (700, 24)) for v in (x, x + rng.normal(0, 0.2, 24), *([x + rng.normal(0, 0.15, 24)] if x[0] > 0 else []))))
+    want, count = brute_vectors(rows)
+    made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), keep_missed=False)
+    got = {r["vec_id"]: r["n_links"] for r in made.collect()}
+    share = np.mean([got[i] / n for i, n in count.items() if n])
+    assert told["recall"] >= near_dedup.RECALL and told["n_queries"] == len(rows) and share >= 0.99
+
+
+def test_missed_links_stay_and_queries_change(spark, monkeypatch):
+    asked, audit = [], near_dedup.audit
+
+    def watched(vectors, component, threshold, seed=0):
+        recall, missed, queries = audit(vectors, component, threshold, seed)
+        asked.append((seed, {tuple(sorted((r["src"], r["dst"]))) for r in missed.collect()}))
+        return min(recall, 0.5 if len(asked) < 3 else 1.0), missed, queries
+
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(v.tolist() for x in rng.normal(0, 1, (200, 24)) for v in (x, x + rng.normal(0, 0.2, 24))))
+    for name, value in {"BLOCK": 2, "TREES": 1, "MEET": 0.01, "NEIGHBOURS": 2, "AUDIT_QUERIES": 32, "AUDIT_OUTSIDE": 64, "audit": watched}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(near_dedup, "descend", lambda vectors, lists: lists.select("src", "dst", "sim").limit(0))
+    made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    component = {r["vec_id"]: r["component_id"] for r in made.collect()}
+    assert [seed for seed, _ in asked] == [0, 1, 2] and told["passes"] == 3
+    assert all(missed for _, missed in asked[:2]) and asked[0][1] != asked[1][1]
+    assert all(component[a] == component[b] for _, missed in asked for a, b in missed)
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = [(k, [float(k % 3), 1.0, float(k // 3)]) for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clash = df.withColumns({c: F.lit("x") for c in ("rep", "k1", "dim", "copies", "component", "n_links", "vec", "block")})
+    assert sorted(near_dedup.link(clash)[0].collect()) == sorted(near_dedup.link(df)[0].collect())
+
+
 def test_very_long_and_very_short_vectors(spark):
     rows = [(1, [1e200, 2e200]), (2, [1e-200, 2e-200]), (3, [1e-200, -2e-200]), (4, [1e308, 1e308])]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))[0].collect()}
