@@ -147,31 +147,55 @@ def quiet_rate(alerts: DataFrame, events: DataFrame, time: str, days: int = 365,
     return false_alarm_rate(ev.quiet(alerts, events, days, time), list(group), "alert")
 
 
-def rate_signal(rate: DataFrame, events: DataFrame, value: str = "rate", date: str = "date", before: int = 300, after: int = 45) -> DataFrame:
+def rate_signal(rate: DataFrame, events: DataFrame, value: str = "rate", date: str = "date", before: int = 300, after: int = 45, near: int = 90, calm: int = 150) -> DataFrame:
     """Tightening of a step series around each event: sustained start, start of the run-up, baseline, peak and its date.
 
-    Within [peak - before, peak + after] days: the peak is the earliest highest value; a change starts
-    a sustained tightening if no later value up to the peak falls below its own; the run-up starts with
-    the first rise within 90 days of the peak.  Events without observations have no row.
+    All within [acute_peak - before, acute_peak + after] days.  The peak is the earliest highest value from
+    ``near`` days before the event on; the baseline is the lowest value at least ``calm`` days before it, or of
+    the whole span if there is none.  Up to the peak, the sustained start is the first rise to above the
+    baseline after which no value falls below the level before that rise, and the run-up starts with the first
+    rise after the last cut.  Missing values are left out; events without observations have no row.
     """
-    held = ev.window_join(rate, events, date, F.date_sub("acute_peak", before), F.date_add("acute_peak", after)).select("event_key", "acute_peak", date, value)
+    held = ev.window_join(rate.filter(F.col(value).isNotNull()), events, date, F.date_sub("acute_peak", before), F.date_add("acute_peak", after)).select("event_key", "acute_peak", date, F.col(value).alias("v"))
     w, back = Window.partitionBy("event_key").orderBy(date), Window.partitionBy("event_key").orderBy(F.col(date).desc())
-    peaks = held.groupBy("event_key").agg(F.max_by(date, F.struct(F.col(value), -F.unix_date(date))).alias("peak_date"), F.max(value).alias("peak_value"), F.min_by(value, date).alias("baseline"))
-    upto = held.join(peaks, "event_key").filter(F.col(date) <= F.col("peak_date"))
-    marked = upto.withColumn("up", F.col(value) > F.lag(value).over(w)).withColumn("floor", F.min(value).over(back.rowsBetween(Window.unboundedPreceding, 0)))
-    sustained = F.col("up") & (F.col("floor") >= F.col(value))
-    made = marked.groupBy("event_key").agg(
-        F.min(F.when(sustained, F.col(date))).alias("sustained_start"), F.min(F.when(F.col("up") & (F.datediff("peak_date", date) <= 90), F.col(date))).alias("run_up_start"),
-        F.first("baseline").alias("baseline"), F.first("peak_value").alias("peak_value"), F.first("peak_date").alias("peak_date"), F.first("acute_peak").alias("acute_peak"),
-    )
-    return made.withColumn("sustained_lead", F.datediff("acute_peak", "sustained_start")).withColumn("run_up_lead", F.datediff("acute_peak", "run_up_start")).drop("acute_peak")
-
-
-def warning_summary(scored: DataFrame, events: DataFrame, keys: Sequence[str], time: str, score: str, components: Sequence[str], weeks: int = 12, high: float = 80.0) -> DataFrame:
-    """Per series and event over the weeks before the peak: highest score, first date at ``high``, weeks ahead, and the three largest mean components."""
-    held = ev.pre_window(scored, events, weeks, time)
+    peak = F.max(F.when(F.col(date) >= F.date_sub("acute_peak", near), F.struct("v", (-F.unix_date(date)).alias("d"))))
+    levels = held.groupBy("event_key").agg(peak.alias("p"), F.coalesce(F.min(F.when(F.col(date) <= F.date_sub("acute_peak", calm), F.col("v"))), F.min("v")).alias("baseline"), F.first("acute_peak").alias("peak_of"))
+    levels = levels.select("event_key", "baseline", "peak_of", F.col("p.v").alias("peak_value"), F.date_from_unix_date(-F.col("p.d")).alias("peak_date"))
+    upto = held.join(levels, "event_key").filter(F.col(date) <= F.col("peak_date")).withColumn("prior", F.lag("v").over(w))
+    marked = upto.withColumns({"floor": F.min("v").over(back.rowsBetween(Window.unboundedPreceding, 0)), "last_cut": F.max(F.when(F.col("v") < F.col("prior"), F.col(date))).over(Window.partitionBy("event_key"))})
+    up = F.col("v") > F.col("prior")
+    sustained = up & (F.col("v") > F.col("baseline")) & (F.col("floor") >= F.col("prior") - 1e-9)
+    run_up = up & (F.col("last_cut").isNull() | (F.col(date) > F.col("last_cut")))
+    starts = marked.groupBy("event_key").agg(F.min(F.when(sustained, F.col(date))).alias("sustained_start"), F.min(F.when(run_up, F.col(date))).alias("run_up_start"))
+    made = levels.join(starts, "event_key", "left")
+    leads = [F.datediff("peak_of", f"{c}_start").alias(f"{c}_lead") for c in ("sustained", "run_up")]
+    return made.select("event_key", "sustained_start", "run_up_start", "baseline", "peak_value", "peak_date", *leads)
+
+
+#: Spans before the peak that ``warning_summary`` looks at, in weeks.
+SPANS = (12, 8, 4)
+
+
+def warning_summary(scored: DataFrame, events: DataFrame, keys: Sequence[str], time: str, score: str, components: Sequence[str], spans: Sequence[int] = SPANS, high: float = 80.0, forest: DataFrame | None = None) -> DataFrame:
+    """Per series and event, over each span of weeks before the peak: highest score, first date at ``high`` and whole weeks ahead.
+
+    Over the longest span also the three components with the highest means, with those (``name=value``, two
+    decimals, zero without a sign; equal means by name).  ``forest`` (``keys, event_key, time, score, anomaly``: rows of a model
+    fitted on what was known before) adds its highest score, its first flag and whether there is any.
+    """
+    held = ev.pre_window(scored, events, max(spans), time)
     ids = [*keys, "event_key"]
-    made = held.groupBy(*ids, "acute_peak").agg(F.max(score).alias("max_score"), F.min(F.when(F.col(score) >= high, F.col(time))).alias("first_high"), *[F.avg(c).alias(c) for c in components])
-    named = F.filter(F.array(*[F.struct((-F.col(c)).alias("v"), F.lit(c).alias("n")) for c in components]), lambda s: s["v"].isNotNull())
-    top = F.array_join(F.transform(F.slice(F.array_sort(named), 1, 3), lambda s: s["n"]), ", ")
-    return made.select(*ids, "max_score", "first_high", F.floor(F.datediff("acute_peak", "first_high") / 7).cast("int").alias("weeks_before"), top.alias("top_components"))
+    inside = lambda w, c: F.when(F.col(time) >= F.date_sub("acute_peak", 7 * w), c)
+    made = held.groupBy(*ids, "acute_peak").agg(
+        *[F.max(inside(w, F.col(score))).alias(f"max_score_{w}w") for w in spans], *[F.min(inside(w, F.when(F.col(score) >= high, F.col(time)))).alias(f"first_high_{w}w") for w in spans],
+        *[F.avg(c).alias(f"__{c}") for c in components],
+    )
+    named = F.filter(F.array(*[F.struct((-F.col(f"__{c}")).alias("v"), F.lit(c).alias("n")) for c in components]), lambda s: s["v"].isNotNull())
+    top = F.array_join(F.transform(F.slice(F.array_sort(named), 1, 3), lambda s: F.concat(s["n"], F.lit("="), F.round(-s["v"], 2).cast("string"))), ", ")
+    weeks = [F.floor(F.datediff("acute_peak", f"first_high_{w}w") / 7).cast("int").alias(f"weeks_before_{w}w") for w in spans]
+    made = made.select(*ids, *[f"max_score_{w}w" for w in spans], *[f"first_high_{w}w" for w in spans], *weeks, top.alias("top_components"))
+    if forest is None:
+        return made
+    found = forest.groupBy(*ids).agg(F.max("score").alias("max_forest_score"), F.min(F.when(F.col("anomaly"), F.col(time))).alias("first_forest_flag"))
+    status = F.when(F.col("max_forest_score").isNotNull(), "ok").otherwise("insufficient_training_data")
+    return made.join(found, ids, "left").withColumn("forest_status", status)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventscope.functions import columns as fc
 from eventscope.functions import timeseries as ts
 from eventscope.operators import aggregates as ag
+from eventscope.operators import chains
 from eventscope.operators import events as ev
 from eventscope.operators import rules as ru
 from eventscope.plans.fixtures import table, view
@@ -621,22 +622,38 @@ def false_alarm_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ru.quiet_rate(_alerts(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date"))
 
 
+_SPAN_SQL = ", ".join(f"max(score) FILTER (date >= acute_peak - {7 * w}) AS m{w}, min(date) FILTER (score >= 80 AND date >= acute_peak - {7 * w}) AS f{w}" for w in ru.SPANS)
+_SPAN_OUT = ", ".join(f"round(m{w}, 6) AS max_score_{w}w, f{w} AS first_high_{w}w, floor((acute_peak - f{w}) / 7.0)::INT AS weeks_before_{w}w" for w in ru.SPANS)
+
+
 @query(
     "warning_summary",
-    f"""WITH {_INDEX}, h AS (SELECT sc.*, event_key, acute_peak FROM sc JOIN events_dim ON date BETWEEN acute_peak - 84 AND acute_peak - 1), g AS (SELECT series_id, event_key, acute_peak, max(score) AS m, min(date) FILTER (score >= 80) AS f, round(avg(dz), 9) AS dz, round(avg(rz), 9) AS rz FROM h GROUP BY 1,2,3)
-      SELECT series_id, event_key, round(m, 6) AS max_score, f AS first_high, floor((acute_peak - f) / 7.0)::INT AS weeks_before, CASE WHEN dz IS NULL AND rz IS NULL THEN '' WHEN rz IS NULL THEN 'deposits_z' WHEN dz IS NULL THEN 'reserve_z' WHEN dz >= rz THEN 'deposits_z, reserve_z' ELSE 'reserve_z, deposits_z' END AS top_components FROM g""",
+    f"""WITH {_INDEX}, h AS (SELECT sc.*, event_key, acute_peak FROM sc JOIN events_dim ON date BETWEEN acute_peak - 84 AND acute_peak - 1), g AS (SELECT series_id, event_key, acute_peak, {_SPAN_SQL}, avg(dz) AS dz, avg(rz) AS rz FROM h GROUP BY 1,2,3),
+      c AS (SELECT *, 'deposits_z=' || (round(dz, 2) + 0.0)::VARCHAR AS d, 'reserve_z=' || (round(rz, 2) + 0.0)::VARCHAR AS r FROM g)
+      SELECT series_id, event_key, {_SPAN_OUT}, CASE WHEN dz IS NULL AND rz IS NULL THEN '' WHEN rz IS NULL THEN d WHEN dz IS NULL THEN r WHEN dz >= rz THEN d || ', ' || r ELSE r || ', ' || d END AS top_components FROM c""",
 )
 def warning_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ru.warning_summary(_scored(spark, sf_dir), view(spark, sf_dir, "events_dim"), KEYS, "date", "score", ["deposits_z", "reserve_z"]))
 
 
-@query(
-    "rate_signal",
-    """WITH h AS (SELECT event_key, acute_peak, date, rate FROM daily_rate JOIN events_dim ON date BETWEEN acute_peak - 300 AND acute_peak + 45), p AS (SELECT event_key, max(rate) AS peak_value, arg_min(rate, date) AS baseline FROM h GROUP BY 1),
-      q AS (SELECT h.event_key, min(date) AS peak_date FROM h JOIN p USING (event_key) WHERE rate = peak_value GROUP BY 1),
-      m AS (SELECT h.*, q.peak_date, rate > lag(rate) OVER w AS up, min(rate) OVER (PARTITION BY h.event_key ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fl FROM h JOIN q USING (event_key) WHERE date <= peak_date WINDOW w AS (PARTITION BY h.event_key ORDER BY date)),
-      g AS (SELECT event_key, min(date) FILTER (up AND fl >= rate) AS sustained_start, min(date) FILTER (up AND peak_date - date <= 90) AS run_up_start, first(acute_peak) AS acute_peak, first(peak_date) AS peak_date FROM m GROUP BY 1)
-      SELECT event_key, sustained_start, run_up_start, baseline, peak_value, peak_date, (acute_peak - sustained_start)::INT AS sustained_lead, (acute_peak - run_up_start)::INT AS run_up_lead FROM g JOIN p USING (event_key)""",
-)
+#: Each condition of the signal by a subquery of its own, as the rules state it.
+_SIGNAL = """h AS (SELECT event_key, acute_peak, date, rate FROM daily_rate JOIN events_dim ON date BETWEEN acute_peak - 300 AND acute_peak + 45 WHERE rate IS NOT NULL),
+      p AS (SELECT event_key, acute_peak, (SELECT max(rate) FROM h n WHERE n.event_key = e.event_key AND n.date >= e.acute_peak - 90) AS peak_value,
+              coalesce((SELECT min(rate) FROM h n WHERE n.event_key = e.event_key AND n.date <= e.acute_peak - 150), (SELECT min(rate) FROM h n WHERE n.event_key = e.event_key)) AS baseline FROM (SELECT DISTINCT event_key, acute_peak FROM h) e),
+      q AS (SELECT p.*, (SELECT min(date) FROM h n WHERE n.event_key = p.event_key AND n.date >= p.acute_peak - 90 AND n.rate = p.peak_value) AS peak_date FROM p),
+      c AS (SELECT h.event_key, h.date, h.rate, lag(h.rate) OVER (PARTITION BY h.event_key ORDER BY h.date) AS prior, q.baseline FROM h JOIN q USING (event_key) WHERE h.date <= q.peak_date),
+      u AS (SELECT event_key, min(date) AS sustained_start FROM c WHERE rate > prior AND rate > baseline AND NOT EXISTS (SELECT 1 FROM c x WHERE x.event_key = c.event_key AND x.date >= c.date AND x.rate < c.prior - 1e-9) GROUP BY 1),
+      a AS (SELECT event_key, min(date) AS run_up_start FROM c WHERE rate > prior AND NOT EXISTS (SELECT 1 FROM c x WHERE x.event_key = c.event_key AND x.date >= c.date AND x.rate < x.prior) GROUP BY 1),
+      rs AS (SELECT q.event_key, sustained_start, run_up_start, baseline, peak_value, peak_date, (acute_peak - sustained_start)::INT AS sustained_lead, (acute_peak - run_up_start)::INT AS run_up_lead FROM q LEFT JOIN u USING (event_key) LEFT JOIN a USING (event_key))"""
+
+
+@query("rate_signal", f"WITH {_SIGNAL} SELECT * FROM rs")
 def rate_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ru.rate_signal(view(spark, sf_dir, "daily_rate"), view(spark, sf_dir, "events_dim"))
+
+
+@query("rate_clocks", f"WITH {_SIGNAL} SELECT e.event_key, origin, acute_peak, sustained_start, run_up_start, sustained_lead AS sustained_start_lead, run_up_lead AS run_up_start_lead FROM events_dim e LEFT JOIN rs USING (event_key)")
+def rate_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock table fed by the signals of the rate."""
+    events = view(spark, sf_dir, "events_dim")
+    return chains.clock_table(events, ru.rate_signal(view(spark, sf_dir, "daily_rate"), events), ["sustained_start", "run_up_start"], "acute_peak")

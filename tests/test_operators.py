@@ -170,11 +170,41 @@ def test_placebo_centers_keep_away(spark):
     assert sorted(got.collect()) == sorted(placebo.placebo_centers(span, dim(spark), 365, 10, n=50).collect())
 
 
-def test_rate_signal_ties_and_dips(spark):
-    rows = [("2000-01-01", 3.0), ("2000-01-15", 4.0), ("2000-02-01", 3.5), ("2000-02-10", 5.0), ("2000-03-01", 6.0), ("2000-03-15", 6.0)]
-    rate = spark.createDataFrame([(d(a), b) for a, b in rows], "date date, rate double")
+def signal(spark, steps):
+    """The rate signal of daily steps ``{days from the peak: value}``, as days from the peak."""
+    peak, days = dim(spark).first()["acute_peak"], range(min(steps), 46)
+    value = lambda k: steps[max(s for s in steps if s <= k)]
+    rate = spark.createDataFrame([(peak + dt.timedelta(k), value(k)) for k in days], "date date, rate double")
     r = rules.rate_signal(rate, dim(spark)).first()
-    assert (r["sustained_start"], r["peak_date"], r["baseline"]) == (d("2000-02-10"), d("2000-03-01"), 3.0)
+    at = lambda c: None if r[c] is None else (r[c] - peak).days
+    assert r["sustained_lead"] == (None if at("sustained_start") is None else -at("sustained_start"))
+    return at("run_up_start"), r["baseline"], r["peak_value"], at("peak_date"), at("sustained_start")
+
+
+def test_rate_signal(spark):
+    steps = {-300: 5.0, -250: 2.0, -100: 3.0, -50: 4.0, -30: 3.5, -10: 6.0}
+    assert signal(spark, steps) == (-10, 2.0, 6.0, -10, -100)
+    assert signal(spark, {**{-300: 7.0, -280: 5.0}, **{k: v for k, v in steps.items() if k > -300}}) == (-10, 2.0, 6.0, -10, -100)
+    # back to the level before the first rise, not below it
+    assert signal(spark, {-300: 2.0, -120: 3.0, -80: 2.0, -20: 4.0}) == (-20, 2.0, 4.0, -20, -120)
+    # below it: the later rise counts
+    assert signal(spark, {-300: 3.0, -120: 4.0, -80: 2.5, -20: 3.5, 10: 3.5, 20: 3.0}) == (-20, 3.0, 3.5, -20, -20)
+    # a rise to below the baseline is none; no rise at all; a series that starts late has its own lowest value
+    assert signal(spark, {-300: 5.0, -140: 2.0, -60: 3.0}) == (-60, 5.0, 3.0, -60, None)
+    assert signal(spark, {-300: 5.0}) == (None, 5.0, 5.0, -90, None)
+    assert signal(spark, {-100: 4.0, -50: 3.0, -5: 5.0}) == (-5, 3.0, 5.0, -5, -5)
+
+
+def test_warning_summary_spans_and_forest(spark):
+    peak = dim(spark).first()["acute_peak"]
+    rows = [("a", peak - dt.timedelta(7 * k), float(s), z, -z) for k, s, z in [(12, 95, 1.0), (9, 50, 2.0), (7, 85, 3.0), (5, 90, None), (3, 70, 1.0), (0, 99, 9.0)]]
+    scored = spark.createDataFrame([*rows, ("b", peak - dt.timedelta(70), None, None, None)], "series_id string, date date, score double, x double, y double")
+    forest = spark.createDataFrame([("a", "X", peak - dt.timedelta(20), 0.4, False), ("a", "X", peak - dt.timedelta(13), 0.7, True), ("a", "X", peak - dt.timedelta(6), 0.6, True)], "series_id string, event_key string, date date, score double, anomaly boolean")
+    forest = forest.withColumn("event_key", F.lit(dim(spark).first()["event_key"]))
+    a, b = rules.warning_summary(scored, dim(spark), ["series_id"], "date", "score", ["x", "y"], forest=forest).orderBy("series_id").collect()
+    assert [a[f"max_score_{w}w"] for w in (12, 8, 4)] == [95.0, 90.0, 70.0] and [a[f"weeks_before_{w}w"] for w in (12, 8, 4)] == [12, 7, None]
+    assert a["top_components"] == "x=1.75, y=-1.75" and (a["max_forest_score"], a["first_forest_flag"], a["forest_status"]) == (0.7, peak - dt.timedelta(13), "ok")
+    assert b["max_score_12w"] is None and b["top_components"] == "" and b["forest_status"] == "insufficient_training_data"
 
 
 def test_names(spark):
