@@ -7,18 +7,15 @@ values are nulls; a spread of zero gives null, never infinity.
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
-from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from eventscope.functions.ranks import past_pct_rank  # noqa: F401
+from eventscope.functions.recursions import Cusum, Ewma, fold_each
 
 Name = str | Column
-#: ``step(state, values) -> (state, results)``; the state is None before the first row of a series.
-Step = Callable[[Any, tuple], tuple[Any, tuple]]
 
 
 def series(keys: Sequence[str], time: str) -> WindowSpec:
@@ -122,99 +119,14 @@ def week_ending_sunday(date: Name) -> Column:
     return F.next_day(F.date_sub(_col(date), 1), "Sun")
 
 
-def fold(df: DataFrame, keys: Sequence[str], time: str, inputs: Sequence[str], start: Callable[[], Any], step: Step, out: Sequence[str]) -> DataFrame:
-    """``df`` with the results of an ordered recursion: ``step(state, values) -> (state, results)`` on each row of a series.
-
-    Rows are sorted by key and time within partitions and go through in Arrow batches with the state of the
-    running series, so a series of any length takes the memory of one batch (and of its state); its rows
-    follow each other in one task, as a recursion asks.  Missing values, NaN too, come as None.
-    """
-    schema = StructType([*[f for f in df.schema.fields if f.name not in out], *[StructField(o, DoubleType()) for o in out]])
-    kept = [f.name for f in schema.fields[: -len(out)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = None, None
-        for batch in batches:
-            ids = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * batch.num_rows
-            values = zip(*[[None if v is None or v != v else v for v in batch.column(c).to_pylist()] for c in inputs], strict=True)
-            results = []
-            for key, row in zip(ids, values, strict=True):
-                if key != last:
-                    last, state = key, start()
-                state, made = step(state, row)
-                results.append(made)
-            columns = zip(*results, strict=True) if results else [[] for _ in out]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(c, pa.float64()) for c in columns]], [*kept, *out])
-
-    dealt = df.select(*kept)
-    dealt = dealt.repartition(*keys) if keys else dealt.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, time).mapInArrow(run, schema)
-
-
-def ewma_step(alpha: float) -> Step:
-    def step(y: float | None, row: tuple) -> tuple[float | None, tuple]:
-        (v,) = row
-        y = y if v is None else v if y is None else alpha * v + (1 - alpha) * y
-        return y, (y,)
-
-    return step
-
-
-def cusum_step(k: float, h: float) -> Step:
-    def step(total: float | None, row: tuple) -> tuple[float, tuple]:
-        (v,) = row
-        total = 0.0 if v is None else max(0.0, (total or 0.0) + v - k)
-        fires = v is not None and total >= h
-        return (0.0 if fires else total), (float(fires),)
-
-    return step
-
-
-def rank_step(min_periods: int) -> Step:
-    def step(state: tuple[int, list] | None, row: tuple) -> tuple[tuple[int, list], tuple]:
-        place, seen = state or (0, [])
-        (v,) = row
-        enough = v is not None and place >= min_periods and len(seen) >= min_periods
-        rank = 100.0 * bisect_right(seen, v) / len(seen) if enough else None
-        if v is not None:
-            insort(seen, v)
-        return (place + 1, seen), (rank,)
-
-    return step
-
-
-def side_by_side(steps: Sequence[Step]) -> Step:
-    """One step that runs several, each on its own input, in one pass."""
-
-    def step(states: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-        done = [s(state, (v,)) for s, state, v in zip(steps, states or [None] * len(steps), row, strict=True)]
-        return tuple(d[0] for d in done), tuple(d[1][0] for d in done)
-
-    return step
-
-
-def fold_each(df: DataFrame, keys: Sequence[str], time: str, made: dict[str, tuple[str, Step]]) -> DataFrame:
-    """``df`` with one column per entry ``out: (input, step)``, all in one pass over the series."""
-    return fold(df, keys, time, [x for x, _ in made.values()], lambda: None, side_by_side([s for _, s in made.values()]), list(made))
-
-
-def past_pct_rank(df: DataFrame, x: str, keys: Sequence[str], time: str, min_periods: int = 52, out: str = "pct_rank") -> DataFrame:
-    """Add the share (in %) of strictly earlier values at or below the current one.
-
-    Needs ``min_periods`` earlier rows and as many earlier non-null values.  The earlier values of a series
-    are kept in order in the memory of its task (8 bytes each).
-    """
-    return fold_each(df, keys, time, {out: (x, rank_step(min_periods))})
-
-
 def ewma(df: DataFrame, keys: Sequence[str], time: str, x: str, alpha: float, out: str = "ewma") -> DataFrame:
     """Add the exponentially weighted mean without adjustment; a missing value carries the state on."""
-    return fold_each(df, keys, time, {out: (x, ewma_step(alpha))})
+    return fold_each(df, keys, time, {out: (x, Ewma(alpha))})
 
 
 def cusum(df: DataFrame, keys: Sequence[str], time: str, z: str, k: float, h: float, out: str = "alert") -> DataFrame:
     """Add the upper CUSUM of a score: fires (1.0) when the sum reaches ``h`` and starts anew; a missing score starts it anew too."""
-    return fold_each(df, keys, time, {out: (z, cusum_step(k, h))})
+    return fold_each(df, keys, time, {out: (z, Cusum(k, h))})
 
 
 def yoy(df: DataFrame, keys: Sequence[str], year: str, columns: Sequence[str], diffs: Sequence[str] = ()) -> DataFrame:

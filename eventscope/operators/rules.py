@@ -75,15 +75,15 @@ MENU = (
 def menu_alerts(scored: DataFrame, keys: Sequence[str], time: str, menu: Sequence[AlertRule] = MENU, min_periods: int = 52) -> DataFrame:
     """Alerts of all rules of a menu as ``(keys, time, rule, alert)``.
 
-    All recursions go over the series in one pass: smoothed means of the ``ewma`` rules, and CUSUMs of the
+    All recursions go over the series together: smoothed means of the ``ewma`` rules, and CUSUMs of the
     columns scored against their own past.  The rest are window expressions.
     """
     w = ts.past(keys, time)
     used = list(dict.fromkeys(r.column for r in menu))
     made = scored.select(*keys, time, *used)
     made = made.withColumns({f"{c}_past_z": ts.past_z(c, keys, time, min_periods) for c in {r.column for r in menu if r.kind == "cusum"}})
-    steps = {f"r{k}": (r.column, ts.ewma_step(r.params[0])) for k, r in enumerate(menu) if r.kind == "ewma"}
-    steps |= {f"r{k}": (f"{r.column}_past_z", ts.cusum_step(*r.params)) for k, r in enumerate(menu) if r.kind == "cusum"}
+    steps = {f"r{k}": (r.column, ts.Ewma(r.params[0])) for k, r in enumerate(menu) if r.kind == "ewma"}
+    steps |= {f"r{k}": (f"{r.column}_past_z", ts.Cusum(*r.params)) for k, r in enumerate(menu) if r.kind == "cusum"}
     if steps:
         made = ts.fold_each(made, keys, time, steps)
     flags, hot = {}, {}

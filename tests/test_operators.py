@@ -188,7 +188,7 @@ def test_rate_signal(spark):
     # back to the level before the first rise, not below it
     assert signal(spark, {-300: 2.0, -120: 3.0, -80: 2.0, -20: 4.0}) == (-20, 2.0, 4.0, -20, -120)
     # below it: the later rise counts
-    assert signal(spark, {-300: 3.0, -120: 4.0, -80: 2.5, -20: 3.5, 10: 3.5, 20: 3.0}) == (-20, 3.0, 3.5, -20, -20)
+    assert signal(spark, {-300: 3.0, -120: 4.0, -100: 2.5, -20: 3.5, 10: 3.5, 20: 3.0}) == (-20, 3.0, 3.5, -20, -20)
     # a rise to below the baseline is none; no rise at all; a series that starts late has its own lowest value
     assert signal(spark, {-300: 5.0, -140: 2.0, -60: 3.0}) == (-60, 5.0, 3.0, -60, None)
     assert signal(spark, {-300: 5.0}) == (None, 5.0, 5.0, -90, None)

@@ -2,10 +2,12 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from eventscope.functions import timeseries as ts
+from eventscope.functions.blocks import dominance
 
 DAY = dt.date(2000, 1, 2)
 
@@ -116,7 +118,7 @@ def test_folds_side_by_side_over_batches(spark):
         df = None
         for k, v in values.items():
             df = frame(spark, v, k) if df is None else df.unionByName(frame(spark, v, k))
-        made = ts.fold_each(df, ["k"], "date", {"e": ("x", ts.ewma_step(0.3)), "c": ("x", ts.cusum_step(4.0, 9.0))}).orderBy("date").collect()
+        made = ts.fold_each(df, ["k"], "date", {"e": ("x", ts.Ewma(0.3)), "c": ("x", ts.Cusum(4.0, 9.0))}).orderBy("date").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for k, series in values.items():
@@ -133,3 +135,81 @@ def test_folds_without_keys_or_rows(spark):
     df = frame(spark, [1, 3])
     assert [r["ewma"] for r in ts.ewma(df, [], "date", "x", 0.5).orderBy("date").collect()] == [1.0, 2.0]
     assert ts.ewma(df.limit(0), ["k"], "date", "x", 0.5).collect() == []
+
+
+@pytest.fixture
+def ranges(spark):
+    """Many ranges of few rows, which adaptive execution leaves alone."""
+    for k, v in {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def long_series(spark):
+    """One series over most ranges, two that begin and end inside of them, one of nulls, one without a key."""
+    made = {"a": [None if i % 17 in (3, 4) else ((i * 37) % 101) / 10 for i in range(400)], "b": [2.0] * 30, "c": [((i * 7) % 13) / 3 for i in range(90)], "d": [None] * 20, None: [float(i % 5) for i in range(60)]}
+    df = None
+    for k, v in made.items():
+        df = frame(spark, v, k) if df is None else df.unionByName(frame(spark, v, k))
+    return made, df
+
+
+def test_folds_compose_over_ranges(ranges):
+    made, df = long_series(ranges)
+    got = ts.fold_each(df.withColumn("other", F.lit(1)), ["k"], "date", {"e": ("x", ts.Ewma(0.07)), "c": ("x", ts.Cusum(4.9, 9.0)), "f": ("x", ts.Cusum(4.5, 40.0))})
+    rows = sorted(got.collect(), key=lambda r: (str(r["k"]), r["date"]))
+    assert got.columns == ["k", "date", "x", "other", "e", "c", "f"] and len(rows) == sum(map(len, made.values()))
+    for key, series in made.items():
+        y, sums, want = None, [0.0, 0.0], []
+        for v in series:
+            y = y if v is None else v if y is None else 0.07 * v + 0.93 * y
+            sums = [0.0 if v is None else max(0.0, s + v - k) for s, k in zip(sums, (4.9, 4.5), strict=True)]
+            want.append((y, *[float(s >= h) for s, h in zip(sums, (9.0, 40.0), strict=True)]))
+            sums = [0.0 if s >= h else s for s, h in zip(sums, (9.0, 40.0), strict=True)]
+        mine = [(r["e"], r["c"], r["f"]) for r in rows if r["k"] == key]
+        assert [m[1:] for m in mine] == [w[1:] for w in want]
+        assert [m[0] for m in mine] == [None if w[0] is None else pytest.approx(w[0]) for w in want]
+
+
+def test_ranks_over_ranges_equal_brute_force(ranges):
+    made, df = long_series(ranges)
+    got = sorted(ts.past_pct_rank(df, "x", ["k"], "date", 10, "y").collect(), key=lambda r: (str(r["k"]), r["date"]))
+    for key, series in made.items():
+        want = []
+        for i, v in enumerate(series):
+            seen = [e for e in series[:i] if e is not None]
+            want.append(100 * sum(e <= v for e in seen) / len(seen) if v is not None and i >= 10 and len(seen) >= 10 else None)
+        assert [r["y"] for r in got if r["k"] == key] == [None if w is None else pytest.approx(w) for w in want]
+
+
+def test_one_series_without_keys_is_many_tasks(ranges):
+    _, df = long_series(ranges)
+    one = df.filter("k = 'a'")
+    made = ts.past_pct_rank(ts.ewma(one, [], "date", "x", 0.2), "x", [], "date", 10)
+    same = ts.past_pct_rank(ts.ewma(one, ["k"], "date", "x", 0.2), "x", ["k"], "date", 10)
+    key = lambda d: [(r["date"], r["pct_rank"], None if r["ewma"] is None else round(r["ewma"], 9)) for r in d.orderBy("date").collect()]
+    assert key(made) == key(same)
+    from eventscope.functions import ranks
+
+    assert ranks._counts(one, [], "date", "x").select("__range").distinct().count() >= 6
+
+
+def test_pieces_of_a_cusum():
+    r, rule = np.random.default_rng(1), ts.Cusum(0.5, 3.0)
+    for _ in range(300):
+        values = np.where(r.random(12) < 0.05, np.nan, r.integers(-8, 9, 12) / 4)
+        piece = rule.opened()
+        for a, b in ((0, 5), (5, 6), (6, 12)):
+            piece = rule.extend(piece, values[a:b])
+        for start in np.arange(0, 3, 0.25):
+            assert rule.follow([start], piece) == rule.run([start], values)[0]
+
+
+def test_dominance_counts():
+    r = np.random.default_rng(0)
+    for n in [0, 1, 2, *r.integers(3, 40, 60)]:
+        v, w, g = r.integers(0, 9, n).astype(float), r.integers(0, 4, n), r.integers(0, 3, n)
+        assert dominance(v, w, g).tolist() == [sum(w[j] for j in range(i) if v[j] <= v[i] and g[j] == g[i]) for i in range(n)]
