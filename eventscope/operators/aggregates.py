@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventscope.functions import blocks
+
 
 def concentration(df: DataFrame, group: Sequence[str], party: str, amount: str, tops: Sequence[int] = (1, 5, 10), positive_only: bool = True) -> DataFrame:
     """Per group: parties, total, top shares (%), Herfindahl index (times 10,000) and Gini coefficient of party totals.
@@ -59,9 +61,35 @@ def lead_lag(df: DataFrame, group: Sequence[str], category: str, date: str, leas
     return made.select(*ids, "n", "first_date", F.date_from_unix_date(F.floor("__m").cast("int")).alias("median_date"), "peak_week", "lag_days", "leads")
 
 
+def selected(counts: DataFrame, group: Sequence[str], value: str, n: str, points: Sequence[float]) -> DataFrame:
+    """Per group the linear-interpolated quantiles ``q0, q1, ...`` at ``points``, from distinct values and how often each occurs.
+
+    Values are dealt to ranges in order of group and value.  Sums over ranges say which of them hold the ranks
+    that are sought, and only the rows of those are looked at again: no task holds a group.  Groups without a
+    value have nulls.
+    """
+    placed = blocks.dealt(counts.select(*group, F.col(value).cast("double").alias("__v"), F.when(F.col(value).isNotNull(), F.col(n)).alias("__c")), [*group, "__v"], "value-counts")
+    every = Window.partitionBy(*group)
+    ranges = blocks.before(placed, group, {"lt": F.col("__c")}).withColumn("__n", F.sum("__n_lt").over(every))
+    at = [F.lit(float(p)) * (F.col("__n") - 1) for p in points]
+    ends = [(F.floor(q), F.ceil(q)) for q in at]
+    holds = reduce(Column.__or__, [(F.col("lt") <= hi) & (F.col("lt") + F.col("__n_lt") > lo) for lo, hi in ends])
+    needed = blocks.named(ranges.filter(holds & (F.col("__n") > 0)).select(*group, blocks.RANGE, "lt", "__n"), [*group, blocks.RANGE], "__k_")
+    inside = Window.partitionBy(*group, blocks.RANGE).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.filter("__v is not null").join(needed, blocks.same_keys([*group, blocks.RANGE], "__k_")).withColumn("__to", F.col("lt") + F.sum("__c").over(inside))
+    pick = lambda rank: F.max(F.when((F.col("__to") - F.col("__c") <= rank) & (rank < F.col("__to")), F.col("__v")))
+    picked = found.groupBy(*group).agg(F.first("__n").alias("__n"), *[pick(r).alias(f"__{side}{k}") for k, pair in enumerate(ends) for side, r in zip(("lo", "hi"), pair, strict=True)])
+    between = [F.when(lo == hi, F.col(f"__lo{k}")).otherwise((hi - q) * F.col(f"__lo{k}") + (q - lo) * F.col(f"__hi{k}")).alias(f"q{k}") for k, (q, (lo, hi)) in enumerate(zip(at, ends, strict=True))]
+    groups = ranges.select(*group).distinct()
+    known = blocks.named(picked.select(*group, *between), group, "__k_")
+    return groups.join(known, blocks.same_keys(group, "__k_"), "left").select(*group, *[f"q{k}" for k in range(len(points))])
+
+
 def quantiles(df: DataFrame, group: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Linear-interpolated quantiles, named ``q<percent>``."""
-    return df.groupBy(*group).agg(*[F.percentile(value, F.lit(p)).alias(f"q{round(100 * p)}") for p in points])
+    """Linear-interpolated quantiles, named ``q<percent>``; exact for groups of any size (``selected``)."""
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("__c"))
+    made = selected(counts, group, value, "__c", points)
+    return made.select(*group, *[F.col(f"q{k}").alias(f"q{round(100 * p)}") for k, p in enumerate(points)])
 
 
 def share_where(predicate: Column) -> Column:
@@ -85,7 +113,7 @@ def channel_score(df: DataFrame, event: str, party: str, amount: str, date: str,
     name on ties) is one of ``roles``; centrality: total against the largest.
     """
     first = df.groupBy(event, party).agg(F.max((F.col(date) < F.col(official)).cast("double")).alias("early"), F.sum(amount).alias("total"), F.count("*").alias("n"))
-    cut = df.groupBy(event).agg(F.percentile(amount, F.lit(0.75)).alias("cut"))
+    cut = quantiles(df, [event], amount, [0.75]).withColumnRenamed("q75", "cut")
     per = first.join(cut, event).groupBy(party).agg(
         F.max("early").alias("early"), F.sum("n").alias("n"), F.count("*").alias("events"), F.max((F.col("total") > F.col("cut")).cast("double")).alias("scale"), F.sum("total").alias("total"),
     )
@@ -191,10 +219,15 @@ def rollup_period(df: DataFrame, group: Sequence[str], year: str, value: str) ->
 
 
 def grouped_medians(df: DataFrame, sets: Sequence[Sequence[str]], value: str) -> DataFrame:
-    """Median, mean and count for several groupings stacked in one table (grouping sets)."""
+    """Median, mean and count for several groupings stacked in one table (grouping sets); medians as ``selected`` gives them."""
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    made = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in columns])
-    return made.agg(F.percentile(value, F.lit(0.5)).alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
+    by = lambda more: df.groupingSets([[F.col(c) for c in [*s, *more]] for s in sets], *[F.col(c) for c in [*columns, *more]])
+    level = F.grouping_id()
+    counts = by([value]).agg(F.count("*").alias("__c"), level.alias("__set")).withColumn("__set", F.shiftright("__set", 1))
+    medians = blocks.named(selected(counts, [*columns, "__set"], value, "__c", [0.5]), [*columns, "__set"], "__g_")
+    rest = by([]).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), level.alias("__set"))
+    joined = rest.join(medians, blocks.same_keys([*columns, "__set"], "__g_"), "left")
+    return joined.select(*columns, F.col("q0").alias("median"), "mean", "n")
 
 
 def ledger_metrics(df: DataFrame, group: Sequence[str], party: str, amount: str) -> DataFrame:

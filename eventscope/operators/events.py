@@ -1,7 +1,8 @@
 """Rows against event windows: phases, ranges, as-of and nearest matches.
 
-``events`` is a small dimension (``event_key, pre_start, acute_start, acute_peak, acute_end, post_end``)
-that is broadcast; larger tables of centres meet the data through an equal month first.
+``events`` is a dimension (``event_key, pre_start, acute_start, acute_peak, acute_end, post_end``).  While it is
+small it is broadcast; a larger one meets the rows through equal buckets of days, so that no plan compares
+every row with every window.
 """
 
 from __future__ import annotations
@@ -12,21 +13,45 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventscope.functions import blocks
+
 #: Event tables up to this many rows are broadcast.
 BROADCAST_EVENTS = 10_000
-#: Days of a span in which ``asof_join`` merges both sides at once.
-ASOF_DAYS = 366
+
+
+def is_small(events: DataFrame) -> bool:
+    return events.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS
 
 
 def small(events: DataFrame) -> DataFrame:
     """The event table marked for broadcast, once it is known to be small."""
-    return F.broadcast(events) if events.limit(BROADCAST_EVENTS + 1).count() <= BROADCAST_EVENTS else events
+    return F.broadcast(events) if is_small(events) else events
 
 
-def window_join(df: DataFrame, events: DataFrame, date: str = "date", lo: Column | None = None, hi: Column | None = None, how: str = "inner") -> DataFrame:
+def range_join(df: DataFrame, windows: DataFrame, date: str, lo: Column, hi: Column, how: str = "inner") -> DataFrame:
+    """``df`` with every window that holds its date: ``inner``, ``left_semi`` or ``left_anti``; bounds are inclusive, a null bound holds nothing.
+
+    Windows beyond ``BROADCAST_EVENTS`` are dealt to the buckets of days that they reach into, as wide as windows
+    are long on average, so a window is about two rows.  A row is in one bucket and meets each window once, by
+    an equal key that adaptive execution can split.
+    """
+    if is_small(windows):
+        return df.join(F.broadcast(windows), F.col(date).between(lo, hi), how)
+    held = windows.withColumns({"__lo": lo, "__hi": hi}).filter("__lo <= __hi")
+    width = max(1, round(held.agg(F.avg(F.datediff("__hi", "__lo"))).first()[0] or 1))
+    bucket = lambda d: F.floor(F.unix_date(F.col(d)) / F.lit(width)).cast("long")
+    held = held.withColumn("__bucket", F.explode(F.sequence(bucket("__lo"), bucket("__hi"))))
+    met = (F.col("__at") == F.col("__bucket")) & F.col(date).between(F.col("__lo"), F.col("__hi"))
+    if how == "inner":
+        return df.withColumn("__at", bucket(date)).join(held, met).drop("__at", "__bucket", "__lo", "__hi")
+    days = df.select(F.col(date)).distinct()
+    covered = days.withColumn("__at", bucket(date)).join(held.select("__bucket", "__lo", "__hi"), met, "left_semi").select(F.col(date).alias("__day"))
+    return df.join(covered, F.col(date) == F.col("__day"), how)
+
+
+def window_join(df: DataFrame, events: DataFrame, date: str = "date", lo: Column | None = None, hi: Column | None = None) -> DataFrame:
     """Every row with every event whose window (from ``pre_start`` to ``post_end`` unless given) holds its date."""
-    lo, hi = F.col("pre_start") if lo is None else lo, F.col("post_end") if hi is None else hi
-    return df.join(small(events), F.col(date).between(lo, hi), how)
+    return range_join(df, events, date, F.col("pre_start") if lo is None else lo, F.col("post_end") if hi is None else hi)
 
 
 def phase(date: Column) -> Column:
@@ -44,7 +69,7 @@ def tag_phase(df: DataFrame, events: DataFrame, date: str = "date") -> DataFrame
 
 def exclude_windows(df: DataFrame, windows: DataFrame, date: str, lo: Column, hi: Column) -> DataFrame:
     """Rows whose date is in none of the windows."""
-    return df.join(small(windows), F.col(date).between(lo, hi), "left_anti")
+    return range_join(df, windows, date, lo, hi, "left_anti")
 
 
 def exclude_post(df: DataFrame, events: DataFrame, weeks: int = 12, date: str = "date") -> DataFrame:
@@ -65,7 +90,7 @@ def quiet(df: DataFrame, events: DataFrame, days: int = 365, date: str = "date")
 def label_within(df: DataFrame, events: DataFrame, weeks: int, date: str = "date", out: str = "label") -> DataFrame:
     """Add whether a peak falls in the weeks after the row, the row's own day left out."""
     dates = df.select(F.col(date).alias("__d")).distinct()
-    hit = dates.join(small(events), (F.col("acute_peak") > F.col("__d")) & (F.col("acute_peak") <= F.date_add("__d", 7 * weeks)), "left_semi")
+    hit = range_join(dates, events.select("acute_peak"), "__d", F.date_sub("acute_peak", 7 * weeks), F.date_sub("acute_peak", 1), "left_semi")
     marked = hit.withColumn(out, F.lit(True))
     return df.join(marked, df[date] == marked["__d"], "left").drop("__d").withColumn(out, F.coalesce(out, F.lit(False)))
 
@@ -74,46 +99,45 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] =
     """``left`` with the ``value`` of ``right`` at the last date before or on, the first on or after, or the nearest date.
 
     At equal distance the later date counts.  Repeated dates of ``right`` give one of their values, the
-    greatest.  Both sides are merged by key and span of ``ASOF_DAYS`` days and sorted once in each
-    direction; what lies beyond a span comes from a table of the spans' first and last points.  So a long
-    key, or no key at all, is many tasks.
+    greatest.  Each distinct key and date of ``left`` is sought once.  Both sides are dealt together to ranges of
+    key and date that hold about as many rows each and are merged inside them; what lies beyond a range comes
+    from the first and last points of the others, a row a key and range.  So a heavy key, or no key at all, is
+    many tasks.  A row without a date has no value.
     """
     back, ahead = direction in ("backward", "nearest"), direction in ("forward", "nearest")
-    span = F.floor(F.unix_date(on) / F.lit(ASOF_DAYS)).cast("int").alias("__span")
-    none = F.lit(None)
-    points = right.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.max(value).alias("__v")).select(*keys, on, span, F.struct(F.col(on).alias("d"), F.col("__v").alias("v")).alias("__r"), none.alias("__l"))
-    rows = left.select(*keys, on, span, none.alias("__r"), F.struct(*left.columns).alias("__l"))
-    both = rows.unionByName(points)
-    place = [*keys, "__span"]
-    spans = both.groupBy(*place).agg(F.min("__r").alias("__first"), F.max("__r").alias("__last"))
+    none, place = F.lit(None), [*keys, blocks.RANGE]
+    points = right.filter(F.col(on).isNotNull()).groupBy(*keys, on).agg(F.struct(F.col(on).alias("d"), F.max(value).alias("v")).alias("__r"))
+    sought = left.filter(F.col(on).isNotNull()).select(*keys, on).distinct().withColumns({"__r": none.cast(points.schema["__r"].dataType), "__asked": F.lit(True)})
+    both = blocks.dealt(sought.unionByName(points.withColumn("__asked", F.lit(False))), [*keys, on], "asof-sides")
+    ends = both.groupBy(*place).agg(F.min("__r").alias("__first"), F.max("__r").alias("__last"))
     of = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(place)], F.last("__last", ignorenulls=True).over(of(F.col("__span"))).alias("__cb"), F.last("__first", ignorenulls=True).over(of(F.col("__span").desc())).alias("__ca"))
+    carried = blocks.named(ends.select(*place, F.last("__last", ignorenulls=True).over(of(F.col(blocks.RANGE))).alias("__cb"), F.last("__first", ignorenulls=True).over(of(F.col(blocks.RANGE).desc())).alias("__ca")), place, "__k_")
     inside = lambda order: F.last("__r", ignorenulls=True).over(Window.partitionBy(*place).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     if back:
         both = both.withColumn("__b", inside(F.col(on)))
     if ahead:
         both = both.withColumn("__a", inside(F.col(on).desc()))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__k{k}")) for k, c in enumerate(place)])
-    both = both.filter("__l is not null").join(carried, same, "left")
+    both = both.filter("__asked").join(carried, blocks.same_keys(place, "__k_"), "left")
     before, after = F.coalesce("__b", "__cb") if back else none, F.coalesce("__a", "__ca") if ahead else none
     if direction == "nearest":
         gap_b, gap_a = F.datediff(on, before["d"]), F.datediff(after["d"], on)
         taken = F.when(after.isNull() | (gap_b < gap_a), before).otherwise(after)
     else:
         taken = before if back else after
-    return both.select("__l", taken.alias("__t")).select("__l.*", F.col("__t.v").alias(value))
+    found = blocks.named(both.select(*keys, on, taken["v"].alias("__t")), [*keys, on], "__s_")
+    return left.join(found, blocks.same_keys([*keys, on], "__s_"), "left").select(*[F.col(f"`{c}`") for c in left.columns if c != value], F.col("__t").alias(value))
 
 
 def interval_lookup(df: DataFrame, intervals: DataFrame, date: str, lo: str, hi: str, name: str) -> DataFrame:
     """``df`` with the name of the covering interval that starts first, null without one."""
     days = df.select(date).distinct()
-    hit = days.join(small(intervals), F.col(date).between(F.col(lo), F.col(hi))).groupBy(date).agg(F.min_by(name, F.struct(F.col(lo), F.col(name))).alias(name))
+    hit = range_join(days, intervals, date, F.col(lo), F.col(hi)).groupBy(date).agg(F.min_by(name, F.struct(F.col(lo), F.col(name))).alias(name))
     return df.join(hit, date, "left")
 
 
 def last_in_interval(df: DataFrame, intervals: DataFrame, date: str, lo: str, hi: str, name: str, value: str) -> DataFrame:
     """Per interval the date and value of its last row."""
-    inside = df.join(small(intervals), F.col(date).between(F.col(lo), F.col(hi)))
+    inside = range_join(df, intervals, date, F.col(lo), F.col(hi))
     return inside.groupBy(name).agg(F.max(date).alias("anchor_date"), F.max_by(value, date).alias("anchor_value"))
 
 

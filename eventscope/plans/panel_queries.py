@@ -92,9 +92,8 @@ def window_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM (SELECT DISTINCT series_id, date FROM weekly_panel) p JOIN daily_rate r ON abs(p.date - r.date) <= 400) SELECT series_id, date, rate FROM c WHERE k = 1""",
 )
 def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # every series meets the same rates: one row per date and series of a handful
-    rate = view(spark, sf_dir, "daily_rate").crossJoin(ev.small(view(spark, sf_dir, "weekly_panel").select("series_id").distinct()))
-    return ev.asof_join(view(spark, sf_dir, "weekly_panel").select("series_id", "date"), rate, "date", KEYS, "rate")
+    # every series meets the same rates, so the join is by date alone: each distinct date is sought once
+    return ev.asof_join(view(spark, sf_dir, "weekly_panel").select("series_id", "date"), view(spark, sf_dir, "daily_rate"), "date", (), "rate")
 
 
 @query(

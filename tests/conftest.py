@@ -29,3 +29,14 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture
+def ranges(spark):
+    """Many ranges of few rows, which adaptive execution leaves alone."""
+    for k, v in {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        spark.conf.unset(k)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")

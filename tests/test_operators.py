@@ -38,8 +38,8 @@ def test_event_metrics_without_a_pre_window(spark):
     assert row["days_to_peak"] == 4  # the earliest of equal maxima
 
 
-def test_asof_join_over_spans_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(events, "ASOF_DAYS", 5)
+def test_asof_join_over_ranges_equals_brute_force(ranges):
+    spark = ranges
     day = dt.date(2000, 1, 1)
     left = [(k, day + dt.timedelta(n)) for k in ("a", "b", None) for n in range(0, 90, 4)]
     right = [(k, day + dt.timedelta(n), float(n)) for k, ns in (("a", (3, 4, 30, 31, 77)), (None, (50,))) for n in ns]

@@ -137,17 +137,6 @@ def test_folds_without_keys_or_rows(spark):
     assert ts.ewma(df.limit(0), ["k"], "date", "x", 0.5).collect() == []
 
 
-@pytest.fixture
-def ranges(spark):
-    """Many ranges of few rows, which adaptive execution leaves alone."""
-    for k, v in {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}.items():
-        spark.conf.set(k, v)
-    yield spark
-    for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"):
-        spark.conf.unset(k)
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
 def long_series(spark):
     """One series over most ranges, two that begin and end inside of them, one of nulls, one without a key."""
     made = {"a": [None if i % 17 in (3, 4) else ((i * 37) % 101) / 10 for i in range(400)], "b": [2.0] * 30, "c": [((i * 7) % 13) / 3 for i in range(90)], "d": [None] * 20, None: [float(i % 5) for i in range(60)]}
