@@ -91,15 +91,77 @@ def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+#: Else a filter by the score computes it twice.
+token_set_ratio = token_set_ratio.asNondeterministic()
+
+
+def _letters(tokens: Column, size: int) -> Column:
+    """The distinct runs of ``size`` letters inside the tokens."""
+    runs = F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (size - 1), F.lit(0))), lambda i: F.when(i <= F.length(t) - (size - 1), F.substr(t, i, F.lit(size)))))
+    return F.array_distinct(F.array_compact(F.flatten(runs)))
+
+
+def _rarest(features: DataFrame, size: Column) -> DataFrame:
+    """``(block, normal, feature)`` of so many of each name's features that are rarest in its block."""
+    often = features.groupBy("block", "feature").agg(F.count("*").alias("__n"))
+    ranked = features.join(often, ["block", "feature"]).withColumn("__r", F.row_number().over(Window.partitionBy("block", "normal").orderBy("__n", "feature")))
+    return ranked.filter(F.col("__r") <= size).select("block", "normal", "feature")
+
+
+def candidate_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(a, b)`` of distinct normalised names of one block that alone can reach the threshold, a < b.
+
+    With t = threshold / 100, a pair can reach it in two ways.  Shared words make up t / (2 - t) of one side:
+    then one of that side's rarest words, as many as outweigh the rest, is a word of the other side.  Or the
+    whole strings are at most d = (1 - t)(|a| + |b|) insertions and deletions apart, of which each spoils two of
+    the pairs of letters inside words: then the rarest 2d + 1 of both sides have one in common.  Where a name
+    has no more pairs of letters than that, letters take their place (each change spoils one).  What meets is
+    held against closer bounds before it is scored: as shared words come first in both strings, the changes are
+    between the words that only one side has, and at least as many as their counts of letters differ by.
+    """
+    t = threshold / 100
+    share, reach = t / (2 - t), 2 * (1 - t) / t
+    keyed = names.select("normal").filter("normal <> ''").distinct().withColumn("block", block_key(F.col("normal")))
+    keyed = keyed.withColumn("words", F.array_distinct(F.split("normal", " ")))
+    keyed = keyed.withColumns({"size": F.length(F.array_join("words", " ")), "pairs": _letters(F.col("words"), 2), "letters": _letters(F.col("words"), 1)})
+    keyed = keyed.withColumn("most", F.floor(F.col("size") * reach + 1e-9).cast("int"))
+    keyed = materialize(keyed.withColumn("short", F.size("pairs") <= 2 * F.col("most")), "entity-keyed")
+    spread = lambda c: keyed.select("block", "normal", "size", "most", "short", F.explode(c).alias("feature"))
+
+    words = spread("words").withColumn("w", F.length("feature") + 1)
+    often = words.groupBy("block", "feature").agg(F.count("*").alias("__n"))
+    before = F.sum("w").over(Window.partitionBy("block", "normal").orderBy("__n", "feature").rowsBetween(Window.unboundedPreceding, -1))
+    telling = words.join(often, ["block", "feature"]).withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") <= (1 - share) * F.col("size") + 1e-9)
+    sides = [(telling, words)]
+    grams = _rarest(spread("pairs").filter("not short"), 2 * F.col("most") + 1)
+    sides.append((grams, grams))
+    letters = _rarest(spread("letters"), F.col("most") + 1)
+    few = keyed.filter("short").select(F.col("block").alias("__b"), F.col("normal").alias("__s"))
+    sides.append((letters.join(few, (F.col("block") == F.col("__b")) & (F.col("normal") == F.col("__s")), "left_semi"), letters))
+    met = []
+    for one, other in sides:
+        left, right = one.select("block", "feature", F.col("normal").alias("x")), other.select("block", "feature", F.col("normal").alias("y"))
+        met.append(left.join(right, ["block", "feature"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    pairs = reduce(DataFrame.unionByName, met).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(keyed.select(F.col("normal").alias(side), F.col("words").alias(f"words_{side}"), F.col("size").alias(f"size_{side}")), side)
+    shared = F.length(F.array_join(F.array_intersect("words_a", "words_b"), " "))
+    apart = F.floor((1 - t) * (F.col("size_a") + F.col("size_b")) + 1e-9)
+    own = lambda x, y: F.array_except(f"words_{x}", f"words_{y}")
+    pairs = pairs.withColumns({"own_a": F.array_join(own("a", "b"), ""), "own_b": F.array_join(own("b", "a"), ""), "spaces": F.abs(F.size(own("a", "b")) - F.size(own("b", "a")))})
+    count = lambda side, c: F.length(side) - F.length(F.replace(F.col(side), c, F.lit("")))
+    letters = F.array_distinct(F.split(F.concat("own_a", "own_b"), ""))
+    changes = F.aggregate(letters, F.col("spaces"), lambda sum_, c: sum_ + F.when(c == "", 0).otherwise(F.abs(count("own_a", c) - count("own_b", c))))
+    return pairs.filter((shared >= share * F.least("size_a", "size_b") - 1e-9) | (changes <= apart)).select("a", "b")
+
+
 def similarity_pairs(names: DataFrame, threshold: float = 88.0) -> DataFrame:
     """Pairs of distinct normalised names of one block at or above the threshold: ``(a, b, score)`` with a < b.
 
-    All names of a block meet, so the work is the square of the largest block of distinct names.
+    Only pairs that can reach it are scored (``candidate_pairs``), so a block need not meet itself.
     """
-    keyed = names.select("normal").filter("normal <> ''").distinct().withColumn("block", block_key(F.col("normal")))
-    left, right = keyed.select("block", F.col("normal").alias("a")), keyed.select("block", F.col("normal").alias("b"))
-    near = left.join(right, "block").filter("a < b").select("a", "b")
-    return near.withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= threshold)
+    pairs = candidate_pairs(names, threshold).repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return pairs.withColumn("score", token_set_ratio("a", "b")).filter(F.col("score") >= threshold)
 
 
 def resolve_entities(names: DataFrame, name: str, threshold: float = 88.0, review_below: float = 92.0) -> DataFrame:
@@ -107,18 +169,22 @@ def resolve_entities(names: DataFrame, name: str, threshold: float = 88.0, revie
 
     Names that normalise alike are one; similar ones are joined through components.  The canonical
     name is the longest of its cluster, the first in order among equals; the cluster is named by its
-    smallest normalised name.  Names that normalise to nothing stand alone.
+    smallest normalised name.  ``score`` holds a name against its canonical name (100 for that one itself), and
+    a lower one than ``review_below`` asks for review.  Names that normalise to nothing stand alone.
     """
     every = materialize(names.select(F.col(name).alias("name")).filter("name is not null").distinct().withColumn("normal", normalize_name(F.col("name"))), "entity-names")
     pairs = materialize(similarity_pairs(every, threshold), "entity-pairs")
     joined = connected_components(pairs, "a", "b").withColumnsRenamed({"node": "normal", "component": "cluster"})
-    best = pairs.select(F.col("a").alias("normal"), "score").unionByName(pairs.select(F.col("b").alias("normal"), "score")).groupBy("normal").agg(F.max("score").alias("score"))
-    placed = every.join(joined, "normal", "left").join(best, "normal", "left")
+    placed = every.join(joined.withColumn("__similar", F.lit(True)), "normal", "left")
     own = F.when(F.col("normal") == "", F.concat(F.lit("="), F.col("name"))).otherwise(F.col("normal"))
     placed = placed.withColumn("cluster", F.coalesce("cluster", own))
-    heads = placed.groupBy("cluster").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("canonical"), F.count("*").alias("__n"))
-    method = F.when(F.col("score").isNotNull(), "similar").when(F.col("__n") > 1, "same normal form").otherwise("single")
-    return placed.join(heads, "cluster").select("name", "canonical", "cluster", method.alias("method"), "score", F.coalesce(F.col("score") < review_below, F.lit(False)).alias("review"))
+    head = F.min_by(F.struct("name", "normal"), F.struct(-F.length("name"), F.col("name")))
+    heads = placed.groupBy("cluster").agg(head.alias("h"), F.count("*").alias("__n")).select("cluster", F.col("h.name").alias("canonical"), F.col("h.normal").alias("__h"), "__n")
+    method = F.when(F.col("__similar"), "similar").when(F.col("__n") > 1, "same normal form").otherwise("single")
+    made = placed.join(heads, "cluster").withColumn("__other", F.col("name") != F.col("canonical"))
+    made = made.withColumn("__s", token_set_ratio("normal", "__h"))
+    score = F.when(F.col("__other"), F.when(F.col("normal") == F.col("__h"), 100.0).otherwise(F.col("__s"))).otherwise(100.0)
+    return made.select("name", "canonical", "cluster", method.alias("method"), score.alias("score"), (F.col("__other") & (score < review_below)).alias("review"))
 
 
 @dataclass(frozen=True)
@@ -186,17 +252,20 @@ def classification_summary(df: DataFrame, name: str, label: str, event: str) ->
     return df.groupBy(name, label).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(event)), ",").alias("events"))
 
 
-def validation_sample(df: DataFrame, name: str, event: str, amount: str, confidence: str, sizes: tuple[int, int, int] = (20, 20, 20), seed: int = 7) -> DataFrame:
+def validation_sample(df: DataFrame, name: str, event: str, amount: str, confidence: str, sizes: tuple[int, int, int] = (20, 20, 20), seed: int = 7, label: str | None = None, unknown: str = "unknown") -> DataFrame:
     """Names to check by hand: the largest, some per event and some of low confidence, each in a seeded hash order.
 
-    ``(name, stratum, total)``, a name once per stratum.
+    ``(name, stratum, total)``, a name once per stratum.  Low confidence is below 0.5 in some row, or the
+    ``unknown`` label where a ``label`` is named.
     """
-    totals = df.groupBy(name).agg(F.sum(amount).alias("total"), F.min(confidence).alias("__c"))
-    order = F.xxhash64(F.col(name), F.lit(seed))
+    doubt = F.col(confidence) < 0.5
+    doubt = doubt if label is None else F.coalesce(doubt, F.lit(False)) | (F.col(label) == unknown)
+    totals = df.groupBy(name).agg(F.sum(amount).alias("total"), F.coalesce(F.bool_or(doubt), F.lit(False)).alias("__low"))
+    order = F.md5(F.concat(F.col(name), F.lit(f":{seed}")))
     top = totals.orderBy(F.col("total").desc(), name).limit(sizes[0]).select(name, F.lit("top_by_volume").alias("stratum"), "total")
     per = df.select(name, event).distinct().withColumn("__r", F.row_number().over(Window.partitionBy(event).orderBy(order, name))).filter(F.col("__r") <= sizes[1])
     per = per.join(totals, name).select(name, F.concat(F.lit("random_"), F.col(event)).alias("stratum"), "total")
-    low = totals.filter(F.col("__c") < 0.5).orderBy(order, name).limit(sizes[2]).select(name, F.lit("low_confidence").alias("stratum"), "total")
+    low = totals.filter("__low").orderBy(order, name).limit(sizes[2]).select(name, F.lit("low_confidence").alias("stratum"), "total")
     return top.unionByName(per).unionByName(low)
 
 

@@ -347,10 +347,25 @@ def classify_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("name_id", "label", "confidence", F.array_join("evidence", ",").alias("evidence"), "review")
 
 
-@query("validation_sample")
+PARTY_RULES = (entities.Rule("#0*[1-9]$", "founder", 0.9, "single digit"), entities.Rule("[02468]$", "house", 0.6, "even"), entities.Rule("[13]$", "broker", 0.4, "one or three"))
+_PARTY = "CASE " + " ".join(f"WHEN regexp_matches(lower(counterparty), '{r.pattern}') THEN {{{k}}}" for k, r in enumerate(PARTY_RULES)) + " ELSE {3} END"
+
+
+@query(
+    "validation_sample",
+    f"""WITH h AS (SELECT counterparty, event_key, total_amount, {_PARTY.format(*[f"'{r.label}'" for r in PARTY_RULES], "'unknown'")} AS label, {_PARTY.format(*[r.weight for r in PARTY_RULES], 0.2)} AS confidence FROM ledger JOIN events_dim ON date BETWEEN acute_start AND acute_end),
+      t AS (SELECT counterparty, sum(total_amount) AS total, bool_or(confidence < 0.5 OR label = 'unknown') AS low, md5(counterparty || ':7') AS o FROM h GROUP BY 1),
+      p AS (SELECT counterparty, event_key, row_number() OVER (PARTITION BY event_key ORDER BY md5(counterparty || ':7'), counterparty) AS k FROM (SELECT DISTINCT counterparty, event_key FROM h)),
+      s AS (SELECT * FROM (SELECT counterparty, 'top_by_volume' AS stratum, total FROM t ORDER BY total DESC, counterparty LIMIT 20) UNION ALL SELECT counterparty, 'random_' || event_key, total FROM p JOIN t USING (counterparty) WHERE k <= 20
+        UNION ALL SELECT * FROM (SELECT counterparty, 'low_confidence', total FROM t WHERE low ORDER BY o, counterparty LIMIT 20))
+      SELECT counterparty, stratum, round(total, 2) AS total FROM s""",
+)
 def validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = ev.window_join(view(spark, sf_dir, "ledger"), view(spark, sf_dir, "events_dim"), "date", F.col("acute_start"), F.col("acute_end")).withColumn("confidence", F.col("rate") / 10)
-    return entities.validation_sample(held, "counterparty", "event_key", "total_amount", "confidence")
+    """Labels and confidences are those that the ordered rules give to the parties' names."""
+    held = ev.window_join(view(spark, sf_dir, "ledger"), view(spark, sf_dir, "events_dim"), "date", F.col("acute_start"), F.col("acute_end"))
+    held = held.withColumn("c", entities.classify_ordered(F.col("counterparty"), PARTY_RULES)).withColumns({"label": F.col("c.label"), "confidence": F.col("c.confidence")})
+    made = entities.validation_sample(held, "counterparty", "event_key", "total_amount", "confidence", label="label")
+    return made.withColumn("total", F.round("total", 2))
 
 
 # ---- graphs -----------------------------------------------------------------------------------

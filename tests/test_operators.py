@@ -108,6 +108,61 @@ def test_union_fills_absent_columns(spark):
     assert sorted(map(tuple, readers.union_sources(a, b).select("k", "a", "b").collect())) == [(1, "x", None), (2, None, 3.0)]
 
 
+def varied_names(r, n):
+    words = ["overend", "gurney", "overen", "smith", "smyth", "jones", "bank", "of", "london", "county", "discount", "a", "b", "cc", "brown", "browne", "shipley", "x1", "aaaa", "aaab"]
+    first = ["overend", "overenda", "overe", "overend1", "a", "aa", "browns"]
+    out = set()
+    while len(out) < n:
+        name = [r.choice(first), *r.choices(words, k=r.randrange(0, 5))]
+        if r.random() < 0.5:
+            k = r.randrange(len(name))
+            w = list(name[k])
+            w.insert(r.randrange(len(w) + 1), r.choice("abcdexyz"))
+            name[k] = "".join(w)
+        out.add(" ".join(name))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("threshold", [80.0, 88.0, 95.0])
+def test_similar_names_equal_brute_force(spark, threshold):
+    import random
+
+    names = varied_names(random.Random(int(threshold)), 260)
+    df = spark.createDataFrame([(n,) for n in names], "normal string")
+    block = lambda n: n.split()[0][:5]
+    every = [(a, b, entities.token_set_score(a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if block(a) == block(b)]
+    want = sorted((a, b) for a, b, s in every if s >= threshold)
+    assert sorted((x["a"], x["b"]) for x in entities.similarity_pairs(df, threshold).collect()) == want and want
+    assert entities.candidate_pairs(df, threshold).count() < len(want) + (len(every) - len(want)) / 2
+
+
+def test_a_large_block_does_not_meet_itself(spark):
+    syllables = ["ba", "ce", "di", "fo", "gu", "ha", "je", "ki", "lo", "mu", "na", "pe", "qi", "ro", "su", "ta"]
+    word = lambda k: "".join(syllables[(k * p + s) // 3 % 16] for p, s in ((1, 5), (7, 1), (31, 2), (5, 9)))
+    names = [f"overend {word(k)} {word(3 * k + 7)}" for k in range(4_000)]
+    df = spark.createDataFrame([(n,) for n in names], "normal string")
+    assert entities.candidate_pairs(df, 88.0).count() < 0.02 * 4_000 * 4_000 / 2
+
+
+def test_review_is_asked_against_the_canonical_name(spark):
+    chain = ["Overend Gurney Partners", "Overend Gurnee Partner", "Overend Gurnee Partne", "Overend Gornee Partn"]
+    score = lambda a, b: entities.token_set_score(a.lower(), b.lower())
+    steps = [score(a, b) for a, b in zip(chain, chain[1:], strict=False)]
+    assert min(steps) >= 88 and score(chain[-1], chain[0]) < 88  # the last is near its neighbour alone
+    rows = {x["name"]: x for x in entities.resolve_entities(spark.createDataFrame([(n,) for n in [*chain, "Lone", "&", None]], "n string"), "n").collect()}
+    assert {rows[n]["canonical"] for n in chain} == {chain[0]} and len(rows) == 6
+    for n in chain:
+        assert rows[n]["score"] == pytest.approx(100.0 if n == chain[0] else score(n, chain[0])) and rows[n]["review"] == (n != chain[0] and score(n, chain[0]) < 92)
+    assert rows[chain[-1]]["review"] and (rows["Lone"]["method"], rows["Lone"]["score"], rows["Lone"]["review"]) == ("single", 100.0, False)
+
+
+def test_unknown_labels_are_of_low_confidence(spark):
+    rows = [("a", "E1", 5.0, 0.9, "bank"), ("b", "E1", 4.0, 0.9, "unknown"), ("c", "E2", 3.0, 0.3, "bank"), ("d", "E2", 2.0, None, "bank")]
+    df = spark.createDataFrame(rows, "n string, e string, x double, c double, l string")
+    low = lambda **k: {x["n"] for x in entities.validation_sample(df, "n", "e", "x", "c", **k).filter("stratum = 'low_confidence'").collect()}
+    assert low() == {"c"} and low(label="l") == {"b", "c"}
+
+
 def test_validation_sample_strata(spark):
     rows = [(f"n{k}", f"E{k % 3}", float(k), 0.3 if k % 5 == 0 else 0.9) for k in range(60)] + [("n59", "E0", 1000.0, 0.9)]
     df = spark.createDataFrame(rows, "name string, event string, amount double, sure double")
