@@ -552,6 +552,21 @@ def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoint.events_near(points, view(spark, sf_dir, "events_dim"), KEYS, "date")
 
 
+@query(
+    "mean_shifts",
+    """WITH RECURSIVE v AS (SELECT series_id, date, deposits - avg(deposits) OVER (PARTITION BY series_id) AS v, count(*) OVER (PARTITION BY series_id) AS n FROM weekly_panel WHERE deposits IS NOT NULL),
+      p AS MATERIALIZED (SELECT series_id, date, n, row_number() OVER w AS i, sum(v) OVER w AS s FROM v WHERE n >= 30 WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+      g AS (SELECT series_id, 0 AS a, n AS b, 0.0::DOUBLE AS sa, s AS sb, NULL::DATE AS date, NULL::DOUBLE AS gain FROM p WHERE i = n
+        UNION ALL SELECT series_id, unnest([a, m.i]), unnest([m.i, b]), unnest([sa, m.s]), unnest([m.s, sb]), unnest([m.date, NULL]), unnest([m.gain, NULL]) FROM (
+          SELECT g.series_id, g.a, g.b, g.sa, g.sb, arg_max({'i': p.i, 's': p.s, 'date': p.date, 'gain': (p.s - sa) ^ 2 / (p.i - a) + (sb - p.s) ^ 2 / (b - p.i) - (sb - sa) ^ 2 / (b - a)}, (p.s - sa) ^ 2 / (p.i - a) + (sb - p.s) ^ 2 / (b - p.i) - (sb - sa) ^ 2 / (b - a)) AS m
+          FROM g JOIN p ON p.series_id = g.series_id AND p.i - a >= 2 AND b - p.i >= 2 GROUP BY ALL) WHERE m.gain > 0.5)
+      SELECT series_id, date, round(gain, 6) AS gain FROM g WHERE date IS NOT NULL""",
+)
+def mean_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = changepoint.mean_shifts(view(spark, sf_dir, "weekly_panel"), KEYS, "date", "deposits", penalty=0.5)
+    return made.withColumn("gain", F.round("gain", 6) + 0.0)
+
+
 _ORDERS = (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string"))
 
 

@@ -130,3 +130,41 @@ def test_placebo_percentiles_in_one_order(ranges):
     assert not re.search("NestedLoopJoin.*<=", plan_of(made)) and "Cartesian" not in plan_of(made)
     none = placebo.placebo_compare(ranges.createDataFrame([(1.0,)], "x double"), ranges.createDataFrame([], "x double"), "x").first()
     assert none["percentile"] is None and none["n_placebo"] == 0 and none["placebo_p95"] is None
+
+
+def splits(x, penalty, least=2):
+    """Binary segmentation by plain recursion: ends of segments with their gains."""
+    cost = lambda part: float(((part - part.mean()) ** 2).sum())
+
+    def inside(a, b):
+        best = max(((cost(x[a:b]) - cost(x[a:c]) - cost(x[c:b]), -c) for c in range(a + least, b - least + 1)), default=None)
+        if best is None or best[0] <= penalty:
+            return []
+        return [*inside(a, -best[1]), (-best[1], best[0]), *inside(-best[1], b)]
+
+    return inside(0, len(x))
+
+
+def test_mean_shifts_equal_brute_force(ranges):
+    r = np.random.default_rng(8)
+    series = {"a": np.concatenate([r.normal(m, 0.5, 60) for m in (0, 5, 5.5, -3, 100)]), "b": r.normal(0, 1, 80), None: np.concatenate([np.zeros(20), np.ones(20)]), "short": np.arange(20.0), "flat": np.full(40, 7.0)}
+    rows = [(k, DAY + dt.timedelta(2 * i), float(v)) for k, x in series.items() for i, v in enumerate(x)] + [("b", DAY + dt.timedelta(1), None), ("b", DAY + dt.timedelta(3), float("nan"))]
+    from eventscope.operators import changepoint
+
+    made = changepoint.mean_shifts(ranges.createDataFrame(rows, "k string, date date, x double"), ["k"], "date", "x", 3.0).collect()
+    for k, x in series.items():
+        want = [(DAY + dt.timedelta(2 * (c - 1)), gain) for c, gain in (splits(x, 3.0) if len(x) >= 30 else [])]
+        got = sorted((m["date"], m["gain"]) for m in made if m["k"] == k)
+        assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
+    assert changepoint.mean_shifts(ranges.createDataFrame([], "k string, date date, x double"), ["k"], "date", "x", 3.0).collect() == []
+
+
+def test_mean_shifts_of_a_long_series(spark):
+    """300,000 points without keys, with three shifts."""
+    from eventscope.operators import changepoint
+
+    at = F.col("id")
+    level = F.when(at < 100_000, 0.0).when(at < 150_000, 3.0).when(at < 290_000, 1.0).otherwise(8.0)
+    df = spark.range(300_000).select(at.alias("t"), (level + F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0).alias("x"))
+    made = changepoint.mean_shifts(df, [], "t", "x", 1_000.0).collect()
+    assert sorted(m["t"] for m in made) == [99_999, 149_999, 289_999]
