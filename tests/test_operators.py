@@ -73,6 +73,58 @@ def test_ordered_classifier_gives_confidence(spark):
     assert got == [("broker", 0.85), ("bank", 0.4), ("unknown", 0.2), ("unknown", 0.0), ("unknown", 0.0)]
 
 
+def many_events(spark, n):
+    at = lambda k, days: d("2000-01-02") + dt.timedelta(300 * k + days)
+    return spark.createDataFrame([(f"e{k}", "x", at(k, 200), at(k, 280), at(k, 290), at(k, 300), at(k, 320)) for k in range(1, n + 1)], "event_key string, origin string, pre_start date, acute_start date, acute_peak date, acute_end date, post_end date")
+
+
+def weekly(spark, n=330):
+    r = np.random.default_rng(5)
+    rows = [(k, d("2000-01-02") + dt.timedelta(7 * k), *(float(x) for x in r.normal(0, 1 + 2 * (k % 43 > 36), 2))) for k in range(n)]
+    return spark.createDataFrame([*rows, (-1, d("2001-03-01"), None, 1.0)], "id long, date date, a double, b double")
+
+
+def jobs_of(spark, name, run):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_forests_of_all_events_equal_single_ones(spark):
+    df, table = weekly(spark), many_events(spark, 6)
+    settings = {"trees": 30, "sample": 64, "seed": 3}
+    made = models.isolation_backtest(df, table, "id", "date", ["a", "b"], weeks=12, least=60, **settings).collect()
+    seen = {}
+    for e in table.collect():
+        start = e["acute_peak"] - dt.timedelta(84)
+        train = events.exclude_windows(df.filter(F.col("date") < F.lit(start)), table, "date", F.col("acute_start"), F.col("acute_end")).dropna(subset=["a", "b"])
+        if train.count() < 60:
+            continue
+        forest = models.fit_forest(train, "id", ["a", "b"], **settings)
+        trained = [x["raw_score"] for x in models.score_forest(train, forest, ["a", "b"]).collect()]
+        for x in models.score_forest(df.filter((F.col("date") >= F.lit(start)) & (F.col("date") < F.lit(e["acute_peak"]))), forest, ["a", "b"]).collect():
+            raw = x["raw_score"]
+            score = None if raw is None else min(1.0, max(0.0, (raw - min(trained)) / (max(trained) - min(trained))))
+            seen[e["event_key"], x["id"]] = raw, score, raw is not None and raw > np.quantile(trained, 0.95)
+    assert len(made) == len(seen) and len({e for e, _ in seen}) >= 4
+    for x in made:
+        raw, score, anomaly = seen[x["event_key"], x["id"]]
+        assert x["raw_score"] == (raw if raw is None else pytest.approx(raw)) and x["score"] == (score if score is None else pytest.approx(score)) and x["anomaly"] == anomaly
+    assert models.isolation_backtest(df.limit(20), table, "id", "date", ["a", "b"]).collect() == []
+
+
+def test_jobs_do_not_grow_with_events(spark):
+    df = weekly(spark)
+    forests = [jobs_of(spark, f"forests {n}", lambda n=n: models.isolation_backtest(df, many_events(spark, n), "id", "date", ["a", "b"], least=10, trees=5, sample=32).collect()) for n in (2, 6)]
+    assert forests[0] == forests[1] > 0
+    ready = df.dropna().select(F.array("a", "b").alias("x"), F.array(*[F.col("a") + F.pmod("id", F.lit(3)) > 1 for _ in range(3)]).alias("y"), F.array(*[F.pmod("id", F.lit(7)) == k for k in range(6)]).alias("tested")).cache()
+    folds = [jobs_of(spark, f"folds {n}", lambda n=n: models.fit_folds(ready, [(e, h) for e in range(n) for h in range(3)], 2, 1.0)) for n in (1, 6)]
+    assert 0 < folds[1] <= 2 * folds[0] and folds[1] < 60  # a few more Newton steps, not six times as many
+
+
 def test_leave_one_event_out_equals_a_direct_fit(spark):
     """The coefficients of each fold make the gradient of its own penalised likelihood vanish."""
     from eventscope.operators import models
@@ -252,7 +304,7 @@ def test_rate_signal(spark):
 
 def test_warning_summary_spans_and_forest(spark):
     peak = dim(spark).first()["acute_peak"]
-    rows = [("a", peak - dt.timedelta(7 * k), float(s), z, -z) for k, s, z in [(12, 95, 1.0), (9, 50, 2.0), (7, 85, 3.0), (5, 90, None), (3, 70, 1.0), (0, 99, 9.0)]]
+    rows = [("a", peak - dt.timedelta(7 * k), float(s), z, None if z is None else -z) for k, s, z in [(12, 95, 1.0), (9, 50, 2.0), (7, 85, 3.0), (5, 90, None), (3, 70, 1.0), (0, 99, 9.0)]]
     scored = spark.createDataFrame([*rows, ("b", peak - dt.timedelta(70), None, None, None)], "series_id string, date date, score double, x double, y double")
     forest = spark.createDataFrame([("a", "X", peak - dt.timedelta(20), 0.4, False), ("a", "X", peak - dt.timedelta(13), 0.7, True), ("a", "X", peak - dt.timedelta(6), 0.6, True)], "series_id string, event_key string, date date, score double, anomaly boolean")
     forest = forest.withColumn("event_key", F.lit(dim(spark).first()["event_key"]))
