@@ -9,6 +9,7 @@ from eventscope.functions import columns as fc
 from eventscope.functions import timeseries as ts
 from eventscope.operators import chains, changepoint, entities, graph, models, placebo, reconcile, text
 from eventscope.operators import events as ev
+from eventscope.operators import rules as ru
 from eventscope.plans.fixtures import table, view
 from eventscope.plans.panel_queries import KEYS, rounded
 from eventscope.plans.registry import query
@@ -407,6 +408,12 @@ def betweenness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.betweenness_centrality(*_edges(spark, sf_dir), "institution")
 
 
+@query("betweenness_sampled")
+def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An estimate from 64 pivots, with its bound."""
+    return graph.betweenness_centrality(*_edges(spark, sf_dir), "institution", pivots=64)
+
+
 @query(
     "star_edges",
     """WITH t AS (SELECT category AS src, counterparty AS dst, round(sum(total_amount), 2) AS total FROM ledger GROUP BY 1,2), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY total DESC, dst) AS place, max(total) OVER (PARTITION BY src) AS m FROM t) SELECT src, dst, total, place::INT AS place, round(total/nullif(m, 0), 6) AS weight FROM k WHERE place <= 5""",
@@ -546,6 +553,21 @@ def loeo_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.fold_summary(scores, events, "date")
 
 
+@query("loeo_scores")
+def loeo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long table of all folds' scores, with thresholds and alerts."""
+    return models.loeo_logistic(_model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim"), "date", ["d4", "r4", "z"], keep=KEYS)[0]
+
+
+@query("warning_report")
+def warning_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warning summary with the forest's highest score and first flag."""
+    rows, events = _model_rows(spark, sf_dir), view(spark, sf_dir, "events_dim")
+    forest = models.isolation_backtest(rows, events, "row_id", "date", ["deposits", "d4", "r4"])
+    scored = ru.warning_index(rows, KEYS, "date", {"d4": 1, "r4": -1})
+    return ru.warning_summary(scored, events, KEYS, "date", "score", ["d4_z", "r4_z"], forest=forest)
+
+
 @query("change_points")
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = changepoint.change_points(view(spark, sf_dir, "weekly_panel"), KEYS, "date", "deposits", penalty=1.0)

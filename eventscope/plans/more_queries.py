@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from eventscope.plans.fixtures import table, view
 from eventscope.plans.panel_queries import KEYS, _event_ledger, _money, rounded
 from eventscope.plans.registry import query
 from eventscope.sources import readers
-from eventscope.sources.storage import extract, shared_dir
+from eventscope.sources.storage import extract, scratch
 from eventscope.streaming import online
 
 _IN_EVENTS = "(SELECT l.*, event_key FROM ledger l JOIN events_dim ON date BETWEEN acute_start AND acute_end)"
@@ -202,11 +201,32 @@ def stream_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "alert")
 
 
-@query("stream_first_mentions", r"""SELECT title FROM articles WHERE ocr_quality_mean >= 0.7 AND word_count >= 40 AND regexp_matches(lower(coalesce(text, '')), 'licen[cs]e') AND title IS NOT NULL GROUP BY 1""")
+@query("stream_first_mentions", r"""SELECT title, min(date) AS date, arg_min(doc_id, (date, doc_id)) AS doc_id FROM articles WHERE ocr_quality_mean >= 0.7 AND word_count >= 40 AND regexp_matches(lower(coalesce(text, '')), 'licen[cs]e') AND title IS NOT NULL GROUP BY 1""")
 def stream_first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive by id, whatever their dates; a last row moves the watermark past them."""
     articles = view(spark, sf_dir, "articles").withColumn("ts", F.col("date").cast("timestamp")).filter("title is not null")
+    parts = [*[articles.filter(F.pmod("doc_id", F.lit(4)) == k) for k in (2, 0, 3, 1)], online.closing_row(articles, "ts", 900)]
     hit = F.lower(F.coalesce("text", F.lit(""))).rlike("licen[cs]e")
-    return online.drain(online.first_mentions(online.replay(articles, "ts", "articles"), _gate(), hit, "title", "ts", "800 days").select("title"), "append", "mentions")
+    found = online.first_mentions(online.replay_parts(parts, "articles"), _gate(), hit, "title", "ts", "doc_id", "800 days")
+    return online.drain(found, "append", "mentions").select("title", F.col("ts").cast("date").alias("date"), "doc_id")
+
+
+def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of three spans of days where every fifth row arrives one part late, and then a row that closes them."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = F.floor((F.dayofmonth("ts") - 1) / 11) + F.when(F.pmod("event_id", F.lit(5)) == 0, 1).otherwise(0)
+    return online.replay_parts([*[events.filter(span == k) for k in range(4)], online.closing_row(events, "ts", 60)], "late-rows")
+
+
+@query(
+    "stream_ewma_late",
+    """WITH RECURSIVE n AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), e AS (SELECT user_id, ts, value, i, value AS y FROM n WHERE i = 1 UNION ALL SELECT n.user_id, n.ts, n.value, n.i, 0.3 * n.value + 0.7 * e.y FROM e JOIN n ON n.user_id = e.user_id AND n.i = e.i + 1)
+      SELECT user_id, ts, round(y, 8) AS ewma FROM e""",
+)
+def stream_ewma_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late rows are taken in order of time, as in the batch twin."""
+    made = online.drain(online.ewma(_late_stream(spark, sf_dir), "user_id", "ts", "value", 0.3, late="30 days"), "append", "ewma-late")
+    return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("ewma", 8).alias("ewma"))
 
 
 _LATE, _SECOND = "user_id % 50 = 7", "user_id % 50 = 8"
@@ -231,10 +251,6 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- readers over files that are derived from the tables --------------------------------------
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("read_panel", "SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN NOT isnan(l_discount) THEN l_discount END AS l_discount FROM lineitem")
 def read_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_panel(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
@@ -243,7 +259,7 @@ def read_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("read_csv", "SELECT c_custkey::VARCHAR AS c_custkey, c_mktsegment, c_acctbal FROM customer")
 def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as gzipped CSV and read with a stated schema, keys as text, and some columns only."""
-    path, source = _folder(spark, "customers"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    path, source = scratch(spark, "customers"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
     source.write.option("header", True).option("compression", "gzip").csv(path)
     return readers.read_csv(spark, path, "c_custkey string, c_name string, c_mktsegment string, c_acctbal double", ["c_custkey", "c_mktsegment", "c_acctbal"])
 
@@ -251,7 +267,7 @@ def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("read_csv_with_preamble", "SELECT date, rate FROM daily_rate")
 def read_csv_with_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates below a title and a header line, one file per year."""
-    path = _folder(spark, "rates")
+    path = scratch(spark, "rates")
     rows = view(spark, sf_dir, "daily_rate").select(F.year("date").alias("y"), F.concat_ws(",", F.date_format("date", "d MMM yyyy"), F.col("rate").cast("string")).alias("value"), F.lit(2).alias("part"))
     heads = rows.select("y").distinct().select("y", F.explode(F.array(F.struct(F.lit("Rates, DATED").alias("value"), F.lit(0).alias("part")), F.struct(F.lit("DATE,RATE").alias("value"), F.lit(1).alias("part")))).alias("h")).select("y", "h.*")
     heads.unionByName(rows).repartition("y").sortWithinPartitions("y", "part").select("y", "value").write.partitionBy("y").text(path)
@@ -292,8 +308,31 @@ def filter_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("window_extract", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-07-01' AND DATE '1996-09-30'")
 def window_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window's rows, extracted once; the second call finds the extract."""
-    path = _folder(spark, "extract")
+    path = scratch(spark, "extract")
     found = readers.scan_windows(spark, f"{sf_dir}/orders.parquet", [("1996-07-01", "1996-09-30")], ["o_orderkey", "o_orderdate"], "o_orderdate")
     dated = found.select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
     extract(dated, path)
     return extract(dated, path)
+
+
+@query("csv_sink", "SELECT o_orderkey, o_totalprice, string_agg(l_partkey::VARCHAR, ';' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their parts written as CSV, where arrays become joined text, and read again."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+    made = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").join(lines, "o_orderkey").select("o_orderkey", "o_totalprice", F.col("l.l_partkey").alias("parts"))
+    path = scratch(spark, "orders-csv")
+    readers.write_table(made, path, "csv")
+    return readers.read_csv(spark, path, "o_orderkey bigint, o_totalprice double, parts string")
+
+
+@query(
+    "file_inventory",
+    "SELECT c_nationkey::INT AS nation, sum(length(c_name) + 1)::BIGINT AS bytes, sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256 FROM customer GROUP BY 1",
+)
+def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names written as one text file a nation: size and digest of each file."""
+    path = scratch(spark, "names")
+    named = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_name")
+    named.repartition("nation").sortWithinPartitions("nation", "c_name").write.partitionBy("nation").text(path)
+    found = readers.file_inventory(spark, path).filter(F.col("path").endswith(".txt"))
+    return found.select(F.regexp_extract("path", "nation=([0-9]+)", 1).cast("int").alias("nation"), "bytes", "sha256")

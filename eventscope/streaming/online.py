@@ -1,23 +1,24 @@
 """Streaming counterparts: windowed aggregates, and scores and alerts with state per key.
 
-Each gives on a stream what its batch twin gives on the whole table, provided that rows of a key
-arrive in order across micro-batches; ``replay`` makes such a stream of a table.  A row of a key that
-arrives after later ones is taken after them.
+Each gives on a stream what its batch twin gives on the whole table.  Scores and alerts are made at once,
+provided that rows of a key arrive in order across micro-batches (``replay`` makes such a stream of a table; a
+row that arrives after later ones is taken after them), or, with ``late``, in order of time: rows are then held
+until the watermark has passed them, and only rows that are later still are dropped.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventscope.sources.storage import shared_dir
+from eventscope.sources.storage import scratch
 
 
 def weekly_counts(stream: DataFrame, ts: str, key: str, value: str, late: str = "2 days") -> DataFrame:
@@ -26,25 +27,72 @@ def weekly_counts(stream: DataFrame, ts: str, key: str, value: str, late: str =
     return stream.withWatermark(ts, late).groupBy(key, week.alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(key, F.col("w.start").alias("week_start"), "n", "total")
 
 
-def _per_row(stream: DataFrame, key: str, ts: str, value: str, start: tuple, state: str, step: Callable[[tuple, float | None], tuple[tuple, float | None]], out: str) -> DataFrame:
-    """Add to every row what ``step(state, value) -> (state, result)`` gives in order of time."""
+#: ``step(state, value) -> (state, result)``.
+Step = Callable[[tuple, float | None], tuple[tuple, float | None]]
+
+
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def _per_row(stream: DataFrame, key: str, ts: str, value: str, start: tuple, state: str, step: Step, out: str, late: str | None = None, idle_days: int | None = None) -> DataFrame:
+    """Add to every row what ``step(state, value) -> (state, result)`` gives in order of time.
+
+    With ``late`` (a delay of the watermark) rows are held in the state of their key until the watermark passes
+    them, which an event-time timer tells; a key's state holds the rows of that delay.  With ``idle_days`` a row
+    that much later than the one before it starts anew, so a key that is idle for longer is let go.
+    """
     kind = stream.schema[key].dataType.simpleString()
+    made, idle = f"{key} {kind}, {ts} timestamp, {value} double, {out} double", None if idle_days is None else idle_days * 86_400_000_000
 
-    def run(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(held.get) if held.exists else start
-        rows = pd.concat(list(groups)).sort_values([ts], kind="stable")
+    def through(now: tuple, k: tuple, times: np.ndarray, values: np.ndarray, last: int | None = None) -> tuple[tuple, pd.DataFrame]:
         results = []
-        for v in rows[value]:
-            now, y = step(now, None if pd.isna(v) else float(v))
+        for t, v in zip(times.tolist(), values, strict=True):
+            now, last = start if last and idle is not None and t - last > idle else now, t
+            now, y = step(now, None if v is None or v != v else float(v))
             results.append(y)
+        return now, pd.DataFrame({key: [k[0]] * len(times), ts: pd.to_datetime(times, unit="us"), value: pd.Series(values, dtype="float64"), out: pd.Series(results, dtype="float64")})
+
+    def at_once(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(groups)).sort_values([ts], kind="stable")
+        now, told = through(tuple(held.get) if held.exists else start, k, _micros(rows[ts]), rows[value].to_numpy())
         held.update(now)
-        yield pd.DataFrame({key: k[0], ts: rows[ts].to_numpy(), value: rows[value].to_numpy(), out: pd.Series(results, dtype="float64").to_numpy()})
+        yield told
+
+    def in_order(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        passed = held.getCurrentWatermarkMs() * 1000
+        *now, times, values, last = held.get if held.exists else (*start, [], [], 0)
+        now, times, values = tuple(now), np.array(list(times), dtype=np.int64), np.array(list(values), dtype=float)
+        for rows in groups:
+            fresh = _micros(rows[ts])
+            due = fresh > passed
+            times, values = np.concatenate([times, fresh[due]]), np.concatenate([values, rows[value].to_numpy(dtype=float)[due]])
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+        n = int(np.searchsorted(times, passed, "right"))
+        now, told = through(now, k, times[:n], values[:n], last)
+        last = int(times[n - 1]) if n else last
+        over = last + (idle or 0)
+        if n == len(times) and idle is not None and over < passed:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((*now, times[n:].tolist(), values[n:].tolist(), last))
+            if n < len(times):
+                held.setTimeoutTimestamp(-(-int(times[n]) // 1000))
+            elif idle is not None:
+                held.setTimeoutTimestamp(max(-(-over // 1000), passed // 1000 + 1))
+        if len(told):
+            yield told
 
     picked = stream.select(key, ts, value)
-    return picked.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, {value} double, {out} double", state, "append", GroupStateTimeout.NoTimeout)
+    if late is None:
+        return picked.groupBy(key).applyInPandasWithState(at_once, made, state, "append", GroupStateTimeout.NoTimeout)
+    waiting = f"{state}, held_ts array<bigint>, held_values array<double>, last bigint"
+    return picked.withWatermark(ts, late).groupBy(key).applyInPandasWithState(in_order, made, waiting, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def past_z(stream: DataFrame, key: str, ts: str, value: str, min_periods: int = 52) -> DataFrame:
+def past_z(stream: DataFrame, key: str, ts: str, value: str, min_periods: int = 52, late: str | None = None, idle_days: int | None = None) -> DataFrame:
     """Strictly-past z-score with count, mean and squared deviations as state."""
 
     def step(s: tuple, v: float | None) -> tuple[tuple, float | None]:
@@ -58,20 +106,20 @@ def past_z(stream: DataFrame, key: str, ts: str, value: str, min_periods: int =
             m2 += gap * (v - mean)
         return (n, mean, m2), z
 
-    return _per_row(stream, key, ts, value, (0, 0.0, 0.0), "n long, mean double, m2 double", step, "z")
+    return _per_row(stream, key, ts, value, (0, 0.0, 0.0), "n long, mean double, m2 double", step, "z", late, idle_days)
 
 
-def ewma(stream: DataFrame, key: str, ts: str, value: str, alpha: float) -> DataFrame:
+def ewma(stream: DataFrame, key: str, ts: str, value: str, alpha: float, late: str | None = None, idle_days: int | None = None) -> DataFrame:
     def step(s: tuple, v: float | None) -> tuple[tuple, float | None]:
         (y,) = s
         if v is not None:
             y = v if y is None else alpha * v + (1 - alpha) * y
         return (y,), y
 
-    return _per_row(stream, key, ts, value, (None,), "y double", step, "ewma")
+    return _per_row(stream, key, ts, value, (None,), "y double", step, "ewma", late, idle_days)
 
 
-def cusum(stream: DataFrame, key: str, ts: str, value: str, k: float, h: float) -> DataFrame:
+def cusum(stream: DataFrame, key: str, ts: str, value: str, k: float, h: float, late: str | None = None, idle_days: int | None = None) -> DataFrame:
     """1.0 where the sum reaches ``h``; the sum starts anew then and after a missing value."""
 
     def step(s: tuple, v: float | None) -> tuple[tuple, float | None]:
@@ -79,28 +127,62 @@ def cusum(stream: DataFrame, key: str, ts: str, value: str, k: float, h: float)
         fires = v is not None and total >= h
         return (0.0 if fires else total,), float(fires)
 
-    return _per_row(stream, key, ts, value, (0.0,), "total double", step, "alert")
+    return _per_row(stream, key, ts, value, (0.0,), "total double", step, "alert", late, idle_days)
 
 
-def persistence(stream: DataFrame, key: str, ts: str, value: str, at: float, k: int, n: int) -> DataFrame:
+def persistence(stream: DataFrame, key: str, ts: str, value: str, at: float, k: int, n: int, late: str | None = None, idle_days: int | None = None) -> DataFrame:
     """1.0 where ``k`` of the last ``n`` values reach ``at``; the last flags are kept as bits."""
 
     def step(s: tuple, v: float | None) -> tuple[tuple, float | None]:
         seen, bits = min(n, s[0] + 1), ((s[1] << 1) | (v is not None and v >= at)) & ((1 << n) - 1)
         return (seen, bits), float(seen == n and bits.bit_count() >= k)
 
-    return _per_row(stream, key, ts, value, (0, 0), "seen int, bits long", step, "alert")
+    return _per_row(stream, key, ts, value, (0, 0), "seen int, bits long", step, "alert", late, idle_days)
+
 
+def first_mentions(stream: DataFrame, gate: Column, hit: Column, marker: str, ts: str, tie: str, late: str = "2 days") -> DataFrame:
+    """``(marker, ts, tie)`` of each marker's earliest document that passes the gate and matches, the smallest ``tie`` among equals.
 
-def first_mentions(stream: DataFrame, gate: Column, hit: Column, marker: str, ts: str, late: str = "2 days") -> DataFrame:
-    """Arriving documents that pass the gate and match, one per marker within the watermark."""
-    return stream.filter(gate & hit).withWatermark(ts, late).dropDuplicatesWithinWatermark([marker])
+    The earliest so far is kept in the state and given out once the watermark has passed it, as nothing earlier
+    can come then; documents later than that are dropped.  A marker is given out once, its state stays.  A row
+    without a marker only moves the watermark (Spark filters before it looks at times).
+    """
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (marker, tie)}
+
+    def run(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        passed = held.getCurrentWatermarkMs() * 1000
+        done, first, of = held.get if held.exists else (False, None, None)
+        for rows in groups:
+            found = [(t, x) for t, x in zip(_micros(rows[ts]).tolist(), rows[tie].tolist(), strict=True) if t > passed]
+            if found and not done and k[0] is not None:
+                first, of = min(found if first is None else [*found, (first, of)])
+        told = []
+        if first is not None and not done:
+            if first <= passed:
+                done, told = True, [(k[0], pd.Timestamp(first, unit="us"), of)]
+            else:
+                held.setTimeoutTimestamp(-(-first // 1000))
+        if first is not None:
+            held.update((done, first, of))
+        if told:
+            yield pd.DataFrame(told, columns=[marker, ts, tie])
+
+    wanted = F.coalesce(gate & hit, F.lit(False)) | F.col(marker).isNull()
+    picked = stream.withWatermark(ts, late).filter(wanted).select(marker, ts, tie)
+    state = f"done boolean, first bigint, of {kinds[tie]}"
+    return picked.groupBy(marker).applyInPandasWithState(run, f"{marker} {kinds[marker]}, {ts} timestamp, {tie} {kinds[tie]}", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def closing_row(df: DataFrame, ts: str, days: int) -> DataFrame:
+    """One row so many days after the last of ``df``, null but for its time: as the last part of a replay it moves the watermark past all others."""
+    last = df.agg((F.max(ts) + F.make_interval(days=F.lit(days))).cast("timestamp").alias(ts))
+    return last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def replay_parts(parts: Sequence[DataFrame], name: str, files: int = 4) -> DataFrame:
     """A stream of the rows of ``parts``, one micro-batch each, from files in the shared folder."""
     spark = parts[0].sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     for k, part in enumerate(parts):
         part.repartition(files).write.parquet(f"{path}/part={k}")
     source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
@@ -125,7 +207,7 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     In complete mode the last batch is the result, in append mode all batches together.
     """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     if mode == "complete":
         writer = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
     else:

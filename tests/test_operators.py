@@ -491,5 +491,69 @@ def test_stream_persistence_and_markers(spark, tmp_path, ticks):
     stream = split_stream(spark, tmp_path, ticks, F.to_date("ts"))
     alerts = online.drain(online.persistence(stream, "k", "ts", "x", 4.0, 2, 3), "append", "p")
     assert alerts.count() == ticks.count() and alerts.filter("alert = 1").count() > 0
-    first = online.drain(online.first_mentions(stream, F.lit(True), F.col("x") >= 5, "k", "ts", "60 days"), "append", "m")
-    assert sorted(r["k"] for r in first.collect()) == ["k0", "k1"]
+
+
+def shuffled_stream(spark, df, parts, days):
+    """Parts of ``df`` by a hash of its rows, so that times go to and fro, and a row that closes them all."""
+    at = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    return online.replay_parts([*[df.filter(at == k) for k in range(parts)], online.closing_row(df, "ts", days)], "shuffled", files=1)
+
+
+def test_streams_with_late_rows_equal_their_batch_twins(spark, ticks):
+    from eventscope.functions import timeseries as ts
+
+    stream = lambda: shuffled_stream(spark, ticks, 4, 90)
+    pairs = [
+        (online.past_z(stream(), "k", "ts", "x", 5, late="30 days"), ticks.select("k", "ts", "x", ts.past_z("x", ["k"], "ts", 5).alias("z")), "z"),
+        (online.ewma(stream(), "k", "ts", "x", 0.3, late="30 days"), ts.ewma(ticks, ["k"], "ts", "x", 0.3), "ewma"),
+        (online.cusum(stream(), "k", "ts", "x", 2.0, 4.0, late="30 days"), ts.cusum(ticks, ["k"], "ts", "x", 2.0, 4.0), "alert"),
+    ]
+    for made, twin, name in pairs:
+        number = lambda v: None if v is None or math.isnan(v) else pytest.approx(v)
+        got = {(r["k"], r["ts"]): r[name] for r in online.drain(made, "append", name).collect()}
+        want = {(r["k"], r["ts"]): number(r[name]) for r in twin.collect()}
+        assert {k: v if v is None or not math.isnan(v) else None for k, v in got.items()} == want
+
+
+def test_rows_later_than_the_watermark_are_dropped_and_idle_keys_start_anew(spark):
+    at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
+    frame = lambda *rows: spark.createDataFrame([(k, at(n), float(v)) for k, n, v in rows], "k string, ts timestamp, x double")
+    parts = [frame(("a", 1, 1), ("a", 0, 3)), frame(("a", 3, 5), ("b", 3, 1)), frame(("a", 4, 2), ("a", 0, 100)), frame(("b", 40, 9)), frame(("a", 60, 8)), frame(("b", 99, 0))]
+    made = online.drain(online.ewma(online.replay_parts(parts, "idle", files=1), "k", "ts", "x", 0.5, late="1 day", idle_days=20), "append", "idle")
+    got = {(r["k"], (r["ts"] - at(0)).days): r["ewma"] for r in made.collect()}
+    # day 0 comes before day 1 though it arrived after; its second row is later than the watermark; a and b start anew
+    assert got == {("a", 0): 3.0, ("a", 1): 2.0, ("a", 3): 3.5, ("a", 4): 2.75, ("b", 3): 1.0, ("b", 40): 9.0, ("a", 60): 8.0}
+
+
+def test_first_mentions_of_a_shuffled_stream(spark):
+    rows = [(i, f"m{i % 5}" if i % 9 else None, dt.datetime(2024, 1, 1) + dt.timedelta(days=(i * 7) % 31)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    found = online.drain(online.first_mentions(shuffled_stream(spark, df, 5, 90), F.col("id") % 4 != 0, F.lit(True), "k", "ts", "id", "40 days"), "append", "m")
+    want = {}
+    for i, k, t in rows:
+        if k and i % 4:
+            want[k] = min(want.get(k, (t, i)), (t, i))
+    assert {r["k"]: (r["ts"], r["id"]) for r in found.collect()} == want and found.count() == 5
+
+
+def test_sampled_betweenness_is_within_its_bound(spark):
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame([(a, int(b), 1) for a in range(40) for b in rng.choice(40, 3, replace=False) if a != b], "src long, dst long, weight long")
+    vertices = spark.range(42).withColumnRenamed("id", "v")
+    exact = {r["v"]: r["betweenness"] for r in graph.betweenness_centrality(edges, vertices, "v").collect()}
+    every = graph.betweenness_centrality(edges, vertices, "v", pivots=1_000).collect()
+    assert {r["v"]: (r["betweenness"], r["bound"]) for r in every} == {v: (pytest.approx(b), 0.0) for v, b in exact.items()}
+    some = graph.betweenness_centrality(edges, vertices, "v", pivots=20).collect()
+    assert len(some) == 42 and 0 < some[0]["bound"] < 0.5 and all(abs(r["betweenness"] - exact[r["v"]]) <= r["bound"] for r in some)
+    assert any(r["betweenness"] != pytest.approx(exact[r["v"]]) for r in some)
+
+
+def test_a_failed_shard_is_skipped(spark, tmp_path):
+    df = spark.createDataFrame([(k, d("2000-01-01") + dt.timedelta(k)) for k in range(40)], "k int, date date")
+    df.repartition(4).write.parquet(str(tmp_path / "shards"))
+    whole = sorted((tmp_path / "shards").glob("*.parquet"))
+    assert readers.scan_windows(spark, str(tmp_path / "shards"), [("2000-01-01", "2001-01-01")], ["k"]).count() == 40
+    lost = spark.read.parquet(str(whole[-1])).count()
+    whole[-1].write_bytes(b"PAR1 this is no table PAR1")
+    (tmp_path / "shards" / f".{whole[-1].name}.crc").unlink(missing_ok=True)
+    assert lost and readers.scan_windows(spark, str(tmp_path / "shards"), [("2000-01-01", "2001-01-01")], ["k"]).count() == 40 - lost
