@@ -155,6 +155,13 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in language_id.predict(docs, only).collect()} == {"en", "und"}
 
 
+def test_languages_with_clashing_columns(spark, corpus):
+    docs = corpus[0].select("doc_id", "text", "lang")
+    clash = docs.withColumns({c: F.lit("mine") for c in ("order", "near", "first", "held_out", "lang_pred", "score", "ambiguous", "source")})
+    plain, odd = (language_id.predict(d.filter("doc_id % 2 = 0"), language_id.train(d)).select("doc_id", "lang_pred", "score") for d in (docs, clash))
+    assert sorted(map(tuple, odd.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
 def test_letters_by_unicode_category(spark):
     rows = [("²½", False), ("Ⅷ", False), ("\u0301\u0308", False), ("_9٣", False), ("ª", True), ("ʰ", True), ("日", True), ("\u0301a", True), ("𝒳", True)]
     docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], DOCS)

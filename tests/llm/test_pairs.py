@@ -252,7 +252,8 @@ def test_passes_follow_a_short_first_pass(spark, monkeypatch, caplog):
     want, count = brute_vectors(rows)
     with caplog.at_level("INFO", logger=near_dedup.logger.name):
         made, told = near_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    assert "in pass 2" in caplog.text and told["recall"] >= near_dedup.RECALL and told["passes"] >= 2
+    # other queries in every pass: either the last of them finds the graph whole, or all vectors are compared in the end
+    assert "in pass 2" in caplog.text and told["passes"] >= 2 and (told["recall"] >= near_dedup.RECALL or told["n_queries"] == len(rows))
     got = {r["vec_id"]: r for r in made.collect()}
     assert np.mean([got[i]["n_links"] == n for i, n in count.items() if n]) >= 0.9
 
@@ -348,3 +349,32 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column, a very long text, repeated rows and further columns with clashing names."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    for name, rows in {"empty": docs.limit(0), "odd": None}.items():
+        folder = tmp_path / name
+        if rows is None:
+            long = docs.limit(1).withColumn("text", F.repeat(F.lit("some words of a long text "), 60_000))
+            none = docs.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields])
+            rows = docs.limit(60).unionByName(docs.limit(5)).unionByName(long).unionByName(none)
+            rows = rows.withColumns({c: F.lit("mine") for c in ("host", "path", "accepted", "component_id", "secrets", "copies", "__row", "n_tokens")})
+        rows.write.parquet(str(folder / "documents.parquet"))
+        (labels.limit(0) if name == "empty" else labels).write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        assert (out.count() > 0) == (name == "odd") and "ids" in out.columns
+
+
+def test_last_stage_of_the_pipeline_equals_the_library(spark):
+    import sentencepiece
+
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").limit(40)
+    processor = sentencepiece.SentencePieceProcessor(model_proto=queries.tokenizer_model())
+    want = {r["doc_id"]: (r["text"] or "", processor.encode(r["text"] or "")) for r in docs.collect()}
+    for r in corpus_pipeline.tokens(spark, docs, "").collect():
+        text, ids = want[r["doc_id"]]
+        assert r["ids"] == ids and r["n_tokens"] == len(ids) == len(r["begins"])
+        assert not ids or (r["begins"][0] == 0 and r["ends"][-1] == len(text.encode()) and r["begins"][1:] == r["ends"][:-1])
