@@ -57,17 +57,17 @@ class AlertRule:
 
 # The menu of rules that is backtested.
 MENU = (
-    AlertRule("threshold_80", "threshold", "score", (80,)),
-    AlertRule("threshold_90", "threshold", "score", (90,)),
-    AlertRule("threshold_95", "threshold", "score", (95,)),
+    AlertRule("threshold_score>=80", "threshold", "score", (80,)),
+    AlertRule("threshold_score>=90", "threshold", "score", (90,)),
+    AlertRule("threshold_score>=95", "threshold", "score", (95,)),
     AlertRule("persistence_2of4_80", "persistence", "score", (2, 4, 80)),
     AlertRule("persistence_3of6_80", "persistence", "score", (3, 6, 80)),
     AlertRule("persistence_6of12_80", "persistence", "score", (6, 12, 80)),
-    AlertRule("ewma_0.2_2sigma", "ewma", "index", (0.2, 2.0)),
-    AlertRule("ewma_0.1_2sigma", "ewma", "index", (0.1, 2.0)),
-    AlertRule("cusum_0.5_5", "cusum", "index", (0.5, 5.0)),
-    AlertRule("cusum_0.25_4", "cusum", "index", (0.25, 4.0)),
-    AlertRule("threshold_seasonal_80", "threshold", "seasonal_score", (80,)),
+    AlertRule("ewma_lam=0.2_2sigma", "ewma", "index", (0.2, 2.0)),
+    AlertRule("ewma_lam=0.1_2sigma", "ewma", "index", (0.1, 2.0)),
+    AlertRule("cusum_k=0.5_h=5", "cusum", "index", (0.5, 5.0)),
+    AlertRule("cusum_k=0.25_h=4", "cusum", "index", (0.25, 4.0)),
+    AlertRule("threshold_seasonal>=80", "threshold", "seasonal_score", (80,)),
     AlertRule("persistence_3of6_seasonal_80", "persistence", "seasonal_score", (3, 6, 80)),
 )
 

@@ -572,9 +572,9 @@ _ALERTS = f"""{_INDEX}, cz AS (SELECT *, {_past_z_sql('idx', 'w', 52, 'stddev_sa
     UNION ALL SELECT n.series_id, n.date, n.i, {_SMOOTH.format(e='e2', a=0.2, b=0.8)}, {_SMOOTH.format(e='e1', a=0.1, b=0.9)}, CASE WHEN n.cz IS NULL OR {_SUM.format(c='c5', k=0.5)} >= 5 THEN 0 ELSE {_SUM.format(c='c5', k=0.5)} END,
       CASE WHEN n.cz IS NULL OR {_SUM.format(c='c4', k=0.25)} >= 4 THEN 0 ELSE {_SUM.format(c='c4', k=0.25)} END, n.cz IS NOT NULL AND {_SUM.format(c='c5', k=0.5)} >= 5, n.cz IS NOT NULL AND {_SUM.format(c='c4', k=0.25)} >= 4
     FROM fo JOIN cz n ON n.series_id = fo.series_id AND n.i = fo.i + 1),
-  al AS ({' UNION ALL '.join([*[f"SELECT series_id, date, 'threshold_{t}' AS rule, coalesce(score >= {t}, false) AS alert FROM sc" for t in (80, 90, 95)], _persistence_sql('persistence_2of4_80', 'score', 2, 4), _persistence_sql('persistence_3of6_80', 'score', 3, 6),
-    _persistence_sql('persistence_6of12_80', 'score', 6, 12), _ewma_sql('ewma_0.2_2sigma', 'e2'), _ewma_sql('ewma_0.1_2sigma', 'e1'), "SELECT series_id, date, 'cusum_0.5_5', f5 FROM fo", "SELECT series_id, date, 'cusum_0.25_4', f4 FROM fo",
-    "SELECT series_id, date, 'threshold_seasonal_80', coalesce(sscore >= 80, false) FROM sc", _persistence_sql('persistence_3of6_seasonal_80', 'sscore', 3, 6)])})"""
+  al AS ({' UNION ALL '.join([*[f"SELECT series_id, date, 'threshold_score>={t}' AS rule, coalesce(score >= {t}, false) AS alert FROM sc" for t in (80, 90, 95)], _persistence_sql('persistence_2of4_80', 'score', 2, 4), _persistence_sql('persistence_3of6_80', 'score', 3, 6),
+    _persistence_sql('persistence_6of12_80', 'score', 6, 12), _ewma_sql('ewma_lam=0.2_2sigma', 'e2'), _ewma_sql('ewma_lam=0.1_2sigma', 'e1'), "SELECT series_id, date, 'cusum_k=0.5_h=5', f5 FROM fo", "SELECT series_id, date, 'cusum_k=0.25_h=4', f4 FROM fo",
+    "SELECT series_id, date, 'threshold_seasonal>=80', coalesce(sscore >= 80, false) FROM sc", _persistence_sql('persistence_3of6_seasonal_80', 'sscore', 3, 6)])})"""
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
