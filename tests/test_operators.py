@@ -351,6 +351,36 @@ def test_path_graph_centralities(spark):
     assert {r["v"]: r["degree"] for r in graph.degree(edges, vertices, "v").collect()} == {"a": 1, "b": 2, "c": 2, "d": 1, "e": 0}
 
 
+def members_of(spark, most=30):
+    """Random memberships: two classes of many members, members with sets of their own, one alone, one without a group."""
+    r = np.random.default_rng(6)
+    held = {f"big{k:03d}": {1, 2} for k in range(most)} | {f"old{k:03d}": {2, 3} for k in range(most)} | {f"m{k:02d}": {int(g) for g in r.choice(9, r.integers(1, 4), replace=False)} for k in range(25)}
+    held |= {"alone": {77}, "none": {None}}
+    rows = [(m, g) for m, of in held.items() for g in of] + [("big000", 1), (None, 1)]
+    return held, spark.createDataFrame(rows, "m string, g int")
+
+
+def edges_of(held):
+    both = {(a, b): held[a] & held[b] - {None} for a in held for b in held if a < b}
+    return {k: (len(v), ";".join(sorted(map(str, v)))) for k, v in both.items() if v}
+
+
+def test_projection_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4, raising=False)
+    held, df = members_of(spark)
+    made = graph.project_bipartite(df, "m", "g").collect()
+    assert {(r["src"], r["dst"]): (r["weight"], r["shared"]) for r in made} == edges_of(held) and len(made) == len(edges_of(held))
+
+
+def test_membership_holds_every_supplier_and_month(spark, sf_dir):
+    from eventscope.plans.fixtures import table, view
+
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+    want = {(r[0], r[1]) for r in lines.select("s_name", (100 * F.year("l_shipdate") + F.month("l_shipdate")).cast("int")).distinct().collect()}
+    got = [tuple(r) for r in view(spark, sf_dir, "membership").select("institution", "period").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_betweenness_has_no_most_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_EDGES", 5, raising=False)
     monkeypatch.setattr(graph, "BLOCK_ROWS", 300, raising=False)
