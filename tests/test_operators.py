@@ -381,6 +381,16 @@ def test_membership_holds_every_supplier_and_month(spark, sf_dir):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_degrees_of_classes_equal_those_of_edges(spark):
+    held, df = members_of(spark)
+    want = {m: [0, 0] for m in [*held, None]}
+    for (a, b), (weight, _) in edges_of(held).items():
+        for v in (a, b):
+            want[v] = [want[v][0] + 1, want[v][1] + weight]
+    got = {r["m"]: [r["degree"], r["weighted_degree"]] for r in graph.projected_degree(df, "m", "g").collect()}
+    assert got == want and got["alone"] == got["none"] == [0, 0]
+
+
 def test_betweenness_has_no_most_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_EDGES", 5, raising=False)
     monkeypatch.setattr(graph, "BLOCK_ROWS", 300, raising=False)
