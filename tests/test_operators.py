@@ -391,6 +391,18 @@ def test_degrees_of_classes_equal_those_of_edges(spark):
     assert got == want and got["alone"] == got["none"] == [0, 0]
 
 
+def test_summary_of_degrees_equals_that_of_edges(spark, sf_dir):
+    from eventscope.plans.catalog import QUERIES
+    from eventscope.plans.fixtures import table
+
+    held, df = members_of(spark, 5)
+    ends = F.col("m").endswith("1")
+    of_edges = graph.graph_summary(graph.project_bipartite(df, "m", "g"), df, "m", ends).first()
+    assert graph.summary_of(graph.projected_degree(df, "m", "g"), "m", ends).first() == of_edges and of_edges["edges"] == len(edges_of(held))
+    sellers = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey")).select("s_name").distinct().count()
+    assert QUERIES["graph_summary"](spark, sf_dir).first()["nodes"] == sellers
+
+
 def test_betweenness_has_no_most_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_EDGES", 5, raising=False)
     monkeypatch.setattr(graph, "BLOCK_ROWS", 300, raising=False)
