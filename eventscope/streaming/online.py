@@ -35,61 +35,118 @@ def _micros(times: pd.Series) -> np.ndarray:
     return times.to_numpy("datetime64[us]").astype(np.int64)
 
 
+#: Buckets that keys are dealt to by hash: a call and a row of state each, so a micro-batch costs no call a key.
+BUCKETS = 1024
+
+
 def _per_row(stream: DataFrame, key: str, ts: str, value: str, start: tuple, state: str, step: Step, out: str, late: str | None = None, idle_days: int | None = None) -> DataFrame:
     """Add to every row what ``step(state, value) -> (state, result)`` gives in order of time.
 
-    With ``late`` (a delay of the watermark) rows are held in the state of their key until the watermark passes
-    them, which an event-time timer tells; a key's state holds the rows of that delay.  With ``idle_days`` a row
-    that much later than the one before it starts anew, so a key that is idle for longer is let go.
+    Keys are dealt to ``BUCKETS`` buckets; the state of a bucket holds the states of its keys, the keys as text.
+    With ``late`` (a delay of the watermark) rows are held in the state of their bucket until the watermark passes
+    them, which an event-time timer tells; a bucket's state holds the rows of that delay.  With ``idle_days`` a row
+    that much later than the one before it starts anew; with both, a key that is idle for longer is let go.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    made, idle = f"{key} {kind}, {ts} timestamp, {value} double, {out} double", None if idle_days is None else idle_days * 86_400_000_000
-
-    def through(now: tuple, k: tuple, times: np.ndarray, values: np.ndarray, last: int | None = None) -> tuple[tuple, pd.DataFrame]:
-        results = []
-        for t, v in zip(times.tolist(), values, strict=True):
+    kind, idle = stream.schema[key].dataType, None if idle_days is None else idle_days * 86_400_000_000
+    made, width = f"{key} string, {ts} timestamp, {value} double, {out} double", len(start)
+
+    def known(held: GroupState) -> tuple[list, list, list, list]:
+        """Keys, their states and last times, and what else the state holds."""
+        if not held.exists:
+            return [], [], [], []
+        names, *rest = held.get
+        columns = [list(c) for c in rest[:width]]
+        return list(names), list(zip(*columns, strict=True)), list(rest[width]), rest[width + 1 :]
+
+    def coded(names: list, states: list, lasts: list, rows: pd.Series) -> np.ndarray:
+        """The places of the rows' keys among ``names``, to which new ones are added."""
+        codes, found = pd.factorize(rows, use_na_sentinel=False)
+        at, places = {name: k for k, name in enumerate(names)}, []
+        for name in found.tolist():
+            name = name if isinstance(name, str) else None
+            if name not in at:
+                at[name] = len(names)
+                names.append(name)
+                states.append(start)
+                lasts.append(0)
+            places.append(at[name])
+        return np.array(places, dtype=np.int64)[codes]
+
+    def through(names: list, states: list, lasts: list, codes: np.ndarray, times: np.ndarray, values: np.ndarray) -> pd.DataFrame:
+        """Results of rows that are sorted by key and time; states and last times move on."""
+        results, before, now, last = [], -1, start, 0
+        for c, t, v in zip(codes.tolist(), times.tolist(), values.tolist(), strict=True):
+            if c != before:
+                if before >= 0:
+                    states[before], lasts[before] = now, last
+                before, now, last = c, states[c], lasts[c]
             now, last = start if last and idle is not None and t - last > idle else now, t
-            now, y = step(now, None if v is None or v != v else float(v))
+            now, y = step(now, None if v != v else v)
             results.append(y)
-        return now, pd.DataFrame({key: [k[0]] * len(times), ts: pd.to_datetime(times, unit="us"), value: pd.Series(values, dtype="float64"), out: pd.Series(results, dtype="float64")})
-
-    def at_once(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values([ts], kind="stable")
-        now, told = through(tuple(held.get) if held.exists else start, k, _micros(rows[ts]), rows[value].to_numpy())
-        held.update(now)
+        if before >= 0:
+            states[before], lasts[before] = now, last
+        return pd.DataFrame({key: pd.Series(np.array(names, dtype=object)[codes], dtype=object), ts: pd.to_datetime(times, unit="us"), value: values, out: pd.Series(results, dtype="float64")})
+
+    def sorted_rows(codes: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """By key and time, rows that are equal in both as they came, missing times last."""
+        return np.lexsort((np.where(times == np.iinfo(np.int64).min, np.iinfo(np.int64).max, times), codes))
+
+    def columns_of(states: list) -> list[list]:
+        return [list(c) for c in zip(*states, strict=True)] if states else [[] for _ in range(width)]
+
+    def at_once(_: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        names, states, lasts, _ = known(held)
+        rows = pd.concat(list(groups))
+        codes, times, values = coded(names, states, lasts, rows[key]), _micros(rows[ts]), rows[value].to_numpy(dtype=float)
+        order = sorted_rows(codes, times)
+        told = through(names, states, lasts, codes[order], times[order], values[order])
+        held.update((names, *columns_of(states), lasts))
         yield told
 
-    def in_order(k: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+    def in_order(_: tuple, groups: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         passed = held.getCurrentWatermarkMs() * 1000
-        *now, times, values, last = held.get if held.exists else (*start, [], [], 0)
-        now, times, values = tuple(now), np.array(list(times), dtype=np.int64), np.array(list(values), dtype=float)
+        names, states, lasts, waiting = known(held)
+        kinds = (np.int32, np.int64, np.float64)
+        codes, times, values = (np.frombuffer(w, t) for w, t in zip(waiting, kinds, strict=True)) if waiting else (np.array([], t) for t in kinds)
+        parts = [(codes, times, values)]
         for rows in groups:
             fresh = _micros(rows[ts])
             due = fresh > passed
-            times, values = np.concatenate([times, fresh[due]]), np.concatenate([values, rows[value].to_numpy(dtype=float)[due]])
-        order = np.argsort(times, kind="stable")
-        times, values = times[order], values[order]
-        n = int(np.searchsorted(times, passed, "right"))
-        now, told = through(now, k, times[:n], values[:n], last)
-        last = int(times[n - 1]) if n else last
-        over = last + (idle or 0)
-        if n == len(times) and idle is not None and over < passed:
-            if held.exists:
-                held.remove()
-        else:
-            held.update((*now, times[n:].tolist(), values[n:].tolist(), last))
-            if n < len(times):
-                held.setTimeoutTimestamp(-(-int(times[n]) // 1000))
-            elif idle is not None:
-                held.setTimeoutTimestamp(max(-(-over // 1000), passed // 1000 + 1))
+            if due.any():
+                parts.append((coded(names, states, lasts, rows[key][due]), fresh[due], rows[value].to_numpy(dtype=float)[due]))
+        codes, times, values = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = sorted_rows(codes, times)
+        codes, times, values = codes[order], times[order], values[order]
+        ready = times <= passed
+        told = through(names, states, lasts, codes[ready], times[ready], values[ready])
+        codes, times, values = codes[~ready], times[~ready], values[~ready]
+        if idle is not None:  # idle keys without rows that wait
+            busy = np.zeros(len(names), dtype=bool)
+            busy[codes] = True
+            stay = busy | (np.array(lasts, dtype=np.int64) + idle >= passed)
+            codes = (np.cumsum(stay) - 1)[codes]
+            names, states, lasts = ([x for x, s in zip(xs, stay.tolist(), strict=True) if s] for xs in (names, states, lasts))
+        if names:
+            held.update((names, *columns_of(states), lasts, *[c.astype(t).tobytes() for c, t in zip((codes, times, values), kinds, strict=True)]))
+            timers = [-(-int(times.min()) // 1000)] if len(times) else []
+            if idle is not None:
+                timers.append(max(-(-(min(lasts) + idle) // 1000), passed // 1000 + 1))
+            if timers:
+                held.setTimeoutTimestamp(min(timers))
+        elif held.exists:
+            held.remove()
         if len(told):
             yield told
 
-    picked = stream.select(key, ts, value)
+    fields = [f.strip().rsplit(" ", 1) for f in state.split(",")]
+    states_of = ", ".join(["keys array<string>", *[f"{n} array<{t}>" for n, t in fields], "last array<bigint>"])
+    picked = stream.select(F.col(key).cast("string").alias(key), ts, value, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("__bucket"))
     if late is None:
-        return picked.groupBy(key).applyInPandasWithState(at_once, made, state, "append", GroupStateTimeout.NoTimeout)
-    waiting = f"{state}, held_ts array<bigint>, held_values array<double>, last bigint"
-    return picked.withWatermark(ts, late).groupBy(key).applyInPandasWithState(in_order, made, waiting, "append", GroupStateTimeout.EventTimeTimeout)
+        told = picked.groupBy("__bucket").applyInPandasWithState(at_once, made, states_of, "append", GroupStateTimeout.NoTimeout)
+    else:
+        waiting = f"{states_of}, held_keys binary, held_ts binary, held_values binary"
+        told = picked.withWatermark(ts, late).groupBy("__bucket").applyInPandasWithState(in_order, made, waiting, "append", GroupStateTimeout.EventTimeTimeout)
+    return told.select(F.col(key).cast(kind).alias(key), ts, value, out)
 
 
 def past_z(stream: DataFrame, key: str, ts: str, value: str, min_periods: int = 52, late: str | None = None, idle_days: int | None = None) -> DataFrame:

@@ -567,6 +567,32 @@ def test_streams_with_late_rows_equal_their_batch_twins(spark, ticks):
         assert {k: v if v is None or not math.isnan(v) else None for k, v in got.items()} == want
 
 
+STREAMS = {
+    "ewma": lambda s, late=None: online.ewma(s, "k", "ts", "x", 0.3, late=late),
+}
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_many_keys_are_few_calls_with_the_results_of_single_keys(spark, monkeypatch, tmp_path, name):
+    """A bucket of keys is one row of state; 40 keys, one of them null, in three buckets give what each key gives by itself."""
+    monkeypatch.setattr(online, "BUCKETS", 3, raising=False)
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    rows = [(k or None, at(7 * i + k), None if (i + k) % 9 == 5 else float((i * 13 + k) % 11)) for k in range(40) for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp, x double")
+    stream = online.replay(df, "ts", "many", batches=3, files=1) if name != "late" else shuffled_stream(spark, df, 3, 90)
+    query = STREAMS[name](stream).writeStream.outputMode("append").format("memory").queryName(f"many_{name}").option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 3
+    number = lambda v: None if v is None or math.isnan(v) else v
+    got = {}
+    for k, t, _, y in sorted(map(tuple, spark.table(f"many_{name}").collect()), key=lambda r: (r[0] or 0, r[1])):
+        got.setdefault(k, []).append((t, number(y)))
+    assert {k: len(v) for k, v in got.items()} == {k or None: 12 for k in range(40)}
+    for k in (None, 1, 17, 39):
+        alone = online.drain(STREAMS[name](online.replay_parts([df.filter(F.col("k").eqNullSafe(k)), online.closing_row(df, "ts", 90)], "one", files=1)), "append", "one")
+        assert got[k] == [(t, number(y)) for _, t, _, y in sorted(map(tuple, alone.filter(F.col("ts") < at(1000)).collect()), key=lambda r: r[1])][:12]
+
+
 def test_rows_later_than_the_watermark_are_dropped_and_idle_keys_start_anew(spark):
     at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
     frame = lambda *rows: spark.createDataFrame([(k, at(n), float(v)) for k, n, v in rows], "k string, ts timestamp, x double")
