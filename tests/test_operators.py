@@ -570,6 +570,7 @@ def test_streams_with_late_rows_equal_their_batch_twins(spark, ticks):
 STREAMS = {
     "ewma": lambda s: online.ewma(s, "k", "ts", "x", 0.3),
     "persistence": lambda s: online.persistence(s, "k", "ts", "x", 4.0, 2, 4),
+    "past_z": lambda s: online.past_z(s, "k", "ts", "x", 5),
 }
 
 
