@@ -572,6 +572,7 @@ STREAMS = {
     "persistence": lambda s: online.persistence(s, "k", "ts", "x", 4.0, 2, 4),
     "past_z": lambda s: online.past_z(s, "k", "ts", "x", 5),
     "late": lambda s: online.ewma(s, "k", "ts", "x", 0.3, late="30 days"),
+    "cusum": lambda s: online.cusum(s, "k", "ts", "x", 2.0, 4.0),
 }
 
 
