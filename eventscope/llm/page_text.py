@@ -1,10 +1,11 @@
-"""Main text of web pages, by markup and by the difference to the nearest page of the same host.
+"""Main text of web pages, by the difference to the nearest page of the same host and a check by markup.
 
-Markup says of most lines what they are: menus, footers, forms and the like go, an article stays.  Where it
-does not say (pages without an article, and link lists inside one), each page is paired with the page of its
-host whose URL path is nearest, the lines of both are aligned by a longest common subsequence, and lines that
-both share are deleted.  Two pages that share most of their text are versions of one, which says nothing on
-templates; the next nearest is taken then.
+Each page is paired with the page of its host whose URL path is nearest, all lines of both (menus and footers
+too) are aligned by a longest common subsequence, and lines that both share are deleted.  Two pages whose text
+outside of furniture is mostly shared are versions of one, which says nothing on templates; the next nearest is
+taken then.  A check by markup follows: it gives back shared lines of articles, and takes furniture that the
+nearest page does not have; on all other lines (pages without an article, and link lists inside one) the
+difference stands.
 
 Pages are ordered by host and path over all partitions, so a host of any size is many tasks.
 """
@@ -66,11 +67,12 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass(slots=True)
 class Line:
-    """One block of a page: its text, whether it is in an article (2), a main part (1) or neither (0), and whether most of it is links."""
+    """One block of a page: its text, whether it is in an article (2), a main part (1) or neither (0), whether most of it is links, and whether markup calls it furniture."""
 
     text: str
     level: int
     linked: bool
+    furniture: bool = False
 
 
 @dataclass(slots=True)
@@ -104,22 +106,30 @@ class _Reader:
     lines: list[Line] = field(default_factory=list)
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
+    hidden: list[str] = field(default_factory=list)
 
     def text(self, raw: str) -> None:
         top = self.stack[-1] if self.stack else None
+        piece = html.unescape(raw) if "&" in raw else raw
         if top and top.hidden:
+            self.hidden.append(piece)
             return
-        piece = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(piece)
         if top and top.link:
             self.linked += len(piece.strip())
 
     def end_block(self) -> None:
+        level = self.stack[-1].level if self.stack else 0
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                self.lines.append(Line(text, self.stack[-1].level if self.stack else 0, 2 * self.linked > len(text)))
+                self.lines.append(Line(text, level, 2 * self.linked > len(text)))
             self.pieces, self.linked = [], 0
+        if self.hidden:  # furniture, inside a block too
+            text = " ".join("".join(self.hidden).split())
+            if text:
+                self.lines.append(Line(text, level, False, True))
+            self.hidden = []
 
     def open(self, tag: str, attributes: str) -> None:
         top = self.stack[-1] if self.stack else _Open("", 0, False, False)
@@ -170,6 +180,11 @@ def _tag_end(page: str, at: int, closed: set[str]) -> int:
 
 def lines_of(page: str) -> list[Line]:
     """The lines of a page that are not furniture by their markup, in order; only those of its articles if it has any, else of its main part."""
+    return [line for line in all_lines(page) if not line.furniture]
+
+
+def all_lines(page: str) -> list[Line]:
+    """All lines of a page in order; those outside of its articles if it has any, else of its main part, are furniture."""
     reader, at, size, closed = _Reader(), 0, len(page), set()
     while at < size:
         start = page.find("<", at)
@@ -210,13 +225,22 @@ def lines_of(page: str) -> list[Line]:
                 reader.implied(tag)
             reader.open(tag, attributes)
     reader.end_block()
-    top = max((line.level for line in reader.lines), default=0)
-    return [line for line in reader.lines if line.level == top]
+    top = max((line.level for line in reader.lines if not line.furniture), default=0)
+    for line in reader.lines:
+        line.furniture = line.furniture or line.level != top
+    return reader.lines
+
+
+def protected(line: Line) -> bool:
+    """Whether the check by markup gives a line back that the nearest page shares: text of an article or a main part, no list of links."""
+    return not line.furniture and line.level > 0 and not line.linked
 
 
-def doubtful(line: Line) -> bool:
-    """Whether markup leaves open what a line is, so that a near page decides."""
-    return line.level == 0 or line.linked
+def checked(lines: list[Line], shared_places: set[int]) -> tuple[list[str], int]:
+    """The texts of the lines that stay, and how many of those that are no furniture the difference deleted."""
+    left = [line for k, line in enumerate(lines) if k not in shared_places or protected(line)]
+    stay = [line.text for line in left if not line.furniture]
+    return stay, sum(not line.furniture for line in lines) - len(stay)
 
 
 def _rows(a: list[int], where: dict[int, int], width: int) -> list[int]:
@@ -298,23 +322,23 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def _outline(keyed: DataFrame) -> DataFrame:
-    """Per distinct page: key, host, path, and of each line its hash, its characters and whether it is doubtful."""
+    """Per distinct page: key, host, path, and of each line, furniture too, its hash and its characters (0 for furniture)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
-                found = [lines_of(p or "") for p in batch.column("html").to_pylist()]
+                found = [all_lines(p or "") for p in batch.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(c) for c in ("__key", "host", "path")], pa.array([[xxhash.xxh3_64_intdigest(x.text) - (1 << 63) for x in p] for p in found], pa.list_(pa.int64())),
-                        pa.array([[len(x.text) for x in p] for p in found], pa.list_(pa.int32())), pa.array([[doubtful(x) for x in p] for p in found], pa.list_(pa.bool_())),
+                        pa.array([[0 if x.furniture else len(x.text) for x in p] for p in found], pa.list_(pa.int32())),
                     ],
-                    ["key", "host", "path", "hashes", "chars", "doubtful"],
+                    ["key", "host", "path", "hashes", "chars"],
                 )
 
     named = keyed.select("__key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").filter("host is not null")
-    return named.mapInArrow(run, "key string, host string, path string, hashes array<bigint>, chars array<int>, doubtful array<boolean>").dropDuplicates(["key"])
+    return named.mapInArrow(run, "key string, host string, path string, hashes array<bigint>, chars array<int>").dropDuplicates(["key"])
 
 
 def _near(outline: DataFrame) -> DataFrame:
@@ -346,7 +370,7 @@ def _near(outline: DataFrame) -> DataFrame:
 
 
 def _compared(asked: DataFrame) -> DataFrame:
-    """Per page the places of the doubtful lines that it shares with the nearest page that is no version of it."""
+    """Per page the places of the lines that it shares with the nearest page that is no version of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,10 +382,9 @@ def _compared(asked: DataFrame) -> DataFrame:
                         continue
                     places = shared(row["hashes"], other)
                     if sum(chars[k] for k in places) < SAME_PAGE * sum(chars):
-                        dropped = [k for k in places if row["doubtful"][k]]
-                        if dropped:
+                        if places:
                             keys.append(row["key"])
-                            gone.append(dropped)
+                            gone.append(places)
                         break
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
@@ -369,21 +392,18 @@ def _compared(asked: DataFrame) -> DataFrame:
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """Keys of pages with the places of the lines (as ``lines_of`` gives them) that their nearest page shares; written.
+    """Keys of pages with the places of the lines (as ``all_lines`` gives them) that their nearest page shares; written.
 
-    Only hashes of lines move.  Pages without doubtful lines are compared with, but ask nothing themselves.
+    Every page is compared, all of its lines; only hashes of lines move.
     """
     outline = materialize(_outline(_keyed(pages)), "page-lines")
     hashes = lambda k: outline.select(F.col("key").alias(f"near_{k}"), F.col("hashes").alias(f"hashes_{k}"))
-    asking = outline.filter(F.array_contains("doubtful", True))
-    if asking.isEmpty():
-        return outline.filter("false").select("key", F.lit(None).cast("array<int>").alias("gone"))
-    asked = asking.select("key", "hashes", "chars", "doubtful").join(_near(outline), "key")
+    asked = outline.select("key", "hashes", "chars").join(_near(outline), "key")
     return materialize(_compared(asked.join(hashes(1), "near_1", "left").join(hashes(2), "near_2", "left")), "page-deletions")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_deleted``: the main text of every page, its code points, and the lines that the nearest page deleted.
+    """``page_id, url, text, n_chars, n_deleted``: the main text of every page, its code points, and the lines, furniture not counted, that the nearest page deleted.
 
     White space inside a block is one space, blocks are joined by one space, character references are
     decoded once.  A null page is empty; a null or odd URL has no host and is compared with nothing; repeated
@@ -397,9 +417,9 @@ def extract(pages: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 64)
                 texts, deleted = [], []
                 for page, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                    without = set(gone or ())
-                    texts.append(" ".join(x.text for k, x in enumerate(lines_of(page or "")) if k not in without))
-                    deleted.append(len(without))
+                    stay, n_gone = checked(all_lines(page or ""), set(gone or ()))
+                    texts.append(" ".join(stay))
+                    deleted.append(n_gone)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(deleted, pa.int64())],
                     ["page_id", "url", "text", "n_chars", "n_deleted"],

@@ -122,6 +122,16 @@ def test_nearest_pages_delete_what_they_share(spark):
     assert "All rights of hot" not in texts and "News" not in texts and "More of art" not in texts and "alone" in texts and any(x[4] for x in got)
 
 
+def test_pages_with_articles_go_through_the_difference_and_then_the_check(spark):
+    """All lines of all pages are compared; markup gives back what an article shares and takes what only one page's menus hold."""
+    page = lambda k: f"<nav>Home</nav><nav>Only {k}</nav><article><p>Written by A. B.<p>{'text ' * 9}{k}<p><a href=/>More</a></article><footer>All rights</footer>"
+    docs = spark.createDataFrame([(k, f"https://art.example/{k}", page(k)) for k in range(6)], PAGES)
+    assert [(x.text, x.furniture) for x in pt.all_lines(page(3))] == [("Home", True), ("Only 3", True), ("Written by A. B.", False), (f"{'text ' * 9}3", False), ("More", False), ("All rights", True)]
+    assert [list(r["gone"]) for r in pt.deletions(docs).collect()] == [[0, 2, 4, 5]] * 6
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in pt.extract(docs).collect()}
+    assert got == {k: (f"Written by A. B. {'text ' * 9}{k}", 1) for k in range(6)}
+
+
 def test_joined_verdicts_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame(site(random.Random(4), "hot.example", 20), PAGES)
     small = sorted(map(tuple, pt.extract(docs).collect()))
