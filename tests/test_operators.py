@@ -403,6 +403,15 @@ def test_summary_of_degrees_equals_that_of_edges(spark, sf_dir):
     assert QUERIES["graph_summary"](spark, sf_dir).first()["nodes"] == sellers
 
 
+def test_eigenvector_of_classes_equals_that_of_edges(spark):
+    held, df = members_of(spark, 5)
+    names = sorted(held)
+    a = np.array([[0 if x == y else len(held[x] & held[y] - {None}) for y in names] for x in names])
+    want = abs(np.linalg.eigh(a)[1][:, -1])
+    got = {r["m"]: r["eigenvector"] for r in graph.projected_eigenvector(df, "m", "g").collect()}
+    assert [got[m] for m in names] == pytest.approx(want, abs=1e-4) and got["none"] == got[None] == 0
+
+
 def test_betweenness_has_no_most_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "MOST_EDGES", 5, raising=False)
     monkeypatch.setattr(graph, "BLOCK_ROWS", 300, raising=False)
