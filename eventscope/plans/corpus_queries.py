@@ -598,14 +598,14 @@ def profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.profile(table(spark, sf_dir, "orders"), exact=True)
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events in order of time, in bounded micro-batches."""
-    return online.replay(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "events")
+def _event_stream(spark: SparkSession, sf_dir: str, key: str = "user_id") -> DataFrame:
+    """Key, time and value of all events in order of time, in bounded micro-batches."""
+    return online.replay(table(spark, sf_dir, "events").select(key, F.col("ts").cast("timestamp").alias("ts"), "value"), "ts", "events")
 
 
 @query("stream_weekly_counts", "SELECT event_type, date_trunc('week', ts) AS week_start, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1,2")
 def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = online.drain(online.weekly_counts(_event_stream(spark, sf_dir), "ts", "event_type", "value"), "complete", "weekly")
+    made = online.drain(online.weekly_counts(_event_stream(spark, sf_dir, "event_type"), "ts", "event_type", "value"), "complete", "weekly")
     return made.select("event_type", F.col("week_start").cast("timestamp_ntz").alias("week_start"), "n", F.round("total", 2).alias("total"))
 
 

@@ -215,7 +215,8 @@ def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of three spans of days where every fifth row arrives one part late, and then a row that closes them."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     span = F.floor((F.dayofmonth("ts") - 1) / 11) + F.when(F.pmod("event_id", F.lit(5)) == 0, 1).otherwise(0)
-    return online.replay_parts([*[events.filter(span == k) for k in range(4)], online.closing_row(events, "ts", 60)], "late-rows")
+    parts = [events.filter(span == k).select("user_id", "ts", "value") for k in range(4)]
+    return online.replay_parts([*parts, online.closing_row(events.select("user_id", "ts", "value"), "ts", 60)], "late-rows", online.files_for(events.count(), 4))
 
 
 @query(

@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -246,22 +246,38 @@ def replay_parts(parts: Sequence[DataFrame], name: str, files: int = 4) -> DataF
     return source.parquet(path)
 
 
-def replay(df: DataFrame, ts: str, name: str, batches: int = 4, files: int = 4) -> DataFrame:
+def files_for(rows: int, batches: int) -> int:
+    """Files of a micro-batch: four, or as many as keep a file, which one task reads, near a quarter of a million rows."""
+    return max(4, rows // batches // 250_000)
+
+
+def replay(df: DataFrame, ts: str, name: str, batches: int = 4, files: int | None = None) -> DataFrame:
     """A stream of a table in order of time: spans that hold about as many rows each, one micro-batch each.
 
     With enough batches no micro-batch holds more of a key than a task can take.
     """
     shares = F.array(*[F.lit(k / batches) for k in range(1, batches)])
-    cuts = df.agg(F.percentile_approx(F.unix_micros(ts), shares, F.lit(1000)).alias("c")).first()["c"] or []
+    cuts, rows = df.agg(F.percentile_approx(F.unix_micros(ts), shares, F.lit(1000)), F.count("*")).first()
+    cuts, files = cuts or [], files or files_for(rows, batches)
     bounds, at = [None, *sorted(set(cuts)), None], F.unix_micros(ts)
     inside = [reduce(Column.__and__, [at > lo if lo is not None else F.lit(True), at <= hi if hi is not None else F.lit(True)]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
     return replay_parts([df.filter(c) for c in inside], name, files)
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """Two partitions of state a core, 16 at least, and no more than the session's shuffle partitions.
+
+    Each loads, commits and starts a Python runner in every micro-batch, whatever it holds, and adaptive execution
+    does not join those of a stream.
+    """
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 2 * spark.sparkContext.defaultParallelism))
+
+
 def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Process everything that is there now and return the result as a table in the shared folder.
 
-    In complete mode the last batch is the result, in append mode all batches together.
+    In complete mode the last batch is the result, in append mode all batches together.  A query takes the
+    session's settings as it starts, so ``state_partitions`` hold for it alone.
     """
     spark = stream.sparkSession
     base = scratch(spark, name)
@@ -269,7 +285,12 @@ def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
         writer = stream.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
     else:
         writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
-    started = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", state_partitions(spark))
+    try:
+        started = writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 

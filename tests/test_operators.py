@@ -606,6 +606,31 @@ def test_many_keys_are_few_calls_with_the_results_of_single_keys(spark, monkeypa
         assert got[k] == [(t, number(y)) for _, t, _, y in sorted(map(tuple, alone.filter(F.col("ts") < at(1000)).collect()), key=lambda r: r[1])][:12]
 
 
+@pytest.mark.parametrize("name", ["stream_persistence"])
+def test_streams_have_few_partitions_of_state(spark, sf_dir, name):
+    """State in 2 partitions a core however many a shuffle has, rows of three columns in the replayed files, and all rows."""
+    from pathlib import Path
+
+    from eventscope.plans.catalog import QUERIES
+    from eventscope.sources import storage
+
+    before, mark = spark.conf.get("spark.sql.shuffle.partitions"), storage.written()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        made = QUERIES[name](spark, sf_dir)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    replayed, drained = (Path(p.removeprefix("file:")) for p in storage._written[mark:])
+    assert sum(p.name.isdigit() for p in (drained / "state/state/0").iterdir()) == max(16, 2 * spark.sparkContext.defaultParallelism)
+    assert set(spark.read.option("recursiveFileLookup", "true").parquet(str(replayed)).columns) == {"user_id", "ts", "value"}
+    assert made.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_files_of_a_micro_batch_grow_with_the_rows():
+    assert [online.files_for(n, 4) for n in (0, 100_000, 6_000_000, 36_000_000)] == [4, 4, 6, 36]
+
+
 def test_rows_later_than_the_watermark_are_dropped_and_idle_keys_start_anew(spark):
     at = lambda day: dt.datetime(2024, 1, 1) + dt.timedelta(days=day)
     frame = lambda *rows: spark.createDataFrame([(k, at(n), float(v)) for k, n, v in rows], "k string, ts timestamp, x double")
