@@ -606,7 +606,7 @@ def test_many_keys_are_few_calls_with_the_results_of_single_keys(spark, monkeypa
         assert got[k] == [(t, number(y)) for _, t, _, y in sorted(map(tuple, alone.filter(F.col("ts") < at(1000)).collect()), key=lambda r: r[1])][:12]
 
 
-@pytest.mark.parametrize("name", ["stream_persistence", "stream_past_z", "stream_ewma_late"])
+@pytest.mark.parametrize("name", ["stream_persistence", "stream_past_z", "stream_ewma_late", "stream_cusum"])
 def test_streams_have_few_partitions_of_state(spark, sf_dir, name):
     """State in 2 partitions a core however many a shuffle has, rows of three columns in the replayed files, and all rows."""
     from pathlib import Path
