@@ -237,11 +237,18 @@ def closing_row(df: DataFrame, ts: str, days: int) -> DataFrame:
 
 
 def replay_parts(parts: Sequence[DataFrame], name: str, files: int = 4) -> DataFrame:
-    """A stream of the rows of ``parts``, one micro-batch each, from files in the shared folder."""
+    """A stream of the rows of ``parts``, one micro-batch each, from files in the shared folder.
+
+    A micro-batch is so many files, so a part of fewer rows than that is made up with empty ones.
+    """
     spark = parts[0].sparkSession
     path = scratch(spark, name)
     for k, part in enumerate(parts):
-        part.repartition(files).write.parquet(f"{path}/part={k}")
+        into = f"{path}/part={k}"
+        part.repartition(files).write.parquet(into)
+        if k + 1 < len(parts):
+            for _ in range(files - len(spark.read.schema(part.schema).parquet(into).inputFiles())):
+                spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(into)
     source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
     return source.parquet(path)
 
@@ -254,6 +261,7 @@ def files_for(rows: int, batches: int) -> int:
 def replay(df: DataFrame, ts: str, name: str, batches: int = 4, files: int | None = None) -> DataFrame:
     """A stream of a table in order of time: spans that hold about as many rows each, one micro-batch each.
 
+    Rows without a time come with the last span.
     With enough batches no micro-batch holds more of a key than a task can take.
     """
     shares = F.array(*[F.lit(k / batches) for k in range(1, batches)])
@@ -261,6 +269,7 @@ def replay(df: DataFrame, ts: str, name: str, batches: int = 4, files: int | Non
     cuts, files = cuts or [], files or files_for(rows, batches)
     bounds, at = [None, *sorted(set(cuts)), None], F.unix_micros(ts)
     inside = [reduce(Column.__and__, [at > lo if lo is not None else F.lit(True), at <= hi if hi is not None else F.lit(True)]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    inside[-1] = inside[-1] | at.isNull()
     return replay_parts([df.filter(c) for c in inside], name, files)
 
 

@@ -627,6 +627,45 @@ def test_streams_have_few_partitions_of_state(spark, sf_dir, name):
     assert made.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
 
 
+def small_events(spark, tmp_path, days: list[float | None]):
+    """An events table of one user with a row at each of the given days, None without a time."""
+    at = lambda n: None if n is None else dt.datetime(2024, 1, 20) + dt.timedelta(days=n)
+    rows = [(i, at(n), 1, float((i * 13) % 37)) for i, n in enumerate(days)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def in_sql(sf: str, name: str) -> list[tuple]:
+    import duckdb
+
+    from eventscope.plans.oracles import ORACLE_SQL
+
+    con = duckdb.connect(config={"threads": 2})
+    con.execute("SET timezone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{sf}/events.parquet/*.parquet'")
+    return con.execute(ORACLE_SQL[name]).fetchall()
+
+
+def by_time(rows: list) -> list[tuple]:
+    return sorted(map(tuple, rows), key=lambda r: (r[1] is None, r[1] or dt.datetime.min))
+
+
+@pytest.mark.parametrize("name", ["stream_past_z", "stream_ewma", "stream_persistence"])
+def test_small_parts_and_rows_without_a_time_are_replayed_whole_and_in_order(spark, tmp_path, name):
+    """Parts of fewer rows than files are still a micro-batch each; the row without a time comes last."""
+    from eventscope.plans.catalog import QUERIES
+
+    sf = small_events(spark, tmp_path, [5, 2, 8, 1, None, 4, 7, 3, 6, 0, 9, 10, 11])
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    seen_in = []
+    stream = online.replay(events.select("user_id", "ts", "value"), "ts", "few")
+    query = stream.writeStream.foreachBatch(lambda df, _: seen_in.append(sorted((r.ts for r in df.collect()), key=lambda t: (t is None, t or dt.datetime.min)))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [t for part in seen_in for t in part] == [dt.datetime(2024, 1, 20) + dt.timedelta(days=n) for n in range(12)] + [None]
+    assert len(seen_in) == 4
+    assert by_time(QUERIES[name](spark, sf).collect()) == by_time(in_sql(sf, name))
+
+
 def test_files_of_a_micro_batch_grow_with_the_rows():
     assert [online.files_for(n, 4) for n in (0, 100_000, 6_000_000, 36_000_000)] == [4, 4, 6, 36]
 
