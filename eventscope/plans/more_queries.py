@@ -211,12 +211,18 @@ def stream_first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.drain(found, "append", "mentions").select("title", F.col("ts").cast("date").alias("date"), "doc_id")
 
 
-def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of three spans of days where every fifth row arrives one part late, and then a row that closes them."""
+def _late_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Events of three spans of days where every fifth row arrives one part late, then a row that closes them, and the days of delay that keep every row.
+
+    A span is eleven days, or a third of the table where that is more; a row is late by less than a span.
+    """
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    span = F.floor((F.dayofmonth("ts") - 1) / 11) + F.when(F.pmod("event_id", F.lit(5)) == 0, 1).otherwise(0)
+    first, days, rows = events.agg(F.min(F.to_date("ts")), F.datediff(F.max("ts"), F.min("ts")), F.count("*")).first()
+    width = max(11, (days or 0) // 3 + 1)
+    delay = max(30, width)
+    span = F.floor(F.datediff("ts", F.lit(first).cast("date")) / width) + F.when(F.pmod("event_id", F.lit(5)) == 0, 1).otherwise(0)
     parts = [events.filter(span == k).select("user_id", "ts", "value") for k in range(4)]
-    return online.replay_parts([*parts, online.closing_row(events.select("user_id", "ts", "value"), "ts", 60)], "late-rows", online.files_for(events.count(), 4))
+    return online.replay_parts([*parts, online.closing_row(events.select("user_id", "ts", "value"), "ts", 2 * delay)], "late-rows", online.files_for(rows, 4)), delay
 
 
 @query(
@@ -226,7 +232,8 @@ def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_ewma_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late rows are taken in order of time, as in the batch twin."""
-    made = online.drain(online.ewma(_late_stream(spark, sf_dir), "user_id", "ts", "value", 0.3, late="30 days"), "append", "ewma-late")
+    stream, delay = _late_stream(spark, sf_dir)
+    made = online.drain(online.ewma(stream, "user_id", "ts", "value", 0.3, late=f"{delay} days"), "append", "ewma-late")
     return made.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("ewma", 8).alias("ewma"))
 
 

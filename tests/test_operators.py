@@ -666,6 +666,15 @@ def test_small_parts_and_rows_without_a_time_are_replayed_whole_and_in_order(spa
     assert by_time(QUERIES[name](spark, sf).collect()) == by_time(in_sql(sf, name))
 
 
+def test_late_rows_of_a_table_of_many_months_are_all_taken(spark, tmp_path):
+    """Spans of a table longer than a month are in order of time, and the watermark waits for a whole one."""
+    from eventscope.plans.catalog import QUERIES
+
+    sf = small_events(spark, tmp_path, [(i * 7) % 200 for i in range(200)])
+    got = by_time(QUERIES["stream_ewma_late"](spark, sf).collect())
+    assert got == by_time(in_sql(sf, "stream_ewma_late")) and len(got) == 200
+
+
 def test_files_of_a_micro_batch_grow_with_the_rows():
     assert [online.files_for(n, 4) for n in (0, 100_000, 6_000_000, 36_000_000)] == [4, 4, 6, 36]
 
