@@ -650,7 +650,7 @@ def by_time(rows: list) -> list[tuple]:
     return sorted(map(tuple, rows), key=lambda r: (r[1] is None, r[1] or dt.datetime.min))
 
 
-@pytest.mark.parametrize("name", ["stream_past_z", "stream_ewma", "stream_persistence"])
+@pytest.mark.parametrize("name", ["stream_past_z", "stream_cusum", "stream_ewma", "stream_persistence"])
 def test_small_parts_and_rows_without_a_time_are_replayed_whole_and_in_order(spark, tmp_path, name):
     """Parts of fewer rows than files are still a micro-batch each; the row without a time comes last."""
     from eventscope.plans.catalog import QUERIES
