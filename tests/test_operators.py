@@ -427,6 +427,58 @@ def test_betweenness_has_no_most_edges(spark, monkeypatch):
     assert got == pytest.approx({v: through(v) / (13 * 12) for v in range(14)})
 
 
+def brute_betweenness(near):
+    n = len(near)
+    far, paths, step = np.where(np.eye(n), 0, -1), np.eye(n), np.eye(n)
+    for k in range(1, n):
+        step = step @ near
+        new = (far < 0) & (step > 0)
+        far[new], paths[new] = k, step[new]
+    met = (far[:, :, None] > 0) & (far[:, None, :] > 0) & (far[None, :, :] > 0) & (far[:, :, None] + far[None, :, :] == far[:, None, :])  # s, v, t
+    share = np.where(met, paths[:, :, None] * paths[None, :, :] / np.where(paths > 0, paths, 1)[:, None, :], 0)
+    return share, share.sum((0, 2)) / ((n - 1) * (n - 2))
+
+
+def chained_members(spark):
+    """Classes of several members along a chain of groups, a dense part, a second component, one alone, some without a group or a name."""
+    r = np.random.default_rng(8)
+    held = {f"c{k}{j}": {k, k + 1} for k in range(5) for j in range(1 + k % 3)} | {f"d{k:02d}": {int(g) for g in r.choice(range(5, 9), 2, replace=False)} for k in range(14)}
+    held |= {"x0": {20, 21}, "x1": {21, 22}, "x2": {22}, "x3": {20}, "alone": {77}, "none": {None}}
+    near = np.array([[a != b and bool(held[a] & held[b] - {None}) for b in sorted(held)] for a in sorted(held)]).astype(float)
+    return sorted(held), near, spark.createDataFrame([(m, g) for m, of in held.items() for g in of] + [("c00", 0), (None, 1)], "m string, g int")
+
+
+def test_betweenness_of_classes_equals_that_of_members(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 4_000)
+    names, near, df = chained_members(spark)
+    share, _ = brute_betweenness(near)
+    n = len(names) + 1  # the one without a name is a vertex, as in degree
+    got = {r["m"]: r["betweenness"] for r in graph.projected_betweenness(df, "m", "g").collect()}
+    assert got == pytest.approx(dict(zip([*names, None], [*share.sum((0, 2)) / ((n - 1) * (n - 2)), 0.0], strict=True))) and max(got.values()) > 0.1
+    edges = graph.betweenness_centrality(graph.project_bipartite(df, "m", "g"), df, "m").collect()
+    assert {r["m"]: r["betweenness"] for r in edges} == pytest.approx(got)
+
+
+def test_betweenness_of_suppliers_writes_no_edge_of_them(spark, sf_dir, monkeypatch):
+    from eventscope.plans.catalog import QUERIES
+
+    monkeypatch.setattr(graph, "project_bipartite", lambda *_: pytest.fail("edges of members"))
+    got = QUERIES["betweenness_centrality"](spark, sf_dir).collect()
+    assert got and all(r["betweenness"] == 0 for r in got)  # all meet
+
+
+def test_searches_of_a_dense_graph_take_the_few_pairs_that_are_not_near(spark, monkeypatch):
+    taken, written = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: taken.append(name) or written(df, name))
+    near = np.ones((30, 30)) - np.eye(30)
+    edges = lambda: spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(np.triu(near))], "src long, dst long")
+    names = spark.range(30).withColumnRenamed("id", "v")
+    assert {r["betweenness"] for r in graph.betweenness_centrality(edges(), names, "v").collect()} == {0.0} and taken.count("graph-level") == 2  # the sources and their neighbours
+    near[3, 7] = near[7, 3] = near[3, 9] = near[9, 3] = near[11, 12] = near[12, 11] = 0
+    got = {r["v"]: r["betweenness"] for r in graph.betweenness_centrality(edges(), names, "v").collect()}
+    assert got == pytest.approx(dict(enumerate(brute_betweenness(near)[1]))) and taken.count("graph-level") == 5
+
+
 def test_planted_step_is_found():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, 40), rng.normal(3, 0.1, 40)])
