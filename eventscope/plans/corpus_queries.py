@@ -374,14 +374,9 @@ def validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "ed AS (SELECT a.institution AS src, b.institution AS dst, count(*) AS weight, string_agg(a.period::VARCHAR, ';' ORDER BY a.period::VARCHAR) AS shared FROM membership a JOIN membership b ON a.period = b.period AND a.institution < b.institution GROUP BY 1,2)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    members = view(spark, sf_dir, "membership")
-    return graph.project_bipartite(members, "institution", "period"), members.select("institution")
-
-
 @query("bipartite_projection", f"WITH {_EDGES} SELECT src, dst, weight, shared FROM ed")
 def bipartite_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir)[0]
+    return graph.project_bipartite(view(spark, sf_dir, "membership"), "institution", "period")
 
 
 @query("degree", f"WITH {_EDGES}, b AS (SELECT src AS v, weight FROM ed UNION ALL SELECT dst, weight FROM ed) SELECT institution, coalesce(count(b.v), 0) AS degree, coalesce(sum(b.weight), 0)::BIGINT AS weighted_degree FROM (SELECT DISTINCT institution FROM membership) m LEFT JOIN b ON b.v = m.institution GROUP BY 1")
@@ -412,7 +407,7 @@ def betweenness_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("betweenness_sampled")
 def betweenness_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An estimate from 64 pivots, with its bound."""
-    return graph.betweenness_centrality(*_edges(spark, sf_dir), "institution", pivots=64)
+    return graph.projected_betweenness(view(spark, sf_dir, "membership"), "institution", "period", pivots=64)
 
 
 @query(

@@ -467,6 +467,21 @@ def test_betweenness_of_suppliers_writes_no_edge_of_them(spark, sf_dir, monkeypa
     assert got and all(r["betweenness"] == 0 for r in got)  # all meet
 
 
+def test_sampled_betweenness_of_classes_equals_that_of_edges(spark, sf_dir, monkeypatch):
+    from eventscope.plans.catalog import QUERIES
+
+    names, near, df = chained_members(spark)
+    want = {r["m"]: (r["betweenness"], r["bound"]) for r in graph.betweenness_centrality(graph.project_bipartite(df, "m", "g"), df, "m", pivots=12).collect()}
+    got = {r["m"]: (r["betweenness"], r["bound"]) for r in graph.projected_betweenness(df, "m", "g", pivots=12).collect()}
+    first = [r["m"] for r in df.select("m").distinct().orderBy(F.xxhash64("m"), "m").limit(12).collect()]
+    n = len(names) + 1
+    share = brute_betweenness(near)[0][[names.index(m) for m in first if m is not None]].sum((0, 2)) * n / 12 / ((n - 1) * (n - 2))
+    assert {m: b for m, (b, _) in got.items()} == pytest.approx(dict(zip([*names, None], [*share, 0.0], strict=True))) and max(share) > 0.1
+    assert got == {m: (pytest.approx(b), bound) for m, (b, bound) in want.items()} and want["none"][1] > 0
+    monkeypatch.setattr(graph, "project_bipartite", lambda *_: pytest.fail("edges of members"))
+    assert QUERIES["betweenness_sampled"](spark, sf_dir).count() > 0
+
+
 def test_searches_of_a_dense_graph_take_the_few_pairs_that_are_not_near(spark, monkeypatch):
     taken, written = [], graph.materialize
     monkeypatch.setattr(graph, "materialize", lambda df, name: taken.append(name) or written(df, name))
