@@ -372,6 +372,18 @@ def test_projection_of_large_classes(spark, monkeypatch):
     assert {(r["src"], r["dst"]): (r["weight"], r["shared"]) for r in made} == edges_of(held) and len(made) == len(edges_of(held))
 
 
+def test_projection_is_dealt_by_the_number_of_its_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(graph, "TASK_EDGES", 50, raising=False)
+    held, df = members_of(spark)
+    made = graph.project_bipartite(df, "m", "g").groupBy(F.spark_partition_id()).count().collect()
+    edges = len(edges_of(held))
+    assert sum(r["count"] for r in made) == edges and max(r["count"] for r in made) <= 300 < edges / 4  # four shuffle partitions would hold more
+    members = graph.classes(df, "m", "g")
+    assert graph._edge_count(members, members.groupBy("class").agg(F.count("*").alias("size"))) == edges
+    assert graph.project_bipartite(df.limit(0), "m", "g").count() == 0
+
+
 def test_membership_holds_every_supplier_and_month(spark, sf_dir):
     from eventscope.plans.fixtures import table, view
 
