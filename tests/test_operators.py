@@ -382,6 +382,9 @@ def test_projection_is_dealt_by_the_number_of_its_edges(spark, monkeypatch):
     members = graph.classes(df, "m", "g")
     assert graph._edge_count(members, members.groupBy("class").agg(F.count("*").alias("size"))) == edges
     assert graph.project_bipartite(df.limit(0), "m", "g").count() == 0
+    plan = graph.project_bipartite(df, "m", "g")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = [x.strip(" :+-").split()[0] for x in plan if "Generate explode(" in x or "Repartition" in x]
+    assert steps[:4] == ["Generate", "Repartition", "Generate", "RepartitionByExpression"]  # one compiled stage would hold a pair's edges at once
 
 
 def test_membership_holds_every_supplier_and_month(spark, sf_dir):
